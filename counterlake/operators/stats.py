@@ -42,16 +42,27 @@ def _with_database(rows: DataFrame, repo: Repository, user_only: bool = False) -
 
 # --- databases, cluster, WAL, tablespaces, waits -----------------------------------------
 
-def dbstats(repo: Repository, intervals: list[Interval]) -> DataFrame:
-    """Per database: sums of activity and the newest checksum failure; times in seconds."""
+def in_seconds(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Millisecond columns as seconds. Sums are taken in milliseconds and converted last, so
+    that whole-number inputs give the same result in any order of summation."""
+    return df.withColumns({c: _seconds(c) for c in columns if c in df.columns})
+
+
+DB_TIMES = ("blk_read_time", "blk_write_time")
+
+
+def dbstats_ms(repo: Repository, intervals: list[Interval]) -> DataFrame:
+    """Per database: sums of activity and the newest checksum failure."""
     summed = tuple(c for c in DATABASE_COUNTERS
                    if c not in SESSION_COLUMNS and c != "conflicts")
     rows = tag_intervals(repo.databases.filter(~F.col("datistemplate")), intervals)
-    out = rows.groupBy(*SPAN, "datid", F.col("datname").alias("dbname")).agg(
+    return rows.groupBy(*SPAN, "datid", F.col("datname").alias("dbname")).agg(
         *_sums((*summed, "checksum_failures", "datsize_delta")),
         F.max("checksum_last_failure").alias("checksum_last_failure"))
-    return (out.withColumn("blk_read_time", _seconds("blk_read_time"))
-               .withColumn("blk_write_time", _seconds("blk_write_time")))
+
+
+def dbstats(repo: Repository, intervals: list[Interval]) -> DataFrame:
+    return in_seconds(dbstats_ms(repo, intervals), DB_TIMES)
 
 
 def dbstats_sessions(repo: Repository, intervals: list[Interval]) -> DataFrame:
@@ -87,12 +98,17 @@ def tablespace_stats(repo: Repository, intervals: list[Interval]) -> DataFrame:
     return grown.join(names, [SERVER, "tablespaceid"])
 
 
+WAIT_TIMES = ("tot_waited", "stmt_waited")
+
+
+def wait_stats_ms(repo: Repository, intervals: list[Interval]) -> DataFrame:
+    """Waits per event, in total and by statements."""
+    return tag_intervals(repo.waits, intervals).groupBy(*SPAN, "event_type", "event").agg(
+        *_sums(WAIT_TIMES))
+
+
 def wait_stats(repo: Repository, intervals: list[Interval]) -> DataFrame:
-    """Seconds waited per event, in total and by statements."""
-    out = tag_intervals(repo.waits, intervals).groupBy(*SPAN, "event_type", "event").agg(
-        *_sums(("tot_waited", "stmt_waited")))
-    return (out.withColumn("tot_waited", _seconds("tot_waited"))
-               .withColumn("stmt_waited", _seconds("stmt_waited")))
+    return in_seconds(wait_stats_ms(repo, intervals), WAIT_TIMES)
 
 
 # --- tables and indexes ------------------------------------------------------------------
@@ -389,12 +405,25 @@ JIT_COUNTERS = ("jit_functions", "jit_inlining_count", "jit_optimization_count",
                 "jit_emission_count")
 
 
-def top_statements(repo: Repository, intervals: list[Interval], by_text: bool = False
-                   ) -> DataFrame:
+_CPU_AND_IO = ("user_time", "system_time", "reads", "writes")
+_CLUSTER_SHARES = ("tot_written_pct", "backend_written_pct", "wal_bytes_pct")
+_STATEMENT_SHARES = (
+    "plans_pct", "calls_pct", "total_time_pct", "total_exec_time_pct", "read_pct",
+    "shared_blks_fetched_pct", "dirtied_pct", "io_time_pct", "temp_read_total_pct",
+    "temp_written_total_pct", "local_read_total_pct", "local_written_total_pct")
+
+
+def top_statements(repo: Repository, intervals: list[Interval], by_text: bool = False,
+                   columns: Sequence[str] | None = None) -> DataFrame:
     """Per statement: sums, shares of the totals, pooled moments, resource usage, JIT.
 
     ``by_text`` keys statements by the hash of their text instead of the source's query id.
+    With ``columns`` only those are returned, and the totals and the usage facts are read only
+    if a requested column needs them.
     """
+    def wanted(names: Sequence[str]) -> bool:
+        return columns is None or any(n in columns for n in names)
+
     query = short_hash(F.col("queryid_md5")) if by_text else F.col("queryid")
     key = ("datid", "userid", "queryid", "toplevel")
     rows = tag_intervals(repo.statements, intervals).withColumn("queryid", query)
@@ -409,17 +438,22 @@ def top_statements(repo: Repository, intervals: list[Interval], by_text: bool =
         F.min("min_plan_time").alias("min_plan_time"),
         F.max("max_plan_time").alias("max_plan_time"),
         mean_plan.alias("mean_plan_time"), dev_plan.alias("stddev_plan_time"))
-    if repo.usage is not None:
+    if repo.usage is not None and wanted(_CPU_AND_IO):
         used = tag_intervals(repo.usage, intervals).withColumn("queryid", query)
         used = used.groupBy(*SPAN, *key).agg(*[
             (zero(F.sum(f"exec_{c}")) + zero(F.sum(f"plan_{c}"))).alias(c)
-            for c in ("user_time", "system_time", "reads", "writes")])
+            for c in _CPU_AND_IO])
         st = st.join(used, [*SPAN, *key], "left")
     else:
-        st = st.select("*", *[F.lit(None).cast("bigint").alias(c) for c in (
-            "user_time", "system_time", "reads", "writes")])
-    st = (st.join(statement_interval_totals(repo, intervals), list(SPAN), "left")
-            .join(cluster_interval_totals(repo, intervals), list(SPAN), "left"))
+        st = st.select("*", *[F.lit(None).cast("bigint").alias(c) for c in _CPU_AND_IO])
+    for totals, shares in ((statement_interval_totals, _STATEMENT_SHARES),
+                           (cluster_interval_totals, _CLUSTER_SHARES)):
+        whole = totals(repo, intervals)
+        if wanted(shares):
+            st = st.join(whole, list(SPAN), "left")
+        else:
+            st = st.select("*", *[F.lit(None).cast("bigint").alias(x) for x in whole.columns
+                                  if x not in SPAN])
     c = F.col
     plan, execution = c("total_plan_time"), c("total_exec_time")
     time = execution + zero(plan)
@@ -472,6 +506,8 @@ def top_statements(repo: Repository, intervals: list[Interval], by_text: bool =
         sum((zero(x) for x in JIT_COUNTERS[1:]), zero(JIT_COUNTERS[0])).alias("jit_count"),
         (c("temp_blks_read") + c("temp_blks_written") + c("local_blks_read")
          + c("local_blks_written")).alias("temp_io_blks"))
+    if columns is not None:
+        out = out.select(*SPAN, *key, "dbname", *[x for x in out.columns if x in columns])
     return _role_names(out, repo)
 
 
@@ -501,7 +537,11 @@ def top_usage(repo: Repository, intervals: list[Interval], by_text: bool = False
     return _role_names(out, repo)
 
 
-def statements_dbstats(repo: Repository, intervals: list[Interval]) -> DataFrame:
+STATEMENT_DB_TIMES = ("total_exec_time", "total_plan_time", "blk_read_time", "blk_write_time",
+                      *JIT_TIMES, "trg_fn_total_time")
+
+
+def statements_dbstats_ms(repo: Repository, intervals: list[Interval]) -> DataFrame:
     """Statement totals per database with the time of its trigger functions."""
     rows = tag_intervals(repo.statement_totals, intervals)
     triggers = repo.function_totals.filter("trg_fn").select(
@@ -510,13 +550,15 @@ def statements_dbstats(repo: Repository, intervals: list[Interval]) -> DataFrame
     sums = rows.groupBy(*SPAN, "datid", "dbname").agg(
         *_sums((*STATEMENT_SUMS, "statements")), F.sum("trg_time").alias("trg_time"))
     c = F.col
-    seconds = ("total_exec_time", "total_plan_time", "blk_read_time", "blk_write_time",
-               *JIT_TIMES)
     return sums.select(
         *SPAN, "datid", "dbname", "calls", "plans",
-        *[_seconds(x).alias(x) for x in seconds],
-        _seconds("trg_time").alias("trg_fn_total_time"),
+        *[x for x in STATEMENT_DB_TIMES if x != "trg_fn_total_time"],
+        c("trg_time").alias("trg_fn_total_time"),
         (c("shared_blks_hit") + c("shared_blks_read")).alias("shared_gets"),
         (c("local_blks_hit") + c("local_blks_read")).alias("local_gets"),
         "shared_blks_dirtied", "local_blks_dirtied", "temp_blks_read", "temp_blks_written",
         "local_blks_read", "local_blks_written", "statements", "wal_bytes", *JIT_COUNTERS)
+
+
+def statements_dbstats(repo: Repository, intervals: list[Interval]) -> DataFrame:
+    return in_seconds(statements_dbstats_ms(repo, intervals), STATEMENT_DB_TIMES)

@@ -7,6 +7,7 @@ intervals, and rank per server, so one job serves all servers.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
@@ -114,13 +115,14 @@ def _tables_at_end(repo: Repository, intervals: list[Interval]) -> DataFrame:
 
 
 def _wait_shares(repo: Repository, intervals: list[Interval]) -> DataFrame:
-    waits = stats.wait_stats(repo, intervals)
+    waits = stats.wait_stats_ms(repo, intervals)
     totals = waits.groupBy(*stats.SPAN).agg(F.sum("tot_waited").alias("_all"),
                                             F.sum("stmt_waited").alias("_stmt"))
-    return (waits.join(totals, list(stats.SPAN))
-            .withColumn("tot_waited_pct", pct(F.col("tot_waited"), F.col("_all")))
-            .withColumn("stmt_waited_pct", pct(F.col("stmt_waited"), F.col("_stmt")))
-            .drop("_all", "_stmt"))
+    shares = (waits.join(totals, list(stats.SPAN))
+              .withColumn("tot_waited_pct", pct(F.col("tot_waited"), F.col("_all")))
+              .withColumn("stmt_waited_pct", pct(F.col("stmt_waited"), F.col("_stmt")))
+              .drop("_all", "_stmt"))
+    return stats.in_seconds(shares, stats.WAIT_TIMES)
 
 
 RELATIONS: dict[str, Relation] = {
@@ -411,7 +413,13 @@ def section(repo: Repository, section_id: str, intervals: list[Interval], topn:
     name = spec.relation
     if by_text and name in ("statements", "usage"):
         name = f"{name}_by_text"
-    relation = RELATIONS[name](repo, intervals)
+    if name.startswith("statements"):
+        expressions = " ".join((*spec.values, *spec.order, *spec.chosen_by, spec.where,
+                                spec.diff_by or "", spec.diff_order or ""))
+        relation = stats.top_statements(repo, intervals, name.endswith("by_text"),
+                                        columns=re.findall(r"[a-z_]\w*", expressions))
+    else:
+        relation = RELATIONS[name](repo, intervals)
     if len(intervals) == 1:
         return single_section(relation, spec, topn).drop("interval_no")
     return diff_section(relation, spec, topn)
@@ -447,11 +455,12 @@ DB_VALUES = ("xact_commit", "xact_rollback", "blks_read", "blks_hit", "tup_retur
 def database_section(repo: Repository, intervals: list[Interval]) -> DataFrame:
     """Database statistics with a total row, hit ratio, and size at the end sample."""
     sizes = _at_end(repo.databases, intervals, ("datid",), {"datsize": "datsize"})
-    rows = stats.dbstats(repo, intervals).join(sizes, ["interval_no", SERVER, "datid"], "left")
+    rows = stats.dbstats_ms(repo, intervals).join(sizes, ["interval_no", SERVER, "datid"], "left")
     values = [*[F.sum(c).alias(c) for c in (*DB_VALUES, "datsize")],
               pct(F.sum("blks_hit"), F.sum("blks_hit") + F.sum("blks_read"))
               .alias("blks_hit_pct")]
-    return _single_or_diff(_rollup(rows, "dbname", values), intervals, "dbname")
+    rows = stats.in_seconds(_rollup(rows, "dbname", values), stats.DB_TIMES)
+    return _single_or_diff(rows, intervals, "dbname")
 
 
 def session_section(repo: Repository, intervals: list[Interval]) -> DataFrame:
@@ -468,30 +477,30 @@ STMT_DB_VALUES = ("calls", "plans", "total_exec_time", "total_plan_time", "blk_r
 
 
 def statement_db_section(repo: Repository, intervals: list[Interval]) -> DataFrame:
-    rows = stats.statements_dbstats(repo, intervals)
-    values = [F.sum(c).alias(c) for c in STMT_DB_VALUES]
-    return _single_or_diff(_rollup(rows, "dbname", values), intervals, "dbname")
+    rows = stats.statements_dbstats_ms(repo, intervals)
+    rows = _rollup(rows, "dbname", [F.sum(c).alias(c) for c in STMT_DB_VALUES])
+    return _single_or_diff(stats.in_seconds(rows, stats.STATEMENT_DB_TIMES), intervals, "dbname")
 
 
 def jit_db_section(repo: Repository, intervals: list[Interval]) -> DataFrame:
     """JIT work per database; databases without JIT are left out."""
-    rows = stats.statements_dbstats(repo, intervals)
+    rows = stats.statements_dbstats_ms(repo, intervals)
     used = sum((zero(c) for c in JIT_COUNTS[1:]), zero(JIT_COUNTS[0])) > 0
     columns = ("calls", "total_exec_time", *stats.JIT_COUNTERS, *stats.JIT_TIMES)
-    values = [F.sum(c).alias(c) for c in columns]
-    return _single_or_diff(_rollup(rows.filter(used), "dbname", values), intervals, "dbname")
+    rows = _rollup(rows.filter(used), "dbname", [F.sum(c).alias(c) for c in columns])
+    return _single_or_diff(stats.in_seconds(rows, stats.STATEMENT_DB_TIMES), intervals, "dbname")
 
 
 def wait_type_section(repo: Repository, intervals: list[Interval]) -> DataFrame:
     """Waits per event type with a total row and shares of all waits."""
-    waits = stats.wait_stats(repo, intervals)
-    columns = ("tot_waited", "stmt_waited")
+    waits = stats.wait_stats_ms(repo, intervals)
+    columns = stats.WAIT_TIMES
     totals = waits.groupBy(*stats.SPAN).agg(*[F.sum(c).alias(f"_{c}") for c in columns])
     rows = _rollup(waits, "event_type", [F.sum(c).alias(c) for c in columns])
     rows = rows.join(totals, list(stats.SPAN))
     rows = rows.select(SERVER, "interval_no", "event_type", "is_total", *columns,
                        *[pct(F.col(c), F.col(f"_{c}")).alias(f"{c}_pct") for c in columns])
-    return _single_or_diff(rows, intervals, "event_type")
+    return _single_or_diff(stats.in_seconds(rows, columns), intervals, "event_type")
 
 
 # --- sections without a ranking ----------------------------------------------------------
