@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass, field, fields, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -127,10 +128,15 @@ class Interval:
     end: int
     server_ids: tuple[int, ...] = ()
 
+    def sql(self, tick: str = TICK, closed: bool = False) -> str:
+        low = ">=" if closed else ">"
+        inside = f"({tick} {low} {self.start} AND {tick} <= {self.end}"
+        if self.server_ids:
+            inside += f" AND {SERVER} IN ({', '.join(map(str, self.server_ids))})"
+        return inside + ")"
+
     def contains(self, tick: str = TICK, closed: bool = False) -> Column:
-        low = F.col(tick) >= self.start if closed else F.col(tick) > self.start
-        inside = low & (F.col(tick) <= self.end)
-        return inside & F.col(SERVER).isin(*self.server_ids) if self.server_ids else inside
+        return F.expr(self.sql(tick, closed))
 
 
 def tag_intervals(df: DataFrame, intervals: list[Interval], closed: bool = False) -> DataFrame:
@@ -138,18 +144,16 @@ def tag_intervals(df: DataFrame, intervals: list[Interval], closed: bool = False
 
     A row that lies in two overlapping intervals is emitted once per interval.
     """
-    within = [i.contains(closed=closed) for i in intervals]
+    within = [i.sql(closed=closed) for i in intervals]
     if TICK_BLOCK in df.columns:  # prune the tick ranges written by Repository.save
         low = min(i.start for i in intervals) // Repository.TICKS_PER_PARTITION
         high = max(i.end for i in intervals) // Repository.TICKS_PER_PARTITION
-        df = df.filter(F.col(TICK_BLOCK).between(low, high)).drop(TICK_BLOCK)
+        df = df.filter(f"{TICK_BLOCK} BETWEEN {low} AND {high}").drop(TICK_BLOCK)
     if len(intervals) == 1:
-        return df.filter(within[0]).withColumn("interval_no", F.lit(1))
-    anywhere = within[0]
-    for condition in within[1:]:
-        anywhere = anywhere | condition
-    numbers = F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in enumerate(within, 1)]))
-    return df.filter(anywhere).withColumn("interval_no", F.explode(numbers))
+        return df.filter(within[0]).selectExpr("*", "1 AS interval_no")
+    numbers = ", ".join(f"CASE WHEN {c} THEN {n} END" for n, c in enumerate(within, 1))
+    return df.filter(" OR ".join(within)).selectExpr(
+        "*", f"explode(array_compact(array({numbers}))) AS interval_no")
 
 
 @dataclass
@@ -228,17 +232,29 @@ def assert_unique(df: DataFrame, keys: tuple[str, ...] | list[str]) -> DataFrame
     return df
 
 
-def pct(part: Column, whole: Column) -> Column:
-    """100 * part / whole as double; NULL when the whole is zero."""
-    denominator = whole.cast("double")
-    return part.cast("double") * 100 / F.when(denominator != 0, denominator)
+def grouped(df: DataFrame, keys: Sequence[str], aggregates: Sequence[str],
+            having: str | None = None) -> DataFrame:
+    """SELECT keys, aggregates FROM df GROUP BY keys [HAVING ...]."""
+    names = ", ".join(keys)
+    text = f"SELECT {', '.join([*keys, *aggregates])} FROM {{rows}} GROUP BY {names}"
+    if having:
+        text += f" HAVING {having}"
+    return df.sparkSession.sql(text, rows=df)
+
+
+def sums(columns: Sequence[str]) -> list[str]:
+    return [f"sum({c}) AS {c}" for c in columns]
+
+
+def pct(part: str, whole: str) -> str:
+    """SQL for 100 * part / whole as double; NULL when the whole is zero."""
+    return f"(CAST({part} AS DOUBLE) * 100 / nullif(CAST({whole} AS DOUBLE), 0D))"
 
 
-def ratio(part: Column, whole: Column) -> Column:
-    denominator = whole.cast("double")
-    return part.cast("double") / F.when(denominator != 0, denominator)
+def ratio(part: str, whole: str) -> str:
+    return f"(CAST({part} AS DOUBLE) / nullif(CAST({whole} AS DOUBLE), 0D))"
 
 
-def zero(column: str | Column) -> Column:
-    """NULL counts as zero."""
-    return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(0))
+def zero(column: str) -> str:
+    """SQL in which NULL counts as zero."""
+    return f"coalesce({column}, 0)"

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
-from counterlake.model import SERVER, TICK, Interval, Repository, tag_intervals, zero
+from counterlake.model import SERVER, TICK, Interval, Repository, grouped, tag_intervals
 
 SESSION_COLUMNS = ("session_time", "active_time", "idle_in_transaction_time", "sessions",
                    "sessions_abandoned", "sessions_fatal", "sessions_killed")
@@ -14,68 +13,64 @@ JIT_COUNTS = ("jit_functions", "jit_inlining_count", "jit_optimization_count",
 GROUP = (SERVER, "interval_no")
 
 
-def _flag(condition: Column) -> Column:
-    return F.coalesce(condition, F.lit(False))
+def _flag(condition: str, name: str) -> str:
+    return f"coalesce({condition}, false) AS {name}"
+
+
+def _total(column: str) -> str:
+    return f"coalesce(sum({column}), 0)"
+
+
+def _features(df: DataFrame, intervals: list[Interval], flags: list[str]) -> DataFrame:
+    return grouped(tag_intervals(df, intervals), GROUP, flags)
 
 
 def statements_available(samples: DataFrame, totals: DataFrame,
                          intervals: list[Interval]) -> DataFrame:
     """Every sample of the interval has statement totals."""
-    measured = totals.select(SERVER, TICK).distinct().withColumn("_has", F.lit(1))
-    rows = tag_intervals(samples.select(SERVER, TICK), intervals).join(
-        measured, [SERVER, TICK], "left")
-    return rows.groupBy(*GROUP).agg(
-        (F.count(F.lit(1)) == F.count("_has")).alias("statements"))
+    measured = totals.select(SERVER, TICK).distinct().selectExpr("*", "1 AS _has")
+    rows = samples.select(SERVER, TICK).join(measured, [SERVER, TICK], "left")
+    return _features(rows, intervals, ["count(*) = count(_has) AS statements"])
 
 
 def statement_features(totals: DataFrame, intervals: list[Interval]) -> DataFrame:
     """Planning times, WAL and JIT of statements."""
-    jit = sum((zero(F.sum(c)) for c in JIT_COUNTS[1:]), zero(F.sum(JIT_COUNTS[0])))
-    return tag_intervals(totals, intervals).groupBy(*GROUP).agg(
-        _flag(F.sum("total_plan_time") > 0).alias("planning_times"),
-        _flag(F.sum("wal_bytes") > 0).alias("statement_wal"),
-        _flag(jit > 0).alias("jit"))
+    jit = " + ".join(_total(c) for c in JIT_COUNTS)
+    return _features(totals, intervals, [
+        _flag("sum(total_plan_time) > 0", "planning_times"),
+        _flag("sum(wal_bytes) > 0", "statement_wal"), _flag(f"{jit} > 0", "jit")])
 
 
 def database_features(databases: DataFrame, intervals: list[Interval]) -> DataFrame:
     """IO timing and session statistics."""
-    sessions = F.lit(False)
-    for c in SESSION_COLUMNS:
-        sessions = sessions | (F.count(c) > 0)
-    return tag_intervals(databases, intervals).groupBy(*GROUP).agg(
-        _flag(zero(F.sum("blk_read_time")) + zero(F.sum("blk_write_time")) > 0)
-        .alias("io_times"),
-        sessions.alias("sessions"))
+    times = f"{_total('blk_read_time')} + {_total('blk_write_time')} > 0"
+    sessions = " OR ".join(f"count({c}) > 0" for c in SESSION_COLUMNS)
+    return _features(databases, intervals, [_flag(times, "io_times"),
+                                            f"({sessions}) AS sessions"])
 
 
 def wal_available(wal: DataFrame, intervals: list[Interval]) -> DataFrame:
-    return tag_intervals(wal, intervals).groupBy(*GROUP).agg(
-        (F.count("wal_bytes") > 0).alias("wal"))
+    return _features(wal, intervals, ["count(wal_bytes) > 0 AS wal"])
 
 
 def waits_available(waits: DataFrame, intervals: list[Interval]) -> DataFrame:
-    return tag_intervals(waits, intervals).groupBy(*GROUP).agg(
-        (F.count(F.lit(1)) > 0).alias("waits"))
+    return _features(waits, intervals, ["count(*) > 0 AS waits"])
 
 
 def functions_available(totals: DataFrame, intervals: list[Interval]) -> DataFrame:
-    return tag_intervals(totals, intervals).groupBy(*GROUP).agg(
-        _flag(F.sum("calls") > 0).alias("functions"),
-        _flag(F.sum(F.when(F.col("trg_fn"), F.col("calls"))) > 0).alias("trigger_functions"))
+    return _features(totals, intervals, [
+        _flag("sum(calls) > 0", "functions"),
+        _flag("sum(CASE WHEN trg_fn THEN calls END) > 0", "trigger_functions")])
 
 
 def usage_available(totals: DataFrame, intervals: list[Interval]) -> DataFrame:
     """CPU use is positive in every sample of the interval (execution; planning)."""
-    per_tick = tag_intervals(totals, intervals).groupBy(*GROUP, TICK).agg(
-        F.sum("exec_user_time").alias("_exec"), F.sum("plan_user_time").alias("_plan"))
-    spans = F.lit(None)
-    for n, interval in enumerate(intervals, 1):
-        spans = F.when(F.col("interval_no") == n, interval.end - interval.start).otherwise(spans)
-    return per_tick.groupBy(*GROUP).agg(
-        F.count(F.when(F.col("_exec") > 0, 1)).alias("_e"),
-        F.count(F.when(F.col("_plan") > 0, 1)).alias("_p")).select(
-        *GROUP, (F.col("_e") == spans).alias("usage_exec"),
-        (F.col("_p") == spans).alias("usage_plan"))
+    per_tick = grouped(tag_intervals(totals, intervals), (*GROUP, TICK), [
+        "sum(exec_user_time) > 0 AS _exec", "sum(plan_user_time) > 0 AS _plan"])
+    lengths = " ".join(f"WHEN {n} THEN {i.end - i.start}" for n, i in enumerate(intervals, 1))
+    expected = f"CASE interval_no {lengths} END"
+    return grouped(per_tick, GROUP, [f"count_if(_exec) = {expected} AS usage_exec",
+                                     f"count_if(_plan) = {expected} AS usage_plan"])
 
 
 def features(repo: Repository, intervals: list[Interval]) -> DataFrame:
@@ -97,5 +92,4 @@ def features(repo: Repository, intervals: list[Interval]) -> DataFrame:
         parts.append(usage_available(repo.usage_totals, intervals))
     for part in parts:
         base = base.join(part, list(GROUP), "left")
-    return base.select(*GROUP, *[_flag(F.col(c)).alias(c) for c in base.columns
-                                 if c not in GROUP])
+    return base.selectExpr(*GROUP, *[_flag(c, c) for c in base.columns if c not in GROUP])

@@ -9,56 +9,53 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from counterlake.functions.text import short_hash
-from counterlake.model import (DATABASE_COUNTERS, SERVER, STATEMENT_SUMS, TICK, USAGE_FIELDS,
-                               USAGE_SUMS, Interval, Repository, pct, ratio, tag_intervals,
-                               zero)
+from counterlake.model import (DATABASE_COUNTERS, SERVER, STATEMENT_SUMS, TICK, TICK_BLOCK,
+                               USAGE_FIELDS, USAGE_SUMS, Interval, Repository, grouped, pct,
+                               ratio, sums, tag_intervals, zero)
 from counterlake.operators.availability import SESSION_COLUMNS
 
 SPAN = ("interval_no", SERVER)
-MS = 1000.0
 
 
-def _sums(columns: Sequence[str]) -> list[Column]:
-    return [F.sum(c).alias(c) for c in columns]
+def _seconds(column: str) -> str:
+    return f"CAST({column} AS DOUBLE) / 1000D"
 
 
-def _seconds(column: str) -> Column:
-    return F.col(column).cast("double") / MS
+def in_seconds(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Millisecond columns as seconds. Sums are taken in milliseconds and converted last, so
+    that whole-number inputs give the same result in any order of summation."""
+    return df.selectExpr(*[f"{_seconds(c)} AS {c}" if c in columns else c for c in df.columns])
 
 
-def _with_database(rows: DataFrame, repo: Repository, user_only: bool = False) -> DataFrame:
+def _with_database(rows: DataFrame, repo: Repository, user_only: bool = False,
+                   how: str = "inner") -> DataFrame:
     """Rows with the name (and epoch) of their database; ``user_only`` drops templates."""
-    names = repo.databases
-    if user_only:
-        names = names.filter(~F.col("datistemplate"))
-    names = names.select(SERVER, TICK, "datid", F.col("datname").alias("dbname"),
-                         F.col("stats_reset").alias("db_epoch"))
-    return rows.join(names, [SERVER, TICK, "datid"])
+    names = repo.databases.filter("NOT datistemplate") if user_only else repo.databases
+    names = names.selectExpr(SERVER, TICK, "datid", "datname AS dbname",
+                             "stats_reset AS db_epoch")
+    return rows.join(names, [SERVER, TICK, "datid"], how)
 
 
 # --- databases, cluster, WAL, tablespaces, waits -----------------------------------------
 
-def in_seconds(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Millisecond columns as seconds. Sums are taken in milliseconds and converted last, so
-    that whole-number inputs give the same result in any order of summation."""
-    return df.withColumns({c: _seconds(c) for c in columns if c in df.columns})
+DB_TIMES = ("blk_read_time", "blk_write_time")
 
 
-DB_TIMES = ("blk_read_time", "blk_write_time")
+def _user_databases(repo: Repository, intervals: list[Interval]) -> DataFrame:
+    rows = repo.databases.filter("NOT datistemplate").withColumnRenamed("datname", "dbname")
+    return tag_intervals(rows, intervals)
 
 
 def dbstats_ms(repo: Repository, intervals: list[Interval]) -> DataFrame:
     """Per database: sums of activity and the newest checksum failure."""
-    summed = tuple(c for c in DATABASE_COUNTERS
-                   if c not in SESSION_COLUMNS and c != "conflicts")
-    rows = tag_intervals(repo.databases.filter(~F.col("datistemplate")), intervals)
-    return rows.groupBy(*SPAN, "datid", F.col("datname").alias("dbname")).agg(
-        *_sums((*summed, "checksum_failures", "datsize_delta")),
-        F.max("checksum_last_failure").alias("checksum_last_failure"))
+    summed = [c for c in DATABASE_COUNTERS if c not in SESSION_COLUMNS and c != "conflicts"]
+    return grouped(_user_databases(repo, intervals), (*SPAN, "datid", "dbname"),
+                   [*sums((*summed, "checksum_failures", "datsize_delta")),
+                    "max(checksum_last_failure) AS checksum_last_failure"])
 
 
 def dbstats(repo: Repository, intervals: list[Interval]) -> DataFrame:
@@ -66,33 +63,32 @@ def dbstats(repo: Repository, intervals: list[Interval]) -> DataFrame:
 
 
 def dbstats_sessions(repo: Repository, intervals: list[Interval]) -> DataFrame:
-    rows = tag_intervals(repo.databases.filter(~F.col("datistemplate")), intervals)
-    return rows.groupBy(*SPAN, "datid", F.col("datname").alias("dbname")).agg(
-        *_sums(SESSION_COLUMNS))
+    return grouped(_user_databases(repo, intervals), (*SPAN, "datid", "dbname"),
+                   sums(SESSION_COLUMNS))
 
 
 def cluster_stats(repo: Repository, intervals: list[Interval]) -> DataFrame:
     """Sums of cluster activity with those of the archiver over the same samples."""
-    own = [c for c in repo.cluster.columns if c not in (SERVER, TICK, "stats_reset",
-                                                        "epoch_restarted", "tick_block")]
+    other = (SERVER, TICK, TICK_BLOCK, "stats_reset", "epoch_restarted")
+    own = [c for c in repo.cluster.columns if c not in other]
     rows = repo.cluster.select(SERVER, TICK, *own)
     both = ("archived_count", "failed_count")
     if repo.archiver is not None:
         rows = rows.join(repo.archiver.select(SERVER, TICK, *both), [SERVER, TICK], "left")
     else:
-        rows = rows.select("*", *[F.lit(None).cast("bigint").alias(c) for c in both])
-    return tag_intervals(rows, intervals).groupBy(*SPAN).agg(*_sums((*own, *both)))
+        rows = rows.selectExpr("*", *[f"CAST(NULL AS BIGINT) AS {c}" for c in both])
+    return grouped(tag_intervals(rows, intervals), SPAN, sums((*own, *both)))
 
 
 def wal_stats(repo: Repository, intervals: list[Interval]) -> DataFrame:
     columns = ("wal_records", "wal_fpi", "wal_bytes", "wal_buffers_full", "wal_write",
                "wal_sync", "wal_write_time", "wal_sync_time")
-    return tag_intervals(repo.wal, intervals).groupBy(*SPAN).agg(*_sums(columns))
+    return grouped(tag_intervals(repo.wal, intervals), SPAN, sums(columns))
 
 
 def tablespace_stats(repo: Repository, intervals: list[Interval]) -> DataFrame:
-    grown = tag_intervals(repo.tablespaces, intervals).groupBy(*SPAN, "tablespaceid").agg(
-        F.sum("size_delta").alias("size_delta"))
+    grown = grouped(tag_intervals(repo.tablespaces, intervals), (*SPAN, "tablespaceid"),
+                    sums(["size_delta"]))
     names = repo.tablespaces_list.select(SERVER, "tablespaceid", "tablespacename",
                                          "tablespacepath")
     return grown.join(names, [SERVER, "tablespaceid"])
@@ -103,8 +99,8 @@ WAIT_TIMES = ("tot_waited", "stmt_waited")
 
 def wait_stats_ms(repo: Repository, intervals: list[Interval]) -> DataFrame:
     """Waits per event, in total and by statements."""
-    return tag_intervals(repo.waits, intervals).groupBy(*SPAN, "event_type", "event").agg(
-        *_sums(WAIT_TIMES))
+    return grouped(tag_intervals(repo.waits, intervals), (*SPAN, "event_type", "event"),
+                   sums(WAIT_TIMES))
 
 
 def wait_stats(repo: Repository, intervals: list[Interval]) -> DataFrame:
@@ -119,92 +115,87 @@ TABLE_SUMS = ("seq_scan", "seq_tup_read", "idx_scan", "idx_tup_fetch", "n_tup_in
 SIZES = ("relsize", "relpages_bytes", "relsize_diff", "relpages_bytes_diff")
 
 
-def _start_of(intervals: list[Interval]) -> Column:
-    out = F.lit(None).cast("int")
-    for n, interval in enumerate(intervals, 1):
-        out = F.when(F.col("interval_no") == n, F.lit(interval.start)).otherwise(out)
-    return out
+def _after_start(intervals: list[Interval]) -> str:
+    """True inside the half-open interval, for rows tagged with the closed one."""
+    cases = " ".join(f"WHEN {n} THEN {i.start}" for n, i in enumerate(intervals, 1))
+    return f"{TICK} > CASE interval_no {cases} END"
 
 
-def _measured_at_both_ends(size: str, present: Column) -> Column:
+def _measured_at_both_ends(size: str, present: str = "true") -> str:
     """The size exists at the first and at the last sample the object has in [start, end]."""
-    tick = F.when(present, F.col(TICK))
-    sized = F.when(present & F.col(size).isNotNull(), F.col(TICK))
-    return F.coalesce((F.max(tick) == F.max(sized)) & (F.min(tick) == F.min(sized)),
-                      F.lit(False))
+    tick = f"CASE WHEN {present} THEN {TICK} END"
+    sized = f"CASE WHEN {present} AND {size} IS NOT NULL THEN {TICK} END"
+    return (f"coalesce(max({tick}) = max({sized}) AND min({tick}) = min({sized}), false)")
+
+
+def _latest(column: str, out: str | None = None) -> str:
+    return f"max_by({column}, CASE WHEN _in THEN {TICK} END) AS {out or column}"
+
+
+def _inside_sum(expr: str, out: str) -> str:
+    return f"sum(CASE WHEN _in THEN {expr} END) AS {out}"
+
+
+def _bytes(count: str, size: str, out: str) -> str:
+    product = f"CAST({count} AS DECIMAL(38,0)) * {size}"
+    return f"CAST(sum(CASE WHEN _in THEN {product} END) AS BIGINT) AS {out}"
+
+
+def _better(flag: str, sized: str, paged: str, out: str) -> str:
+    return f"CASE WHEN {flag} THEN {sized} ELSE {paged} END AS {out}"
 
 
 def top_tables(repo: Repository, intervals: list[Interval]) -> DataFrame:
     """Per table: activity of the table and its side table, growth and scanned bytes.
 
     Sizes measured at both ends of the closed interval decide whether growth is size or page
-    based; scanned bytes are size based if a size exists for every tick with scans.
+    based; scanned bytes are size based if a size exists for every tick with scans. Tablespace
+    and side table are those of the newest sample.
     """
-    facts = repo.tables.filter(F.col("relkind").isin("r", "m")).select(
+    facts = repo.tables.filter("relkind IN ('r', 'm')").select(
         SERVER, TICK, "datid", "relid", "tablespaceid", "reltoastrelid", *TABLE_SUMS, *SIZES)
-    side = repo.tables.select(
-        SERVER, TICK, "datid", F.col("relid").alias("reltoastrelid"),
-        *[F.col(c).alias(f"side_{c}") for c in (*TABLE_SUMS, *SIZES)],
-        F.lit(True).alias("_has_side"))
-    rows = tag_intervals(facts, intervals, closed=True)
-    side = tag_intervals(side, intervals, closed=True)
-    on = [SERVER, TICK, "datid", "reltoastrelid", "interval_no"]
-    rows = rows.join(side, on, "left")
-    users = (repo.databases.filter(~F.col("datistemplate"))
-             .select(SERVER, TICK, "datid", F.col("datname").alias("dbname")))
-    rows = rows.join(users, [SERVER, TICK, "datid"], "left")
-    inside = (F.col(TICK) > _start_of(intervals)) & F.col("dbname").isNotNull()
-
-    def total(column: Column) -> Column:
-        return F.sum(F.when(inside, column))
-
-    def scans_sized(scans: str, size: str) -> Column:
-        known = (zero(scans) == 0) | F.col(size).isNotNull()
-        return F.bool_and(F.when(inside, known))
-
-    big = {c: F.col(c).cast("decimal(38,0)") for c in ("seq_scan", "side_seq_scan")}
-
-    def scanned(scans: str, size: str) -> Column:
-        return total(big[scans] * F.col(size)).cast("bigint")
-
-    has_side = F.coalesce("_has_side", F.lit(False))
-    grouped = rows.groupBy(*SPAN, "datid", "relid").agg(
-        F.max_by("dbname", F.when(inside, F.col(TICK))).alias("dbname"),
-        F.max_by("tablespaceid", F.when(inside, F.col(TICK))).alias("tablespaceid"),
-        F.max_by("reltoastrelid", F.when(inside, F.col(TICK))).alias("reltoastrelid"),
-        *[total(F.col(c)).alias(c) for c in TABLE_SUMS],
-        total(F.col("relsize_diff")).alias("growth"),
-        *[total(F.col(f"side_{c}")).alias(f"toast{c}") for c in TABLE_SUMS],
-        total(F.col("side_relsize_diff")).alias("toastgrowth"),
-        total(F.col("relpages_bytes_diff")).alias("relpagegrowth_bytes"),
-        total(F.col("side_relpages_bytes_diff")).alias("toastrelpagegrowth_bytes"),
-        scanned("seq_scan", "relsize").alias("seqscan_bytes_relsize"),
-        scanned("seq_scan", "relpages_bytes").alias("seqscan_bytes_relpages"),
-        scans_sized("seq_scan", "relsize").alias("seqscan_relsize_avail"),
-        scanned("side_seq_scan", "side_relsize").alias("t_seqscan_bytes_relsize"),
-        scanned("side_seq_scan", "side_relpages_bytes").alias("t_seqscan_bytes_relpages"),
-        scans_sized("side_seq_scan", "side_relsize").alias("t_seqscan_relsize_avail"),
-        _measured_at_both_ends("relsize", F.lit(True)).alias("relsize_growth_avail"),
-        _measured_at_both_ends("side_relsize", has_side).alias("relsize_toastgrowth_avail"),
-        F.count(F.when(inside, 1)).alias("_n"),
-    ).filter("_n > 0").drop("_n")
-
-    def best(flag: str, sized: str, paged: str) -> Column:
-        return F.when(F.col(flag), F.col(sized)).otherwise(F.col(paged))
-
-    grouped = grouped.select(
+    side = repo.tables.selectExpr(
+        SERVER, TICK, "datid", "relid AS reltoastrelid",
+        *[f"{c} AS side_{c}" for c in (*TABLE_SUMS, *SIZES)], "true AS has_side")
+    rows = tag_intervals(facts, intervals, closed=True).join(
+        side, [SERVER, TICK, "datid", "reltoastrelid"], "left")
+    rows = _with_database(rows, repo, user_only=True, how="left")
+    rows = rows.selectExpr("*", f"({_after_start(intervals)} AND dbname IS NOT NULL) AS _in")
+
+    def all_sized(scans: str, size: str, out: str) -> str:
+        known = f"coalesce({scans}, 0) = 0 OR {size} IS NOT NULL"
+        return f"bool_and(CASE WHEN _in THEN {known} END) AS {out}"
+
+    found = grouped(rows, (*SPAN, "datid", "relid"), [
+        _latest("dbname"), _latest("tablespaceid"), _latest("reltoastrelid"),
+        *[_inside_sum(c, c) for c in TABLE_SUMS],
+        _inside_sum("relsize_diff", "growth"),
+        *[_inside_sum(f"side_{c}", f"toast{c}") for c in TABLE_SUMS],
+        _inside_sum("side_relsize_diff", "toastgrowth"),
+        _inside_sum("relpages_bytes_diff", "relpagegrowth_bytes"),
+        _inside_sum("side_relpages_bytes_diff", "toastrelpagegrowth_bytes"),
+        _bytes("seq_scan", "relsize", "seqscan_bytes_relsize"),
+        _bytes("seq_scan", "relpages_bytes", "seqscan_bytes_relpages"),
+        all_sized("seq_scan", "relsize", "seqscan_relsize_avail"),
+        _bytes("side_seq_scan", "side_relsize", "t_seqscan_bytes_relsize"),
+        _bytes("side_seq_scan", "side_relpages_bytes", "t_seqscan_bytes_relpages"),
+        all_sized("side_seq_scan", "side_relsize", "t_seqscan_relsize_avail"),
+        f"{_measured_at_both_ends('relsize')} AS relsize_growth_avail",
+        f"{_measured_at_both_ends('side_relsize', 'has_side')} AS relsize_toastgrowth_avail",
+    ], having="count_if(_in) > 0")
+    best = found.selectExpr(
         "*",
-        best("relsize_growth_avail", "growth", "relpagegrowth_bytes").alias("best_growth"),
-        best("relsize_toastgrowth_avail", "toastgrowth", "toastrelpagegrowth_bytes")
-        .alias("best_toastgrowth"),
-        best("seqscan_relsize_avail", "seqscan_bytes_relsize", "seqscan_bytes_relpages")
-        .alias("best_seqscan_bytes"),
-        best("t_seqscan_relsize_avail", "t_seqscan_bytes_relsize", "t_seqscan_bytes_relpages")
-        .alias("best_t_seqscan_bytes"))
-    return _table_names(grouped, repo)
+        _better("relsize_growth_avail", "growth", "relpagegrowth_bytes", "best_growth"),
+        _better("relsize_toastgrowth_avail", "toastgrowth", "toastrelpagegrowth_bytes",
+                "best_toastgrowth"),
+        _better("seqscan_relsize_avail", "seqscan_bytes_relsize", "seqscan_bytes_relpages",
+                "best_seqscan_bytes"),
+        _better("t_seqscan_relsize_avail", "t_seqscan_bytes_relsize",
+                "t_seqscan_bytes_relpages", "best_t_seqscan_bytes"))
+    return table_names(best, repo)
 
 
-def _table_names(rows: DataFrame, repo: Repository) -> DataFrame:
+def table_names(rows: DataFrame, repo: Repository) -> DataFrame:
     names = repo.tables_list.select(SERVER, "datid", "relid", "schemaname", "relname")
     spaces = repo.tablespaces_list.select(SERVER, "tablespaceid", "tablespacename")
     return (rows.join(names, [SERVER, "datid", "relid"])
@@ -214,19 +205,19 @@ def _table_names(rows: DataFrame, repo: Repository) -> DataFrame:
 def _index_names(rows: DataFrame, repo: Repository) -> DataFrame:
     """Names of index and table; an index of a side table shows the main table's name."""
     indexes = repo.indexes_list.select(SERVER, "datid", "indexrelid", "indexrelname")
-    tables = repo.tables_list.select(SERVER, "datid", "relid", F.col("schemaname").alias("_s"),
-                                     F.col("relname").alias("_r"))
-    mains = repo.tables_list.filter("reltoastrelid IS NOT NULL").select(
-        SERVER, "datid", F.col("reltoastrelid").alias("relid"),
-        F.col("schemaname").alias("_ms"), F.col("relname").alias("_mr"))
+    tables = repo.tables_list.selectExpr(SERVER, "datid", "relid", "schemaname AS own_schema",
+                                         "relname AS own_name")
+    mains = repo.tables_list.filter("reltoastrelid IS NOT NULL").selectExpr(
+        SERVER, "datid", "reltoastrelid AS relid", "schemaname AS main_schema",
+        "concat(relname, '(TOAST)') AS main_name")
     spaces = repo.tablespaces_list.select(SERVER, "tablespaceid", "tablespacename")
-    out = (rows.join(indexes, [SERVER, "datid", "indexrelid"])
-               .join(tables, [SERVER, "datid", "relid"])
-               .join(mains, [SERVER, "datid", "relid"], "left")
-               .join(spaces, [SERVER, "tablespaceid"]))
-    return (out.withColumn("schemaname", F.coalesce("_ms", "_s"))
-               .withColumn("relname", F.coalesce(F.concat("_mr", F.lit("(TOAST)")), "_r"))
-               .drop("_s", "_r", "_ms", "_mr"))
+    named = (rows.join(indexes, [SERVER, "datid", "indexrelid"])
+                 .join(tables, [SERVER, "datid", "relid"])
+                 .join(mains, [SERVER, "datid", "relid"], "left")
+                 .join(spaces, [SERVER, "tablespaceid"]))
+    return named.selectExpr(*rows.columns, "indexrelname", "tablespacename",
+                            "coalesce(main_schema, own_schema) AS schemaname",
+                            "coalesce(main_name, own_name) AS relname")
 
 
 def top_indexes(repo: Repository, intervals: list[Interval]) -> DataFrame:
@@ -234,73 +225,64 @@ def top_indexes(repo: Repository, intervals: list[Interval]) -> DataFrame:
 
     The vacuum columns estimate the bytes that vacuums of the table had to read from the index.
     """
-    key = [SERVER, TICK, "datid", "relid", "interval_no"]
-    index_rows = tag_intervals(repo.indexes.select(
+    rows = tag_intervals(repo.indexes.select(
         SERVER, TICK, "datid", "relid", "indexrelid", "tablespaceid", "indisunique", "idx_scan",
         "idx_blks_read", "idx_blks_hit", *SIZES), intervals, closed=True)
-    table_cols = ("n_tup_ins", "n_tup_upd", "n_tup_del", "n_tup_hot_upd", "vacuum_count",
-                  "autovacuum_count", "relsize", "relpages_bytes")
-    table_rows = tag_intervals(repo.tables.select(
-        SERVER, TICK, "datid", "relid", *[F.col(c).alias(f"tbl_{c}") for c in table_cols],
-        F.lit(True).alias("_has_table")), intervals, closed=True)
-    users = (repo.databases.filter(~F.col("datistemplate"))
-             .select(SERVER, TICK, "datid", F.col("datname").alias("dbname")))
-    rows = (index_rows.join(table_rows, key, "left")
-                      .join(users, [SERVER, TICK, "datid"], "left"))
-    inside = ((F.col(TICK) > _start_of(intervals)) & F.col("dbname").isNotNull()
-              & F.col("_has_table").isNotNull())
-    vacuums = zero("tbl_vacuum_count") + zero("tbl_autovacuum_count")
-    vacuumed = inside & (vacuums > 0)
-
-    def total(column: Column) -> Column:
-        return F.sum(F.when(inside, column))
-
-    def vacuum_bytes(size: str) -> Column:
-        return total(F.col(size).cast("decimal(38,0)") * vacuums).cast("bigint")
-
-    def mean_at_vacuum(size: str) -> Column:
-        return F.round(F.avg(F.when(vacuumed, F.col(size)))).cast("bigint")
-
-    grouped = rows.groupBy(*SPAN, "datid", "relid", "indexrelid").agg(
-        F.max_by("indisunique", F.when(inside, F.col(TICK))).alias("indisunique"),
-        F.max_by("dbname", F.when(inside, F.col(TICK))).alias("dbname"),
-        F.max_by("tablespaceid", F.when(inside, F.col(TICK))).alias("tablespaceid"),
-        total(F.col("idx_scan")).alias("idx_scan"),
-        total(F.col("relsize_diff")).alias("growth"),
-        total(F.col("relpages_bytes_diff")).alias("relpagegrowth_bytes"),
-        *[total(F.col(f"tbl_{c}")).alias(f"tbl_{c}") for c in table_cols[:4]],
-        total(F.col("idx_blks_read")).alias("idx_blks_read"),
-        (total(F.col("idx_blks_hit")) + total(F.col("idx_blks_read"))).alias("idx_blks_fetch"),
-        total(F.col("tbl_vacuum_count")).alias("vacuum_count"),
-        total(F.col("tbl_autovacuum_count")).alias("autovacuum_count"),
-        vacuum_bytes("relsize").alias("vacuum_bytes_relsize"),
-        vacuum_bytes("relpages_bytes").alias("vacuum_bytes_relpages"),
-        mean_at_vacuum("relsize").alias("avg_ix_relsize"),
-        mean_at_vacuum("tbl_relsize").alias("avg_relsize"),
-        mean_at_vacuum("relpages_bytes").alias("avg_indexrelpages_bytes"),
-        mean_at_vacuum("tbl_relpages_bytes").alias("avg_relpages_bytes"),
-        (F.count(F.when(vacuumed, F.col("relsize"))) == F.count(F.when(vacuumed, 1)))
-        .alias("vacuum_sizes_known"),
-        _measured_at_both_ends("relsize", F.lit(True)).alias("relsize_growth_avail"),
-        F.count(F.when(inside, 1)).alias("_n"),
-    ).filter("_n > 0").drop("_n")
-    grouped = grouped.select(
+    changes = ("n_tup_ins", "n_tup_upd", "n_tup_del", "n_tup_hot_upd")
+    of_table = (*changes, "vacuum_count", "autovacuum_count", "relsize", "relpages_bytes")
+    owners = repo.tables.selectExpr(SERVER, TICK, "datid", "relid",
+                                    *[f"{c} AS tbl_{c}" for c in of_table], "true AS has_table")
+    rows = _with_database(rows.join(owners, [SERVER, TICK, "datid", "relid"], "left"), repo,
+                          user_only=True, how="left")
+    inside = f"{_after_start(intervals)} AND dbname IS NOT NULL AND has_table IS NOT NULL"
+    rows = rows.selectExpr(
+        "*", f"({inside}) AS _in", "coalesce(tbl_vacuum_count, 0) "
+        "+ coalesce(tbl_autovacuum_count, 0) AS _vacuums")
+
+    def mean_at_vacuum(size: str, out: str) -> str:
+        value = f"CASE WHEN _in AND _vacuums > 0 THEN {size} END"
+        return f"CAST(round(avg({value})) AS BIGINT) AS {out}"
+
+    found = grouped(rows, (*SPAN, "datid", "relid", "indexrelid"), [
+        _latest("indisunique"), _latest("dbname"), _latest("tablespaceid"),
+        _inside_sum("idx_scan", "idx_scan"),
+        _inside_sum("relsize_diff", "growth"),
+        _inside_sum("relpages_bytes_diff", "relpagegrowth_bytes"),
+        *[_inside_sum(f"tbl_{c}", f"tbl_{c}") for c in changes],
+        _inside_sum("idx_blks_read", "idx_blks_read"),
+        _inside_sum("idx_blks_hit + idx_blks_read", "idx_blks_fetch"),
+        _inside_sum("tbl_vacuum_count", "vacuum_count"),
+        _inside_sum("tbl_autovacuum_count", "autovacuum_count"),
+        _bytes("_vacuums", "relsize", "vacuum_bytes_relsize"),
+        _bytes("_vacuums", "relpages_bytes", "vacuum_bytes_relpages"),
+        mean_at_vacuum("relsize", "avg_ix_relsize"),
+        mean_at_vacuum("tbl_relsize", "avg_relsize"),
+        mean_at_vacuum("relpages_bytes", "avg_indexrelpages_bytes"),
+        mean_at_vacuum("tbl_relpages_bytes", "avg_relpages_bytes"),
+        "count_if(_in AND _vacuums > 0 AND relsize IS NOT NULL) = "
+        "count_if(_in AND _vacuums > 0) AS vacuum_sizes_known",
+        f"{_measured_at_both_ends('relsize')} AS relsize_growth_avail",
+    ], having="count_if(_in) > 0")
+    best = found.selectExpr(
         "*",
-        F.when(F.col("relsize_growth_avail"), F.col("growth"))
-        .otherwise(F.col("relpagegrowth_bytes")).alias("best_growth"),
-        F.when(F.col("vacuum_sizes_known"), F.col("vacuum_bytes_relsize"))
-        .otherwise(F.col("vacuum_bytes_relpages")).alias("vacuum_bytes"))
-    return _index_names(grouped, repo)
+        _better("relsize_growth_avail", "growth", "relpagegrowth_bytes", "best_growth"),
+        _better("vacuum_sizes_known", "vacuum_bytes_relsize", "vacuum_bytes_relpages",
+                "vacuum_bytes"))
+    return _index_names(best, repo)
 
 
 def _io_totals(repo: Repository, intervals: list[Interval], null_unless_all: bool) -> DataFrame:
-    reads = F.sum("heap_blks_read"), F.sum("idx_blks_read")
-    hits = F.sum("heap_blks_hit"), F.sum("idx_blks_hit")
+    """Blocks read and fetched by all tables; with ``null_unless_all`` a missing part makes
+    the total unknown."""
+    parts = [f"sum({c})" for c in ("heap_blks_read", "idx_blks_read", "heap_blks_hit",
+                                   "idx_blks_hit")]
     if not null_unless_all:
-        reads, hits = tuple(map(zero, reads)), tuple(map(zero, hits))
-    return tag_intervals(repo.table_totals, intervals).groupBy(*SPAN).agg(
-        (reads[0] + reads[1]).alias("total_blks_read"),
-        (reads[0] + reads[1] + hits[0] + hits[1]).alias("total_blks_fetch"))
+        parts = [zero(p) for p in parts]
+    return grouped(tag_intervals(repo.table_totals, intervals), SPAN,
+                   [f"{' + '.join(parts[:2])} AS total_read", f"{' + '.join(parts)} AS total_fetch"])
+
+
+SAME_EPOCH = "min(db_epoch) = max(db_epoch)"
 
 
 def top_io_tables(repo: Repository, intervals: list[Interval]) -> DataFrame:
@@ -308,45 +290,39 @@ def top_io_tables(repo: Repository, intervals: list[Interval]) -> DataFrame:
 
     Tables whose database was reset inside the interval are left out.
     """
-    rows = tag_intervals(repo.tables.filter(F.col("relkind").isin("r", "m")), intervals)
+    rows = tag_intervals(repo.tables.filter("relkind IN ('r', 'm')"), intervals)
     rows = _with_database(rows, repo, user_only=True)
     kinds = ("heap", "idx", "toast", "tidx")
-    grouped = rows.groupBy(*SPAN, "datid", "relid").agg(
-        F.max_by("dbname", TICK).alias("dbname"),
-        F.max_by("tablespaceid", TICK).alias("tablespaceid"),
-        *[F.sum(f"{k}_blks_read").alias(f"{k}_blks_read") for k in kinds],
-        *[(zero(F.sum(f"{k}_blks_read")) + zero(F.sum(f"{k}_blks_hit"))).alias(f"{k}_blks_fetch")
+    found = grouped(rows, (*SPAN, "datid", "relid"), [
+        f"max_by(dbname, {TICK}) AS dbname", f"max_by(tablespaceid, {TICK}) AS tablespaceid",
+        *[f"sum({k}_blks_read) AS {k}_blks_read" for k in kinds],
+        *[f"coalesce(sum({k}_blks_read), 0) + coalesce(sum({k}_blks_hit), 0) AS {k}_blks_fetch"
           for k in kinds],
-        *_sums(("seq_scan", "idx_scan")),
-        F.min("db_epoch").alias("_e0"), F.max("db_epoch").alias("_e1"),
-    ).filter("_e0 = _e1").drop("_e0", "_e1")
-    grouped = grouped.join(_io_totals(repo, intervals, False), list(SPAN), "left")
-    shares = [pct(F.col(f"{k}_blks_{part}"), F.col(f"total_blks_{part}"))
-              .alias(f"{k}_blks_{part}_pct") for k in kinds for part in ("read", "fetch")]
-    fetched = sum((F.col(f"{k}_blks_fetch") for k in kinds[1:]), F.col("heap_blks_fetch"))
-    read = sum((zero(f"{k}_blks_read") for k in kinds[1:]), zero("heap_blks_read"))
-    out = grouped.select("*", *shares, fetched.alias("blks_fetch"), read.alias("blks_read"))
-    out = out.withColumn("hit_pct", pct(F.col("blks_fetch") - F.col("blks_read"),
-                                        F.col("blks_fetch")))
-    return _table_names(out.drop("total_blks_read", "total_blks_fetch"), repo)
+        *sums(("seq_scan", "idx_scan"))], having=SAME_EPOCH)
+    fetched = " + ".join(f"{k}_blks_fetch" for k in kinds)
+    read = " + ".join(zero(f"{k}_blks_read") for k in kinds)
+    out = found.join(_io_totals(repo, intervals, False), list(SPAN), "left").selectExpr(
+        *found.columns,
+        *[f"{pct(f'{k}_blks_{part}', f'total_{part}')} AS {k}_blks_{part}_pct"
+          for k in kinds for part in ("read", "fetch")],
+        f"{fetched} AS blks_fetch", f"{read} AS blks_read",
+        f"{pct(f'({fetched}) - ({read})', fetched)} AS hit_pct")
+    return table_names(out, repo)
 
 
 def top_io_indexes(repo: Repository, intervals: list[Interval]) -> DataFrame:
     rows = _with_database(tag_intervals(repo.indexes, intervals), repo, user_only=True)
-    grouped = rows.groupBy(*SPAN, "datid", "relid", "indexrelid").agg(
-        F.max_by("dbname", TICK).alias("dbname"),
-        F.max_by("tablespaceid", TICK).alias("tablespaceid"),
-        *_sums(("idx_scan", "idx_blks_read")), F.sum("idx_blks_hit").alias("_hit"),
-        F.min("db_epoch").alias("_e0"), F.max("db_epoch").alias("_e1"),
-    ).filter("_e0 = _e1").drop("_e0", "_e1")
-    grouped = grouped.join(_io_totals(repo, intervals, True), list(SPAN), "left")
-    fetched = zero("idx_blks_read") + zero("_hit")
-    out = grouped.select(
-        "*", fetched.alias("idx_blks_fetch"),
-        pct(F.col("idx_blks_read"), F.col("total_blks_read")).alias("idx_blks_read_pct"),
-        pct(F.col("_hit"), fetched).alias("idx_blks_hit_pct"),
-        pct(fetched, F.col("total_blks_fetch")).alias("idx_blks_fetch_pct"))
-    return _index_names(out.drop("total_blks_read", "total_blks_fetch", "_hit"), repo)
+    found = grouped(rows, (*SPAN, "datid", "relid", "indexrelid"), [
+        f"max_by(dbname, {TICK}) AS dbname", f"max_by(tablespaceid, {TICK}) AS tablespaceid",
+        *sums(("idx_scan", "idx_blks_read", "idx_blks_hit"))], having=SAME_EPOCH)
+    fetched = f"({zero('idx_blks_read')} + {zero('idx_blks_hit')})"
+    out = found.join(_io_totals(repo, intervals, True), list(SPAN), "left").selectExpr(
+        *[c for c in found.columns if c != "idx_blks_hit"],
+        f"{fetched} AS idx_blks_fetch",
+        f"{pct('idx_blks_read', 'total_read')} AS idx_blks_read_pct",
+        f"{pct('idx_blks_hit', fetched)} AS idx_blks_hit_pct",
+        f"{pct(fetched, 'total_fetch')} AS idx_blks_fetch_pct")
+    return _index_names(out, repo)
 
 
 # --- functions ---------------------------------------------------------------------------
@@ -354,17 +330,15 @@ def top_io_indexes(repo: Repository, intervals: list[Interval]) -> DataFrame:
 def top_functions(repo: Repository, intervals: list[Interval], trigger: bool = False
                   ) -> DataFrame:
     """Calls and times per function, in seconds, with mean times per call."""
-    rows = tag_intervals(repo.functions.filter(F.col("trg_fn") == trigger), intervals)
-    rows = _with_database(rows, repo, user_only=True)
-    grouped = rows.groupBy(*SPAN, "datid", "funcid").agg(
-        F.max_by("dbname", TICK).alias("dbname"),
-        *_sums(("calls", "total_time", "self_time")))
-    calls = F.col("calls")
-    out = grouped.select(
+    rows = tag_intervals(repo.functions.filter("trg_fn" if trigger else "NOT trg_fn"), intervals)
+    found = grouped(_with_database(rows, repo, user_only=True), (*SPAN, "datid", "funcid"),
+                    [f"max_by(dbname, {TICK}) AS dbname",
+                     *sums(("calls", "total_time", "self_time"))])
+    out = found.selectExpr(
         *SPAN, "datid", "funcid", "dbname", "calls",
-        _seconds("total_time").alias("total_time"), _seconds("self_time").alias("self_time"),
-        (ratio(F.col("total_time"), calls) / MS).alias("m_time"),
-        (ratio(F.col("self_time"), calls) / MS).alias("m_stime"))
+        f"{_seconds('total_time')} AS total_time", f"{_seconds('self_time')} AS self_time",
+        f"{ratio('total_time', 'calls')} / 1000D AS m_time",
+        f"{ratio('self_time', 'calls')} / 1000D AS m_stime")
     names = repo.funcs_list.select(SERVER, "datid", "funcid", "schemaname", "funcname",
                                    "funcargs")
     return out.join(names, [SERVER, "datid", "funcid"])
@@ -372,45 +346,87 @@ def top_functions(repo: Repository, intervals: list[Interval], trigger: bool = F
 
 # --- statements --------------------------------------------------------------------------
 
-def pooled_moments(mean: str, stddev: str, weight: str) -> tuple[Column, Column]:
-    """Mean and population standard deviation of merged groups, as aggregate columns."""
-    n = F.sum(weight).cast("double")
-    n = F.when(n != 0, n)
-    w = F.col(weight)
-    merged = F.sum(F.col(mean) * w) / n
-    square = (F.pow(F.col(stddev), 2) + F.pow(F.col(mean), 2)) * w
-    variance = F.sum(square) / n - F.pow(merged, 2)
-    return merged, F.sqrt(F.greatest(variance, F.lit(0.0)))
+def pooled_moments(mean: str, stddev: str, weight: str) -> tuple[str, str]:
+    """SQL aggregates for the mean and population standard deviation of merged groups."""
+    n = f"nullif(CAST(sum({weight}) AS DOUBLE), 0D)"
+    merged = f"sum({mean} * {weight}) / {n}"
+    square = f"sum((power({stddev}, 2) + power({mean}, 2)) * {weight}) / {n}"
+    return merged, f"sqrt(greatest({square} - power({merged}, 2), 0D))"
+
+
+_TOTALLED = ("blk_read_time", "blk_write_time", "shared_blks_hit", "shared_blks_read",
+             "shared_blks_dirtied", "temp_blks_read", "temp_blks_written", "local_blks_read",
+             "local_blks_written", "calls", "plans")
 
 
 def statement_interval_totals(repo: Repository, intervals: list[Interval]) -> DataFrame:
-    return tag_intervals(repo.statement_totals, intervals).groupBy(*SPAN).agg(
-        (zero(F.sum("total_plan_time")) + F.sum("total_exec_time")).alias("tot_time"),
-        *[F.sum(c).alias(f"tot_{c}") for c in (
-            "blk_read_time", "blk_write_time", "shared_blks_hit", "shared_blks_read",
-            "shared_blks_dirtied", "temp_blks_read", "temp_blks_written", "local_blks_read",
-            "local_blks_written", "calls", "plans")])
+    return grouped(tag_intervals(repo.statement_totals, intervals), SPAN, [
+        "coalesce(sum(total_plan_time), 0) + sum(total_exec_time) AS tot_time",
+        *[f"sum({c}) AS tot_{c}" for c in _TOTALLED]])
 
 
 def cluster_interval_totals(repo: Repository, intervals: list[Interval]) -> DataFrame:
-    return tag_intervals(repo.cluster, intervals).groupBy(*SPAN).agg(
-        (F.sum("buffers_checkpoint") + F.sum("buffers_clean") + F.sum("buffers_backend"))
-        .alias("tot_written"),
-        F.sum("buffers_backend").alias("tot_backend"), F.sum("wal_size").alias("tot_wal_size"))
+    return grouped(tag_intervals(repo.cluster, intervals), SPAN, [
+        "sum(buffers_checkpoint) + sum(buffers_clean) + sum(buffers_backend) AS tot_written",
+        "sum(buffers_backend) AS tot_backend", "sum(wal_size) AS tot_wal_size"])
 
 
 JIT_TIMES = ("jit_generation_time", "jit_inlining_time", "jit_optimization_time",
              "jit_emission_time")
 JIT_COUNTERS = ("jit_functions", "jit_inlining_count", "jit_optimization_count",
                 "jit_emission_count")
-
-
-_CPU_AND_IO = ("user_time", "system_time", "reads", "writes")
-_CLUSTER_SHARES = ("tot_written_pct", "backend_written_pct", "wal_bytes_pct")
-_STATEMENT_SHARES = (
-    "plans_pct", "calls_pct", "total_time_pct", "total_exec_time_pct", "read_pct",
-    "shared_blks_fetched_pct", "dirtied_pct", "io_time_pct", "temp_read_total_pct",
-    "temp_written_total_pct", "local_read_total_pct", "local_written_total_pct")
+STATEMENT = ("datid", "userid", "queryid", "toplevel")
+CPU_AND_IO = ("user_time", "system_time", "reads", "writes")
+
+
+def _statement_columns() -> dict[str, str]:
+    """Every column of the statement relation as SQL over sums, totals and usage."""
+    time = "(total_exec_time + coalesce(total_plan_time, 0))"
+    fetched = "(shared_blks_hit + shared_blks_read)"
+    local = "(local_blks_hit + local_blks_read)"
+    io = "(blk_read_time + blk_write_time)"
+    plain = ("plans", "calls", "min_exec_time", "max_exec_time", "mean_exec_time",
+             "stddev_exec_time", "min_plan_time", "max_plan_time", "mean_plan_time",
+             "stddev_plan_time", "rows", "shared_blks_hit", "shared_blks_read",
+             "shared_blks_dirtied", "shared_blks_written", "local_blks_hit", "local_blks_read",
+             "local_blks_dirtied", "local_blks_written", "temp_blks_read", "temp_blks_written",
+             "wal_records", "wal_fpi", "wal_bytes", *JIT_COUNTERS)
+    columns = {c: c for c in plain}
+    columns.update({c: _seconds(c) for c in ("total_plan_time", "total_exec_time",
+                                             "blk_read_time", "blk_write_time", *JIT_TIMES)})
+    columns.update({c: zero(c) for c in CPU_AND_IO})
+    columns.update({
+        "plans_pct": pct("plans", "tot_plans"),
+        "calls_pct": pct("calls", "tot_calls"),
+        "total_time": _seconds(time),
+        "total_time_pct": pct(time, "tot_time"),
+        "plan_time_pct": pct("total_plan_time", time),
+        "total_exec_time_pct": pct("total_exec_time", "tot_time"),
+        "exec_time_pct": pct("total_exec_time", time),
+        "shared_hit_pct": pct("shared_blks_hit", fetched),
+        "read_pct": pct("shared_blks_read", "tot_shared_blks_read"),
+        "shared_blks_fetched": fetched,
+        "shared_blks_fetched_pct": pct(fetched, "tot_shared_blks_hit + tot_shared_blks_read"),
+        "dirtied_pct": pct("shared_blks_dirtied", "tot_shared_blks_dirtied"),
+        "tot_written_pct": pct("shared_blks_written", "tot_written"),
+        "backend_written_pct": pct("shared_blks_written", "tot_backend"),
+        "local_hit_pct": pct("local_blks_hit", local),
+        "local_blks_fetched": local,
+        "io_time": _seconds(io),
+        "io_time_pct": pct(io, "tot_blk_read_time + tot_blk_write_time"),
+        "wal_bytes_pct": pct("wal_bytes", "tot_wal_size"),
+        "jit_total_time": _seconds(f"({' + '.join(JIT_TIMES)})"),
+        "jit_count": " + ".join(zero(c) for c in JIT_COUNTERS),
+        "temp_io_blks": "temp_blks_read + temp_blks_written + local_blks_read"
+                        " + local_blks_written",
+    })
+    columns.update({f"{k}_{op}_total_pct": pct(f"{k}_blks_{op}", f"tot_{k}_blks_{op}")
+                    for k in ("temp", "local") for op in ("read", "written")})
+    return columns
+
+
+def _by_text_or_id(rows: DataFrame, by_text: bool) -> DataFrame:
+    return rows.withColumn("queryid", short_hash(F.col("queryid_md5"))) if by_text else rows
 
 
 def top_statements(repo: Repository, intervals: list[Interval], by_text: bool = False,
@@ -418,96 +434,35 @@ def top_statements(repo: Repository, intervals: list[Interval], by_text: bool =
     """Per statement: sums, shares of the totals, pooled moments, resource usage, JIT.
 
     ``by_text`` keys statements by the hash of their text instead of the source's query id.
-    With ``columns`` only those are returned, and the totals and the usage facts are read only
+    With ``columns`` only those are computed, and the totals and the usage facts are read only
     if a requested column needs them.
     """
-    def wanted(names: Sequence[str]) -> bool:
-        return columns is None or any(n in columns for n in names)
-
-    query = short_hash(F.col("queryid_md5")) if by_text else F.col("queryid")
-    key = ("datid", "userid", "queryid", "toplevel")
-    rows = tag_intervals(repo.statements, intervals).withColumn("queryid", query)
-    rows = _with_database(rows, repo)
+    output = _statement_columns()
+    if columns is not None:
+        output = {c: e for c, e in output.items() if c in columns}
+    text = " ".join(output.values())
+    rows = _with_database(_by_text_or_id(tag_intervals(repo.statements, intervals), by_text),
+                          repo)
     mean_exec, dev_exec = pooled_moments("mean_exec_time", "stddev_exec_time", "calls")
     mean_plan, dev_plan = pooled_moments("mean_plan_time", "stddev_plan_time", "plans")
-    st = rows.groupBy(*SPAN, *key).agg(
-        F.max_by("dbname", TICK).alias("dbname"), *_sums(STATEMENT_SUMS),
-        F.min("min_exec_time").alias("min_exec_time"),
-        F.max("max_exec_time").alias("max_exec_time"),
-        mean_exec.alias("mean_exec_time"), dev_exec.alias("stddev_exec_time"),
-        F.min("min_plan_time").alias("min_plan_time"),
-        F.max("max_plan_time").alias("max_plan_time"),
-        mean_plan.alias("mean_plan_time"), dev_plan.alias("stddev_plan_time"))
-    if repo.usage is not None and wanted(_CPU_AND_IO):
-        used = tag_intervals(repo.usage, intervals).withColumn("queryid", query)
-        used = used.groupBy(*SPAN, *key).agg(*[
-            (zero(F.sum(f"exec_{c}")) + zero(F.sum(f"plan_{c}"))).alias(c)
-            for c in _CPU_AND_IO])
-        st = st.join(used, [*SPAN, *key], "left")
-    else:
-        st = st.select("*", *[F.lit(None).cast("bigint").alias(c) for c in _CPU_AND_IO])
-    for totals, shares in ((statement_interval_totals, _STATEMENT_SHARES),
-                           (cluster_interval_totals, _CLUSTER_SHARES)):
-        whole = totals(repo, intervals)
-        if wanted(shares):
-            st = st.join(whole, list(SPAN), "left")
+    st = grouped(rows, (*SPAN, *STATEMENT), [
+        f"max_by(dbname, {TICK}) AS dbname", *sums(STATEMENT_SUMS),
+        *[f"{f}({f}_{p}_time) AS {f}_{p}_time" for p in ("exec", "plan") for f in ("min", "max")],
+        f"{mean_exec} AS mean_exec_time", f"{dev_exec} AS stddev_exec_time",
+        f"{mean_plan} AS mean_plan_time", f"{dev_plan} AS stddev_plan_time"])
+    if any(c in output for c in CPU_AND_IO):
+        if repo.usage is not None:
+            used = _by_text_or_id(tag_intervals(repo.usage, intervals), by_text)
+            st = st.join(grouped(used, (*SPAN, *STATEMENT), [
+                f"coalesce(sum(exec_{c}), 0) + coalesce(sum(plan_{c}), 0) AS {c}"
+                for c in CPU_AND_IO]), [*SPAN, *STATEMENT], "left")
         else:
-            st = st.select("*", *[F.lit(None).cast("bigint").alias(x) for x in whole.columns
-                                  if x not in SPAN])
-    c = F.col
-    plan, execution = c("total_plan_time"), c("total_exec_time")
-    time = execution + zero(plan)
-    fetched = c("shared_blks_hit") + c("shared_blks_read")
-    io_time = c("blk_read_time") + c("blk_write_time")
-    out = st.select(
-        *SPAN, *key, "dbname",
-        "plans", pct(c("plans"), c("tot_plans")).alias("plans_pct"),
-        "calls", pct(c("calls"), c("tot_calls")).alias("calls_pct"),
-        (time.cast("double") / MS).alias("total_time"),
-        pct(time, c("tot_time")).alias("total_time_pct"),
-        _seconds("total_plan_time").alias("total_plan_time"),
-        pct(plan, time).alias("plan_time_pct"),
-        _seconds("total_exec_time").alias("total_exec_time"),
-        pct(execution, c("tot_time")).alias("total_exec_time_pct"),
-        pct(execution, time).alias("exec_time_pct"),
-        "min_exec_time", "max_exec_time", "mean_exec_time", "stddev_exec_time",
-        "min_plan_time", "max_plan_time", "mean_plan_time", "stddev_plan_time",
-        "rows", "shared_blks_hit",
-        pct(c("shared_blks_hit"), fetched).alias("shared_hit_pct"),
-        "shared_blks_read", pct(c("shared_blks_read"), c("tot_shared_blks_read"))
-        .alias("read_pct"),
-        fetched.alias("shared_blks_fetched"),
-        pct(fetched, c("tot_shared_blks_hit") + c("tot_shared_blks_read"))
-        .alias("shared_blks_fetched_pct"),
-        "shared_blks_dirtied", pct(c("shared_blks_dirtied"), c("tot_shared_blks_dirtied"))
-        .alias("dirtied_pct"),
-        "shared_blks_written", pct(c("shared_blks_written"), c("tot_written"))
-        .alias("tot_written_pct"),
-        pct(c("shared_blks_written"), c("tot_backend")).alias("backend_written_pct"),
-        "local_blks_hit",
-        pct(c("local_blks_hit"), c("local_blks_hit") + c("local_blks_read"))
-        .alias("local_hit_pct"),
-        "local_blks_read", (c("local_blks_hit") + c("local_blks_read"))
-        .alias("local_blks_fetched"),
-        "local_blks_dirtied", "local_blks_written", "temp_blks_read", "temp_blks_written",
-        _seconds("blk_read_time").alias("blk_read_time"),
-        _seconds("blk_write_time").alias("blk_write_time"),
-        (io_time.cast("double") / MS).alias("io_time"),
-        pct(io_time, c("tot_blk_read_time") + c("tot_blk_write_time")).alias("io_time_pct"),
-        *[pct(c(f"{kind}_blks_{op}"), c(f"tot_{kind}_blks_{op}"))
-          .alias(f"{kind}_{op}_total_pct") for kind in ("temp", "local")
-          for op in ("read", "written")],
-        "wal_records", "wal_fpi", "wal_bytes",
-        pct(c("wal_bytes"), c("tot_wal_size")).alias("wal_bytes_pct"),
-        *[zero(x).alias(x) for x in ("user_time", "system_time", "reads", "writes")],
-        *JIT_COUNTERS, *[_seconds(x).alias(x) for x in JIT_TIMES],
-        (sum((c(x) for x in JIT_TIMES[1:]), c(JIT_TIMES[0])).cast("double") / MS)
-        .alias("jit_total_time"),
-        sum((zero(x) for x in JIT_COUNTERS[1:]), zero(JIT_COUNTERS[0])).alias("jit_count"),
-        (c("temp_blks_read") + c("temp_blks_written") + c("local_blks_read")
-         + c("local_blks_written")).alias("temp_io_blks"))
-    if columns is not None:
-        out = out.select(*SPAN, *key, "dbname", *[x for x in out.columns if x in columns])
+            st = st.selectExpr("*", *[f"CAST(NULL AS BIGINT) AS {c}" for c in CPU_AND_IO])
+    if any(f"tot_{c}" in text for c in ("time", *_TOTALLED)):
+        st = st.join(statement_interval_totals(repo, intervals), list(SPAN), "left")
+    if any(c in text for c in ("tot_written", "tot_backend", "tot_wal_size")):
+        st = st.join(cluster_interval_totals(repo, intervals), list(SPAN), "left")
+    out = st.selectExpr(*SPAN, *STATEMENT, "dbname", *[f"{e} AS {c}" for c, e in output.items()])
     return _role_names(out, repo)
 
 
@@ -517,23 +472,20 @@ def _role_names(rows: DataFrame, repo: Repository) -> DataFrame:
 
 def top_usage(repo: Repository, intervals: list[Interval], by_text: bool = False) -> DataFrame:
     """Per statement: CPU, IO and fault counts of planning and execution with shares."""
-    query = short_hash(F.col("queryid_md5")) if by_text else F.col("queryid")
-    key = ("datid", "userid", "queryid", "toplevel")
-    rows = _with_database(tag_intervals(repo.usage, intervals).withColumn("queryid", query), repo)
-    used = rows.groupBy(*SPAN, *key).agg(F.max_by("dbname", TICK).alias("dbname"),
-                                         *_sums(USAGE_SUMS))
-    shared = ("user_time", "system_time", "reads", "writes")
-    totals = tag_intervals(repo.usage_totals, intervals).groupBy(*SPAN).agg(*[
-        (zero(F.sum(f"exec_{c}")) + zero(F.sum(f"plan_{c}"))).alias(f"tot_{c}")
-        for c in shared])
-    both = {c: zero(f"exec_{c}") + zero(f"plan_{c}") for c in USAGE_FIELDS}
-    out = used.join(totals, list(SPAN), "left").select(
-        *SPAN, *key, "dbname", *USAGE_SUMS,
-        *[pct(both[c], F.col(f"tot_{c}")).alias(f"{c}_pct") for c in shared],
-        (both["user_time"] + both["system_time"]).alias("cpu_time"),
-        (zero("exec_user_time") + zero("exec_system_time")).alias("exec_cpu_time"),
-        (both["reads"] + both["writes"]).alias("io_bytes"),
-        (zero("exec_reads") + zero("exec_writes")).alias("exec_io_bytes"))
+    rows = _with_database(_by_text_or_id(tag_intervals(repo.usage, intervals), by_text), repo)
+    used = grouped(rows, (*SPAN, *STATEMENT),
+                   [f"max_by(dbname, {TICK}) AS dbname", *sums(USAGE_SUMS)])
+    totals = grouped(tag_intervals(repo.usage_totals, intervals), SPAN, [
+        f"coalesce(sum(exec_{c}), 0) + coalesce(sum(plan_{c}), 0) AS tot_{c}"
+        for c in CPU_AND_IO])
+    both = {c: f"({zero(f'exec_{c}')} + {zero(f'plan_{c}')})" for c in USAGE_FIELDS}
+    out = used.join(totals, list(SPAN), "left").selectExpr(
+        *SPAN, *STATEMENT, "dbname", *USAGE_SUMS,
+        *[f"{pct(both[c], f'tot_{c}')} AS {c}_pct" for c in CPU_AND_IO],
+        f"{both['user_time']} + {both['system_time']} AS cpu_time",
+        f"{zero('exec_user_time')} + {zero('exec_system_time')} AS exec_cpu_time",
+        f"{both['reads']} + {both['writes']} AS io_bytes",
+        f"{zero('exec_reads')} + {zero('exec_writes')} AS exec_io_bytes")
     return _role_names(out, repo)
 
 
@@ -543,19 +495,17 @@ STATEMENT_DB_TIMES = ("total_exec_time", "total_plan_time", "blk_read_time", "bl
 
 def statements_dbstats_ms(repo: Repository, intervals: list[Interval]) -> DataFrame:
     """Statement totals per database with the time of its trigger functions."""
-    rows = tag_intervals(repo.statement_totals, intervals)
-    triggers = repo.function_totals.filter("trg_fn").select(
-        SERVER, TICK, "datid", F.col("total_time").alias("trg_time"))
-    rows = _with_database(rows.join(triggers, [SERVER, TICK, "datid"], "left"), repo)
-    sums = rows.groupBy(*SPAN, "datid", "dbname").agg(
-        *_sums((*STATEMENT_SUMS, "statements")), F.sum("trg_time").alias("trg_time"))
-    c = F.col
-    return sums.select(
-        *SPAN, "datid", "dbname", "calls", "plans",
-        *[x for x in STATEMENT_DB_TIMES if x != "trg_fn_total_time"],
-        c("trg_time").alias("trg_fn_total_time"),
-        (c("shared_blks_hit") + c("shared_blks_read")).alias("shared_gets"),
-        (c("local_blks_hit") + c("local_blks_read")).alias("local_gets"),
+    triggers = repo.function_totals.filter("trg_fn").selectExpr(
+        SERVER, TICK, "datid", "total_time AS trg_time")
+    rows = tag_intervals(repo.statement_totals, intervals).join(
+        triggers, [SERVER, TICK, "datid"], "left")
+    found = grouped(_with_database(rows, repo), (*SPAN, "datid", "dbname"),
+                    [*sums((*STATEMENT_SUMS, "statements")),
+                     "sum(trg_time) AS trg_fn_total_time"])
+    return found.selectExpr(
+        *SPAN, "datid", "dbname", "calls", "plans", *STATEMENT_DB_TIMES,
+        "shared_blks_hit + shared_blks_read AS shared_gets",
+        "local_blks_hit + local_blks_read AS local_gets",
         "shared_blks_dirtied", "local_blks_dirtied", "temp_blks_read", "temp_blks_written",
         "local_blks_read", "local_blks_written", "statements", "wal_bytes", *JIT_COUNTERS)
 

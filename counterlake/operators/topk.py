@@ -11,9 +11,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 
 @dataclass(frozen=True)
@@ -38,35 +36,31 @@ GROUP_LIMIT = 1000
 SALTS = 64
 
 
-def ranked(df: DataFrame, group: Sequence[str], order: Sequence[Column], key: Sequence[str],
-           k: int, out: str = "rank") -> DataFrame:
-    """The k first rows of each group with their rank."""
-    final = W.partitionBy(*group).orderBy(*order)
+def ranked(df: DataFrame, group: Sequence[str], order: str, key: Sequence[str], k: int,
+           out: str = "rank") -> DataFrame:
+    """The k first rows of each group with their rank; ``order`` is an SQL sort order."""
+    by = ", ".join(group)
     if k > GROUP_LIMIT:
-        salted = df.withColumn("_salt", F.pmod(F.xxhash64(*key), F.lit(SALTS)))
-        first = W.partitionBy(*group, "_salt").orderBy(*order)
-        df = (salted.withColumn("_pre", F.row_number().over(first))
-                    .filter(F.col("_pre") <= k).drop("_salt", "_pre"))
-    return df.withColumn(out, F.row_number().over(final)).filter(F.col(out) <= k)
+        salted = df.selectExpr("*", f"pmod(xxhash64({', '.join(key)}), {SALTS}) AS _salt")
+        df = salted.selectExpr("*", f"row_number() OVER (PARTITION BY {by}, _salt "
+                                    f"ORDER BY {order}) AS _pre")
+        df = df.filter(f"_pre <= {k}").drop("_salt", "_pre")
+    rank = f"row_number() OVER (PARTITION BY {by} ORDER BY {order}) AS {out}"
+    return df.selectExpr("*", rank).filter(f"{out} <= {k}")
 
 
 def _rank_variants(df: DataFrame, group: Sequence[str], key: Sequence[str],
                    metrics: Sequence[Metric], k: int, carried: Sequence[str]) -> DataFrame:
-    variants = [
-        F.when(F.expr(m.part), F.struct(
-            F.lit(m.name).alias("metric"),
-            (F.expr(m.value).cast("bigint") if m.exact else F.lit(None).cast("bigint"))
-            .alias("whole"),
-            (F.lit(None).cast("double") if m.exact else F.expr(m.value).cast("double"))
-            .alias("real"),
-            F.expr(m.keep).alias("keep")))
-        for m in metrics]
-    long = (df.select(*carried, F.explode(F.array_compact(F.array(*variants))).alias("_m"))
-              .select(*carried, F.col("_m.metric").alias("metric"),
-                      F.col("_m.whole").alias("_whole"), F.col("_m.real").alias("_real"),
-                      F.col("_m.keep").alias("_keep")))
-    order = [F.col("_whole").desc_nulls_last(), F.col("_real").desc_nulls_last(),
-             *[F.col(c).asc() for c in key]]
+    def variant(m: Metric) -> str:
+        whole = f"CAST({m.value} AS BIGINT)" if m.exact else "CAST(NULL AS BIGINT)"
+        real = "CAST(NULL AS DOUBLE)" if m.exact else f"CAST({m.value} AS DOUBLE)"
+        row = (f"named_struct('metric', '{m.name}', '_whole', {whole}, '_real', {real},"
+               f" '_keep', ({m.keep}))")
+        return row if m.part == "true" else f"CASE WHEN {m.part} THEN {row} END"
+
+    variants = ", ".join(variant(m) for m in metrics)
+    long = df.selectExpr(*carried, f"inline(array_compact(array({variants})))")
+    order = ", ".join(["_whole DESC NULLS LAST", "_real DESC NULLS LAST", *key])
     return (ranked(long, [*group, "metric"], order, key, k)
             .filter("_keep").drop("_whole", "_real", "_keep"))
 
@@ -84,7 +78,15 @@ def top_keys(df: DataFrame, group: Sequence[str], key: Sequence[str],
 
 
 def top_rows(df: DataFrame, group: Sequence[str], key: Sequence[str],
-             metrics: Sequence[Metric], k: int) -> DataFrame:
-    """Whole rows of the objects that any metric keeps, in one pass and without a join."""
+             metrics: Sequence[Metric], k: int, order: str) -> DataFrame:
+    """Whole rows of the objects that any metric keeps, numbered by ``order`` as ``ord``.
+
+    One pass and no join. An object kept by several metrics is reduced to one row in the same
+    exchange that numbers the few kept rows.
+    """
     rows = _rank_variants(df, group, key, metrics, k, df.columns)
-    return rows.drop("metric", "rank").dropDuplicates([*group, *key])
+    by = ", ".join(group)
+    once = rows.selectExpr(
+        "*", f"dense_rank() OVER (PARTITION BY {by} ORDER BY {order}) AS ord",
+        f"row_number() OVER (PARTITION BY {by}, {', '.join(key)} ORDER BY metric) AS _copy")
+    return once.filter("_copy = 1").drop("metric", "rank", "_copy")

@@ -13,13 +13,13 @@ from pyspark.sql import functions as F
 
 from counterlake.functions.text import normalise_text, text_id
 from counterlake.model import (FUNCTION_COUNTERS, INDEX_COUNTERS, SERVER, STATEMENT_KEY,
-                               STATEMENT_SUMS, TABLE_COUNTERS, TICK, USAGE_SUMS)
+                               STATEMENT_SUMS, TABLE_COUNTERS, TICK, USAGE_SUMS, grouped, sums)
 from counterlake.operators.marking import in_known_databases, select_marked
 
 
-def _sums(df: DataFrame, keys: Sequence[str], columns: Sequence[str], *more) -> DataFrame:
-    present = [c for c in columns if c in df.columns]
-    return df.groupBy(SERVER, TICK, *keys).agg(*[F.sum(c).alias(c) for c in present], *more)
+def _sums(df: DataFrame, keys: Sequence[str], columns: Sequence[str], *more: str) -> DataFrame:
+    present = set(df.columns)
+    return grouped(df, (SERVER, TICK, *keys), [*sums([c for c in columns if c in present]), *more])
 
 
 def table_totals(deltas: DataFrame) -> DataFrame:
@@ -38,13 +38,13 @@ def function_totals(deltas: DataFrame) -> DataFrame:
 def statement_totals(statements: DataFrame, databases: DataFrame) -> DataFrame:
     """Per database, with the number of captured statements; vanished databases are left out."""
     known = in_known_databases(statements, databases)
-    return _sums(known, ("datid",), STATEMENT_SUMS, F.count(F.lit(1)).alias("statements"))
+    return _sums(known, ("datid",), STATEMENT_SUMS, "count(*) AS statements")
 
 
 def usage_totals(usage: DataFrame, databases: DataFrame) -> DataFrame:
     """Per database, over top-level statements only."""
     known = in_known_databases(usage, databases).filter("toplevel")
-    return _sums(known, ("datid",), USAGE_SUMS, F.count(F.lit(1)).alias("statements"))
+    return _sums(known, ("datid",), USAGE_SUMS, "count(*) AS statements")
 
 
 def attach_text_ids(statements: DataFrame, texts: DataFrame, rename_temp: bool = False

@@ -11,13 +11,14 @@ import re
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from counterlake.functions.text import short_hash, size_pretty
-from counterlake.model import SERVER, TICK, Interval, Repository, pct, ratio, zero
+from counterlake.model import (SERVER, TICK, Interval, Repository, grouped, pct, ratio, sums,
+                               zero)
 from counterlake.operators import stats
 from counterlake.operators.availability import JIT_COUNTS, SESSION_COLUMNS
 from counterlake.operators.intervals import durations
@@ -61,34 +62,32 @@ class Section:
 # --- relations that add something to the interval relations -------------------------------
 
 def _at_end(facts: DataFrame, intervals: list[Interval], key: Sequence[str],
-            columns: dict[str, str]) -> DataFrame:
+            columns: Sequence[str]
+            ) -> DataFrame:
     """Gauges at the last sample of each interval."""
-    number = F.lit(None).cast("int")
-    for n, interval in enumerate(intervals, 1):
-        number = F.when(F.col(TICK) == interval.end, n).otherwise(number)
-    at_end = facts.filter(F.col(TICK).isin([i.end for i in intervals]))
-    return at_end.select(number.alias("interval_no"), SERVER, *key,
-                         *[F.col(c).alias(out) for c, out in columns.items()])
+    cases = " ".join(f"WHEN {i.end} THEN {n}" for n, i in enumerate(intervals, 1))
+    ends = ", ".join(str(i.end) for i in intervals)
+    return facts.filter(f"{TICK} IN ({ends})").selectExpr(
+        f"CASE {TICK} {cases} END AS interval_no", SERVER, *key, *columns)
+
+
+_SIZE = ("relsize", "relpages_bytes")
 
 
 def _tables_with_size(repo: Repository, intervals: list[Interval]) -> DataFrame:
-    sizes = _at_end(repo.tables, intervals, ("datid", "relid"),
-                    {"relsize": "relsize", "relpages_bytes": "relpages_bytes"})
-    sizes = sizes.withColumn("at_end", F.lit(True))
-    side = (sizes.drop("at_end").withColumnRenamed("relid", "reltoastrelid")
-                 .withColumnRenamed("relsize", "toastrelsize")
-                 .withColumnRenamed("relpages_bytes", "toastrelpages_bytes"))
+    own = _at_end(repo.tables, intervals, ("datid", "relid"), (*_SIZE, "true AS at_end"))
+    side = _at_end(repo.tables, intervals, ("datid",),
+                   ("relid AS reltoastrelid", *[f"{c} AS toast{c}" for c in _SIZE]))
     on = ["interval_no", SERVER, "datid"]
-    return (stats.top_tables(repo, intervals).join(sizes, [*on, "relid"], "left")
+    return (stats.top_tables(repo, intervals).join(own, [*on, "relid"], "left")
             .join(side, [*on, "reltoastrelid"], "left"))
 
 
 def _indexes_with_size(repo: Repository, intervals: list[Interval]) -> DataFrame:
-    sizes = _at_end(repo.indexes, intervals, ("datid", "indexrelid"),
-                    {"relsize": "relsize", "relpages_bytes": "relpages_bytes"})
-    return stats.top_indexes(repo, intervals).join(
-        sizes.withColumn("at_end", F.lit(True)), ["interval_no", SERVER, "datid", "indexrelid"],
-        "left").withColumn("tbl_n_ind_upd", F.col("tbl_n_tup_upd") - zero("tbl_n_tup_hot_upd"))
+    own = _at_end(repo.indexes, intervals, ("datid", "indexrelid"), (*_SIZE, "true AS at_end"))
+    rows = stats.top_indexes(repo, intervals).join(
+        own, ["interval_no", SERVER, "datid", "indexrelid"], "left")
+    return rows.selectExpr("*", "tbl_n_tup_upd - coalesce(tbl_n_tup_hot_upd, 0) AS tbl_n_ind_upd")
 
 
 MIN_LISTED_BYTES = 5 * 1024 * 1024
@@ -96,32 +95,23 @@ MIN_LISTED_BYTES = 5 * 1024 * 1024
 
 def _tables_at_end(repo: Repository, intervals: list[Interval]) -> DataFrame:
     """Live, dead and modified rows of sizeable tables at the end of the interval."""
-    cols = ("tablespaceid", "n_live_tup", "n_dead_tup", "n_mod_since_analyze", "relsize",
-            "relpages_bytes", "relkind")
-    users = (repo.databases.filter(~F.col("datistemplate"))
-             .select(SERVER, TICK, "datid", F.col("datname").alias("dbname")))
-    facts = repo.tables.filter(
-        F.coalesce("relsize", "relpages_bytes") > MIN_LISTED_BYTES).join(
+    users = repo.databases.filter("NOT datistemplate").selectExpr(
+        SERVER, TICK, "datid", "datname AS dbname")
+    facts = repo.tables.filter(f"coalesce(relsize, relpages_bytes) > {MIN_LISTED_BYTES}").join(
         users, [SERVER, TICK, "datid"])
-    rows = _at_end(facts, intervals, ("datid", "relid"),
-                   {c: c for c in (*cols, "dbname")})
-    everything = zero("n_live_tup") + zero("n_dead_tup")
-    whole = F.when(everything != 0, everything)
-    rows = rows.select(
-        "*", F.expr("n_dead_tup * 100").alias("_d"), F.expr("n_mod_since_analyze * 100")
-        .alias("_m"), whole.alias("_w")).select(
-        "*", F.expr("_d div _w").alias("dead_pct"), F.expr("_m div _w").alias("mods_pct"))
-    return stats._table_names(rows.drop("_d", "_m", "_w"), repo)
+    rows = _at_end(facts, intervals, ("datid", "relid"), (
+        "dbname", "tablespaceid", "n_live_tup", "n_dead_tup", "n_mod_since_analyze", *_SIZE,
+        "relkind", "nullif(coalesce(n_live_tup, 0) + coalesce(n_dead_tup, 0), 0) AS n_tup"))
+    rows = rows.selectExpr("*", "n_dead_tup * 100 div n_tup AS dead_pct",
+                           "n_mod_since_analyze * 100 div n_tup AS mods_pct").drop("n_tup")
+    return stats.table_names(rows, repo)
 
 
 def _wait_shares(repo: Repository, intervals: list[Interval]) -> DataFrame:
     waits = stats.wait_stats_ms(repo, intervals)
-    totals = waits.groupBy(*stats.SPAN).agg(F.sum("tot_waited").alias("_all"),
-                                            F.sum("stmt_waited").alias("_stmt"))
-    shares = (waits.join(totals, list(stats.SPAN))
-              .withColumn("tot_waited_pct", pct(F.col("tot_waited"), F.col("_all")))
-              .withColumn("stmt_waited_pct", pct(F.col("stmt_waited"), F.col("_stmt")))
-              .drop("_all", "_stmt"))
+    totals = grouped(waits, stats.SPAN, [f"sum({c}) AS all_{c}" for c in stats.WAIT_TIMES])
+    shares = waits.join(totals, list(stats.SPAN)).selectExpr(
+        *waits.columns, *[f"{pct(c, f'all_{c}')} AS {c}_pct" for c in stats.WAIT_TIMES])
     return stats.in_seconds(shares, stats.WAIT_TIMES)
 
 
@@ -333,77 +323,72 @@ TOPN = 20
 
 # --- plans -------------------------------------------------------------------------------
 
-def null_if_zero(column: Column, kind: T.DataType) -> Column:
-    return F.when(column != 0, column) if isinstance(kind, T.NumericType) else column
+def null_if_zero(df: DataFrame, columns: Sequence[str]) -> list[str]:
+    """SQL that shows zero as NULL for the numeric ones among ``columns``."""
+    types = {f.name: f.dataType for f in df.schema.fields}
+    return [f"nullif({c}, 0) AS {c}" if isinstance(types[c], T.NumericType) else c
+            for c in columns]
 
 
-def _metric(df: DataFrame, name: str, column: str, keep: str = "true") -> Metric:
+def _metric(df: DataFrame, column: str, keep: str = "true") -> Metric:
     exact = isinstance(df.schema[column].dataType, (T.LongType, T.IntegerType, T.ShortType))
-    return Metric(name, column, keep=keep, exact=exact)
+    return Metric(column, column, keep=keep, exact=exact)
 
 
 def single_section(relation: DataFrame, section: Section, topn: int = TOPN) -> DataFrame:
     """Top rows of one interval per server: ord, key, labels, values (zero shown as NULL)."""
     group = [SERVER, "interval_no"]
-    rows = relation
-    for n, order in enumerate(section.order):
-        rows = rows.withColumn(f"_o{n}", F.expr(order))
-    order = [*[F.col(f"_o{n}").desc_nulls_last() for n in range(len(section.order))],
-             *[F.col(c).asc() for c in section.key]]
-    kept = {*group, *section.key, *section.labels, *section.values, "_o0"}
+    names = [f"_o{n}" for n in range(len(section.order))]
+    shown = [*group, *section.key, *section.labels, *section.values]
+    order = ", ".join([*[f"{n} DESC NULLS LAST" for n in names], *section.key])
+    sorts = [f"{e} AS {n}" for e, n in zip(section.order, names)]
     if section.chosen_by:
-        kept |= {*section.chosen_by}
-        rows = rows.select(*sorted(kept))
-        metrics = [_metric(rows, m, m, section.where) for m in section.chosen_by]
-        rows = top_rows(rows, group, section.key, metrics, topn)
-        out = rows.withColumn("ord", F.row_number().over(W.partitionBy(*group).orderBy(*order)))
+        extra = [c for c in section.chosen_by if c not in shown]
+        rows = relation.selectExpr(*shown, *extra, *sorts)
+        metrics = [_metric(rows, m, section.where) for m in section.chosen_by]
+        out = top_rows(rows, group, section.key, metrics, topn, order)
     else:
-        rows = rows.filter(F.expr(section.where))
-        rows = rows.select(*sorted({*kept, *[f"_o{n}" for n in range(len(section.order))]}))
+        rows = relation.filter(section.where).selectExpr(*shown, *sorts)
         out = ranked(rows, group, order, section.key, topn, out="ord")
-    types = {f.name: f.dataType for f in out.schema.fields}
-    return out.select(SERVER, "interval_no", "ord", *section.key, *section.labels,
-                      *[null_if_zero(F.col(v), types[v]).alias(v) for v in section.values])
+    return out.selectExpr(SERVER, "interval_no", "ord", *section.key, *section.labels,
+                          *null_if_zero(out, section.values))
 
 
 def side_by_side(relation: DataFrame, key: Sequence[str], labels: Sequence[str],
                  values: Sequence[str]) -> DataFrame:
     """One row per key with the values of interval 1 and 2 (NULL where absent). This is the
     full outer join of the two intervals, expressed as one grouped aggregation."""
-    def of(n: int, column: str) -> Column:
-        return F.max(F.when(F.col("interval_no") == n, F.col(column)))
+    def of(n: int, column: str) -> str:
+        return f"max(CASE WHEN interval_no = {n} THEN {column} END)"
 
-    return relation.groupBy(SERVER, *key).agg(
-        *[F.coalesce(of(1, c), of(2, c)).alias(c) for c in labels],
-        *[of(n, c).alias(f"{c}_{n}") for n in (1, 2) for c in values])
+    return grouped(relation, (SERVER, *key), [
+        *[f"coalesce({of(1, c)}, {of(2, c)}) AS {c}" for c in labels],
+        *[f"{of(n, c)} AS {c}_{n}" for c in values for n in (1, 2)]])
 
 
 def diff_section(relation: DataFrame, section: Section, topn: int = TOPN) -> DataFrame:
     """Rows that rank within top-n in either interval, ordered by the sum of both."""
     compared = section.chosen_by or (section.diff_by or section.order[0],)
-    rows = relation.withColumn("_sort", F.expr(section.diff_order or section.order[0]))
-    for n, expr in enumerate(compared):
-        rows = rows.withColumn(f"_by{n}", F.expr(expr))
     marks = [f"_by{n}" for n in range(len(compared))]
+    rows = relation.selectExpr(
+        SERVER, "interval_no", *section.key, *section.labels, *section.values,
+        f"{section.diff_order or section.order[0]} AS _sort",
+        *[f"{e} AS {m}" for e, m in zip(compared, marks)])
     both = side_by_side(rows, section.key, section.labels, (*section.values, "_sort", *marks))
-    both = both.withColumn("_sum", zero("_sort_1") + zero("_sort_2"))
+    both = both.selectExpr("*", "coalesce(_sort_1, 0) + coalesce(_sort_2, 0) AS _sum")
     where = section.diff_where or "_sum > 0"
-    order = [F.col("_sum").desc(), *[F.col(c).asc() for c in section.key]]
+    order = ", ".join(["_sum DESC", *section.key])
     if section.diff_sum:
         out = ranked(both.filter(where), [SERVER], order, section.key, topn, out="ord")
     else:
-        keep = "true"
-        if section.chosen_by:
-            keep = where
-        else:
+        keep = where if section.chosen_by else "true"
+        if not section.chosen_by:
             both = both.filter(where)
-        metrics = [_metric(both, f"{m}_{n}", f"{m}_{n}", keep) for m in marks for n in (1, 2)]
-        out = top_rows(both, [SERVER], section.key, metrics, topn)
-        out = out.withColumn("ord", F.row_number().over(W.partitionBy(SERVER).orderBy(*order)))
-    types = {f.name: f.dataType for f in out.schema.fields}
+        metrics = [_metric(both, f"{m}_{n}", keep) for m in marks for n in (1, 2)]
+        out = top_rows(both, [SERVER], section.key, metrics, topn, order)
     values = [f"{v}_{n}" for v in section.values for n in (1, 2)]
-    return out.select(SERVER, "ord", *section.key, *section.labels,
-                      *[null_if_zero(F.col(v), types[v]).alias(v) for v in values])
+    return out.selectExpr(SERVER, "ord", *section.key, *section.labels,
+                          *null_if_zero(out, values))
 
 
 def section(repo: Repository, section_id: str, intervals: list[Interval], topn: int = TOPN,
@@ -427,20 +412,18 @@ def section(repo: Repository, section_id: str, intervals: list[Interval], topn:
 
 # --- sections with a total row -----------------------------------------------------------
 
-def _rollup(rows: DataFrame, name: str, values: Sequence[Column]) -> DataFrame:
+def _rollup(rows: DataFrame, name: str, values: Sequence[str]) -> DataFrame:
     """Sums per name and over all names; the grouping id tells the total from a NULL name."""
-    spread = rows.rollup(SERVER, "interval_no", name).agg(
-        F.grouping_id().alias("_g"), *values)
-    return (spread.filter("_g <= 1").withColumn("is_total", F.col("_g") == 1)
-                  .withColumn(name, F.when(F.col("is_total"), F.lit("Total"))
-                                    .otherwise(F.col(name))).drop("_g"))
+    return rows.sparkSession.sql(
+        f"""SELECT interval_no, {SERVER},
+              CASE WHEN grouping({name}) = 1 THEN 'Total' ELSE {name} END AS {name},
+              grouping({name}) = 1 AS is_total, {', '.join(values)}
+            FROM {{rows}} GROUP BY interval_no, {SERVER}, ROLLUP({name})""", rows=rows)
 
 
 def _single_or_diff(rows: DataFrame, intervals: list[Interval], name: str) -> DataFrame:
     values = [c for c in rows.columns if c not in (SERVER, "interval_no", name, "is_total")]
-    types = {f.name: f.dataType for f in rows.schema.fields}
-    shown = rows.select(SERVER, "interval_no", name, "is_total",
-                        *[null_if_zero(F.col(c), types[c]).alias(c) for c in values])
+    shown = rows.selectExpr(SERVER, "interval_no", name, "is_total", *null_if_zero(rows, values))
     if len(intervals) == 1:
         return shown.drop("interval_no")
     return side_by_side(shown, (name, "is_total"), (), values)
@@ -454,19 +437,17 @@ DB_VALUES = ("xact_commit", "xact_rollback", "blks_read", "blks_hit", "tup_retur
 
 def database_section(repo: Repository, intervals: list[Interval]) -> DataFrame:
     """Database statistics with a total row, hit ratio, and size at the end sample."""
-    sizes = _at_end(repo.databases, intervals, ("datid",), {"datsize": "datsize"})
-    rows = stats.dbstats_ms(repo, intervals).join(sizes, ["interval_no", SERVER, "datid"], "left")
-    values = [*[F.sum(c).alias(c) for c in (*DB_VALUES, "datsize")],
-              pct(F.sum("blks_hit"), F.sum("blks_hit") + F.sum("blks_read"))
-              .alias("blks_hit_pct")]
-    rows = stats.in_seconds(_rollup(rows, "dbname", values), stats.DB_TIMES)
-    return _single_or_diff(rows, intervals, "dbname")
+    sizes = _at_end(repo.databases, intervals, ("datid",), ("datsize",))
+    rows = stats.dbstats_ms(repo, intervals).join(sizes, ["interval_no", SERVER, "datid"],
+                                                  "left")
+    hit = pct("sum(blks_hit)", "sum(blks_hit) + sum(blks_read)")
+    rows = _rollup(rows, "dbname", [*sums((*DB_VALUES, "datsize")), f"{hit} AS blks_hit_pct"])
+    return _single_or_diff(stats.in_seconds(rows, stats.DB_TIMES), intervals, "dbname")
 
 
 def session_section(repo: Repository, intervals: list[Interval]) -> DataFrame:
-    rows = stats.dbstats_sessions(repo, intervals)
-    values = [F.sum(c).alias(c) for c in SESSION_COLUMNS]
-    return _single_or_diff(_rollup(rows, "dbname", values), intervals, "dbname")
+    rows = _rollup(stats.dbstats_sessions(repo, intervals), "dbname", sums(SESSION_COLUMNS))
+    return _single_or_diff(rows, intervals, "dbname")
 
 
 STMT_DB_VALUES = ("calls", "plans", "total_exec_time", "total_plan_time", "blk_read_time",
@@ -477,17 +458,16 @@ STMT_DB_VALUES = ("calls", "plans", "total_exec_time", "total_plan_time", "blk_r
 
 
 def statement_db_section(repo: Repository, intervals: list[Interval]) -> DataFrame:
-    rows = stats.statements_dbstats_ms(repo, intervals)
-    rows = _rollup(rows, "dbname", [F.sum(c).alias(c) for c in STMT_DB_VALUES])
+    rows = _rollup(stats.statements_dbstats_ms(repo, intervals), "dbname", sums(STMT_DB_VALUES))
     return _single_or_diff(stats.in_seconds(rows, stats.STATEMENT_DB_TIMES), intervals, "dbname")
 
 
 def jit_db_section(repo: Repository, intervals: list[Interval]) -> DataFrame:
     """JIT work per database; databases without JIT are left out."""
-    rows = stats.statements_dbstats_ms(repo, intervals)
-    used = sum((zero(c) for c in JIT_COUNTS[1:]), zero(JIT_COUNTS[0])) > 0
+    used = " + ".join(zero(c) for c in JIT_COUNTS)
+    rows = stats.statements_dbstats_ms(repo, intervals).filter(f"{used} > 0")
     columns = ("calls", "total_exec_time", *stats.JIT_COUNTERS, *stats.JIT_TIMES)
-    rows = _rollup(rows.filter(used), "dbname", [F.sum(c).alias(c) for c in columns])
+    rows = _rollup(rows, "dbname", sums(columns))
     return _single_or_diff(stats.in_seconds(rows, stats.STATEMENT_DB_TIMES), intervals, "dbname")
 
 
@@ -495,25 +475,21 @@ def wait_type_section(repo: Repository, intervals: list[Interval]) -> DataFrame:
     """Waits per event type with a total row and shares of all waits."""
     waits = stats.wait_stats_ms(repo, intervals)
     columns = stats.WAIT_TIMES
-    totals = waits.groupBy(*stats.SPAN).agg(*[F.sum(c).alias(f"_{c}") for c in columns])
-    rows = _rollup(waits, "event_type", [F.sum(c).alias(c) for c in columns])
-    rows = rows.join(totals, list(stats.SPAN))
-    rows = rows.select(SERVER, "interval_no", "event_type", "is_total", *columns,
-                       *[pct(F.col(c), F.col(f"_{c}")).alias(f"{c}_pct") for c in columns])
+    totals = grouped(waits, stats.SPAN, [f"sum({c}) AS all_{c}" for c in columns])
+    rows = _rollup(waits, "event_type", sums(columns)).join(totals, list(stats.SPAN)).selectExpr(
+        SERVER, "interval_no", "event_type", "is_total", *columns,
+        *[f"{pct(c, f'all_{c}')} AS {c}_pct" for c in columns])
     return _single_or_diff(stats.in_seconds(rows, columns), intervals, "event_type")
 
 
 # --- sections without a ranking ----------------------------------------------------------
 
-def _unpivot(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(server, interval, metric, value) with zero and NULL shown as NULL."""
-    as_double = rows.select(SERVER, "interval_no",
-                            *[F.col(c).cast("double").alias(c) for c in columns])
-    long = as_double.unpivot([SERVER, "interval_no"], list(columns), "metric", "value")
-    return long.withColumn("value", F.when(F.col("value") != 0, F.col("value")))
-
-
-def _metric_list(long: DataFrame, intervals: list[Interval]) -> DataFrame:
+def _metric_list(rows: DataFrame, columns: Sequence[str], intervals: list[Interval]
+                 ) -> DataFrame:
+    """(server, metric, value) with zero and NULL shown as NULL."""
+    pairs = ", ".join(f"'{c}', nullif(CAST({c} AS DOUBLE), 0D)" for c in columns)
+    long = rows.selectExpr(SERVER, "interval_no",
+                           f"stack({len(columns)}, {pairs}) AS (metric, value)")
     if len(intervals) == 1:
         return long.drop("interval_no")
     return side_by_side(long, ("metric",), (), ("value",))
@@ -521,42 +497,38 @@ def _metric_list(long: DataFrame, intervals: list[Interval]) -> DataFrame:
 
 def cluster_section(repo: Repository, intervals: list[Interval]) -> DataFrame:
     rows = stats.cluster_stats(repo, intervals)
-    columns = [c for c in rows.columns if c not in stats.SPAN]
-    return _metric_list(_unpivot(rows, columns), intervals)
+    return _metric_list(rows, [c for c in rows.columns if c not in stats.SPAN], intervals)
 
 
 def wal_section(repo: Repository, intervals: list[Interval]) -> DataFrame:
     """WAL sums, rates per second, and write and sync duty in percent of the interval."""
     spans = None
     for n, interval in enumerate(intervals, 1):
-        one = durations(repo.samples, interval).withColumn("interval_no", F.lit(n))
+        one = durations(repo.samples, interval).selectExpr("*", f"{n} AS interval_no")
         spans = one if spans is None else spans.unionByName(one)
-    rows = stats.wal_stats(repo, intervals).join(spans, list(stats.SPAN), "left")
-    seconds = F.col("duration_sec")
-    rows = (rows.withColumn("wal_bytes_per_sec", ratio(F.col("wal_bytes"), seconds))
-                .withColumn("wal_write_per_sec", ratio(F.col("wal_write"), seconds))
-                .withColumn("wal_sync_per_sec", ratio(F.col("wal_sync"), seconds))
-                .withColumn("wal_write_duty_pct",
-                            ratio(F.col("wal_write_time").cast("double") / 10, seconds))
-                .withColumn("wal_sync_duty_pct",
-                            ratio(F.col("wal_sync_time").cast("double") / 10, seconds)))
-    columns = [c for c in rows.columns if c not in (*stats.SPAN, "duration_sec")]
-    return _metric_list(_unpivot(rows, columns), intervals)
+    wal = stats.wal_stats(repo, intervals)
+    seconds = "duration_sec"
+    rows = wal.join(spans, list(stats.SPAN), "left").selectExpr(
+        *wal.columns,
+        *[f"{ratio(c, seconds)} AS {c}_per_sec" for c in ("wal_bytes", "wal_write", "wal_sync")],
+        *[f"{ratio(f'CAST({c}_time AS DOUBLE) / 10', seconds)} AS {c}_duty_pct"
+          for c in ("wal_write", "wal_sync")])
+    return _metric_list(rows, [c for c in rows.columns if c not in stats.SPAN], intervals)
 
 
 def tablespace_section(repo: Repository, intervals: list[Interval]) -> DataFrame:
     """Growth of tablespaces and their size at the end sample."""
-    sizes = _at_end(repo.tablespaces, intervals, ("tablespaceid",), {"size": "size"})
+    sizes = _at_end(repo.tablespaces, intervals, ("tablespaceid",), ("size",))
     rows = stats.tablespace_stats(repo, intervals).join(
         sizes, ["interval_no", SERVER, "tablespaceid"], "left")
     values = ("size", "size_delta")
-    rows = rows.select(SERVER, "interval_no", "tablespaceid", "tablespacename",
-                       "tablespacepath", *[F.when(F.col(c) != 0, F.col(c)).alias(c)
-                                           for c in values])
+    names = ("tablespacename", "tablespacepath")
+    rows = rows.selectExpr(SERVER, "interval_no", "tablespaceid", *names,
+                           *null_if_zero(rows, values))
     if len(intervals) == 1:
         return rows.drop("interval_no").select(
             "*", *[size_pretty(F.col(c)).alias(f"{c}_text") for c in values])
-    return side_by_side(rows, ("tablespaceid",), ("tablespacename", "tablespacepath"), values)
+    return side_by_side(rows, ("tablespaceid",), names, values)
 
 
 TEXTS_PER_QUERY = 3
@@ -578,7 +550,7 @@ def statement_texts(repo: Repository, intervals: list[Interval],
         facts = facts.join(listed, ["datid", "userid", "queryid"], "left_semi")
     pairs = facts.select(SERVER, "queryid", "queryid_md5").distinct()
     texts = pairs.join(repo.stmt_list, [SERVER, "queryid_md5"])
-    order = [F.col("last_sample_id").desc_nulls_first(), F.col("queryid_md5").desc()]
+    order = "last_sample_id DESC NULLS FIRST, queryid_md5 DESC"
     group = [SERVER, "queryid"]
     best = ranked(texts, group, order, ["queryid_md5"], TEXTS_PER_QUERY, out="ord")
     shown = F.col("query") if max_length is None else F.left("query", F.lit(max_length))

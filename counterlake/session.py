@@ -19,6 +19,8 @@ def build_session(master: str | None = None, app: str = "counterlake", **conf: s
         "spark.sql.sources.partitionOverwriteMode": "dynamic",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.enabled": "false",
+        # call sites in error messages cost several round trips per column expression
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
     }
     settings.update(conf)
     for key, value in settings.items():

@@ -15,6 +15,7 @@ import re
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 from counterlake.model import (ARCHIVER_COUNTERS, CLUSTER_COUNTERS, DATABASE_COUNTERS,
                                FUNCTION_COUNTERS, INDEX_COUNTERS, STATEMENT_SUMS,
@@ -380,8 +381,15 @@ def duck_with(sql: str, more: dict[str, str] | None = None) -> str:
     return (f"WITH {ctes}\n" if ctes else "") + _dialect(sql, True)
 
 
+_SCHEMAS: dict[str, StructType] = {}
+
+
 def source(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A driver table; its schema is inferred once per path."""
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
 def relation(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -399,17 +407,22 @@ FACT_NAMES = ("samples", "databases", "tablespaces", "cluster", "wal", "archiver
               "baselines", "bl_samples", "servers")
 
 
-def repository(spark: SparkSession, sf_dir: str, names: Iterable[str] = FACT_NAMES) -> Repository:
+TOTALS = {
+    "table_totals": (lambda r: totals.table_totals(r.tables), ("tables",)),
+    "index_totals": (lambda r: totals.index_totals(r.indexes), ("indexes",)),
+    "function_totals": (lambda r: totals.function_totals(r.functions), ("functions",)),
+    "statement_totals": (lambda r: totals.statement_totals(r.statements, r.databases),
+                         ("statements", "databases")),
+    "usage_totals": (lambda r: totals.usage_totals(r.usage, r.databases), ("usage", "databases")),
+}
+
+
+def repository(spark: SparkSession, sf_dir: str,
+               names: Iterable[str] = (*FACT_NAMES, *TOTALS)) -> Repository:
     """A repository whose facts are the projected increments of every object."""
-    repo = Repository(**{n: relation(spark, sf_dir, n) for n in names})
-    if repo.tables is not None:
-        repo.table_totals = totals.table_totals(repo.tables)
-    if repo.indexes is not None:
-        repo.index_totals = totals.index_totals(repo.indexes)
-    if repo.functions is not None:
-        repo.function_totals = totals.function_totals(repo.functions)
-    if repo.statements is not None and repo.databases is not None:
-        repo.statement_totals = totals.statement_totals(repo.statements, repo.databases)
-    if repo.usage is not None and repo.databases is not None:
-        repo.usage_totals = totals.usage_totals(repo.usage, repo.databases)
-    return repo
+    names = list(names)
+    wanted = {n for n in names if n not in TOTALS}
+    for name in names:
+        wanted.update(TOTALS[name][1] if name in TOTALS else ())
+    repo = Repository(**{n: relation(spark, sf_dir, n) for n in sorted(wanted)})
+    return repo.with_tables(**{n: TOTALS[n][0](repo) for n in names if n in TOTALS})

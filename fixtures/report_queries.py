@@ -24,11 +24,13 @@ NEEDS = {
     "indexes": ("indexes", "tables", "databases", "indexes_list", "tables_list",
                 "tablespaces_list"),
     "functions": ("functions", "databases", "funcs_list"),
-    "statements": ("statements", "usage", "databases", "cluster", "roles_list"),
-    "usage": ("usage", "databases", "roles_list"),
-    "statements_db": ("statements", "functions", "databases"),
+    "statements": ("statements", "usage", "databases", "cluster", "roles_list",
+                   "statement_totals"),
+    "usage": ("usage", "databases", "roles_list", "usage_totals"),
+    "statements_db": ("statement_totals", "function_totals", "databases"),
 }
-NEEDS.update(io_tables=NEEDS["tables"], io_indexes=NEEDS["indexes"],
+NEEDS.update(io_tables=(*NEEDS["tables"], "table_totals"),
+             io_indexes=(*NEEDS["indexes"], "table_totals"),
              trigger_functions=NEEDS["functions"], tables_at_end=NEEDS["tables"],
              statements_by_text=NEEDS["statements"], usage_by_text=NEEDS["usage"])
 
