@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -28,16 +31,32 @@ def build_session(master: str | None = None, app: str = "counterlake", **conf: s
     return builder.getOrCreate()
 
 
-def cut_lineage(df: DataFrame, fallback_dir: str | None = None) -> DataFrame:
-    """Reliable checkpoint into the shared folder named by ``spark.checkpoint.dir``.
+_FOLDERS: dict[str, str] = {}
+
+
+def work_folder(spark: SparkSession) -> str:
+    """A folder of this application for intermediate tables.
+
+    It lies in the shared folder that the session names in ``spark.checkpoint.dir``. Only a
+    local session without that setting gets a temporary folder of its own.
+    """
+    app = spark.sparkContext.applicationId
+    if app not in _FOLDERS:
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if base is None:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+            base = tempfile.mkdtemp(prefix="counterlake-")
+        _FOLDERS[app] = f"{base}/counterlake-{app}-{uuid.uuid4().hex[:8]}"
+    return _FOLDERS[app]
+
+
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as a table into the work folder and read it back.
 
-    ``fallback_dir`` is only used where the session names no folder (tests).
+    Several plans can then share the result, their lineage starts at the table, and a lost
+    executor costs nothing but a re-read.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None) or fallback_dir
-        if folder is None:
-            raise ValueError("spark.checkpoint.dir is not set and no fallback folder was given")
-        context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    path = f"{work_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex[:8]}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -21,6 +21,7 @@ from counterlake.model import (ARCHIVER_COUNTERS, CLUSTER_COUNTERS, DATABASE_COU
                                FUNCTION_COUNTERS, INDEX_COUNTERS, STATEMENT_SUMS,
                                TABLE_COUNTERS, USAGE_SUMS, WAL_COUNTERS, Repository)
 from counterlake.operators import totals
+from counterlake.session import materialise
 
 TICKS = 30
 PAGE = 65536
@@ -392,8 +393,8 @@ def source(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
-def relation(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One relation as a Spark DataFrame."""
+def derive(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One relation as a lazy DataFrame over the driver's tables."""
     sql = f"SELECT * FROM {name}"
     ctes = ",\n".join(f"{n} AS ({_dialect(REL[n], False)})" for n in closure(sql, REL))
     text = f"WITH {ctes}\n{sql}"
@@ -401,6 +402,18 @@ def relation(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(text, **used)
 
 
+_STORED: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def relation(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One relation as a stored table: derived and written by Spark on first use in a session,
+    as a repository keeps its tables."""
+    at = (spark.sparkContext.applicationId, sf_dir, name)
+    if at not in _STORED:
+        _STORED[at] = materialise(derive(spark, sf_dir, name), name)
+    return _STORED[at]
+
+
 FACT_NAMES = ("samples", "databases", "tablespaces", "cluster", "wal", "archiver", "waits",
               "tables", "indexes", "functions", "statements", "usage", "tables_list",
               "indexes_list", "funcs_list", "roles_list", "tablespaces_list", "stmt_list",
