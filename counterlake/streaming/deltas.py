@@ -24,6 +24,9 @@ class _LastRow(StatefulProcessor):
 
     def __init__(self, columns: Sequence[str], schema: T.StructType, ttl_ms: int | None) -> None:
         self.columns, self.state_schema, self.ttl_ms = list(columns), schema, ttl_ms
+        # pandas turns whole numbers with NULLs into floats and times into its own type; the
+        # state keeps plain values of its schema
+        self.whole = {f.name for f in schema.fields if isinstance(f.dataType, T.IntegralType)}
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.last = handle.getValueState("last", self.state_schema, self.ttl_ms)
@@ -50,7 +53,7 @@ class _LastRow(StatefulProcessor):
         frame = pd.concat(batches) if len(batches) > 1 else batches[0]
         frame = frame.astype(object).where(frame.notna(), None).sort_values(TICK, kind="stable")
         previous, out = self._load(), []
-        for row in frame.to_dict("records"):
+        for row in map(self._plain, frame.to_dict("records")):
             if previous is not None and row[TICK] <= previous[TICK]:
                 self._count_late(1)
                 continue
@@ -62,6 +65,16 @@ class _LastRow(StatefulProcessor):
         if out:
             yield pd.DataFrame(out)
 
+    def _plain(self, row: dict) -> dict:
+        out = {}
+        for name, value in row.items():
+            if value is not None and name in self.whole:
+                value = int(value)
+            elif isinstance(value, pd.Timestamp):
+                value = value.to_pydatetime()
+            out[name] = value
+        return out
+
     def step(self, previous: dict | None, row: dict) -> tuple[dict | None, dict]:
         raise NotImplementedError
 
