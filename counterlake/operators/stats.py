@@ -349,9 +349,10 @@ def top_functions(repo: Repository, intervals: list[Interval], trigger: bool = F
 def pooled_moments(mean: str, stddev: str, weight: str) -> tuple[str, str]:
     """SQL aggregates for the mean and population standard deviation of merged groups."""
     n = f"nullif(CAST(sum({weight}) AS DOUBLE), 0D)"
-    merged = f"sum({mean} * {weight}) / {n}"
-    square = f"sum((power({stddev}, 2) + power({mean}, 2)) * {weight}) / {n}"
-    return merged, f"sqrt(greatest({square} - power({merged}, 2), 0D))"
+    merged = f"(sum({mean} * {weight}) / {n})"
+    square = f"sum(({stddev} * {stddev} + {mean} * {mean}) * {weight}) / {n}"
+    # products instead of power(): exact rounding, and no library call per row
+    return merged, f"sqrt(greatest({square} - {merged} * {merged}, 0D))"
 
 
 _TOTALLED = ("blk_read_time", "blk_write_time", "shared_blks_hit", "shared_blks_read",
