@@ -22,6 +22,8 @@ SHARE = 1.5
 CAP = 2
 #: Hexadecimal digits of the hash by level: 4,096 buckets, then 4,096 in the boundary bucket, and again.
 LEVELS = (3, 3, 3)
+#: Up to so many sources' thresholds are sent to every task; more are joined.
+SENT_SOURCES = 100_000
 
 
 def sizes(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", seed: str = "mix") -> DataFrame:
@@ -98,8 +100,10 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     """doc_id, source, size, source_size, target, copies, taken (size * copies)."""
     sized = stored(sizes(docs, key, text, source, seed), "mix-sizes")
     aims = stored(targets(sized, weights, share), "mix-targets")
-    plan = aims.join(thresholds(sized, aims).withColumnRenamed("source", "_source"),
-                     F.col("_source").eqNullSafe(F.col("source"))).drop("_source").withColumnRenamed("source", "_source")
-    return sized.join(plan, F.col("_source").eqNullSafe(F.col("source"))).selectExpr(
+    plan = stored(aims.join(thresholds(sized, aims).withColumnRenamed("source", "_source"),
+                     F.col("_source").eqNullSafe(F.col("source"))).drop("_source").withColumnRenamed("source", "_source"), "mix-plan")
+    # a row a source: sent to all tasks if there are few, so that a hot source's rows stay where they are
+    few = plan.count() <= SENT_SOURCES
+    return sized.join(F.broadcast(plan) if few else plan, F.col("_source").eqNullSafe(F.col("source"))).selectExpr(
         "doc_id", "source", "size", "source_size", "target",
         "whole + CASE WHEN hash < below THEN 1L ELSE 0L END AS copies").selectExpr("*", "size * copies AS taken")

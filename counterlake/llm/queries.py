@@ -7,7 +7,7 @@ import re
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from counterlake.llm import bpe, mixing, repair, rules, secrets
+from counterlake.llm import bpe, forest, jaccard, mixing, repair, rules, secrets, slots
 from counterlake.llm.store import documents, stored
 
 
@@ -22,11 +22,23 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.components(documents(spark, sf_dir))
+
+
+def op5_slot_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return slots.place(documents(spark, sf_dir))
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select(
         "doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op7_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest.neighbours(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(documents(spark, sf_dir))
 
@@ -136,7 +148,10 @@ FROM documents d LEFT JOIN counts c USING (doc_id) LEFT JOIN every e USING (doc_
 QUERIES = {
     "op1_repair_tokens": op1_repair_tokens,
     "op2_quality_rules": op2_quality_rules,
+    "op3_jaccard_join": op3_jaccard_join,
+    "op5_slot_shards": op5_slot_shards,
     "op6_mix_sources": op6_mix_sources,
+    "op7_projection_forest": op7_projection_forest,
     "op9_secret_scan": op9_secret_scan,
     "op10_byte_bpe": op10_byte_bpe,
 }
