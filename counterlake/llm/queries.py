@@ -7,7 +7,7 @@ import re
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from counterlake.llm import bpe, forest, jaccard, mixing, repair, rules, secrets, slots
+from counterlake.llm import bpe, forest, gam, jaccard, mixing, repair, rules, secrets, slots, toxicity
 from counterlake.llm.store import documents, stored
 
 
@@ -26,6 +26,10 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.components(documents(spark, sf_dir))
 
 
+def op4_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gam.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op5_slot_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return slots.place(documents(spark, sf_dir))
 
@@ -39,6 +43,10 @@ def op7_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forest.neighbours(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(documents(spark, sf_dir))
 
@@ -149,9 +157,11 @@ QUERIES = {
     "op1_repair_tokens": op1_repair_tokens,
     "op2_quality_rules": op2_quality_rules,
     "op3_jaccard_join": op3_jaccard_join,
+    "op4_quality_gam": op4_quality_gam,
     "op5_slot_shards": op5_slot_shards,
     "op6_mix_sources": op6_mix_sources,
     "op7_projection_forest": op7_projection_forest,
+    "op8_toxicity": op8_toxicity,
     "op9_secret_scan": op9_secret_scan,
     "op10_byte_bpe": op10_byte_bpe,
 }

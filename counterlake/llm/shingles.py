@@ -13,6 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 WORDS = 5
+RUN_BYTES = 300_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -37,44 +38,73 @@ def mixed(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
+def runs(texts: pa.Array) -> Iterator[pa.Array]:
+    """The column in runs of about RUN_BYTES, which stay in the processor's caches."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+    low = 0
+    while low < len(texts):
+        high = max(low + 1, int(np.searchsorted(sizes, (sizes[low - 1] if low else 0) + RUN_BYTES, "right")))
+        yield texts.slice(low, high - low)
+        low = high
+
+
 def distinct(x: np.ndarray) -> np.ndarray:
     """Sorted distinct values (faster here than numpy's own for short arrays)."""
     x = np.sort(x)
     return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
 
 
+class Spans:
+    """Runs of bytes outside ``breaks`` in a column of texts (null: none): starts, ends, runs of each text, and hashes."""
+
+    def __init__(self, texts: pa.Array, breaks: np.ndarray = _BREAK):
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + len(texts) + 1]
+        data = texts.buffers()[2]
+        self.raw = np.frombuffer(data, np.uint8)[offsets[0]:offsets[-1]] if data is not None else np.zeros(0, np.uint8)
+        self.offsets = offsets - offsets[0]
+        inside = ~breaks[self.raw]
+        first, last = inside.copy(), inside.copy()
+        first[1:] &= ~inside[:-1]
+        last[:-1] &= ~inside[1:]
+        borders = self.offsets[(self.offsets > 0) & (self.offsets < len(self.raw))]  # no run reaches over two texts
+        first[borders] = inside[borders]
+        last[borders - 1] = inside[borders - 1]
+        self.starts, self.ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+        self.counts = np.diff(np.searchsorted(self.starts, self.offsets))
+        with np.errstate(over="ignore"):
+            self.sums = np.zeros(len(self.raw) + 1, np.uint64)
+            np.cumsum((_LOWER[self.raw].astype(np.uint64) + np.uint64(1)) * _powers(_BASE, len(self.raw)), out=self.sums[1:])
+            self.scale = _powers(_INVERSE, len(self.raw))
+
+    def hashes(self, starts: np.ndarray | None = None, ends: np.ndarray | None = None) -> np.ndarray:
+        """Of the runs, or of other ranges of bytes; A-Z count as a-z."""
+        starts, ends = self.starts if starts is None else starts, self.ends if ends is None else ends
+        with np.errstate(over="ignore"):
+            value = (self.sums[ends] - self.sums[starts]) * self.scale[starts]
+            return mixed(value + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words in order, and the number of words of each text (null: none)."""
-    texts = pc.fill_null(texts.cast(pa.large_string()), "")
-    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + len(texts) + 1]
-    data = texts.buffers()[2]
-    raw = np.frombuffer(data, np.uint8)[offsets[0]:offsets[-1]] if data is not None else np.zeros(0, np.uint8)
-    offsets = offsets - offsets[0]
-    inside = ~_BREAK[raw]
-    first, last = inside.copy(), inside.copy()
-    first[1:] &= ~inside[:-1]
-    last[:-1] &= ~inside[1:]
-    borders = offsets[(offsets > 0) & (offsets < len(raw))]  # a word never reaches over two texts
-    first[borders] = inside[borders]
-    last[borders - 1] = inside[borders - 1]
-    starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
-    counts = np.diff(np.searchsorted(starts, offsets))
+    spans = Spans(texts)
+    return spans.hashes(), spans.counts
+
+
+def rolled_windows(hashes: np.ndarray, words: int = WORDS) -> np.ndarray:
+    """The hash of every window of words, over the whole batch; windows over two texts are the caller's to leave out."""
+    out = np.zeros(max(0, len(hashes) - words + 1), np.uint64)
     with np.errstate(over="ignore"):
-        sums = np.zeros(len(raw) + 1, np.uint64)
-        np.cumsum((_LOWER[raw].astype(np.uint64) + np.uint64(1)) * _powers(_BASE, len(raw)), out=sums[1:])
-        value = (sums[ends] - sums[starts]) * _powers(_INVERSE, len(raw))[starts]
-        return mixed(value + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), counts
+        for k in range(words if len(out) else 0):
+            out = mixed(out * np.uint64(0xC2B2AE3D27D4EB4F) + hashes[k:len(hashes) - words + 1 + k])
+    return out
 
 
 def shingle_sets(texts: pa.Array, words: int = WORDS) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
     hashes, counts = word_hashes(texts)
     with np.errstate(over="ignore"):
-        total = len(hashes)
-        rolled = np.zeros(max(0, total - words + 1), np.uint64)
-        for k in range(words):
-            rolled = mixed(rolled * np.uint64(0xC2B2AE3D27D4EB4F) + hashes[k:total - words + 1 + k]) if len(rolled) else rolled
-        low = 0
+        rolled, low = rolled_windows(hashes, words), 0
         for n in counts.tolist():
             if n >= words:
                 yield distinct(rolled[low:low + n - words + 1])
