@@ -38,7 +38,7 @@ def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
 
     Weights repeat over the sources in order. The budget is filled like water: a source is full when its level reaches
     cap * size / weight, so the full ones come first in that order, and the first level below the next source's bound is
-    the level of the rest. One row per source is windowed, not rows.
+    the level of the rest (levels only fall from there on, so it is the largest that fits). One row per source is windowed, not rows.
     """
     by_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     order = W.orderBy(F.col("source").asc_nulls_last())
@@ -52,7 +52,7 @@ def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
               .withColumn("open", F.sum("weight").over(by_bound.rowsBetween(0, W.unboundedFollowing)))
               .withColumn("budget", F.sum("source_size").over(whole) * share)
               .withColumn("level", F.expr("(budget - coalesce(full, 0)) / open"))
-              .withColumn("common", F.min(F.expr("CASE WHEN level <= bound THEN level END")).over(whole)))
+              .withColumn("common", F.max(F.expr("CASE WHEN level <= bound THEN level END")).over(whole)))
     return filled.select("source", "source_size", F.expr(
         f"CASE WHEN common IS NULL THEN CAST({cap} * source_size AS DOUBLE)"
         f" ELSE least(CAST({cap} * source_size AS DOUBLE), weight * common) END").alias("target"))

@@ -97,7 +97,7 @@ f AS (SELECT *, coalesce(sum({mixing.CAP} * source_size) OVER (ORDER BY bound, p
     PRECEDING), 0) AS filled, sum(weight) OVER (ORDER BY bound, place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS
     remaining, CAST(sum(source_size) OVER () AS DOUBLE) * {mixing.SHARE} AS budget FROM b),
 l AS (SELECT *, (budget - CAST(filled AS DOUBLE)) / CAST(remaining AS DOUBLE) AS lev FROM f),
-c AS (SELECT *, min(CASE WHEN lev <= bound THEN lev END) OVER () AS common FROM l),
+c AS (SELECT *, max(CASE WHEN lev <= bound THEN lev END) OVER () AS common FROM l),
 t AS (SELECT source, source_size, CASE WHEN common IS NULL THEN CAST({mixing.CAP} * source_size AS DOUBLE)
     ELSE least(CAST({mixing.CAP} * source_size AS DOUBLE), weight * common) END AS target FROM c),
 r AS (SELECT *, CASE WHEN source_size = 0 THEN 0 ELSE least(2, CAST(floor(target / source_size) AS BIGINT)) END AS whole FROM t),
