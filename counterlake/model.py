@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Sequence
 from dataclasses import dataclass, field, fields, replace
 
@@ -139,21 +140,29 @@ class Interval:
         return F.expr(self.sql(tick, closed))
 
 
+def scan(df: DataFrame, intervals: list[Interval], closed: bool = False) -> DataFrame:
+    """The rows of any interval, read from no other tick blocks than theirs.
+
+    Every reader of facts starts here, before it selects columns: the block column is the partition column of a stored
+    table, and is gone afterwards.
+    """
+    if TICK_BLOCK in df.columns:
+        size = Repository.TICKS_PER_PARTITION
+        blocks = " OR ".join(f"{TICK_BLOCK} BETWEEN {i.start // size} AND {i.end // size}" for i in intervals)
+        df = df.filter(blocks).drop(TICK_BLOCK)
+    return df.filter(" OR ".join(i.sql(closed=closed) for i in intervals))
+
+
 def tag_intervals(df: DataFrame, intervals: list[Interval], closed: bool = False) -> DataFrame:
     """Keep rows of any interval and add ``interval_no`` (1-based), reading the facts once.
 
     A row that lies in two overlapping intervals is emitted once per interval.
     """
-    within = [i.sql(closed=closed) for i in intervals]
-    if TICK_BLOCK in df.columns:  # prune the tick ranges written by Repository.save
-        low = min(i.start for i in intervals) // Repository.TICKS_PER_PARTITION
-        high = max(i.end for i in intervals) // Repository.TICKS_PER_PARTITION
-        df = df.filter(f"{TICK_BLOCK} BETWEEN {low} AND {high}").drop(TICK_BLOCK)
+    df, within = scan(df, intervals, closed), [i.sql(closed=closed) for i in intervals]
     if len(intervals) == 1:
-        return df.filter(within[0]).selectExpr("*", "1 AS interval_no")
+        return df.selectExpr("*", "1 AS interval_no")
     numbers = ", ".join(f"CASE WHEN {c} THEN {n} END" for n, c in enumerate(within, 1))
-    return df.filter(" OR ".join(within)).selectExpr(
-        "*", f"explode(array_compact(array({numbers}))) AS interval_no")
+    return df.selectExpr("*", f"explode(array_compact(array({numbers}))) AS interval_no")
 
 
 @dataclass
@@ -202,22 +211,51 @@ class Repository:
     def with_tables(self, **tables: DataFrame) -> "Repository":
         return replace(self, **tables)
 
-    def save(self, path: str, mode: str = "overwrite") -> None:
-        """Write facts in ranges of ticks, sorted so that parquet min/max prunes servers."""
+    def save(self, path: str) -> None:
+        """Write every table as it is now: facts in ranges of ticks, sorted so that parquet min/max prunes servers.
+
+        Each table becomes a new version folder; the version files, written last, name the folders that count. Ticks or rows
+        that the repository no longer has are therefore gone for every later reader, tables may be saved over the folder
+        that they were loaded from, and a failed save changes nothing. ``vacuum`` removes old versions.
+        """
+        spark = next(iter(self.present().values())).sparkSession
+        version = f"v{time.time_ns()}"
         for name, df in self.present().items():
-            target = f"{path}/{name}"
+            target = f"{path}/{name}/{version}"
             if name in self.FACTS or name == "samples":
                 block = F.floor(F.col(TICK) / self.TICKS_PER_PARTITION).cast("int")
                 (df.withColumn(TICK_BLOCK, block)
                    .repartitionByRange(TICK_BLOCK, SERVER, TICK)
                    .sortWithinPartitions(TICK_BLOCK, SERVER, TICK)
-                   .write.mode(mode).partitionBy(TICK_BLOCK).parquet(target))
+                   .write.partitionBy(TICK_BLOCK).parquet(target))
             else:
-                df.write.mode(mode).parquet(target)
+                df.write.parquet(target)
+        names = sorted(self.present())
+        spark.createDataFrame([(n, version) for n in names], "name string, version string").coalesce(1).write.mode(
+            "append").parquet(f"{path}/_versions")
+
+    @staticmethod
+    def versions(spark: SparkSession, path: str) -> dict[str, str]:
+        """The newest version of each table."""
+        rows = spark.read.schema("name string, version string").parquet(f"{path}/_versions")
+        return {r.name: r.version for r in rows.groupBy("name").agg(F.max("version").alias("version")).collect()}
+
+    @classmethod
+    def vacuum(cls, spark: SparkSession, path: str) -> None:
+        """Delete the folders of versions that no longer count (no reader may be open on them)."""
+        kept = cls.versions(spark, path)
+        jvm, root = spark._jvm, spark._jvm.org.apache.hadoop.fs.Path(path)
+        files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+        for name, version in kept.items():
+            for status in files.listStatus(jvm.org.apache.hadoop.fs.Path(root, name)):
+                if status.getPath().getName() != version:
+                    files.delete(status.getPath(), True)
 
     @classmethod
-    def load(cls, spark: SparkSession, path: str, names: list[str]) -> "Repository":
-        return cls(**{name: spark.read.parquet(f"{path}/{name}") for name in names})
+    def load(cls, spark: SparkSession, path: str, names: list[str] | None = None) -> "Repository":
+        """The newest version of the named tables, or of all."""
+        found = cls.versions(spark, path)
+        return cls(**{n: spark.read.parquet(f"{path}/{n}/{found[n]}") for n in (names or found)})
 
 
 def duplicate_keys(df: DataFrame, keys: tuple[str, ...] | list[str]) -> DataFrame:

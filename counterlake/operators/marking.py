@@ -6,13 +6,24 @@ broken by the object key, which makes the selection deterministic.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from counterlake.model import SERVER, STATEMENT_KEY, TICK
+from counterlake.model import INDEXES, SERVER, STATEMENT_KEY, TABLES, TICK, SnapshotSpec
+from counterlake.operators.delta import counter_delta
 from counterlake.operators.topk import Metric, top_keys
 
 TICK_GROUP = (SERVER, TICK)
+_BLOCK_KINDS = ("heap", "idx", "toast", "tidx")
+
+
+def _present(columns: Iterable[str]) -> str:
+    """SQL: the sum of the columns that are not NULL."""
+    return " + ".join(f"coalesce({c}, 0)" for c in columns)
+
 
 FUNCTION_METRICS = (
     Metric("total_time", "total_time", exact=False),
@@ -28,16 +39,17 @@ INDEX_METRICS = (
 TABLE_METRICS = (
     Metric("scanned", "cast(seq_scan AS double) * relsize"
            " + coalesce(cast(side.seq_scan AS double) * side.relsize, 0)", exact=False),
-    Metric("dml", "n_tup_ins + n_tup_upd + n_tup_del"
-           " + coalesce(side.n_tup_ins + side.n_tup_upd + side.n_tup_del, 0)"),
-    Metric("upd_del", "n_tup_upd + n_tup_del + coalesce(side.n_tup_upd + side.n_tup_del, 0)"),
+    Metric("dml", "n_tup_ins + n_tup_upd + n_tup_del + "
+           + _present(f"side.n_tup_{c}" for c in ("ins", "upd", "del"))),
+    Metric("upd_del", "n_tup_upd + n_tup_del + "
+           + _present(f"side.n_tup_{c}" for c in ("upd", "del"))),
     Metric("dead_ratio", "cast(n_dead_tup AS double) / nullif(n_live_tup + n_dead_tup, 0)",
            exact=False),
     Metric("mod_ratio", "cast(n_mod_since_analyze AS double) / nullif(n_live_tup, 0)",
            exact=False),
-    Metric("read", "heap_blks_read + idx_blks_read + toast_blks_read + tidx_blks_read"),
-    Metric("gets", "heap_blks_read + heap_blks_hit + idx_blks_read + idx_blks_hit"
-           " + toast_blks_read + toast_blks_hit + tidx_blks_read + tidx_blks_hit"),
+    # a table without index or side table has no such counters: absent parts count as nothing
+    Metric("read", _present(f"{k}_blks_read" for k in _BLOCK_KINDS)),
+    Metric("gets", _present(f"{k}_blks_{how}" for k in _BLOCK_KINDS for how in ("read", "hit"))),
     Metric("vacuum", "vacuum_count + autovacuum_count"),
     Metric("analyze", "analyze_count + autoanalyze_count"),
 )
@@ -94,10 +106,20 @@ def mark_indexes(index_deltas: DataFrame, table_deltas: DataFrame, index_snapsho
     return top_keys(rows, TICK_GROUP, ("datid", "indexrelid"), INDEX_METRICS, topn)
 
 
-def mark_growing_indexes(epochless_deltas: DataFrame, topn: int) -> DataFrame:
+def _growth(snapshots: DataFrame, databases: DataFrame, spec: SnapshotSpec) -> DataFrame:
+    """Growth of sizes and pages since the previous tick, whatever resets the owner had.
+
+    The difference of two measured states needs no epoch. Rows of databases that are gone at their tick are left out.
+    """
+    known = in_known_databases(snapshots, databases)
+    return counter_delta(known, replace(spec, epoch=None, owner=()))
+
+
+def mark_growing_indexes(index_snapshots: DataFrame, databases: DataFrame, topn: int) -> DataFrame:
     """Indexes within topn by growth; growth is measured across epoch changes."""
-    rows = (epochless_deltas.withColumn("growth", F.col("relsize_diff"))
-                            .withColumn("page_growth", F.col("relpages_bytes_diff")))
+    rows = (_growth(index_snapshots, databases, INDEXES)
+            .withColumn("growth", F.col("relsize_diff"))
+            .withColumn("page_growth", F.col("relpages_bytes_diff")))
     return top_keys(rows, TICK_GROUP, ("datid", "indexrelid"), GROWTH_METRICS, topn)
 
 
@@ -127,9 +149,10 @@ def mark_tables(deltas: DataFrame, topn: int) -> DataFrame:
                                  TABLE_METRICS, topn))
 
 
-def mark_growing_tables(epochless_deltas: DataFrame, topn: int) -> DataFrame:
+def mark_growing_tables(table_snapshots: DataFrame, databases: DataFrame, topn: int) -> DataFrame:
     """Tables within topn by growth including the side table, measured across epoch changes."""
-    rows = with_side_table(epochless_deltas, ("relsize_diff", "relpages_bytes_diff"))
+    deltas = _growth(table_snapshots, databases, TABLES)
+    rows = with_side_table(deltas, ("relsize_diff", "relpages_bytes_diff"))
     rows = (rows.withColumn("side_relid", F.col("side.relid"))
                 .withColumn("growth", F.expr("relsize_diff + coalesce(side.relsize_diff, 0)"))
                 .withColumn("page_growth", F.expr(

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from counterlake.functions.text import short_hash
 from counterlake.model import (DATABASE_COUNTERS, SERVER, STATEMENT_SUMS, TICK, TICK_BLOCK,
                                USAGE_FIELDS, USAGE_SUMS, Interval, Repository, grouped, pct,
-                               ratio, sums, tag_intervals, zero)
+                               ratio, scan, sums, tag_intervals, zero)
 from counterlake.operators.availability import SESSION_COLUMNS
 
 SPAN = ("interval_no", SERVER)
@@ -31,13 +31,30 @@ def in_seconds(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.selectExpr(*[f"{_seconds(c)} AS {c}" if c in columns else c for c in df.columns])
 
 
-def _with_database(rows: DataFrame, repo: Repository, user_only: bool = False,
-                   how: str = "inner") -> DataFrame:
-    """Rows with the name (and epoch) of their database; ``user_only`` drops templates."""
-    names = repo.databases.filter("NOT datistemplate") if user_only else repo.databases
-    names = names.selectExpr(SERVER, TICK, "datid", "datname AS dbname",
-                             "stats_reset AS db_epoch")
-    return rows.join(names, [SERVER, TICK, "datid"], how)
+def _with_database(rows: DataFrame, repo: Repository, intervals: list[Interval],
+                   user_only: bool = False, how: str = "inner") -> DataFrame:
+    """Rows with the epoch of their database at their tick; ``user_only`` leaves templates out.
+
+    The database side holds numbers only and the ticks of the intervals only.
+    """
+    known = scan(repo.databases, intervals, closed=True)
+    if user_only:
+        known = known.filter("NOT datistemplate")
+    known = known.selectExpr(SERVER, TICK, "datid", "stats_reset AS db_epoch",
+                             "true AS in_database")
+    return rows.join(known, [SERVER, TICK, "datid"], how)
+
+
+def _database_names(found: DataFrame, repo: Repository, intervals: list[Interval]) -> DataFrame:
+    """Adds dbname, the name at the database's newest sample in the interval.
+
+    Names meet aggregated rows only: strings in an aggregation buffer would force sorting.
+    """
+    rows = tag_intervals(repo.databases, intervals).selectExpr(*SPAN, TICK, "datid",
+                                                               "datname AS dbname")
+    newest = grouped(rows, (*SPAN, "datid"), [f"max({TICK}) AS {TICK}"])
+    names = rows.join(newest, [*SPAN, "datid", TICK]).drop(TICK)
+    return found.join(names, [*SPAN, "datid"])
 
 
 # --- databases, cluster, WAL, tablespaces, waits -----------------------------------------
@@ -71,13 +88,14 @@ def cluster_stats(repo: Repository, intervals: list[Interval]) -> DataFrame:
     """Sums of cluster activity with those of the archiver over the same samples."""
     other = (SERVER, TICK, TICK_BLOCK, "stats_reset", "epoch_restarted")
     own = [c for c in repo.cluster.columns if c not in other]
-    rows = repo.cluster.select(SERVER, TICK, *own)
+    rows = tag_intervals(repo.cluster, intervals).select(*SPAN, TICK, *own)
     both = ("archived_count", "failed_count")
     if repo.archiver is not None:
-        rows = rows.join(repo.archiver.select(SERVER, TICK, *both), [SERVER, TICK], "left")
+        archived = scan(repo.archiver, intervals).select(SERVER, TICK, *both)
+        rows = rows.join(archived, [SERVER, TICK], "left")
     else:
         rows = rows.selectExpr("*", *[f"CAST(NULL AS BIGINT) AS {c}" for c in both])
-    return grouped(tag_intervals(rows, intervals), SPAN, sums((*own, *both)))
+    return grouped(rows, SPAN, sums((*own, *both)))
 
 
 def wal_stats(repo: Repository, intervals: list[Interval]) -> DataFrame:
@@ -152,47 +170,38 @@ def top_tables(repo: Repository, intervals: list[Interval]) -> DataFrame:
     based; scanned bytes are size based if a size exists for every tick with scans. Tablespace
     and side table are those of the newest sample.
     """
-    facts = repo.tables.filter("relkind IN ('r', 'm')").select(
-        SERVER, TICK, "datid", "relid", "tablespaceid", "reltoastrelid", *TABLE_SUMS, *SIZES)
-    side = repo.tables.selectExpr(
+    facts = tag_intervals(repo.tables, intervals, closed=True).filter(
+        "relkind IN ('r', 'm')").select(*SPAN, TICK, "datid", "relid", "tablespaceid",
+                                        "reltoastrelid", *TABLE_SUMS, *SIZES)
+    side = scan(repo.tables, intervals, closed=True).filter("relkind = 't'").selectExpr(
         SERVER, TICK, "datid", "relid AS reltoastrelid",
-        *[f"{c} AS side_{c}" for c in (*TABLE_SUMS, *SIZES)], "true AS has_side")
-    rows = tag_intervals(facts, intervals, closed=True).join(
-        side, [SERVER, TICK, "datid", "reltoastrelid"], "left")
-    rows = _with_database(rows, repo, user_only=True, how="left")
-    rows = rows.selectExpr("*", f"({_after_start(intervals)} AND dbname IS NOT NULL) AS _in")
+        *[f"{c} AS of_side_{c}" for c in (*TABLE_SUMS, *SIZES)], "true AS has_side")
+    rows = facts.join(side, [SERVER, TICK, "datid", "reltoastrelid"], "left")
+    rows = _with_database(rows, repo, intervals, user_only=True, how="left")
+    rows = rows.selectExpr("*", f"({_after_start(intervals)} AND in_database IS NOT NULL) AS _in")
 
     def all_sized(scans: str, size: str, out: str) -> str:
         known = f"coalesce({scans}, 0) = 0 OR {size} IS NOT NULL"
         return f"bool_and(CASE WHEN _in THEN {known} END) AS {out}"
 
     found = grouped(rows, (*SPAN, "datid", "relid"), [
-        _latest("dbname"), _latest("tablespaceid"), _latest("reltoastrelid"),
+        _latest("tablespaceid"), _latest("reltoastrelid"),
         *[_inside_sum(c, c) for c in TABLE_SUMS],
-        _inside_sum("relsize_diff", "growth"),
-        *[_inside_sum(f"side_{c}", f"toast{c}") for c in TABLE_SUMS],
-        _inside_sum("side_relsize_diff", "toastgrowth"),
-        _inside_sum("relpages_bytes_diff", "relpagegrowth_bytes"),
-        _inside_sum("side_relpages_bytes_diff", "toastrelpagegrowth_bytes"),
-        _bytes("seq_scan", "relsize", "seqscan_bytes_relsize"),
-        _bytes("seq_scan", "relpages_bytes", "seqscan_bytes_relpages"),
-        all_sized("seq_scan", "relsize", "seqscan_relsize_avail"),
-        _bytes("side_seq_scan", "side_relsize", "t_seqscan_bytes_relsize"),
-        _bytes("side_seq_scan", "side_relpages_bytes", "t_seqscan_bytes_relpages"),
-        all_sized("side_seq_scan", "side_relsize", "t_seqscan_relsize_avail"),
-        f"{_measured_at_both_ends('relsize')} AS relsize_growth_avail",
-        f"{_measured_at_both_ends('side_relsize', 'has_side')} AS relsize_toastgrowth_avail",
+        *[_inside_sum(f"of_side_{c}", f"side_{c}") for c in TABLE_SUMS],
+        *[column for part, out in (("", ""), ("of_side_", "side_")) for column in (
+            _inside_sum(f"{part}relsize_diff", f"{out}growth"),
+            _inside_sum(f"{part}relpages_bytes_diff", f"{out}page_growth"),
+            _bytes(f"{part}seq_scan", f"{part}relsize", f"{out}scan_bytes_by_size"),
+            _bytes(f"{part}seq_scan", f"{part}relpages_bytes", f"{out}scan_bytes_by_pages"),
+            all_sized(f"{part}seq_scan", f"{part}relsize", f"{out}scan_sizes_known"))],
+        f"{_measured_at_both_ends('relsize')} AS ends_sized",
+        f"{_measured_at_both_ends('of_side_relsize', 'has_side')} AS side_ends_sized",
     ], having="count_if(_in) > 0")
-    best = found.selectExpr(
-        "*",
-        _better("relsize_growth_avail", "growth", "relpagegrowth_bytes", "best_growth"),
-        _better("relsize_toastgrowth_avail", "toastgrowth", "toastrelpagegrowth_bytes",
-                "best_toastgrowth"),
-        _better("seqscan_relsize_avail", "seqscan_bytes_relsize", "seqscan_bytes_relpages",
-                "best_seqscan_bytes"),
-        _better("t_seqscan_relsize_avail", "t_seqscan_bytes_relsize",
-                "t_seqscan_bytes_relpages", "best_t_seqscan_bytes"))
-    return table_names(best, repo)
+    best = found.selectExpr("*", *[column for part in ("", "side_") for column in (
+        _better(f"{part}ends_sized", f"{part}growth", f"{part}page_growth", f"best_{part}growth"),
+        _better(f"{part}scan_sizes_known", f"{part}scan_bytes_by_size",
+                f"{part}scan_bytes_by_pages", f"best_{part}scan_bytes"))])
+    return _database_names(table_names(best, repo), repo, intervals)
 
 
 def table_names(rows: DataFrame, repo: Repository) -> DataFrame:
@@ -225,16 +234,17 @@ def top_indexes(repo: Repository, intervals: list[Interval]) -> DataFrame:
 
     The vacuum columns estimate the bytes that vacuums of the table had to read from the index.
     """
-    rows = tag_intervals(repo.indexes.select(
-        SERVER, TICK, "datid", "relid", "indexrelid", "tablespaceid", "indisunique", "idx_scan",
-        "idx_blks_read", "idx_blks_hit", *SIZES), intervals, closed=True)
+    rows = tag_intervals(repo.indexes, intervals, closed=True).select(
+        *SPAN, TICK, "datid", "relid", "indexrelid", "tablespaceid", "indisunique", "idx_scan",
+        "idx_blks_read", "idx_blks_hit", *SIZES)
     changes = ("n_tup_ins", "n_tup_upd", "n_tup_del", "n_tup_hot_upd")
     of_table = (*changes, "vacuum_count", "autovacuum_count", "relsize", "relpages_bytes")
-    owners = repo.tables.selectExpr(SERVER, TICK, "datid", "relid",
-                                    *[f"{c} AS tbl_{c}" for c in of_table], "true AS has_table")
+    owners = scan(repo.tables, intervals, closed=True).selectExpr(
+        SERVER, TICK, "datid", "relid", *[f"{c} AS tbl_{c}" for c in of_table],
+        "true AS has_table")
     rows = _with_database(rows.join(owners, [SERVER, TICK, "datid", "relid"], "left"), repo,
-                          user_only=True, how="left")
-    inside = f"{_after_start(intervals)} AND dbname IS NOT NULL AND has_table IS NOT NULL"
+                          intervals, user_only=True, how="left")
+    inside = f"{_after_start(intervals)} AND in_database IS NOT NULL AND has_table IS NOT NULL"
     rows = rows.selectExpr(
         "*", f"({inside}) AS _in", "coalesce(tbl_vacuum_count, 0) "
         "+ coalesce(tbl_autovacuum_count, 0) AS _vacuums")
@@ -244,31 +254,31 @@ def top_indexes(repo: Repository, intervals: list[Interval]) -> DataFrame:
         return f"CAST(round(avg({value})) AS BIGINT) AS {out}"
 
     found = grouped(rows, (*SPAN, "datid", "relid", "indexrelid"), [
-        _latest("indisunique"), _latest("dbname"), _latest("tablespaceid"),
+        _latest("indisunique"), _latest("tablespaceid"),
         _inside_sum("idx_scan", "idx_scan"),
         _inside_sum("relsize_diff", "growth"),
-        _inside_sum("relpages_bytes_diff", "relpagegrowth_bytes"),
+        _inside_sum("relpages_bytes_diff", "page_growth"),
         *[_inside_sum(f"tbl_{c}", f"tbl_{c}") for c in changes],
         _inside_sum("idx_blks_read", "idx_blks_read"),
         _inside_sum("idx_blks_hit + idx_blks_read", "idx_blks_fetch"),
         _inside_sum("tbl_vacuum_count", "vacuum_count"),
         _inside_sum("tbl_autovacuum_count", "autovacuum_count"),
-        _bytes("_vacuums", "relsize", "vacuum_bytes_relsize"),
-        _bytes("_vacuums", "relpages_bytes", "vacuum_bytes_relpages"),
-        mean_at_vacuum("relsize", "avg_ix_relsize"),
-        mean_at_vacuum("tbl_relsize", "avg_relsize"),
-        mean_at_vacuum("relpages_bytes", "avg_indexrelpages_bytes"),
-        mean_at_vacuum("tbl_relpages_bytes", "avg_relpages_bytes"),
+        _bytes("_vacuums", "relsize", "vacuum_bytes_by_size"),
+        _bytes("_vacuums", "relpages_bytes", "vacuum_bytes_by_pages"),
+        mean_at_vacuum("relsize", "mean_index_size"),
+        mean_at_vacuum("tbl_relsize", "mean_table_size"),
+        mean_at_vacuum("relpages_bytes", "mean_index_pages"),
+        mean_at_vacuum("tbl_relpages_bytes", "mean_table_pages"),
         "count_if(_in AND _vacuums > 0 AND relsize IS NOT NULL) = "
         "count_if(_in AND _vacuums > 0) AS vacuum_sizes_known",
-        f"{_measured_at_both_ends('relsize')} AS relsize_growth_avail",
+        f"{_measured_at_both_ends('relsize')} AS ends_sized",
     ], having="count_if(_in) > 0")
     best = found.selectExpr(
         "*",
-        _better("relsize_growth_avail", "growth", "relpagegrowth_bytes", "best_growth"),
-        _better("vacuum_sizes_known", "vacuum_bytes_relsize", "vacuum_bytes_relpages",
+        _better("ends_sized", "growth", "page_growth", "best_growth"),
+        _better("vacuum_sizes_known", "vacuum_bytes_by_size", "vacuum_bytes_by_pages",
                 "vacuum_bytes"))
-    return _index_names(best, repo)
+    return _database_names(_index_names(best, repo), repo, intervals)
 
 
 def _io_totals(repo: Repository, intervals: list[Interval], null_unless_all: bool) -> DataFrame:
@@ -290,11 +300,11 @@ def top_io_tables(repo: Repository, intervals: list[Interval]) -> DataFrame:
 
     Tables whose database was reset inside the interval are left out.
     """
-    rows = tag_intervals(repo.tables.filter("relkind IN ('r', 'm')"), intervals)
-    rows = _with_database(rows, repo, user_only=True)
+    rows = tag_intervals(repo.tables, intervals).filter("relkind IN ('r', 'm')")
+    rows = _with_database(rows, repo, intervals, user_only=True)
     kinds = ("heap", "idx", "toast", "tidx")
     found = grouped(rows, (*SPAN, "datid", "relid"), [
-        f"max_by(dbname, {TICK}) AS dbname", f"max_by(tablespaceid, {TICK}) AS tablespaceid",
+        f"max_by(tablespaceid, {TICK}) AS tablespaceid",
         *[f"sum({k}_blks_read) AS {k}_blks_read" for k in kinds],
         *[f"coalesce(sum({k}_blks_read), 0) + coalesce(sum({k}_blks_hit), 0) AS {k}_blks_fetch"
           for k in kinds],
@@ -307,13 +317,14 @@ def top_io_tables(repo: Repository, intervals: list[Interval]) -> DataFrame:
           for k in kinds for part in ("read", "fetch")],
         f"{fetched} AS blks_fetch", f"{read} AS blks_read",
         f"{pct(f'({fetched}) - ({read})', fetched)} AS hit_pct")
-    return table_names(out, repo)
+    return _database_names(table_names(out, repo), repo, intervals)
 
 
 def top_io_indexes(repo: Repository, intervals: list[Interval]) -> DataFrame:
-    rows = _with_database(tag_intervals(repo.indexes, intervals), repo, user_only=True)
+    rows = _with_database(tag_intervals(repo.indexes, intervals), repo, intervals,
+                          user_only=True)
     found = grouped(rows, (*SPAN, "datid", "relid", "indexrelid"), [
-        f"max_by(dbname, {TICK}) AS dbname", f"max_by(tablespaceid, {TICK}) AS tablespaceid",
+        f"max_by(tablespaceid, {TICK}) AS tablespaceid",
         *sums(("idx_scan", "idx_blks_read", "idx_blks_hit"))], having=SAME_EPOCH)
     fetched = f"({zero('idx_blks_read')} + {zero('idx_blks_hit')})"
     out = found.join(_io_totals(repo, intervals, True), list(SPAN), "left").selectExpr(
@@ -322,7 +333,7 @@ def top_io_indexes(repo: Repository, intervals: list[Interval]) -> DataFrame:
         f"{pct('idx_blks_read', 'total_read')} AS idx_blks_read_pct",
         f"{pct('idx_blks_hit', fetched)} AS idx_blks_hit_pct",
         f"{pct(fetched, 'total_fetch')} AS idx_blks_fetch_pct")
-    return _index_names(out, repo)
+    return _database_names(_index_names(out, repo), repo, intervals)
 
 
 # --- functions ---------------------------------------------------------------------------
@@ -330,18 +341,17 @@ def top_io_indexes(repo: Repository, intervals: list[Interval]) -> DataFrame:
 def top_functions(repo: Repository, intervals: list[Interval], trigger: bool = False
                   ) -> DataFrame:
     """Calls and times per function, in seconds, with mean times per call."""
-    rows = tag_intervals(repo.functions.filter("trg_fn" if trigger else "NOT trg_fn"), intervals)
-    found = grouped(_with_database(rows, repo, user_only=True), (*SPAN, "datid", "funcid"),
-                    [f"max_by(dbname, {TICK}) AS dbname",
-                     *sums(("calls", "total_time", "self_time"))])
+    rows = tag_intervals(repo.functions, intervals).filter("trg_fn" if trigger else "NOT trg_fn")
+    rows = _with_database(rows, repo, intervals, user_only=True)
+    found = grouped(rows, (*SPAN, "datid", "funcid"), sums(("calls", "total_time", "self_time")))
     out = found.selectExpr(
-        *SPAN, "datid", "funcid", "dbname", "calls",
+        *SPAN, "datid", "funcid", "calls",
         f"{_seconds('total_time')} AS total_time", f"{_seconds('self_time')} AS self_time",
         f"{ratio('total_time', 'calls')} / 1000D AS m_time",
         f"{ratio('self_time', 'calls')} / 1000D AS m_stime")
     names = repo.funcs_list.select(SERVER, "datid", "funcid", "schemaname", "funcname",
                                    "funcargs")
-    return out.join(names, [SERVER, "datid", "funcid"])
+    return _database_names(out.join(names, [SERVER, "datid", "funcid"]), repo, intervals)
 
 
 # --- statements --------------------------------------------------------------------------
@@ -443,11 +453,11 @@ def top_statements(repo: Repository, intervals: list[Interval], by_text: bool =
         output = {c: e for c, e in output.items() if c in columns}
     text = " ".join(output.values())
     rows = _with_database(_by_text_or_id(tag_intervals(repo.statements, intervals), by_text),
-                          repo)
+                          repo, intervals)
     mean_exec, dev_exec = pooled_moments("mean_exec_time", "stddev_exec_time", "calls")
     mean_plan, dev_plan = pooled_moments("mean_plan_time", "stddev_plan_time", "plans")
     st = grouped(rows, (*SPAN, *STATEMENT), [
-        f"max_by(dbname, {TICK}) AS dbname", *sums(STATEMENT_SUMS),
+        *sums(STATEMENT_SUMS),
         *[f"{f}({f}_{p}_time) AS {f}_{p}_time" for p in ("exec", "plan") for f in ("min", "max")],
         f"{mean_exec} AS mean_exec_time", f"{dev_exec} AS stddev_exec_time",
         f"{mean_plan} AS mean_plan_time", f"{dev_plan} AS stddev_plan_time"])
@@ -463,8 +473,8 @@ def top_statements(repo: Repository, intervals: list[Interval], by_text: bool =
         st = st.join(statement_interval_totals(repo, intervals), list(SPAN), "left")
     if any(c in text for c in ("tot_written", "tot_backend", "tot_wal_size")):
         st = st.join(cluster_interval_totals(repo, intervals), list(SPAN), "left")
-    out = st.selectExpr(*SPAN, *STATEMENT, "dbname", *[f"{e} AS {c}" for c, e in output.items()])
-    return _role_names(out, repo)
+    out = st.selectExpr(*SPAN, *STATEMENT, *[f"{e} AS {c}" for c, e in output.items()])
+    return _database_names(_role_names(out, repo), repo, intervals)
 
 
 def _role_names(rows: DataFrame, repo: Repository) -> DataFrame:
@@ -473,21 +483,21 @@ def _role_names(rows: DataFrame, repo: Repository) -> DataFrame:
 
 def top_usage(repo: Repository, intervals: list[Interval], by_text: bool = False) -> DataFrame:
     """Per statement: CPU, IO and fault counts of planning and execution with shares."""
-    rows = _with_database(_by_text_or_id(tag_intervals(repo.usage, intervals), by_text), repo)
-    used = grouped(rows, (*SPAN, *STATEMENT),
-                   [f"max_by(dbname, {TICK}) AS dbname", *sums(USAGE_SUMS)])
+    rows = _with_database(_by_text_or_id(tag_intervals(repo.usage, intervals), by_text), repo,
+                          intervals)
+    used = grouped(rows, (*SPAN, *STATEMENT), sums(USAGE_SUMS))
     totals = grouped(tag_intervals(repo.usage_totals, intervals), SPAN, [
         f"coalesce(sum(exec_{c}), 0) + coalesce(sum(plan_{c}), 0) AS tot_{c}"
         for c in CPU_AND_IO])
     both = {c: f"({zero(f'exec_{c}')} + {zero(f'plan_{c}')})" for c in USAGE_FIELDS}
     out = used.join(totals, list(SPAN), "left").selectExpr(
-        *SPAN, *STATEMENT, "dbname", *USAGE_SUMS,
+        *SPAN, *STATEMENT, *USAGE_SUMS,
         *[f"{pct(both[c], f'tot_{c}')} AS {c}_pct" for c in CPU_AND_IO],
         f"{both['user_time']} + {both['system_time']} AS cpu_time",
         f"{zero('exec_user_time')} + {zero('exec_system_time')} AS exec_cpu_time",
         f"{both['reads']} + {both['writes']} AS io_bytes",
         f"{zero('exec_reads')} + {zero('exec_writes')} AS exec_io_bytes")
-    return _role_names(out, repo)
+    return _database_names(_role_names(out, repo), repo, intervals)
 
 
 STATEMENT_DB_TIMES = ("total_exec_time", "total_plan_time", "blk_read_time", "blk_write_time",
@@ -496,11 +506,13 @@ STATEMENT_DB_TIMES = ("total_exec_time", "total_plan_time", "blk_read_time", "bl
 
 def statements_dbstats_ms(repo: Repository, intervals: list[Interval]) -> DataFrame:
     """Statement totals per database with the time of its trigger functions."""
-    triggers = repo.function_totals.filter("trg_fn").selectExpr(
+    triggers = scan(repo.function_totals, intervals).filter("trg_fn").selectExpr(
         SERVER, TICK, "datid", "total_time AS trg_time")
     rows = tag_intervals(repo.statement_totals, intervals).join(
         triggers, [SERVER, TICK, "datid"], "left")
-    found = grouped(_with_database(rows, repo), (*SPAN, "datid", "dbname"),
+    names = scan(repo.databases, intervals).selectExpr(SERVER, TICK, "datid",
+                                                       "datname AS dbname")
+    found = grouped(rows.join(names, [SERVER, TICK, "datid"]), (*SPAN, "datid", "dbname"),
                     [*sums((*STATEMENT_SUMS, "statements")),
                      "sum(trg_time) AS trg_fn_total_time"])
     return found.selectExpr(

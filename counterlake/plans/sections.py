@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from counterlake.functions.text import short_hash, size_pretty
-from counterlake.model import (SERVER, TICK, Interval, Repository, grouped, pct, ratio, sums,
-                               zero)
+from counterlake.model import (SERVER, TICK, Interval, Repository, grouped, pct, ratio, scan, sums,
+                               tag_intervals, zero)
 from counterlake.operators import stats
 from counterlake.operators.availability import JIT_COUNTS, SESSION_COLUMNS
 from counterlake.operators.intervals import durations
@@ -65,10 +65,12 @@ def _at_end(facts: DataFrame, intervals: list[Interval], key: Sequence[str],
             columns: Sequence[str]
             ) -> DataFrame:
     """Gauges at the last sample of each interval."""
-    cases = " ".join(f"WHEN {i.end} THEN {n}" for n, i in enumerate(intervals, 1))
-    ends = ", ".join(str(i.end) for i in intervals)
-    return facts.filter(f"{TICK} IN ({ends})").selectExpr(
-        f"CASE {TICK} {cases} END AS interval_no", SERVER, *key, *columns)
+    return _ends_of(facts, intervals).selectExpr("interval_no", SERVER, *key, *columns)
+
+
+def _ends_of(facts: DataFrame, intervals: list[Interval]) -> DataFrame:
+    """Rows of the last samples, read from the blocks of those samples only."""
+    return tag_intervals(facts, [Interval(i.end - 1, i.end, i.server_ids) for i in intervals])
 
 
 _SIZE = ("relsize", "relpages_bytes")
@@ -77,7 +79,7 @@ _SIZE = ("relsize", "relpages_bytes")
 def _tables_with_size(repo: Repository, intervals: list[Interval]) -> DataFrame:
     own = _at_end(repo.tables, intervals, ("datid", "relid"), (*_SIZE, "true AS at_end"))
     side = _at_end(repo.tables, intervals, ("datid",),
-                   ("relid AS reltoastrelid", *[f"{c} AS toast{c}" for c in _SIZE]))
+                   ("relid AS reltoastrelid", *[f"{c} AS side_{c}" for c in _SIZE]))
     on = ["interval_no", SERVER, "datid"]
     return (stats.top_tables(repo, intervals).join(own, [*on, "relid"], "left")
             .join(side, [*on, "reltoastrelid"], "left"))
@@ -90,18 +92,18 @@ def _indexes_with_size(repo: Repository, intervals: list[Interval]) -> DataFrame
     return rows.selectExpr("*", "tbl_n_tup_upd - coalesce(tbl_n_tup_hot_upd, 0) AS tbl_n_ind_upd")
 
 
-MIN_LISTED_BYTES = 5 * 1024 * 1024
-
-
-def _tables_at_end(repo: Repository, intervals: list[Interval]) -> DataFrame:
-    """Live, dead and modified rows of sizeable tables at the end of the interval."""
-    users = repo.databases.filter("NOT datistemplate").selectExpr(
-        SERVER, TICK, "datid", "datname AS dbname")
-    facts = repo.tables.filter(f"coalesce(relsize, relpages_bytes) > {MIN_LISTED_BYTES}").join(
-        users, [SERVER, TICK, "datid"])
-    rows = _at_end(facts, intervals, ("datid", "relid"), (
-        "dbname", "tablespaceid", "n_live_tup", "n_dead_tup", "n_mod_since_analyze", *_SIZE,
-        "relkind", "nullif(coalesce(n_live_tup, 0) + coalesce(n_dead_tup, 0), 0) AS n_tup"))
+def tables_at_end(repo: Repository, intervals: list[Interval],
+                  min_bytes: int = 5 * 1024 * 1024) -> DataFrame:
+    """Live, dead and modified rows at the end of the interval, of tables above ``min_bytes``."""
+    users = _ends_of(repo.databases, intervals).filter("NOT datistemplate").selectExpr(
+        "interval_no", SERVER, "datid", "datname AS dbname")
+    facts = _ends_of(repo.tables, intervals).filter(
+        f"coalesce(relsize, relpages_bytes) > {min_bytes}").join(
+        users, ["interval_no", SERVER, "datid"])
+    rows = facts.selectExpr(
+        "interval_no", SERVER, "datid", "relid", "dbname", "tablespaceid", "n_live_tup",
+        "n_dead_tup", "n_mod_since_analyze", *_SIZE, "relkind",
+        "nullif(coalesce(n_live_tup, 0) + coalesce(n_dead_tup, 0), 0) AS n_tup")
     rows = rows.selectExpr("*", "n_dead_tup * 100 div n_tup AS dead_pct",
                            "n_mod_since_analyze * 100 div n_tup AS mods_pct").drop("n_tup")
     return stats.table_names(rows, repo)
@@ -127,7 +129,7 @@ RELATIONS: dict[str, Relation] = {
     "functions": stats.top_functions,
     "trigger_functions": lambda r, i: stats.top_functions(r, i, trigger=True),
     "waits": _wait_shares,
-    "tables_at_end": _tables_at_end,
+    "tables_at_end": tables_at_end,
 }
 
 
@@ -142,7 +144,7 @@ INDEX_LABELS = (*TABLE_LABELS, "indexrelname")
 FUNC = ("datid", "funcid")
 FUNC_LABELS = ("dbname", "schemaname", "funcname", "funcargs")
 _ROW_CHANGES = ("n_tup_ins", "n_tup_upd", "n_tup_del", "n_tup_hot_upd")
-_SIDE_CHANGES = tuple(f"toast{c}" for c in _ROW_CHANGES)
+_SIDE_CHANGES = tuple(f"side_{c}" for c in _ROW_CHANGES)
 
 
 def _sum0(*columns: str) -> str:
@@ -156,10 +158,10 @@ def _stmt(id: str, title: str, values: tuple[str, ...], order: tuple[str, ...],
 
 
 _DML = _sum0("n_tup_ins", "n_tup_upd", "n_tup_del",
-             "toastn_tup_ins", "toastn_tup_upd", "toastn_tup_del")
-_UPD_DEL = _sum0("n_tup_upd", "n_tup_del", "toastn_tup_upd", "toastn_tup_del")
-_SCANNED = _sum0("best_seqscan_bytes", "best_t_seqscan_bytes")
-_SCANNED_SIZED = _sum0("seqscan_bytes_relsize", "t_seqscan_bytes_relsize")
+             "side_n_tup_ins", "side_n_tup_upd", "side_n_tup_del")
+_UPD_DEL = _sum0("n_tup_upd", "n_tup_del", "side_n_tup_upd", "side_n_tup_del")
+_SCANNED = _sum0("best_scan_bytes", "best_side_scan_bytes")
+_SCANNED_SIZED = _sum0("scan_bytes_by_size", "side_scan_bytes_by_size")
 _TEMP = _sum0("temp_blks_read", "temp_blks_written", "local_blks_read", "local_blks_written")
 _FUNC_VALUES = ("calls", "total_time", "self_time", "m_time", "m_stime")
 _FETCHED = "coalesce(blks_fetch, 0)"
@@ -238,9 +240,9 @@ SECTIONS: tuple[Section, ...] = (
           ("io_bytes",), "io_bytes > 0", relation="usage", diff_by="exec_io_bytes",
           feature="usage_exec"),
     Section("q25", "Tables by sequentially scanned bytes", "tables", TABLE, TABLE_LABELS,
-            ("seq_scan", "best_seqscan_bytes", "idx_scan", "idx_tup_fetch", *_ROW_CHANGES,
-             "toastseq_scan", "best_t_seqscan_bytes", "toastidx_scan", "toastidx_tup_fetch",
-             *_SIDE_CHANGES, "seqscan_bytes_relsize", "t_seqscan_bytes_relsize"),
+            ("seq_scan", "best_scan_bytes", "idx_scan", "idx_tup_fetch", *_ROW_CHANGES,
+             "side_seq_scan", "best_side_scan_bytes", "side_idx_scan", "side_idx_tup_fetch",
+             *_SIDE_CHANGES, "scan_bytes_by_size", "side_scan_bytes_by_size"),
             (_SCANNED,), f"{_SCANNED} > 0",
             diff_by=_SCANNED_SIZED, diff_order=_SCANNED_SIZED),
     Section("q26", "Tables by blocks fetched", "io_tables", TABLE, TABLE_LABELS,
@@ -255,20 +257,20 @@ SECTIONS: tuple[Section, ...] = (
             (_READ,), f"{_READ} > 0"),
     Section("q28", "Tables by DML", "tables", TABLE, TABLE_LABELS,
             (*_ROW_CHANGES, "seq_scan", "seq_tup_read", "idx_scan", "idx_tup_fetch",
-             *_SIDE_CHANGES, "toastseq_scan", "toastseq_tup_read", "toastidx_scan",
-             "toastidx_tup_fetch"),
+             *_SIDE_CHANGES, "side_seq_scan", "side_seq_tup_read", "side_idx_scan",
+             "side_idx_tup_fetch"),
             (_DML,), f"{_DML} > 0"),
     Section("q29", "Tables by updates and deletes", "tables", TABLE, TABLE_LABELS,
             ("n_tup_upd", "n_tup_del", "n_tup_hot_upd", "vacuum_count", "autovacuum_count",
-             "analyze_count", "autoanalyze_count", "toastn_tup_upd", "toastn_tup_del",
-             "toastn_tup_hot_upd", "toastvacuum_count", "toastautovacuum_count"),
+             "analyze_count", "autoanalyze_count", "side_n_tup_upd", "side_n_tup_del",
+             "side_n_tup_hot_upd", "side_vacuum_count", "side_autovacuum_count"),
             (_UPD_DEL,), f"{_UPD_DEL} > 0", diff_by=_sum0("n_tup_upd", "n_tup_del"),
             diff_order=_sum0("n_tup_upd", "n_tup_del")),
     Section("q30", "Growing tables", "tables", TABLE, TABLE_LABELS,
             (*_ROW_CHANGES, "best_growth", "relsize", "relpages_bytes", *_SIDE_CHANGES,
-             "best_toastgrowth", "toastrelsize", "toastrelpages_bytes"),
-            (_sum0("best_growth", "best_toastgrowth"),),
-            f"at_end AND {_sum0('best_growth', 'best_toastgrowth')} > 0"),
+             "best_side_growth", "side_relsize", "side_relpages_bytes"),
+            (_sum0("best_growth", "best_side_growth"),),
+            f"at_end AND {_sum0('best_growth', 'best_side_growth')} > 0"),
     Section("q31", "Indexes by blocks fetched", "io_indexes", INDEX, INDEX_LABELS,
             ("idx_scan", "idx_blks_fetch", "idx_blks_fetch_pct"),
             ("idx_blks_fetch",), "idx_blks_fetch > 0"),
@@ -300,8 +302,8 @@ SECTIONS: tuple[Section, ...] = (
             (_sum0("analyze_count", "autoanalyze_count"),),
             f"{_sum0('analyze_count', 'autoanalyze_count')} > 0"),
     Section("q40", "Indexes by estimated vacuum load", "indexes", INDEX, INDEX_LABELS,
-            ("vacuum_bytes", "vacuum_count", "autovacuum_count", "avg_ix_relsize",
-             "avg_relsize", "avg_indexrelpages_bytes", "avg_relpages_bytes"),
+            ("vacuum_bytes", "vacuum_count", "autovacuum_count", "mean_index_size",
+             "mean_table_size", "mean_index_pages", "mean_table_pages"),
             ("vacuum_bytes",), f"{_sum0('vacuum_count', 'autovacuum_count')} > 0",
             diff_where=f"{_sum0('vacuum_count_1', 'autovacuum_count_1')} + "
                        f"{_sum0('vacuum_count_2', 'autovacuum_count_2')} > 0"),
@@ -531,28 +533,26 @@ def tablespace_section(repo: Repository, intervals: list[Interval]) -> DataFrame
     return side_by_side(rows, ("tablespaceid",), names, values)
 
 
-TEXTS_PER_QUERY = 3
-
-
 def statement_texts(repo: Repository, intervals: list[Interval],
                     listed: DataFrame | None = None, by_text: bool = False,
-                    max_length: int | None = None) -> DataFrame:
-    """Newest texts of each query id seen in the closed intervals, at most three per id.
+                    max_length: int | None = None, per_query: int | None = 3) -> DataFrame:
+    """Newest texts of each query id seen in the closed intervals, at most ``per_query`` (None: all).
 
     ``listed`` restricts the ids to (datid, userid, queryid) shown in a report.
     """
     query = short_hash(F.col("queryid_md5")) if by_text else F.col("queryid")
-    inside = intervals[0].contains(closed=True)
-    for interval in intervals[1:]:
-        inside = inside | interval.contains(closed=True)
-    facts = repo.statements.filter(inside).withColumn("queryid", query)
+    facts = scan(repo.statements, intervals, closed=True).withColumn("queryid", query)
     if listed is not None:
         facts = facts.join(listed, ["datid", "userid", "queryid"], "left_semi")
     pairs = facts.select(SERVER, "queryid", "queryid_md5").distinct()
     texts = pairs.join(repo.stmt_list, [SERVER, "queryid_md5"])
     order = "last_sample_id DESC NULLS FIRST, queryid_md5 DESC"
     group = [SERVER, "queryid"]
-    best = ranked(texts, group, order, ["queryid_md5"], TEXTS_PER_QUERY, out="ord")
+    if per_query is None:
+        by = ", ".join(group)
+        best = texts.selectExpr("*", f"row_number() OVER (PARTITION BY {by} ORDER BY {order}) AS ord")
+    else:
+        best = ranked(texts, group, order, ["queryid_md5"], per_query, out="ord")
     shown = F.col("query") if max_length is None else F.left("query", F.lit(max_length))
     return best.select(*group, "ord",
                        F.count(F.lit(1)).over(W.partitionBy(*group)).alias("row_span"),

@@ -328,81 +328,105 @@ def _(spark, sf):
 
 
 # --- marking ------------------------------------------------------------------------------
-def _literal(rows: str, key: str, metrics: dict[str, str], keep: str, group: str = _ALL) -> str:
-    """The plain form: one row_number per metric, then a condition on the ranks."""
-    ranks = ", ".join(f"row_number() OVER (PARTITION BY {group} ORDER BY {e} DESC NULLS LAST, {key}) AS {n}"
-                      for n, e in metrics.items())
-    return f"SELECT {_ALL}, {key} FROM (SELECT *, {ranks} FROM {rows}) WHERE {keep}"
-
-
-def _least(*names: str) -> str:
-    return f"least({', '.join(names)}) <= {TOPN}"
-
-
-Q["m_functions"] = _literal("(SELECT * FROM d_functions WHERE calls > 0)", "datid, funcid",
-                            {"a": "total_time", "b": "self_time", "c": "calls"},
-                            _least("a", "b", "c"), f"{_ALL}, trg_fn")
-Q["ix_rows"] = """SELECT i.*, s.idx_scan AS total_scans, t.vacuum_count + t.autovacuum_count AS vac,
-  t.n_tup_ins + t.n_tup_upd + t.n_tup_del AS dml, i.idx_scan = 0 AS unscanned
-  FROM d_indexes i JOIN indexes_snap s USING (server_id, sample_id, datid, relid, indexrelid)
-  JOIN d_tables t USING (server_id, sample_id, datid, relid)"""
-Q["m_indexes"] = f"""SELECT {_ALL}, datid, indexrelid FROM (SELECT *,
-  row_number() OVER (PARTITION BY {_ALL} ORDER BY idx_blks_read DESC NULLS LAST, datid, indexrelid) AS a,
-  row_number() OVER (PARTITION BY {_ALL} ORDER BY idx_blks_read + idx_blks_hit DESC NULLS LAST, datid, indexrelid) AS b,
-  row_number() OVER (PARTITION BY {_ALL} ORDER BY vac * relsize_carried DESC NULLS LAST, datid, indexrelid) AS c,
-  row_number() OVER (PARTITION BY {_ALL}, unscanned ORDER BY dml DESC NULLS LAST, datid, indexrelid) AS d
-  FROM ix_rows) WHERE least(a, b, c) <= {TOPN} OR (d <= {TOPN} AND unscanned AND total_scans = 0)"""
-Q["m_growing_indexes"] = _literal(
-    "d_indexes", "datid, indexrelid", {"a": "relsize_diff", "b": "relpages_bytes_diff"},
-    f"(relsize IS NOT NULL AND a <= {TOPN}) OR (relsize IS NULL AND relpages_bytes IS NOT NULL AND b <= {TOPN})")
-Q["t_pairs"] = """SELECT t.*, s.relid AS side, s.seq_scan AS s_seq, s.relsize AS s_size,
-  s.n_tup_ins AS s_ins, s.n_tup_upd AS s_upd, s.n_tup_del AS s_del, s.relsize_diff AS s_growth,
-  s.relpages_bytes_diff AS s_pages FROM d_tables t LEFT JOIN d_tables s ON s.server_id = t.server_id
-  AND s.sample_id = t.sample_id AND s.datid = t.datid AND s.relid = t.reltoastrelid
-  WHERE t.relkind IN ('r', 'm')"""
-_TM = {
-    "a": "CAST(seq_scan AS DOUBLE) * relsize + coalesce(CAST(s_seq AS DOUBLE) * s_size, 0)",
-    "b": "n_tup_ins + n_tup_upd + n_tup_del + coalesce(s_ins + s_upd + s_del, 0)",
-    "c": "n_tup_upd + n_tup_del + coalesce(s_upd + s_del, 0)",
-    "d": "CAST(n_dead_tup AS DOUBLE) / NULLIF(n_live_tup + n_dead_tup, 0)",
-    "e": "CAST(n_mod_since_analyze AS DOUBLE) / NULLIF(n_live_tup, 0)",
-    "f": "heap_blks_read + idx_blks_read + toast_blks_read + tidx_blks_read",
-    "g": "heap_blks_read + heap_blks_hit + idx_blks_read + idx_blks_hit + toast_blks_read + toast_blks_hit + tidx_blks_read + tidx_blks_hit",
-    "h": "vacuum_count + autovacuum_count", "i": "analyze_count + autoanalyze_count"}
-
-
-def _with_side(picked: str) -> str:
-    return f"""SELECT {_ALL}, datid, relid FROM ({picked}) UNION
-      SELECT {_ALL}, datid, side FROM ({picked}) WHERE side IS NOT NULL"""
-
-
-Q["m_tables"] = _with_side(_literal("t_pairs", "datid, relid, side", _TM, _least(*_TM)))
-Q["m_growing_tables"] = _with_side(_literal(
-    "t_pairs", "datid, relid, side",
-    {"a": "relsize_diff + coalesce(s_growth, 0)", "b": "relpages_bytes_diff + coalesce(s_pages, 0)"},
-    f"(relsize IS NOT NULL AND a <= {TOPN}) OR (relsize IS NULL AND relpages_bytes IS NOT NULL AND b <= {TOPN})"))
-Q["m_closure"] = f"""SELECT DISTINCT u.server_id, u.sample_id, u.datid, u.relid
-  FROM d_indexes ix JOIN m_indexes m USING (server_id, sample_id, datid, indexrelid)
-  JOIN d_tables t USING (server_id, sample_id, datid, relid)
-  LEFT JOIN d_tables mt ON mt.server_id = t.server_id AND mt.sample_id = t.sample_id
-    AND mt.datid = t.datid AND mt.reltoastrelid = t.relid
-  JOIN d_tables u ON u.server_id = t.server_id AND u.sample_id = t.sample_id
-    AND u.datid = t.datid AND (u.relid = t.relid OR u.relid = t.reltoastrelid OR u.relid = mt.relid)"""
-_SK = "datid, userid, queryid, toplevel"
-_SM = {"a": "total_plan_time + total_exec_time", "b": "total_plan_time", "c": "total_exec_time",
-       "d": "calls", "e": "blk_read_time + blk_write_time", "f": "shared_blks_hit + shared_blks_read",
-       "g": "shared_blks_read", "h": "shared_blks_dirtied", "i": "shared_blks_written",
-       "j": "temp_blks_written + local_blks_written", "k": "temp_blks_read + local_blks_read",
-       "l": "wal_bytes"}
-Q["m_statements"] = _literal("statements", _SK, _SM, f"""(wal_bytes IS NOT NULL AND l <= {TOPN})
-  OR (total_plan_time IS NOT NULL AND least(a, b) <= {TOPN})
-  OR (coalesce(blk_read_time, 0) + coalesce(blk_write_time, 0) > 0 AND e <= {TOPN})
-  OR {_least('c', 'd', 'f', 'g', 'h', 'i', 'j', 'k')}""")
-Q["m_usage"] = _literal("usage", _SK, {
-    "a": "plan_user_time + plan_system_time", "b": "exec_user_time + exec_system_time",
-    "c": "plan_reads + plan_writes", "d": "exec_reads + exec_writes"},
-    f"""(coalesce(plan_user_time, 0) + coalesce(plan_system_time, 0) > 0 AND least(a, c) <= {TOPN})
-    OR {_least('b', 'd')}""")
+# Each ranking is stated once: what is ranked, who takes part, who may be kept. The SQL takes the best objects of one
+# ranking at a time as a list and unites the lists; no row is numbered.
+def best_lists(rows: str, key: tuple[str, ...], rankings: list[dict], place: str = _ALL) -> str:
+    packed = ", ".join(f"{k} := {k}" for k in key)
+    after = ", ".join(f"-CAST({k} AS HUGEINT)" for k in key)  # equal values: smaller keys first
+
+    def one(r: dict) -> str:
+        order = f"row(({r['by']}) IS NOT NULL, coalesce(CAST({r['by']} AS DOUBLE), 0), {after})"
+        keeps = f"coalesce({r.get('may_keep', 'TRUE')}, FALSE)"
+        return f"""SELECT {place}, unnest(arg_max(struct_pack({packed}, _keeps := {keeps}), {order}, {TOPN})) AS o
+          FROM {rows} WHERE {r.get('takes_part', 'TRUE')} GROUP BY {place}"""
+
+    return f"SELECT DISTINCT {_ALL}, {', '.join(f'o.{k} AS {k}' for k in key)} FROM ({' UNION ALL '.join(map(one, rankings))}) WHERE o._keeps"
+
+
+def total_of(*columns: str, of: str = "") -> str:
+    """The sum in which an absent part counts as nothing."""
+    return " + ".join(f"coalesce({of}{c}, 0)" for c in columns)
+
+
+Q["m_functions"] = best_lists("(SELECT * FROM d_functions WHERE calls > 0)", ("datid", "funcid"),
+                              [{"by": c} for c in ("calls", "self_time", "total_time")], f"{_ALL}, trg_fn")
+Q["index_cases"] = """SELECT d_indexes.*, ever_scanned, table_changes, table_vacuums FROM d_indexes
+  NATURAL JOIN (SELECT server_id, sample_id, datid, relid, indexrelid, idx_scan > 0 AS ever_scanned FROM indexes_snap)
+  NATURAL JOIN (SELECT server_id, sample_id, datid, relid, n_tup_ins + n_tup_upd + n_tup_del AS table_changes,
+    vacuum_count + autovacuum_count AS table_vacuums FROM d_tables)"""
+Q["m_indexes"] = best_lists("index_cases", ("datid", "indexrelid"), [
+    {"by": "table_changes", "takes_part": "idx_scan = 0", "may_keep": "NOT ever_scanned"},  # upkeep without use
+    {"by": "relsize_carried * table_vacuums"},                                              # vacuum work
+    {"by": "idx_blks_hit + idx_blks_read"},                                                 # blocks used
+    {"by": "idx_blks_read"}])                                                               # blocks read
+# Growth ignores resets of the owner: it is the difference of two measured states.
+Q["index_growth"] = """SELECT server_id, sample_id, datid, indexrelid, relsize, relpages_bytes,
+  relsize - coalesce(lag(known) OVER w, 0) AS by_size, relpages_bytes - coalesce(lag(relpages_bytes) OVER w, 0) AS by_pages
+  FROM (SELECT *, last_value(relsize IGNORE NULLS) OVER (PARTITION BY server_id, datid, relid, indexrelid ORDER BY sample_id) AS known,
+    sample_id - row_number() OVER (PARTITION BY server_id, datid, relid, indexrelid ORDER BY sample_id) AS run FROM indexes_snap)
+  SEMI JOIN databases_snap USING (server_id, sample_id, datid)
+  WINDOW w AS (PARTITION BY server_id, datid, relid, indexrelid, run ORDER BY sample_id)"""
+Q["table_growth"] = """SELECT server_id, sample_id, datid, relid, reltoastrelid, relkind, relsize, relpages_bytes,
+  relsize - coalesce(lag(known) OVER w, 0) AS by_size, relpages_bytes - coalesce(lag(relpages_bytes) OVER w, 0) AS by_pages
+  FROM (SELECT *, last_value(relsize IGNORE NULLS) OVER (PARTITION BY server_id, datid, relid ORDER BY sample_id) AS known,
+    sample_id - row_number() OVER (PARTITION BY server_id, datid, relid ORDER BY sample_id) AS run FROM tables_snap)
+  SEMI JOIN databases_snap USING (server_id, sample_id, datid)
+  WINDOW w AS (PARTITION BY server_id, datid, relid, run ORDER BY sample_id)"""
+_GROWN = [{"by": "by_size", "may_keep": "relsize IS NOT NULL"},
+          {"by": "by_pages", "may_keep": "relsize IS NULL AND relpages_bytes IS NOT NULL"}]
+Q["m_growing_indexes"] = best_lists("index_growth", ("datid", "indexrelid"), _GROWN)
+# Main tables; side holds the same sample of the side table.
+Q["table_cases"] = """SELECT m.*, side FROM d_tables m LEFT JOIN (
+    SELECT server_id, sample_id, datid, relid AS reltoastrelid, d_tables AS side FROM d_tables) o
+  USING (server_id, sample_id, datid, reltoastrelid) WHERE m.relkind IN ('r', 'm')"""
+
+
+def with_sides(kept: str) -> str:
+    """Kept main tables and the side tables that exist at the sample."""
+    return f"""WITH kept AS ({kept}) SELECT * FROM kept UNION SELECT server_id, sample_id, datid, s.relid FROM kept
+      JOIN d_tables t USING (server_id, sample_id, datid, relid) JOIN d_tables s
+      ON (s.server_id, s.sample_id, s.datid, s.relid) = (t.server_id, t.sample_id, t.datid, t.reltoastrelid)"""
+
+
+_BLOCKS = [f"{k}_blks_{how}" for how in ("read", "hit") for k in ("tidx", "toast", "idx", "heap")]
+_WRITES = ("n_tup_del", "n_tup_upd")
+Q["m_tables"] = with_sides(best_lists("table_cases", ("datid", "relid"), [
+    {"by": "autoanalyze_count + analyze_count"},
+    {"by": "autovacuum_count + vacuum_count"},
+    {"by": total_of(*_BLOCKS)},
+    {"by": total_of(*_BLOCKS[:4])},
+    {"by": "n_mod_since_analyze / nullif(CAST(n_live_tup AS DOUBLE), 0)"},
+    {"by": "n_dead_tup / nullif(CAST(n_live_tup + n_dead_tup AS DOUBLE), 0)"},
+    {"by": f"{' + '.join(_WRITES)} + {total_of(*_WRITES, of='side.')}"},
+    {"by": f"n_tup_ins + {' + '.join(_WRITES)} + {total_of('n_tup_ins', *_WRITES, of='side.')}"},
+    {"by": "CAST(relsize AS DOUBLE) * seq_scan + coalesce(CAST(side.relsize AS DOUBLE) * side.seq_scan, 0)"}]))
+Q["m_growing_tables"] = with_sides(best_lists("""(SELECT m.* REPLACE (m.by_size + coalesce(o.by_size, 0) AS by_size,
+    m.by_pages + coalesce(o.by_pages, 0) AS by_pages) FROM table_growth m LEFT JOIN table_growth o
+  ON (o.server_id, o.sample_id, o.datid, o.relid) = (m.server_id, m.sample_id, m.datid, m.reltoastrelid)
+  WHERE m.relkind IN ('r', 'm'))""", ("datid", "relid"), _GROWN))
+Q["m_closure"] = """WITH owner AS (SELECT DISTINCT server_id, sample_id, datid, relid FROM d_indexes
+    SEMI JOIN m_indexes USING (server_id, sample_id, datid, indexrelid)),
+  near AS (SELECT server_id, sample_id, datid, relid, relid AS of FROM d_tables
+    UNION ALL SELECT server_id, sample_id, datid, relid, reltoastrelid FROM d_tables
+    UNION ALL SELECT s.server_id, s.sample_id, s.datid, s.relid, m.relid FROM d_tables s JOIN d_tables m
+      ON (m.server_id, m.sample_id, m.datid, m.reltoastrelid) = (s.server_id, s.sample_id, s.datid, s.relid))
+  SELECT DISTINCT near.server_id, near.sample_id, near.datid, near.relid FROM near JOIN owner
+    ON (owner.server_id, owner.sample_id, owner.datid, owner.relid) = (near.server_id, near.sample_id, near.datid, near.of)
+    JOIN d_tables t ON (t.server_id, t.sample_id, t.datid, t.relid) = (owner.server_id, owner.sample_id, owner.datid, owner.relid)"""
+_STATEMENT = ("datid", "userid", "queryid", "toplevel")
+_SK = ", ".join(_STATEMENT)
+_planned, _timed = "total_plan_time IS NOT NULL", f"{total_of('blk_write_time', 'blk_read_time')} > 0"
+Q["m_statements"] = best_lists("(FROM statements SEMI JOIN databases USING (server_id, sample_id, datid))", _STATEMENT, [
+    {"by": "calls"}, {"by": "total_exec_time"}, {"by": "total_plan_time", "may_keep": _planned},
+    {"by": "total_exec_time + total_plan_time", "may_keep": _planned},
+    {"by": "blk_write_time + blk_read_time", "may_keep": _timed},
+    *[{"by": f"shared_blks_{c}"} for c in ("written", "dirtied", "read")], {"by": "shared_blks_read + shared_blks_hit"},
+    *[{"by": f"local_blks_{c} + temp_blks_{c}"} for c in ("read", "written")],
+    {"by": "wal_bytes", "may_keep": "wal_bytes IS NOT NULL"}])
+_plans = f"{total_of('plan_system_time', 'plan_user_time')} > 0"
+Q["m_usage"] = best_lists("(FROM usage SEMI JOIN databases USING (server_id, sample_id, datid))", _STATEMENT, [
+    {"by": f"{phase}_{a} + {phase}_{b}", **({"may_keep": _plans} if phase == "plan" else {})}
+    for phase in ("exec", "plan") for a, b in (("reads", "writes"), ("system_time", "user_time"))])
 
 
 @query("m1_mark_functions", "SELECT * FROM m_functions")
@@ -420,7 +444,7 @@ query("m2_mark_indexes", "SELECT * FROM m_indexes")(_marked_indexes)
 
 @query("m3_mark_growing_indexes", "SELECT * FROM m_growing_indexes")
 def _(spark, sf):
-    return marking.mark_growing_indexes(_delta(spark, sf, M.INDEXES), TOPN)
+    return marking.mark_growing_indexes(*rels(spark, sf, "indexes_snap", "databases_snap"), TOPN)
 
 
 @query("m4_mark_tables", "SELECT * FROM m_tables")
@@ -430,7 +454,7 @@ def _(spark, sf):
 
 @query("m5_mark_growing_tables", "SELECT * FROM m_growing_tables")
 def _(spark, sf):
-    return marking.mark_growing_tables(_delta(spark, sf, M.TABLES), TOPN)
+    return marking.mark_growing_tables(*rels(spark, sf, "tables_snap", "databases_snap"), TOPN)
 
 
 @query("m6_tables_of_indexes", "SELECT * FROM m_closure")

@@ -82,150 +82,168 @@ X["usage_totals"] = f"""SELECT server_id, sample_id, datid, {sums(USAGE_SUMS)},
   WHERE toplevel GROUP BY server_id, sample_id, datid"""
 
 # --- tables and indexes -------------------------------------------------------------------
-_side = [(c, f"toast{c}") for c in TABLE_SUMS]
-X["x_tables_sums"] = f"""SELECT {SPAN}, st.datid, st.relid, arg_max(db.datname, st.sample_id) AS dbname,
-  arg_max(st.tablespaceid, st.sample_id) AS tablespaceid,
-  arg_max(st.reltoastrelid, st.sample_id) AS reltoastrelid,
-  {', '.join(f"{total('st.' + c)} AS {c}" for c in TABLE_SUMS)},
-  {total('st.relsize_diff')} AS growth,
-  {', '.join(f"{total('tt.' + c)} AS {o}" for c, o in _side)},
-  {total('tt.relsize_diff')} AS toastgrowth,
-  {total('st.relpages_bytes_diff')} AS relpagegrowth_bytes,
-  {total('tt.relpages_bytes_diff')} AS toastrelpagegrowth_bytes,
-  {total('st.seq_scan * st.relsize')} AS seqscan_bytes_relsize,
-  {total('st.seq_scan * st.relpages_bytes')} AS seqscan_bytes_relpages,
-  bool_and(coalesce(st.seq_scan, 0) = 0 OR st.relsize IS NOT NULL) AS seqscan_relsize_avail,
-  {total('tt.seq_scan * tt.relsize')} AS t_seqscan_bytes_relsize,
-  {total('tt.seq_scan * tt.relpages_bytes')} AS t_seqscan_bytes_relpages,
-  bool_and(coalesce(tt.seq_scan, 0) = 0 OR tt.relsize IS NOT NULL) AS t_seqscan_relsize_avail
-  FROM tables st JOIN databases db USING (server_id, sample_id, datid)
-  LEFT JOIN tables tt ON tt.server_id = st.server_id AND tt.sample_id = st.sample_id
-    AND tt.datid = st.datid AND tt.relid = st.reltoastrelid
-  JOIN spans ON st.sample_id > s AND st.sample_id <= e
-  WHERE st.relkind IN ('r', 'm') AND NOT db.datistemplate
-  GROUP BY {SPAN.replace('server_id', 'st.server_id')}, st.datid, st.relid""".replace(
-    f"SELECT {SPAN},", "SELECT interval_no, st.server_id,")
-
-
-def _ends(size: str, tick: str) -> str:
-    sized = f"CASE WHEN {size} IS NOT NULL THEN {tick} END"
-    return (f"coalesce(max({tick}) = max({sized}) AND min({tick}) = min({sized}), FALSE)")
-
-
-X["x_tables_ends"] = f"""SELECT interval_no, st.server_id, st.datid, st.relid,
-  {_ends('st.relsize', 'st.sample_id')} AS relsize_growth_avail,
-  {_ends('tt.relsize', 'tt.sample_id')} AS relsize_toastgrowth_avail
-  FROM tables st LEFT JOIN tables tt ON tt.server_id = st.server_id
-    AND tt.sample_id = st.sample_id AND tt.datid = st.datid AND tt.relid = st.reltoastrelid
-  JOIN spans ON st.sample_id >= s AND st.sample_id <= e
-  GROUP BY interval_no, st.server_id, st.datid, st.relid"""
-X["x_tables"] = """SELECT t.*, relsize_growth_avail, relsize_toastgrowth_avail,
-  CASE WHEN relsize_growth_avail THEN growth ELSE relpagegrowth_bytes END AS best_growth,
-  CASE WHEN relsize_toastgrowth_avail THEN toastgrowth ELSE toastrelpagegrowth_bytes END
-    AS best_toastgrowth,
-  CASE WHEN seqscan_relsize_avail THEN seqscan_bytes_relsize ELSE seqscan_bytes_relpages END
-    AS best_seqscan_bytes,
-  CASE WHEN t_seqscan_relsize_avail THEN t_seqscan_bytes_relsize ELSE t_seqscan_bytes_relpages END
-    AS best_t_seqscan_bytes, schemaname, relname, tablespacename
-  FROM x_tables_sums t JOIN x_tables_ends USING (interval_no, server_id, datid, relid)
+# Newest name of each database inside a span, and the samples at which it is a user database.
+X["x_dbnames"] = f"""SELECT {SPAN}, datid, arg_max(datname, sample_id) AS dbname FROM databases
+  {IN_SPAN} GROUP BY ALL"""
+X["user_ticks"] = """SELECT server_id, sample_id, datid, stats_reset AS epoch FROM databases
+  WHERE NOT datistemplate"""
+# A sample of a table concerns its object twice: as itself and as the side table of a main table.
+_PART = ", ".join(("sample_id", *TABLE_SUMS, *SIZES))
+X["table_parts"] = f"""SELECT server_id, datid, relid AS object, 'own' AS part, tablespaceid,
+    reltoastrelid, {_PART} FROM tables WHERE relkind IN ('r', 'm')
+  UNION ALL
+  SELECT server_id, datid, object, 'side', NULL, NULL, {_PART}
+  FROM tables NATURAL JOIN (SELECT server_id, datid, sample_id, reltoastrelid AS relid,
+    relid AS object FROM tables WHERE relkind IN ('r', 'm'))"""
+
+
+def of_part(part: str, aggregate: str) -> str:
+    return f"{aggregate} FILTER (part = '{part}')"
+
+
+def part_sum(part: str, expr: str) -> str:
+    return f"CAST({of_part(part, f'sum({expr})')} AS BIGINT)"
+
+
+def _part_columns() -> str:
+    out = []
+    for part, name in (("own", ""), ("side", "side_")):
+        out += [f"{part_sum(part, c)} AS {name}{c}" for c in TABLE_SUMS]
+        known = of_part(part, "bool_and(coalesce(seq_scan, 0) = 0 OR relsize IS NOT NULL)")
+        out += [f"{part_sum(part, 'relsize_diff')} AS {name}growth",
+                f"{part_sum(part, 'relpages_bytes_diff')} AS {name}page_growth",
+                f"{part_sum(part, 'seq_scan * relsize')} AS {name}scan_bytes_by_size",
+                f"{part_sum(part, 'seq_scan * relpages_bytes')} AS {name}scan_bytes_by_pages",
+                f"coalesce({known}, TRUE) AS {name}scan_sizes_known"]
+    return ", ".join(out)
+
+
+X["x_tables_inside"] = f"""SELECT {SPAN}, datid, object AS relid, {_part_columns()},
+  arg_max(tablespaceid, sample_id) FILTER (part = 'own') AS tablespaceid,
+  arg_max(reltoastrelid, sample_id) FILTER (part = 'own') AS reltoastrelid
+  FROM table_parts SEMI JOIN user_ticks USING (server_id, sample_id, datid) {IN_SPAN}
+  GROUP BY ALL"""
+# Sizes at both ends: the extreme samples of a part are also extreme among its sized samples.
+X["x_tables_ends"] = f"""SELECT {SPAN}, datid, object AS relid,
+  coalesce(bool_and(sized) FILTER (part = 'own'), FALSE) AS ends_sized,
+  coalesce(bool_and(sized) FILTER (part = 'side'), FALSE) AS side_ends_sized FROM (
+    SELECT interval_no, server_id, datid, object, part, relsize IS NOT NULL AS sized FROM table_parts
+    JOIN spans ON sample_id BETWEEN s AND e
+    WINDOW object_part AS (PARTITION BY interval_no, server_id, datid, object, part)
+    QUALIFY sample_id IN (min(sample_id) OVER object_part, max(sample_id) OVER object_part))
+  GROUP BY ALL"""
+
+
+def better(flag: str, first: str, second: str, out: str) -> str:
+    return f"if({flag}, {first}, {second}) AS {out}"
+
+
+X["x_tables"] = f"""SELECT t.*, ends_sized, side_ends_sized, schemaname, relname, tablespacename, dbname,
+  {', '.join(better(f'{p}ends_sized', f'{p}growth', f'{p}page_growth', f'best_{p}growth') for p in ('', 'side_'))},
+  {', '.join(better(f'{p}scan_sizes_known', f'{p}scan_bytes_by_size', f'{p}scan_bytes_by_pages', f'best_{p}scan_bytes') for p in ('', 'side_'))}
+  FROM x_tables_inside t JOIN x_tables_ends USING (interval_no, server_id, datid, relid)
+  JOIN x_dbnames USING (interval_no, server_id, datid)
   JOIN (SELECT server_id, datid, relid, schemaname, relname FROM tables_list)
     USING (server_id, datid, relid)
   JOIN (SELECT server_id, tablespaceid, tablespacename FROM tablespaces_list)
     USING (server_id, tablespaceid)"""
 X["x_tables_sized"] = """SELECT x.*, l.relsize, l.relpages_bytes, l.server_id IS NOT NULL AS at_end,
-  m.relsize AS toastrelsize, m.relpages_bytes AS toastrelpages_bytes
+  m.relsize AS side_relsize, m.relpages_bytes AS side_relpages_bytes
   FROM x_tables x JOIN spans USING (interval_no)
   LEFT JOIN tables l ON l.server_id = x.server_id AND l.sample_id = e AND l.datid = x.datid
     AND l.relid = x.relid
   LEFT JOIN tables m ON m.server_id = x.server_id AND m.sample_id = e AND m.datid = x.datid
     AND m.relid = x.reltoastrelid"""
-_names_ix = """JOIN (SELECT server_id, datid, indexrelid, indexrelname FROM indexes_list)
-    USING (server_id, datid, indexrelid)
-  JOIN (SELECT server_id, datid, relid, schemaname AS s1, relname AS r1 FROM tables_list)
-    USING (server_id, datid, relid)
-  LEFT JOIN (SELECT server_id, datid, reltoastrelid AS relid, schemaname AS s2, relname AS r2
-    FROM tables_list WHERE reltoastrelid IS NOT NULL) USING (server_id, datid, relid)
+# An index shows its table, and the index of a side table the main table with a mark.
+X["index_names"] = """SELECT i.server_id, i.datid, i.indexrelid, t.relid, i.indexrelname,
+  coalesce(m.schemaname, t.schemaname) AS schemaname,
+  coalesce(m.relname || '(TOAST)', t.relname) AS relname
+  FROM indexes_list i JOIN tables_list t ON (t.server_id, t.datid) = (i.server_id, i.datid)
+  LEFT JOIN tables_list m ON (m.server_id, m.datid, m.reltoastrelid) = (t.server_id, t.datid, t.relid)"""
+_names_ix = """JOIN index_names USING (server_id, datid, relid, indexrelid)
   JOIN (SELECT server_id, tablespaceid, tablespacename FROM tablespaces_list)
-    USING (server_id, tablespaceid)"""
-_vac = "coalesce(t.vacuum_count, 0) + coalesce(t.autovacuum_count, 0)"
-
-
-def _avg(c: str) -> str:
-    return f"CAST(round(avg({c}) FILTER (WHERE {_vac} > 0)) AS BIGINT)"
-
-
-X["x_indexes_sums"] = f"""SELECT interval_no, i.server_id, i.datid, i.relid, i.indexrelid,
-  arg_max(i.indisunique, i.sample_id) AS indisunique, arg_max(db.datname, i.sample_id) AS dbname,
-  arg_max(i.tablespaceid, i.sample_id) AS tablespaceid,
-  {total('i.idx_scan')} AS idx_scan, {total('i.relsize_diff')} AS growth,
-  {total('i.relpages_bytes_diff')} AS relpagegrowth_bytes,
-  {', '.join(f"{total('t.' + c)} AS tbl_{c}" for c in ('n_tup_ins', 'n_tup_upd', 'n_tup_del', 'n_tup_hot_upd'))},
-  {total('i.idx_blks_read')} AS idx_blks_read,
-  {total('i.idx_blks_hit')} + {total('i.idx_blks_read')} AS idx_blks_fetch,
-  {total('t.vacuum_count')} AS vacuum_count, {total('t.autovacuum_count')} AS autovacuum_count,
-  {total(f'i.relsize * ({_vac})')} AS vacuum_bytes_relsize,
-  {total(f'i.relpages_bytes * ({_vac})')} AS vacuum_bytes_relpages,
-  {_avg('i.relsize')} AS avg_ix_relsize, {_avg('t.relsize')} AS avg_relsize,
-  {_avg('i.relpages_bytes')} AS avg_indexrelpages_bytes,
-  {_avg('t.relpages_bytes')} AS avg_relpages_bytes,
-  count(i.relsize) FILTER (WHERE {_vac} > 0) = count(*) FILTER (WHERE {_vac} > 0)
-    AS vacuum_sizes_known
-  FROM indexes i JOIN tables t USING (server_id, sample_id, datid, relid)
-  JOIN databases db USING (server_id, sample_id, datid)
-  JOIN spans ON i.sample_id > s AND i.sample_id <= e WHERE NOT db.datistemplate
-  GROUP BY interval_no, i.server_id, i.datid, i.relid, i.indexrelid"""
-X["x_indexes_ends"] = f"""SELECT interval_no, server_id, datid, indexrelid,
-  {_ends('relsize', 'sample_id')} AS relsize_growth_avail FROM indexes
-  JOIN spans ON sample_id >= s AND sample_id <= e GROUP BY interval_no, server_id, datid, indexrelid"""
-X["x_indexes"] = f"""SELECT x.*, relsize_growth_avail,
-  CASE WHEN relsize_growth_avail THEN growth ELSE relpagegrowth_bytes END AS best_growth,
-  CASE WHEN vacuum_sizes_known THEN vacuum_bytes_relsize ELSE vacuum_bytes_relpages END AS vacuum_bytes,
-  indexrelname, tablespacename, coalesce(s2, s1) AS schemaname,
-  coalesce(r2 || '(TOAST)', r1) AS relname
-  FROM x_indexes_sums x JOIN x_indexes_ends USING (interval_no, server_id, datid, indexrelid)
-  {_names_ix}"""
+    USING (server_id, tablespaceid)
+  JOIN x_dbnames USING (interval_no, server_id, datid)"""
+_CHANGES = ("n_tup_ins", "n_tup_upd", "n_tup_del", "n_tup_hot_upd")
+# Index samples beside those of their table; vacuums is how often the index was read in whole.
+X["index_samples"] = f"""SELECT server_id, sample_id, datid, relid, indexrelid, tablespaceid, indisunique,
+  idx_scan, idx_blks_read, idx_blks_hit, relsize, relpages_bytes, relsize_diff, relpages_bytes_diff, of_table
+  FROM indexes LEFT JOIN (SELECT server_id, sample_id, datid, relid, struct_pack(
+    {', '.join(f'{c} := {c}' for c in (*_CHANGES, 'vacuum_count', 'autovacuum_count', 'relsize', 'relpages_bytes'))},
+    vacuums := coalesce(vacuum_count, 0) + coalesce(autovacuum_count, 0)) AS of_table FROM tables)
+  USING (server_id, sample_id, datid, relid)"""
+
+
+def mean_while_vacuumed(expr: str, out: str) -> str:
+    return f"CAST(round(avg(CASE WHEN of_table.vacuums > 0 THEN {expr} END)) AS BIGINT) AS {out}"
+
+
+X["x_indexes_inside"] = f"""SELECT {SPAN}, datid, relid, indexrelid,
+  arg_max(indisunique, sample_id) AS indisunique, arg_max(tablespaceid, sample_id) AS tablespaceid,
+  {sums(('idx_scan', 'idx_blks_read'))}, {total('idx_blks_read + idx_blks_hit')} AS idx_blks_fetch,
+  {total('relsize_diff')} AS growth, {total('relpages_bytes_diff')} AS page_growth,
+  {', '.join(f"{total(f'of_table.{c}')} AS tbl_{c}" for c in _CHANGES)},
+  {', '.join(f"{total(f'of_table.{c}')} AS {c}" for c in ('vacuum_count', 'autovacuum_count'))},
+  {total('of_table.vacuums * relsize')} AS vacuum_bytes_by_size,
+  {total('of_table.vacuums * relpages_bytes')} AS vacuum_bytes_by_pages,
+  {mean_while_vacuumed('relsize', 'mean_index_size')},
+  {mean_while_vacuumed('of_table.relsize', 'mean_table_size')},
+  {mean_while_vacuumed('relpages_bytes', 'mean_index_pages')},
+  {mean_while_vacuumed('of_table.relpages_bytes', 'mean_table_pages')},
+  coalesce(bool_and(relsize IS NOT NULL) FILTER (of_table.vacuums > 0), TRUE) AS vacuum_sizes_known
+  FROM index_samples SEMI JOIN user_ticks USING (server_id, sample_id, datid) {IN_SPAN}
+  WHERE of_table IS NOT NULL GROUP BY ALL"""
+X["x_indexes_ends"] = f"""SELECT {SPAN}, datid, indexrelid, bool_and(sized) AS ends_sized FROM (
+    SELECT interval_no, server_id, datid, indexrelid, relsize IS NOT NULL AS sized FROM indexes
+    JOIN spans ON sample_id BETWEEN s AND e
+    WINDOW one_index AS (PARTITION BY interval_no, server_id, datid, indexrelid)
+    QUALIFY sample_id IN (min(sample_id) OVER one_index, max(sample_id) OVER one_index)) GROUP BY ALL"""
+X["x_indexes"] = f"""SELECT x.*, ends_sized, indexrelname, schemaname, relname, tablespacename, dbname,
+  {better('ends_sized', 'growth', 'page_growth', 'best_growth')},
+  {better('vacuum_sizes_known', 'vacuum_bytes_by_size', 'vacuum_bytes_by_pages', 'vacuum_bytes')}
+  FROM x_indexes_inside x JOIN x_indexes_ends USING (interval_no, server_id, datid, indexrelid) {_names_ix}"""
 X["x_indexes_sized"] = """SELECT x.*, l.relsize, l.relpages_bytes, l.server_id IS NOT NULL AS at_end,
   tbl_n_tup_upd - coalesce(tbl_n_tup_hot_upd, 0) AS tbl_n_ind_upd
   FROM x_indexes x JOIN spans USING (interval_no)
   LEFT JOIN indexes l ON l.server_id = x.server_id AND l.sample_id = e AND l.datid = x.datid
     AND l.indexrelid = x.indexrelid"""
-X["x_io_totals"] = f"""SELECT {SPAN}, {total('heap_blks_read')} + {total('idx_blks_read')} AS tr,
-  {total('heap_blks_read')} + {total('idx_blks_read')} + {total('heap_blks_hit')}
-  + {total('idx_blks_hit')} AS tf FROM table_totals {IN_SPAN} GROUP BY {SPAN}"""
+# Blocks in the long form: one row for each kind of block, read or found in memory.
 _kinds = ("heap", "idx", "toast", "tidx")
-X["x_io_tables_sums"] = f"""SELECT interval_no, st.server_id, st.datid, st.relid,
-  arg_max(db.datname, sample_id) AS dbname, arg_max(st.tablespaceid, sample_id) AS tablespaceid,
-  {', '.join(f"{total(f'st.{k}_blks_read')} AS {k}_blks_read" for k in _kinds)},
-  {', '.join(f"coalesce({total(f'st.{k}_blks_read')}, 0) + coalesce({total(f'st.{k}_blks_hit')}, 0) AS {k}_blks_fetch" for k in _kinds)},
-  {total('st.seq_scan')} AS seq_scan, {total('st.idx_scan')} AS idx_scan
-  FROM tables st JOIN databases db USING (server_id, sample_id, datid) {IN_SPAN}
-  WHERE st.relkind IN ('r', 'm') AND NOT db.datistemplate
-  GROUP BY interval_no, st.server_id, st.datid, st.relid
-  HAVING min(db.stats_reset) = max(db.stats_reset)"""
-_f = " + ".join(f"{k}_blks_fetch" for k in _kinds)
-_r = " + ".join(f"coalesce({k}_blks_read, 0)" for k in _kinds)
-X["x_io_tables"] = f"""SELECT x.*,
-  {', '.join(f"{pct(f'{k}_blks_read', 'tr')} AS {k}_blks_read_pct, {pct(f'{k}_blks_fetch', 'tf')} AS {k}_blks_fetch_pct" for k in _kinds)},
-  {_f} AS blks_fetch, {_r} AS blks_read, {pct(f'({_f}) - ({_r})', f'({_f})')} AS hit_pct,
-  schemaname, relname, tablespacename
-  FROM x_io_tables_sums x LEFT JOIN x_io_totals USING (interval_no, server_id)
-  JOIN (SELECT server_id, datid, relid, schemaname, relname FROM tables_list)
-    USING (server_id, datid, relid)
-  JOIN (SELECT server_id, tablespaceid, tablespacename FROM tablespaces_list)
-    USING (server_id, tablespaceid)"""
-X["x_io_indexes_sums"] = f"""SELECT interval_no, st.server_id, st.datid, st.relid, st.indexrelid,
-  arg_max(db.datname, sample_id) AS dbname, arg_max(st.tablespaceid, sample_id) AS tablespaceid,
-  {total('st.idx_scan')} AS idx_scan, {total('st.idx_blks_read')} AS idx_blks_read,
-  {total('st.idx_blks_hit')} AS hits
-  FROM indexes st JOIN databases db USING (server_id, sample_id, datid) {IN_SPAN}
-  WHERE NOT db.datistemplate GROUP BY interval_no, st.server_id, st.datid, st.relid, st.indexrelid
-  HAVING min(db.stats_reset) = max(db.stats_reset)"""
-_if = "(coalesce(idx_blks_read, 0) + coalesce(hits, 0))"
-X["x_io_indexes"] = f"""SELECT x.* EXCLUDE (hits), {_if} AS idx_blks_fetch,
-  {pct('idx_blks_read', 'tr')} AS idx_blks_read_pct, {pct('hits', _if)} AS idx_blks_hit_pct,
-  {pct(_if, 'tf')} AS idx_blks_fetch_pct, indexrelname, tablespacename,
-  coalesce(s2, s1) AS schemaname, coalesce(r2 || '(TOAST)', r1) AS relname
-  FROM x_io_indexes_sums x LEFT JOIN x_io_totals USING (interval_no, server_id) {_names_ix}"""
+X["block_counts"] = " UNION ALL ".join(
+    f"SELECT server_id, sample_id, datid, relid, tablespaceid, relkind, '{k}' AS kind, "
+    f"{k}_blks_read AS reads, {k}_blks_hit AS hits FROM tables" for k in _kinds)
+X["all_blocks"] = f"""SELECT {SPAN}, {total('heap_blks_read')} + {total('idx_blks_read')} AS all_read,
+  {total('heap_blks_read + heap_blks_hit')} + {total('idx_blks_read + idx_blks_hit')} AS all_fetched
+  FROM table_totals {IN_SPAN} GROUP BY ALL"""
+X["steady"] = f"""SELECT {SPAN}, datid FROM user_ticks {IN_SPAN} GROUP BY ALL
+  HAVING count(DISTINCT epoch) = 1"""
+_by_kind = ", ".join(f"CAST(sum(reads) FILTER (kind = '{k}') AS BIGINT) AS {k}_blks_read, "
+                     f"CAST(coalesce(sum(reads) FILTER (kind = '{k}'), 0) + coalesce(sum(hits) FILTER (kind = '{k}'), 0)"
+                     f" AS BIGINT) AS {k}_blks_fetch" for k in _kinds)
+X["x_io_tables"] = f"""WITH b AS (SELECT {SPAN}, datid, relid, {_by_kind},
+    CAST(coalesce(sum(reads), 0) AS BIGINT) AS blks_read,
+    CAST(coalesce(sum(reads), 0) + coalesce(sum(hits), 0) AS BIGINT) AS blks_fetch,
+    CAST(coalesce(sum(hits), 0) AS BIGINT) AS found
+    FROM block_counts SEMI JOIN user_ticks USING (server_id, sample_id, datid) {IN_SPAN}
+    WHERE relkind IN ('r', 'm') GROUP BY ALL),
+  c AS (SELECT {SPAN}, datid, relid, {sums(('seq_scan', 'idx_scan'))}, arg_max(tablespaceid, sample_id) AS tablespaceid
+    FROM tables SEMI JOIN user_ticks USING (server_id, sample_id, datid) {IN_SPAN} GROUP BY ALL)
+  SELECT b.* EXCLUDE (found), seq_scan, idx_scan, tablespaceid,
+    {', '.join(f"{pct(f'{k}_blks_read', 'all_read')} AS {k}_blks_read_pct, {pct(f'{k}_blks_fetch', 'all_fetched')} AS {k}_blks_fetch_pct" for k in _kinds)},
+    {pct('found', 'blks_fetch')} AS hit_pct, schemaname, relname, tablespacename, dbname
+  FROM b JOIN c USING (interval_no, server_id, datid, relid) SEMI JOIN steady USING (interval_no, server_id, datid)
+  LEFT JOIN all_blocks USING (interval_no, server_id) JOIN x_dbnames USING (interval_no, server_id, datid)
+  JOIN (SELECT server_id, datid, relid, schemaname, relname FROM tables_list) USING (server_id, datid, relid)
+  JOIN (SELECT server_id, tablespaceid, tablespacename FROM tablespaces_list) USING (server_id, tablespaceid)"""
+X["x_io_indexes"] = f"""WITH x AS (SELECT {SPAN}, datid, relid, indexrelid, arg_max(tablespaceid, sample_id) AS tablespaceid,
+    {sums(('idx_scan', 'idx_blks_read'))}, coalesce({total('idx_blks_hit')}, 0) AS found,
+    coalesce({total('idx_blks_read')}, 0) + coalesce({total('idx_blks_hit')}, 0) AS idx_blks_fetch
+    FROM indexes SEMI JOIN user_ticks USING (server_id, sample_id, datid) {IN_SPAN} GROUP BY ALL)
+  SELECT x.* EXCLUDE (found), {pct('idx_blks_read', 'all_read')} AS idx_blks_read_pct,
+    {pct('found', 'idx_blks_fetch')} AS idx_blks_hit_pct, {pct('idx_blks_fetch', 'all_fetched')} AS idx_blks_fetch_pct,
+    indexrelname, tablespacename, schemaname, relname, dbname
+  FROM x SEMI JOIN steady USING (interval_no, server_id, datid)
+  LEFT JOIN all_blocks USING (interval_no, server_id) {_names_ix}"""
 
 
 def _functions(trigger: str) -> str:
