@@ -1,8 +1,9 @@
 """Byte-level BPE over Arrow batches: encoding, character offsets and decoding.
 
-The merge model of the tokenizers library does every merge. A batch is cut at single spaces first, because the public split
-pattern always starts a new match at a space that stands before a non-space; each distinct piece of a batch is then encoded
-once and its ids are gathered for all its places. Texts in which a space touches other white space are matched whole.
+The merge model of the tokenizers library does every merge. A batch is cut first where the public split pattern always starts a
+new match: at a space before a non-space, around a line end between non-spaces, and between a letter and closing stops or
+commas. Each distinct piece of a batch is then encoded once and its ids are gathered for all its places. Texts in which white
+space touches other white space are matched whole.
 
 Defined results: a null text counts as empty; an empty text has no ids; repeated rows get equal rows; other columns are
 passed on; output columns replace input columns of the same name; an empty table gives an empty table.
@@ -13,6 +14,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,10 +26,12 @@ from pyspark.sql import types as T
 #: Texts of a batch are handled in slices of about so many bytes, whatever Arrow sends.
 SLICE_BYTES = 8_000_000
 #: Pieces kept between slices; the memory is dropped and built anew beyond that.
-KEPT_PIECES = 300_000
-#: A space next to further white space (Unicode's, for RE2), or at the end.
-_UNSAFE = (r" [\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200b}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
-           r"\x{feff}]| $|^ *\z")
+KEPT_PIECES = 500_000
+#: White space of Unicode (for RE2), but the line end; a text in which it meets white space or an end is matched whole.
+_WHITE = r"[\t\r\f\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200b}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
+_UNSAFE = rf"[ \n][ \n]|{_WHITE}|\x00| \z"
+#: Marks a piece without a space before it.
+_BARE = "\x00"
 
 
 def byte_characters() -> list[str]:
@@ -72,12 +76,6 @@ def token_bytes(tokenizer) -> list[bytes]:
     return words
 
 
-def gather(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Positions start, start + 1, ... of each run, one run after the other."""
-    ends = np.cumsum(lengths)
-    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - lengths), lengths)
-
-
 class ColumnEncoder:
     """Encodes Arrow string columns; keeps the ids of pieces from one slice to the next.
 
@@ -96,7 +94,6 @@ class ColumnEncoder:
         self.known: dict[str, int] = {}
         self.memo: dict[str, list[int]] = {}  # ids of the matches in pieces of several matches
         self.ids = np.zeros(0, np.uint32)
-        self.starts = np.zeros(0, np.int64)
         self.lengths = np.zeros(0, np.int64)
 
     def _one(self, text: str) -> list[int]:
@@ -120,21 +117,24 @@ class ColumnEncoder:
         return np.array(out, np.uint32), lengths
 
     def _pieces(self, pieces: list[str]) -> np.ndarray:
-        """Numbers of the pieces, each with the space before it, among the known ones."""
-        known, merge, space = self.known, self.merge, byte_characters()[32]
-        new, flat, lengths = [], [], []
+        """Numbers of the pieces, each with the space before it unless it is marked, among the known ones."""
+        known, merge, space, table = self.known, self.merge, byte_characters()[32], self.table
+        new, flat, lengths, first = [], [], [], len(self.lengths)
         for piece in pieces:
             if piece not in known:
-                # a space and ASCII letters are one match of the pattern
-                ids = [t.id for t in merge(space + piece)] if piece.isascii() and piece.isalpha() else self._one(" " + piece)
-                known[piece] = len(self.lengths) + len(new)
+                before, word = ("", piece[1:]) if piece[:1] == _BARE else (space, piece)
+                # letters, with or without a space, are one match of the pattern
+                if word.isalpha() and (word.isascii() or max(word) < "\u0100"):
+                    text = word if word.isascii() else word.encode().decode("latin-1").translate(table)
+                    ids = [t.id for t in merge(before + text)]
+                else:
+                    ids = self._one(word if not before else " " + word)
+                known[piece] = first + len(new)
                 new.append(piece)
                 flat += ids
                 lengths.append(len(ids))
         if new:
-            counts = np.array(lengths, np.int64)
-            self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(counts) - counts])
-            self.lengths = np.concatenate([self.lengths, counts])
+            self.lengths = np.concatenate([self.lengths, np.array(lengths, np.int64)])
             self.ids = np.concatenate([self.ids, np.array(flat, np.uint32)])
         return np.fromiter(map(known.__getitem__, pieces), np.int64, len(pieces))
 
@@ -145,7 +145,8 @@ class ColumnEncoder:
         texts = pc.fill_null(texts, "")
         whole = pc.match_substring_regex(texts, _UNSAFE).to_numpy(zero_copy_only=False)
         plain = np.flatnonzero(~whole)
-        parts = pc.split_pattern(texts.take(pa.array(plain)), " ")
+        cut = pc.replace_substring_regex(texts.take(pa.array(plain)), r"(\pL)([.,]+)( |\n|\z)", rf"\1 {_BARE}\2\3")
+        parts = pc.split_pattern(pc.replace_substring(cut, "\n", f" {_BARE}\n {_BARE}"), " ")
         borders = parts.offsets.to_numpy() - parts.offsets[0].as_py()
         flat_parts = parts.flatten()
         heads, tail = borders[:-1], np.ones(len(flat_parts), bool)
@@ -154,23 +155,22 @@ class ColumnEncoder:
         numbers = self._pieces(coded.dictionary.to_pylist())
         own, own_lengths = self._encode(flat_parts.take(pa.array(heads)).to_pylist()
                                         + texts.take(pa.array(np.flatnonzero(whole))).to_pylist())
-        # one store: the kept pieces, then the heads and the whole texts of this slice
-        store = np.concatenate([self.ids, own])
-        own_starts = len(self.ids) + np.cumsum(own_lengths) - own_lengths
-        starts, lengths = np.empty(len(flat_parts), np.int64), np.empty(len(flat_parts), np.int64)
-        place = numbers[coded.indices.to_numpy()] if len(coded) else np.zeros(0, np.int64)
-        starts[tail], lengths[tail] = self.starts[place], self.lengths[place]
-        starts[heads], lengths[heads] = own_starts[:len(plain)], own_lengths[:len(plain)]
+        # one list array: the kept pieces, the heads and the whole texts of this slice
+        lengths = np.concatenate([self.lengths, own_lengths])
+        lists = pa.LargeListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)])),
+                                              pa.array(np.concatenate([self.ids, own])))
+        place, known = np.empty(len(flat_parts), np.int64), len(self.lengths)
+        place[tail] = numbers[coded.indices.to_numpy()] if len(coded) else 0
+        place[heads] = known + np.arange(len(plain))
         counts = np.empty(len(texts), np.int64)
         counts[whole] = own_lengths[len(plain):]
-        counts[plain] = np.diff(np.concatenate([[0], np.cumsum(lengths)])[borders])
-        if len(plain) == len(texts):
-            return store[gather(starts, lengths)], counts
-        ids = np.empty(int(counts.sum()), np.uint32)
-        first = np.cumsum(counts) - counts
-        ids[gather(first[plain], counts[plain])] = store[gather(starts, lengths)]
-        ids[gather(first[whole], counts[whole])] = own[own_lengths[:len(plain)].sum():]
-        return ids, counts
+        counts[plain] = np.diff(np.concatenate([[0], np.cumsum(lengths[place])])[borders])
+        if len(plain) < len(texts):  # put the whole texts in between
+            owner = np.empty(len(texts), np.int64)
+            owner[plain], owner[whole] = np.arange(len(plain)), np.arange(len(texts) - len(plain))
+            place = np.concatenate([place[borders[owner[k]]:borders[owner[k] + 1]] if not whole[k]
+                                    else np.array([known + len(plain) + owner[k]]) for k in range(len(texts))])
+        return lists.take(pa.array(place)).flatten().to_numpy(), counts
 
 
 def slices(batch: pa.RecordBatch, column: str) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
@@ -230,6 +230,13 @@ def open_model(path: str, pattern: str | None):
     return Tokenizer.from_file(path), public_tokenizers.PATTERN
 
 
+@lru_cache(maxsize=2)
+def worker_encoder(path: str, pattern: str | None) -> tuple[ColumnEncoder, list[bytes]]:
+    """An encoder and the tokens' bytes, opened once in each worker process and kept for its later tasks."""
+    tokenizer, split = open_model(path, pattern)
+    return ColumnEncoder(tokenizer.model, split), token_bytes(tokenizer)
+
+
 def _extended(docs: DataFrame, added: list[T.StructField]) -> tuple[T.StructType, list[str]]:
     kept = [f for f in docs.schema.fields if f.name not in {a.name for a in added}]
     return T.StructType(kept + added), [f.name for f in kept]
@@ -248,8 +255,7 @@ def encode(docs: DataFrame, path: str, pattern: str | None = None, text: str = "
     schema, kept = _extended(docs, added)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, split = open_model(path, pattern)
-        encoder, words = ColumnEncoder(tokenizer.model, split), token_bytes(tokenizer)
+        encoder, words = worker_encoder(path, pattern)
         for batch in batches:
             for rows, texts in slices(batch, text):
                 ids, counts = encoder.encode(texts)
@@ -270,7 +276,7 @@ def decode(docs: DataFrame, path: str, pattern: str | None = None, ids: str = "t
     schema, kept = _extended(docs, [T.StructField("decoded", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = pa.array(token_bytes(open_model(path, pattern)[0]), pa.large_binary())
+        words = pa.array(worker_encoder(path, pattern)[1], pa.large_binary())
         for batch in batches:
             lists = batch.column(ids)
             counts = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
@@ -294,8 +300,7 @@ def round_trip_digests(docs: DataFrame, path: str, pattern: str, key: str = "doc
         return pa.array([hashlib.sha256(v.as_buffer()).hexdigest() for v in values], pa.string())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, split = open_model(path, pattern)
-        encoder, known = ColumnEncoder(tokenizer.model, split), token_bytes(tokenizer)
+        encoder, known = worker_encoder(path, pattern)
         words = pa.array(known, pa.large_binary())
         numbers = pa.array([str(i) for i in range(len(known))], pa.large_string())
         for batch in batches:

@@ -46,17 +46,28 @@ def _pairs(seq: np.ndarray) -> np.ndarray:
     return (seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:]
 
 
-def compress(ids: np.ndarray, min_count: int = MIN_COUNT, max_symbols: int = 1 << 16) -> Grammar:
+#: Slots of the table that finds a pair's nonterminal; of two frequent pairs in one slot the later one waits a round.
+_SLOTS_BITS = 20
+
+
+def _slot(keys: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _SLOTS_BITS)
+
+
+def compress(ids: np.ndarray, min_count: int = MIN_COUNT, max_symbols: int = 1 << 16, least_gain: float = 0.01) -> Grammar:
     """Re-Pair in rounds: count all neighbour pairs, give every frequent pair a nonterminal, replace from left to right.
 
-    max_symbols keeps the sequence in two bytes a symbol; ids beyond it make it four bytes and lift the bound.
+    Ends when no pair is frequent or a round shortens the sequence by less than ``least_gain``. max_symbols keeps the
+    sequence in two bytes a symbol; ids beyond it make it four bytes and lift the bound.
     """
     base = int(ids.max()) + 1 if len(ids) else 1
     if base >= max_symbols:
         max_symbols = 1 << 32
     seq, rules, lengths = ids.astype(np.uint32), np.zeros((0, 2), np.uint32), np.zeros(0, np.int64)
     while len(seq) > 1 and base + len(rules) < max_symbols:
-        keys = _pairs(seq)
+        keys = (seq[:-1] << np.uint32(16)) | seq[1:] if max_symbols == 1 << 16 else _pairs(seq)
+        shift = keys.dtype.type(16 if max_symbols == 1 << 16 else 32)
         ordered = np.sort(keys)
         first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
         counts = np.diff(np.concatenate([first, [len(ordered)]]))
@@ -66,41 +77,40 @@ def compress(ids: np.ndarray, min_count: int = MIN_COUNT, max_symbols: int = 1 <
             chosen = chosen[np.lexsort((chosen, -counts[chosen]))[:room]]
         if not len(chosen):
             break
-        pairs = np.sort(ordered[first[chosen]])
-        at = np.searchsorted(pairs, keys)
-        at[at == len(pairs)] = 0
-        marked = pairs[at] == keys
+        pairs = ordered[first[chosen]]
+        slots = np.full(1 << _SLOTS_BITS, -1, np.int32)
+        slots[_slot(pairs)[::-1]] = np.arange(len(pairs), dtype=np.int32)[::-1]
+        at = slots[_slot(keys)]
+        place = np.flatnonzero(at >= 0)
+        place = place[pairs[at[place]] == keys[place]]
         # in a run of overlapping marked pairs every other one is replaced, the first included
-        place = np.flatnonzero(marked)
         opens = np.concatenate([[True], np.diff(place) > 1])
         run = np.maximum.accumulate(np.where(opens, place, 0))
         place = place[(place - run) % 2 == 0]
-        symbol = at[place].astype(np.uint32)
-        used, symbol = np.unique(symbol, return_inverse=True)  # a pair may lose all its places to its neighbours
-        new = np.stack([pairs[used] >> np.uint64(32), pairs[used] & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32)
-        before = np.concatenate([np.ones(base, np.int64), lengths]) if len(lengths) else None
-        lengths = np.concatenate([lengths, np.full(len(new), 2) if before is None else before[new].sum(1)])
+        used, symbol = np.unique(at[place], return_inverse=True)  # a pair may lose all its places to its neighbours
+        new = np.stack([pairs[used] >> shift, pairs[used] & keys.dtype.type((1 << int(shift)) - 1)], 1).astype(np.uint32)
+        sizes = np.concatenate([np.ones(base, np.int64), lengths])
+        lengths = np.concatenate([lengths, sizes[new].sum(1)])
         seq[place] = (base + len(rules) + symbol).astype(np.uint32)
         keep = np.ones(len(seq), bool)
         keep[place + 1] = False
         seq, rules = seq[keep], np.concatenate([rules, new])
+        if len(place) < least_gain * len(keys):
+            break
     return Grammar(base, rules, lengths, seq)
 
 
-def expand(base: int, rules: np.ndarray, expansions: np.ndarray, symbols: np.ndarray) -> np.ndarray:
-    """The ids of the symbols: nonterminals are opened until only ids are left."""
-    seq = symbols.astype(np.uint32)
-    while len(seq) and len(rules):
-        open_ = seq >= base
-        if not open_.any():
-            break
-        ends = np.cumsum(1 + open_.astype(np.int64))
-        out = np.empty(ends[-1], np.uint32)
-        pair = rules[seq[open_] - base]
-        out[ends - 1] = seq
-        out[ends[open_] - 2], out[ends[open_] - 1] = pair[:, 0], pair[:, 1]
-        seq = out
-    return seq
+def expand(base: int, rules: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+    """The ids of the symbols; a rule only names ids and earlier nonterminals, so each is spelt out once."""
+    if not len(rules) or not len(symbols):
+        return symbols.astype(np.uint32)
+    words = np.arange(base, dtype="<u4").tobytes()
+    spelt = [words[i:i + 4] for i in range(0, len(words), 4)]
+    for a, b in rules.tolist():
+        spelt.append(spelt[a] + spelt[b])
+    ends = np.cumsum(np.fromiter(map(len, spelt), np.int64, len(spelt)) // 4)
+    lists = pa.LargeListArray.from_arrays(pa.array(np.concatenate([[0], ends])), pa.array(np.frombuffer(b"".join(spelt), "<u4")))
+    return lists.take(pa.array(symbols.astype(np.int64))).flatten().to_numpy()
 
 
 class Shard:
@@ -122,7 +132,7 @@ class Shard:
         return np.cumsum(sizes)
 
     def all(self) -> np.ndarray:
-        return expand(self.base, self.rules, self.expansions, self.sequence)
+        return expand(self.base, self.rules, self.sequence)
 
     def range(self, low: int, high: int) -> np.ndarray:
         """ids[low:high], from the symbols that cover them."""
@@ -131,7 +141,7 @@ class Shard:
         ends = self.ends()
         a, b = np.searchsorted(ends, low, "right"), np.searchsorted(ends, high, "left")
         begin = ends[a - 1] if a else 0
-        return expand(self.base, self.rules, self.expansions, self.sequence[a:b + 1])[low - begin:high - begin]
+        return expand(self.base, self.rules, self.sequence[a:b + 1])[low - begin:high - begin]
 
     def document(self, number: int) -> np.ndarray:
         return self.range(int(self.borders[number]), int(self.borders[number + 1]))
@@ -155,8 +165,7 @@ def shards(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
     """Shard rows of SHARD_SCHEMA, in ascending order of the key within and over partitions."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, pattern = bpe.open_model(path, None)
-        encoder = bpe.ColumnEncoder(tokenizer.model, pattern)
+        encoder, _ = bpe.worker_encoder(path, None)
         keys, counts, parts, held = [], [], [], 0
 
         def close() -> pa.RecordBatch:
