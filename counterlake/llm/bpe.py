@@ -12,6 +12,7 @@ passed on; output columns replace input columns of the same name; an empty table
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -142,6 +143,15 @@ class ColumnEncoder:
         """Flat ids of a slice and the number of ids of each text."""
         if len(self.known) > KEPT_PIECES or len(self.memo) > KEPT_PIECES:
             self._forget()
+        collecting = gc.isenabled()
+        gc.disable()  # many small lists and no cycles
+        try:
+            return self._encoded(texts)
+        finally:
+            if collecting:
+                gc.enable()
+
+    def _encoded(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         texts = pc.fill_null(texts, "")
         whole = pc.match_substring_regex(texts, _UNSAFE).to_numpy(zero_copy_only=False)
         plain = np.flatnonzero(~whole)

@@ -51,8 +51,10 @@ _SLOTS_BITS = 20
 
 
 def _slot(keys: np.ndarray) -> np.ndarray:
+    """The leading bits of a multiplicative hash, in the keys' own width."""
+    factor = keys.dtype.type(0x9E3779B97F4A7C15 & ((1 << 8 * keys.itemsize) - 1))
     with np.errstate(over="ignore"):
-        return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _SLOTS_BITS)
+        return (keys * factor) >> keys.dtype.type(8 * keys.itemsize - _SLOTS_BITS)
 
 
 def compress(ids: np.ndarray, min_count: int = MIN_COUNT, max_symbols: int = 1 << 16, least_gain: float = 0.01) -> Grammar:
@@ -87,7 +89,11 @@ def compress(ids: np.ndarray, min_count: int = MIN_COUNT, max_symbols: int = 1 <
         opens = np.concatenate([[True], np.diff(place) > 1])
         run = np.maximum.accumulate(np.where(opens, place, 0))
         place = place[(place - run) % 2 == 0]
-        used, symbol = np.unique(at[place], return_inverse=True)  # a pair may lose all its places to its neighbours
+        hit = at[place]
+        used = np.flatnonzero(np.bincount(hit, minlength=len(pairs)))  # a pair may lose all its places to its neighbours
+        symbol = np.zeros(len(pairs), np.int64)
+        symbol[used] = np.arange(len(used))
+        symbol = symbol[hit]
         new = np.stack([pairs[used] >> shift, pairs[used] & keys.dtype.type((1 << int(shift)) - 1)], 1).astype(np.uint32)
         sizes = np.concatenate([np.ones(base, np.int64), lengths])
         lengths = np.concatenate([lengths, sizes[new].sum(1)])
@@ -197,7 +203,7 @@ def shards(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
             yield close()
 
     ordered = (docs.select(F.col(key).cast("long").alias(key), F.col(text).alias(text))
-               .repartitionByRange(F.col(key), F.length(text), F.crc32(F.col(text).cast("binary")))
+               .repartitionByRange(F.col(key), F.octet_length(text))
                .sortWithinPartitions(key, text))
     return ordered.mapInArrow(run, SHARD_SCHEMA)
 

@@ -76,16 +76,17 @@ def measures(docs: DataFrame, text: str = "text", stop_words: tuple[str, ...] =
     # the union of runs of five words that start at the places
     covered = (f"CASE WHEN size(_places) > 0 THEN {WINDOW} + aggregate(zip_with(slice(_places, 2, size(_places)),"
                f" slice(_places, 1, size(_places) - 1), (b, a) -> least({WINDOW}, b - a)), 0, (s, d) -> s + d) ELSE 0 END")
-    return places.selectExpr(
-        *(f"`{c}`" for c in docs.columns if c not in own),
-        "CAST(size(_words) AS BIGINT) AS n_words",
-        f"CAST(length(translate(_text, '{SPACE}', '')) AS BIGINT) AS word_chars",
-        "CAST(length(_text) - length(translate(_text, '#*$%&|<>', '')) AS BIGINT) AS n_symbols",
-        "CAST(size(_lines) AS BIGINT) AS n_lines",
-        "CAST(size(_lines) - size(array_distinct(_lines)) AS BIGINT) AS n_dup_lines",
-        f"CAST({covered} AS BIGINT) AS n_repeat_words",
-        f"CAST(size(filter(_words, w -> lower(w) IN ({stops}))) AS BIGINT) AS n_stop_words",
-        "CAST(size(filter(_words, w -> w = upper(w) AND w != lower(w) AND length(w) > 1)) AS BIGINT) AS n_capital_words")
+    found = ", ".join(f"'{name}', CAST({value} AS BIGINT)" for name, value in (
+        ("n_words", "size(_words)"),
+        ("word_chars", f"length(translate(_text, '{SPACE}', ''))"),
+        ("n_symbols", "length(_text) - length(translate(_text, '#*$%&|<>', ''))"),
+        ("n_lines", "size(_lines)"),
+        ("n_dup_lines", "size(_lines) - size(array_distinct(_lines))"),
+        ("n_repeat_words", covered),
+        ("n_stop_words", f"size(filter(_words, w -> lower(w) IN ({stops})))"),
+        ("n_capital_words", "size(filter(_words, w -> w = upper(w) AND w != lower(w) AND length(w) > 1))")))
+    # as a generated row: conditions on the measures stay above it and do not repeat the work below
+    return places.selectExpr(*(f"`{c}`" for c in docs.columns if c not in own), f"inline(array(named_struct({found})))")
 
 
 def judge(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
