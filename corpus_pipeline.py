@@ -20,8 +20,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps of every component the document with the smallest doc_id; documents without words stand alone."""
-    members = jaccard.components(docs.select("doc_id", "text"))
-    return docs.join(members.filter("component_id = doc_id").select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+    return jaccard.one_of_each(docs)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,13 +31,11 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes every document as often as the mixture says (not at all, once or twice)."""
-    copies = mixing.mix(docs).filter("copies > 0").select("doc_id", "copies")
-    return docs.join(copies, "doc_id").selectExpr("*", "explode(array_repeat(0, CAST(copies AS INT))) AS copy").select(
-        *docs.columns)
+    return mixing.repeated(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, n_tokens and the digests of ids and of decoded text, one row per copy."""
+    """doc_id, n_tokens and the digests of ids and of decoded text, one row per copy."""
     return bpe.round_trip_digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 

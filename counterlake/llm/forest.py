@@ -27,7 +27,7 @@ from counterlake.llm.store import stored
 SAMPLE, LEAF = 20_000, 100
 TREES = 6
 #: Share of all rows that a query's leaves shall cover, and rows at least (small tables are searched whole).
-COVER, LEAST = 0.6, 2_000
+COVER, LEAST = 0.7, 4_000
 ROWS_BLOCK, QUERIES_BLOCK = 8_192, 2_048
 SEED = 11
 

@@ -11,7 +11,7 @@ columns do not matter.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -26,11 +26,15 @@ LEVELS = (3, 3, 3)
 SENT_SOURCES = 100_000
 
 
+def _hash(key: str, seed: str) -> Column:
+    return F.md5(F.concat_ws(":", F.lit(seed), F.col(key).cast("string")))
+
+
 def sizes(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", seed: str = "mix") -> DataFrame:
     """key, source, size (words of the text) and hash (hexadecimal, uniform, of the key and the seed)."""
     words = F.expr(rf"CAST(size(filter(split(coalesce(`{text}`, ''), '[ \\t-\\r]+'), w -> w != '')) AS BIGINT)")
     return docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), words.alias("size"),
-                       F.md5(F.concat_ws(":", F.lit(seed), F.col(key).cast("string"))).alias("hash"))
+                       _hash(key, seed).alias("hash"))
 
 
 def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: int = CAP) -> DataFrame:
@@ -95,15 +99,32 @@ def thresholds(sized: DataFrame, aims: DataFrame, levels: tuple[int, ...] = LEVE
     return state
 
 
+def plan(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE) -> DataFrame:
+    """_source, source_size, target, whole, below: a row a source. Sent to all tasks if there are few sources, so that a
+    hot source's rows stay where they are."""
+    aims = stored(targets(sized, weights, share), "mix-targets")
+    cuts = thresholds(sized, aims).withColumnRenamed("source", "_source")
+    found = stored(aims.join(cuts, F.col("_source").eqNullSafe(F.col("source"))).drop("source"), "mix-plan")
+    return F.broadcast(found) if found.count() <= SENT_SOURCES else found
+
+
+def taken(rows: DataFrame, found: DataFrame, source: str, hash_: str) -> DataFrame:
+    """The rows with the plan's columns and copies (0 to 2), by the hash column ``hash_``."""
+    return rows.join(found, F.col("_source").eqNullSafe(F.col(source))).withColumn(
+        "copies", F.expr(f"whole + CASE WHEN {hash_} < below THEN 1L ELSE 0L END"))
+
+
 def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", seed: str = "mix",
         weights: tuple[int, ...] = WEIGHTS, share: float = SHARE) -> DataFrame:
     """doc_id, source, size, source_size, target, copies, taken (size * copies)."""
     sized = stored(sizes(docs, key, text, source, seed), "mix-sizes")
-    aims = stored(targets(sized, weights, share), "mix-targets")
-    plan = stored(aims.join(thresholds(sized, aims).withColumnRenamed("source", "_source"),
-                     F.col("_source").eqNullSafe(F.col("source"))).drop("_source").withColumnRenamed("source", "_source"), "mix-plan")
-    # a row a source: sent to all tasks if there are few, so that a hot source's rows stay where they are
-    few = plan.count() <= SENT_SOURCES
-    return sized.join(F.broadcast(plan) if few else plan, F.col("_source").eqNullSafe(F.col("source"))).selectExpr(
-        "doc_id", "source", "size", "source_size", "target",
-        "whole + CASE WHEN hash < below THEN 1L ELSE 0L END AS copies").selectExpr("*", "size * copies AS taken")
+    return taken(sized, plan(sized, weights, share), "source", "hash").selectExpr(
+        "doc_id", "source", "size", "source_size", "target", "copies", "size * copies AS taken")
+
+
+def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", seed: str = "mix",
+             weights: tuple[int, ...] = WEIGHTS, share: float = SHARE) -> DataFrame:
+    """The rows of the mixture themselves: each as often as it is taken. Texts do not move."""
+    found = plan(stored(sizes(docs, key, text, source, seed), "mix-sizes"), weights, share)
+    rows = taken(docs.withColumn("_hash", _hash(key, seed)), found, source, "_hash").filter("copies > 0")
+    return rows.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))).select(*docs.columns)

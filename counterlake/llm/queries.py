@@ -23,7 +23,7 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.components(documents(spark, sf_dir))
+    return jaccard.components(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
 
 
 def op4_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
