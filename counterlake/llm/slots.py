@@ -57,10 +57,7 @@ def _loads(placed: dict[int, int], sizes: dict[int, int], shards: int) -> list[i
 
 
 def rebalanced(placed: dict[int, int], sizes: dict[int, int], shards: int, tolerance: float = 0.02) -> dict[int, int]:
-    """An edited map: slots leave shards above the mean plus tolerance for the emptiest shard while that helps both.
-
-    Also the way to grow: a new shard number above all others starts empty and takes slots only into itself.
-    """
+    """An edited map: slots leave shards above the mean plus tolerance for the emptiest shard while that helps both."""
     placed, loads = dict(placed), _loads(placed, sizes, shards)
     mean = sum(loads) / shards
     slots_of: dict[int, list[int]] = {s: [] for s in range(shards)}
@@ -79,6 +76,18 @@ def rebalanced(placed: dict[int, int], sizes: dict[int, int], shards: int, toler
     return placed
 
 
+def grown(placed: dict[int, int], sizes: dict[int, int], shards: int) -> dict[int, int]:
+    """An edited map with one shard more: each old shard gives up slots of about its share, all to the new shard."""
+    placed, loads = dict(placed), _loads(placed, sizes, shards)
+    mean = sum(loads) / (shards + 1)
+    for slot in sorted(placed, key=lambda s: (-sizes.get(s, 0), s)):
+        shard, size = placed[slot], sizes.get(slot, 0)
+        if size and loads[shard] - size >= mean:
+            placed[slot] = shards
+            loads[shard] -= size
+    return placed
+
+
 def map_table(spark: SparkSession, versions: list[dict[int, int]]) -> DataFrame:
     """The stored map: version, virtual_slot, shard. Every version is complete, an unchanged slot keeps its shard."""
     rows = [(v, slot, shard) for v, placed in enumerate(versions) for slot, shard in sorted(placed.items())]

@@ -145,12 +145,16 @@ def test_map_edits_move_only_what_they_must():
     rng = np.random.default_rng(1)
     sizes = {s: int(rng.integers(1, 1000)) for s in range(512)}
     first = slots.first_map(sizes, 8, 512)
-    grown = slots.rebalanced(first, sizes, 9)
+    grown = slots.grown(first, sizes, 8)
     assert all(grown[s] in (first[s], 8) for s in first)  # one more shard takes slots only into itself
     for placed, n in ((first, 8), (grown, 9)):
         loads = [sum(v for s, v in sizes.items() if placed[s] == k) for k in range(n)]
         assert max(loads) < 1.05 * sum(loads) / n
     assert slots.rebalanced(grown, sizes, 9) == grown
+    worse = {s: 0 if k == 3 else k for s, k in first.items()}
+    better = slots.rebalanced(worse, sizes, 8)
+    loads = [sum(v for s, v in sizes.items() if better[s] == k) for k in range(8)]
+    assert max(loads) < 1.05 * sum(loads) / 8 and sum(better[s] != worse[s] for s in worse) < 100
 
 
 def _auc(score, y):
