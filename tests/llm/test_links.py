@@ -80,7 +80,7 @@ def test_the_tree_loses_no_pair():
     linked = lambda i, j: 100 * len(np.intersect1d(sets[i], sets[j])) >= 80 * len(np.union1d(sets[i], sets[j]))
     for fine in (False, True):
         points = [rtree.read_point(rtree.point(s, fine)) for s in sets]
-        found = {tuple(sorted(p)) for p in rtree.links(sizes, points, np.arange(len(sets)), 80, True)}
+        found = {tuple(sorted(p)) for p in rtree.links(np.arange(len(sets)), sizes, points, np.arange(len(sets)), 80, True)}
         true = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if linked(i, j)}
         assert true <= found and len(found) < 5 * len(true)
 
