@@ -1,7 +1,7 @@
 """Spark-native analytics over cumulative counter snapshots."""
 
 from counterlake.model import Interval, Repository, SnapshotSpec
-from counterlake.plans.report import diff_report, interval_report, latest_report
+from counterlake.plans.report import diff_report, interval_report, latest_report, report_of
 
 __all__ = [
     "Interval",
@@ -10,4 +10,5 @@ __all__ = [
     "diff_report",
     "interval_report",
     "latest_report",
+    "report_of",
 ]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from counterlake.model import SERVER, TICK, Interval
+from counterlake.model import SERVER, TICK, Interval, scan
 from counterlake.operators.ticks import previous_tick
 
 
@@ -39,12 +39,21 @@ def sized_bounds(table_totals: DataFrame, interval: Interval) -> DataFrame:
 
 
 def incomplete_servers(samples: DataFrame, interval: Interval) -> DataFrame:
-    """Servers that lack a sample inside the closed interval."""
+    """Servers that lack a sample inside the closed interval.
+
+    Asked for are the interval's servers, also those without any sample, or else all servers that have samples.
+    """
     expected = interval.end - interval.start + 1
-    inside = F.when(interval.contains(closed=True), F.col(TICK))
-    return (samples.groupBy(SERVER).agg(F.countDistinct(inside).alias("n_samples"))
-                   .filter(F.col("n_samples") < expected)
-                   .withColumn("missing", F.lit(expected) - F.col("n_samples")))
+    found = (scan(samples, [interval], closed=True).groupBy(SERVER)
+             .agg(F.countDistinct(TICK).alias("n_samples")))
+    if interval.server_ids:
+        ids = [(s,) for s in interval.server_ids]
+        asked = samples.sparkSession.createDataFrame(ids, f"{SERVER} int")
+    else:
+        asked = samples.select(SERVER).distinct()
+    return (asked.join(found, SERVER, "left").withColumn("n_samples", F.coalesce("n_samples", F.lit(0)))
+            .filter(F.col("n_samples") < expected)
+            .withColumn("missing", F.lit(expected) - F.col("n_samples")))
 
 
 def durations(samples: DataFrame, interval: Interval) -> DataFrame:

@@ -10,6 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from counterlake.functions.text import text_id
 from counterlake.model import SERVER, TICK, TICK_BLOCK, Repository
@@ -42,6 +43,11 @@ KEYS: dict[str, tuple[str, ...]] = {
 }
 
 
+#: Timestamps keep their microseconds on the way through JSON.
+JSON_OPTIONS = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
+_MALFORMED = "_malformed"
+
+
 def _in_range(df: DataFrame, low: int | None, high: int | None) -> DataFrame:
     if low is not None:
         df = df.filter(F.col(TICK) >= low)
@@ -91,7 +97,7 @@ def export_rows(repo: Repository, server_id: int | None = None, low: int | None
             continue
         df = tables[name].drop(TICK_BLOCK)
         rows = df.select(F.lit(SECTION_ID[name]).alias("section_id"),
-                         F.to_json(F.struct(*df.columns)).alias("row_data"))
+                         F.to_json(F.struct(*df.columns), JSON_OPTIONS).alias("row_data"))
         out = rows if out is None else out.unionByName(rows)
     return out
 
@@ -100,12 +106,32 @@ def write_export(rows: DataFrame, path: str, fmt: str = "parquet") -> None:
     rows.write.mode("overwrite").partitionBy("section_id").format(fmt).save(path)
 
 
-def section_rows(exported: DataFrame, name: str, like: DataFrame) -> DataFrame:
+def schemas_of(repo: Repository) -> dict[str, StructType]:
+    """The schema of every table present; an import into a repository that lacks tables needs those of the source."""
+    return {name: df.drop(TICK_BLOCK).schema for name, df in repo.present().items()}
+
+
+def _parsed(exported: DataFrame, name: str, schema: StructType) -> DataFrame:
+    marked = StructType([*schema.fields, StructField(_MALFORMED, StringType())])
+    options = {**JSON_OPTIONS, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": _MALFORMED}
+    rows = exported.filter(F.col("section_id") == SECTION_ID[name])
+    return rows.select(F.from_json("row_data", marked, options).alias("r"), "row_data")
+
+
+def section_rows(exported: DataFrame, name: str, like: DataFrame | StructType) -> DataFrame:
     """Rows of one section, parsed with the schema of the table they belong to."""
-    schema = like.drop(TICK_BLOCK).schema
-    parsed = exported.filter(F.col("section_id") == SECTION_ID[name]).select(
-        F.from_json("row_data", schema).alias("r"))
-    return parsed.select("r.*")
+    schema = like if isinstance(like, StructType) else like.drop(TICK_BLOCK).schema
+    return _parsed(exported, name, schema).select(*[f"r.{f.name}" for f in schema.fields])
+
+
+def malformed_rows(exported: DataFrame, schemas: dict[str, StructType]) -> DataFrame:
+    """(section_id, row_data) that do not parse as rows of their table, or belong to no known section."""
+    known = [n for n in SECTION_ORDER if n in schemas]
+    bad = exported.filter(~F.col("section_id").isin([SECTION_ID[n] for n in known]))
+    for name in known:
+        broken = _parsed(exported, name, schemas[name]).filter(f"r IS NULL OR r.{_MALFORMED} IS NOT NULL")
+        bad = bad.unionByName(broken.select(F.lit(SECTION_ID[name]).alias("section_id"), "row_data"))
+    return bad
 
 
 def match_servers(imported: DataFrame, imported_settings: DataFrame, local: DataFrame,
@@ -156,21 +182,51 @@ def missing_rows(rows: DataFrame, target: DataFrame, keys: Sequence[str]) -> Dat
     return rows.dropDuplicates(list(keys)).join(target.select(*keys), list(keys), "left_anti")
 
 
-def import_rows(exported: DataFrame, target: Repository, id_map: DataFrame
-                ) -> tuple[Repository, DataFrame]:
+def merged_servers(imported: DataFrame, local: DataFrame, id_map: DataFrame) -> DataFrame:
+    """Local servers with the new ones; a server known on both sides takes the newer last sample."""
+    names = id_map.select(F.col("imported_id").alias(SERVER), "local_id",
+                          *([F.col("server_name").alias("_name")] if "server_name" in id_map.columns else []))
+    theirs = imported.join(names, SERVER).withColumn(SERVER, F.col("local_id"))
+    if "_name" in theirs.columns and "server_name" in local.columns:
+        theirs = theirs.withColumn("server_name", F.coalesce("_name", "server_name"))
+    theirs = theirs.select(*local.columns)
+    new = theirs.join(local.select(SERVER), SERVER, "left_anti").select(*local.columns)
+    if "last_sample_id" in local.columns:
+        newer = theirs.select(SERVER, F.col("last_sample_id").alias("_newer"))
+        local = local.join(newer, SERVER, "left").withColumn(
+            "last_sample_id", F.greatest("last_sample_id", "_newer")).select(*local.columns)
+    return local.unionByName(new)
+
+
+def import_rows(exported: DataFrame, target: Repository, id_map: DataFrame,
+                schemas: dict[str, StructType] | None = None) -> tuple[Repository, DataFrame]:
     """The target with everything the export adds, and the number of new rows per table.
 
-    Dictionaries are repaired afterwards: objects without a fact in the newest sample were last
-    seen at their newest fact.
+    ``schemas`` are those of the source, for tables that the target lacks (default: the target's). Rows that do not parse,
+    sections without a schema and servers in conflict are errors: nothing is left out in silence. Dictionaries are repaired
+    afterwards: objects without a fact in the newest sample were last seen at their newest fact.
     """
+    schemas = {**(schemas or {}), **schemas_of(target)}
+    bad = malformed_rows(exported, schemas).limit(3).collect()
+    if bad:
+        raise ValueError(f"rows that fit no table, such as {[tuple(r) for r in bad]}")
+    if "verdict" in id_map.columns:
+        conflicts = [r.server_name for r in id_map.filter("verdict = 'conflict'").select("server_name").limit(10).collect()]
+        if conflicts:
+            raise ValueError(f"other local servers are named {conflicts}: import with a prefix")
+    spark = exported.sparkSession
     tables, counts = target.present(), None
     loaded: dict[str, DataFrame] = {}
     for name in SECTION_ORDER:
-        if name not in tables or name == "servers":
+        if name not in schemas:
+            continue
+        own = tables[name].drop(TICK_BLOCK) if name in tables else spark.createDataFrame([], schemas[name])
+        if name == "servers":
+            loaded[name] = merged_servers(section_rows(exported, name, schemas[name]), own, id_map)
             continue
-        rows = map_server_ids(section_rows(exported, name, tables[name]), id_map)
-        new = missing_rows(rows, tables[name], KEYS[name])
-        loaded[name] = tables[name].drop(TICK_BLOCK).unionByName(new)
+        rows = map_server_ids(section_rows(exported, name, schemas[name]), id_map)
+        new = missing_rows(rows, own, KEYS[name])
+        loaded[name] = own.unionByName(new)
         count = new.agg(F.count(F.lit(1)).alias("n_rows")).select(
             F.lit(name).alias("table_name"), "n_rows")
         counts = count if counts is None else counts.unionByName(count)

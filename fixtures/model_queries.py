@@ -3,6 +3,7 @@ intervals, lifecycle, availability, resets, reports and streaming."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +15,7 @@ from counterlake.model import SERVER, TICK, Interval
 from counterlake.operators import (availability, delta, dictionary, intervals, lifecycle, marking,
                                    resets, settings, totals)
 from counterlake.plans import report, sections
+from counterlake.session import work_folder
 from counterlake.sources import snapshots, transfer
 from fixtures import oracles as O
 from fixtures.flagship import flagship
@@ -203,6 +205,22 @@ def _(spark, sf):
                                    "trg_fn")
 
 
+_ROUND = ("servers", "samples", "tables_list", "tables", "functions", "funcs_list")
+
+
+@query("s12_roundtrip", f"""SELECT server_id, sample_id, datid, relid, relsize, n_tup_ins, idx_blks_read, server_name, sample_time
+  FROM tables JOIN samples USING (server_id, sample_id) JOIN servers USING (server_id)""")
+def _(spark, sf):
+    # into a repository without any table: every server is new and keeps its number
+    repo = repository(spark, sf, _ROUND)
+    ids = repo.servers.select(F.col(SERVER).alias("imported_id"), F.col(SERVER).alias("local_id"), "server_name",
+                              F.lit("new").alias("verdict"))
+    loaded, _counts = transfer.import_rows(transfer.export_rows(repo), M.Repository(), ids, transfer.schemas_of(repo))
+    times = loaded.samples.select(SERVER, TICK, "sample_time")
+    return (loaded.tables.select(SERVER, TICK, "datid", "relid", "relsize", "n_tup_ins", "idx_blks_read")
+            .join(times, [SERVER, TICK]).join(loaded.servers.select(SERVER, "server_name"), SERVER))
+
+
 @query("s13_server_matching", """SELECT server_id AS imported_id, 'imp_server_' || server_id AS server_name,
   CASE WHEN server_id = 1 THEN 'match' ELSE 'new' END AS verdict,
   CASE WHEN server_id = 1 THEN 1 ELSE 3 END AS local_id FROM servers""")
@@ -796,6 +814,13 @@ def _(spark, sf):
     return intervals.incomplete_servers(relation(spark, sf, "samples"), Interval(5, 40))
 
 
+@query("i4_incomplete_of_asked_servers", """SELECT a.server_id, count(DISTINCT sample_id) AS n_samples,
+  36 - count(DISTINCT sample_id) AS missing FROM (SELECT CAST(unnest([1, 9]) AS INT) AS server_id) a
+  LEFT JOIN samples s ON s.server_id = a.server_id AND sample_id BETWEEN 5 AND 40 GROUP BY a.server_id""")
+def _(spark, sf):
+    return intervals.incomplete_servers(relation(spark, sf, "samples"), Interval(5, 40, (1, 9)))
+
+
 @query("i5_durations", f"""SELECT a.server_id, CAST(epoch(b.sample_time) - epoch(a.sample_time) AS BIGINT)
   AS duration_sec FROM samples a JOIN samples b ON a.server_id = b.server_id
   WHERE a.sample_id = 0 AND b.sample_id = {TICKS}""")
@@ -891,6 +916,21 @@ def _(spark, sf):
     return kept.functions.select(SERVER, TICK, "datid", "funcid", "calls")
 
 
+@query("r3_stored_retention", """SELECT server_id, sample_id, datid, funcid, calls FROM functions f
+  WHERE NOT EXISTS (SELECT 1 FROM doomed d WHERE d.server_id = f.server_id AND d.sample_id = f.sample_id)""")
+def _(spark, sf):
+    # save, load, delete, save over the same folder, load again
+    repo = repository(spark, sf, ("samples", "bl_samples", "functions", "funcs_list"))
+    repo = repo.with_tables(funcs_list=repo.funcs_list.withColumn(
+        "last_sample_id", F.lit(None).cast("int")))
+    path = f"{work_folder(spark)}/retention-{uuid.uuid4().hex[:8]}"
+    repo.save(path)
+    kept = lifecycle.delete_samples(M.Repository.load(spark, path), (10, 29))
+    kept.save(path)
+    M.Repository.vacuum(spark, path)
+    return M.Repository.load(spark, path).functions.select(SERVER, TICK, "datid", "funcid", "calls")
+
+
 @query("r4_pruned_settings", f"""{_LOG_OUT} FROM settings_log l JOIN (
     SELECT server_id, min(sample_time) AS oldest FROM samples WHERE sample_id >= 14 GROUP BY server_id)
     USING (server_id)
@@ -1055,7 +1095,7 @@ def _frame_part(ordinal: int, sect: str, sql: str, key, labels, row_no: str, met
     return f"SELECT * FROM (WITH part AS ({sql}) {values}) WHERE value IS NOT NULL"
 
 
-def _report_sql(diff: bool) -> str:
+def _report_sql(diff: bool, spans: str | None = None) -> str:
     """The report as a union of the section oracles (each complete with its own relations)."""
     plain = (("q1", O.database_sql, ("dbname",), (*sections.DB_VALUES, "datsize", "blks_hit_pct")),
              ("q2", O.session_sql, ("dbname",), O.SESSIONS),
@@ -1078,7 +1118,8 @@ def _report_sql(diff: bool) -> str:
             sql = (O.diff_sql if diff else O.single_sql)(spec, sections.TOPN)
             parts.append(_frame_part(n, spec.id, sql, spec.key, spec.labels, "ord",
                                      metrics(spec.values)))
-    return " UNION ALL ".join(parts)
+    sql = " UNION ALL ".join(parts)
+    return sql.replace(O.ONE, spans) if spans else sql
 
 
 def _report_repo(spark, sf):
@@ -1093,9 +1134,9 @@ QUERIES["p2_diff_report"] = lambda spark, sf: report.diff_report(_report_repo(sp
 ORACLES["p2_diff_report"] = _report_sql(True)
 
 
-@query("p5_widened_report", None)
+# bounds 8 and 20 carry no sizes and move outwards to 7 and 21
+@query("p5_widened_report", _report_sql(False, "SELECT 1 AS interval_no, 7 AS s, 21 AS e"))
 def _(spark, sf):
-    # bounds 8 and 20 carry no sizes and move outwards to 7 and 21
     return report.interval_report(_report_repo(spark, sf), Interval(8, 20), with_growth=True)
 
 

@@ -215,8 +215,8 @@ X["block_counts"] = " UNION ALL ".join(
 X["all_blocks"] = f"""SELECT {SPAN}, {total('heap_blks_read')} + {total('idx_blks_read')} AS all_read,
   {total('heap_blks_read + heap_blks_hit')} + {total('idx_blks_read + idx_blks_hit')} AS all_fetched
   FROM table_totals {IN_SPAN} GROUP BY ALL"""
-X["steady"] = f"""SELECT {SPAN}, datid FROM user_ticks {IN_SPAN} GROUP BY ALL
-  HAVING count(DISTINCT epoch) = 1"""
+# Objects whose database was not reset while they were seen.
+_STEADY = "HAVING count(DISTINCT epoch) = 1"
 _by_kind = ", ".join(f"CAST(sum(reads) FILTER (kind = '{k}') AS BIGINT) AS {k}_blks_read, "
                      f"CAST(coalesce(sum(reads) FILTER (kind = '{k}'), 0) + coalesce(sum(hits) FILTER (kind = '{k}'), 0)"
                      f" AS BIGINT) AS {k}_blks_fetch" for k in _kinds)
@@ -224,25 +224,25 @@ X["x_io_tables"] = f"""WITH b AS (SELECT {SPAN}, datid, relid, {_by_kind},
     CAST(coalesce(sum(reads), 0) AS BIGINT) AS blks_read,
     CAST(coalesce(sum(reads), 0) + coalesce(sum(hits), 0) AS BIGINT) AS blks_fetch,
     CAST(coalesce(sum(hits), 0) AS BIGINT) AS found
-    FROM block_counts SEMI JOIN user_ticks USING (server_id, sample_id, datid) {IN_SPAN}
-    WHERE relkind IN ('r', 'm') GROUP BY ALL),
+    FROM block_counts JOIN user_ticks USING (server_id, sample_id, datid) {IN_SPAN}
+    WHERE relkind IN ('r', 'm') GROUP BY ALL {_STEADY}),
   c AS (SELECT {SPAN}, datid, relid, {sums(('seq_scan', 'idx_scan'))}, arg_max(tablespaceid, sample_id) AS tablespaceid
     FROM tables SEMI JOIN user_ticks USING (server_id, sample_id, datid) {IN_SPAN} GROUP BY ALL)
   SELECT b.* EXCLUDE (found), seq_scan, idx_scan, tablespaceid,
     {', '.join(f"{pct(f'{k}_blks_read', 'all_read')} AS {k}_blks_read_pct, {pct(f'{k}_blks_fetch', 'all_fetched')} AS {k}_blks_fetch_pct" for k in _kinds)},
     {pct('found', 'blks_fetch')} AS hit_pct, schemaname, relname, tablespacename, dbname
-  FROM b JOIN c USING (interval_no, server_id, datid, relid) SEMI JOIN steady USING (interval_no, server_id, datid)
+  FROM b JOIN c USING (interval_no, server_id, datid, relid)
   LEFT JOIN all_blocks USING (interval_no, server_id) JOIN x_dbnames USING (interval_no, server_id, datid)
   JOIN (SELECT server_id, datid, relid, schemaname, relname FROM tables_list) USING (server_id, datid, relid)
   JOIN (SELECT server_id, tablespaceid, tablespacename FROM tablespaces_list) USING (server_id, tablespaceid)"""
 X["x_io_indexes"] = f"""WITH x AS (SELECT {SPAN}, datid, relid, indexrelid, arg_max(tablespaceid, sample_id) AS tablespaceid,
     {sums(('idx_scan', 'idx_blks_read'))}, coalesce({total('idx_blks_hit')}, 0) AS found,
     coalesce({total('idx_blks_read')}, 0) + coalesce({total('idx_blks_hit')}, 0) AS idx_blks_fetch
-    FROM indexes SEMI JOIN user_ticks USING (server_id, sample_id, datid) {IN_SPAN} GROUP BY ALL)
+    FROM indexes JOIN user_ticks USING (server_id, sample_id, datid) {IN_SPAN} GROUP BY ALL {_STEADY})
   SELECT x.* EXCLUDE (found), {pct('idx_blks_read', 'all_read')} AS idx_blks_read_pct,
     {pct('found', 'idx_blks_fetch')} AS idx_blks_hit_pct, {pct('idx_blks_fetch', 'all_fetched')} AS idx_blks_fetch_pct,
     indexrelname, tablespacename, schemaname, relname, dbname
-  FROM x SEMI JOIN steady USING (interval_no, server_id, datid)
+  FROM x
   LEFT JOIN all_blocks USING (interval_no, server_id) {_names_ix}"""
 
 

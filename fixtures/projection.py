@@ -37,8 +37,13 @@ def _if(cond: str, expr: str = "1") -> str:
     return _s(f"CASE WHEN {cond} THEN {expr} ELSE 0 END")
 
 
+def _only(cond: str, value: str) -> str:
+    """The counter exists for some objects only, and is NULL for the others."""
+    return f"CASE WHEN {cond} THEN {value} END"
+
+
 def _tick(date: str) -> str:
-    return f"CAST(least({TICKS}, 1 + floor({{days:{date}}} / 84)) AS INT)"
+    return f"CAST(1 + floor({{days:{date}}} / 84) AS INT)"
 
 
 # datid of the databases whose counters restart every ten ticks: 'error' and 'R'
@@ -47,15 +52,20 @@ SERVER_EPOCH = "floor((sample_id - 1) / 10)"
 
 TABLE_INC = {
     "seq_scan": "CAST(count(*) AS BIGINT)", "seq_tup_read": _s("qty"),
-    "idx_scan": _if("ln IN (1, 3, 5, 7)"), "idx_tup_fetch": _s("disc"),
+    "idx_scan": _only("relid % 4 <> 3", _if("ln IN (1, 3, 5, 7)")),
+    "idx_tup_fetch": _only("relid % 4 <> 3", _s("disc")),
     "n_tup_ins": _if("ln IN (3, 6)", "qty"), "n_tup_upd": _if("ln IN (1, 4, 7)", "qty"),
     "n_tup_del": _if("ln IN (2, 5)", "qty"), "n_tup_hot_upd": _if("ln IN (1, 4, 7)", "tax"),
     "vacuum_count": _if("disc = 0"), "autovacuum_count": _if("disc = 1"),
     "analyze_count": _if("tax = 0"), "autoanalyze_count": _if("tax = 1"),
-    "heap_blks_read": _s("disc"), "heap_blks_hit": _s("qty"), "idx_blks_read": _s("tax"),
-    "idx_blks_hit": _s("disc * 2"), "toast_blks_read": _if("ln > 2", "disc"),
-    "toast_blks_hit": _if("ln > 2", "qty"), "tidx_blks_read": _if("ln > 3", "tax"),
-    "tidx_blks_hit": _if("ln > 3", "disc"),
+    # tables without an index or a side table have no such counters
+    "heap_blks_read": _s("disc"), "heap_blks_hit": _s("qty"),
+    "idx_blks_read": _only("relid % 4 <> 3", _s("tax")),
+    "idx_blks_hit": _only("relid % 4 <> 3", _s("disc * 2")),
+    "toast_blks_read": _only("relid % 10 = 0", _if("ln > 2", "disc")),
+    "toast_blks_hit": _only("relid % 10 = 0", _if("ln > 2", "qty")),
+    "tidx_blks_read": _only("relid % 10 = 0", _if("ln > 3", "tax")),
+    "tidx_blks_hit": _only("relid % 10 = 0", _if("ln > 3", "disc")),
 }
 INDEX_INC = {
     "idx_scan": _if("ln <> 1", "qty"), "idx_tup_read": _s("qty * 2"), "idx_tup_fetch": _s("qty"),

@@ -2,6 +2,7 @@
 
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from counterlake.model import Interval, Repository, duplicate_keys, tag_intervals
@@ -88,6 +89,34 @@ def test_save_and_load_prunes_ticks(spark, tmp_path):
     assert kept.count() == 3  # f1 at 2 and 3, f2 at 2
 
 
+def test_saving_again_deletes(spark, tmp_path):
+    r = repo(spark).with_tables(bl_samples=None, baselines=None)
+    r.save(str(tmp_path))
+    old = Repository.load(spark, str(tmp_path))
+    old.with_tables(samples=old.samples.filter("sample_id < 3").drop("tick_block")).save(str(tmp_path))
+    assert {x.sample_id for x in Repository.load(spark, str(tmp_path), ["samples"]).samples.collect()} <= {0, 1, 2}
+    Repository.vacuum(spark, str(tmp_path))
+    assert Repository.load(spark, str(tmp_path)).functions.count() == r.functions.count()
+
+
+def test_import_fails_loudly(spark):
+    r = repo(spark)
+    rows = transfer.export_rows(r)
+    same = spark.createDataFrame([(1, 9, "a", "new")], "imported_id int, local_id int, server_name string, verdict string")
+    broken = rows.unionByName(spark.createDataFrame([(transfer.SECTION_ID["samples"], "{not json")], rows.schema))
+    with pytest.raises(ValueError, match="fit no table"):
+        transfer.import_rows(broken, r, same)
+    with pytest.raises(ValueError, match="prefix"):
+        transfer.import_rows(rows, r, same.withColumn("verdict", F.lit("conflict")))
+
+
+def test_export_keeps_microseconds(spark):
+    at = datetime(2024, 1, 1, 0, 0, 0, 123456)
+    r = Repository(samples=spark.createDataFrame([(1, 1, at)], "server_id int, sample_id int, sample_time timestamp"))
+    back = transfer.section_rows(transfer.export_rows(r), "samples", r.samples)
+    assert back.collect() == r.samples.collect()
+
+
 def test_overlapping_intervals_count_rows_twice(spark):
     r = repo(spark)
     tagged = tag_intervals(r.samples, [Interval(0, 4), Interval(2, 6)])
