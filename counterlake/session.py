@@ -34,7 +34,7 @@ _FOLDERS: dict[str, str] = {}
 
 
 def work_folder(spark: SparkSession) -> str:
-    """A folder of this application for intermediate tables.
+    """A folder of this application for intermediate tables, deleted when the application ends.
 
     It lies in the shared folder that the session names in ``spark.checkpoint.dir``. Only a
     local session without that setting gets a temporary folder of its own.
@@ -47,9 +47,18 @@ def work_folder(spark: SparkSession) -> str:
                 raise ValueError("set spark.checkpoint.dir to a folder all executors share")
             base = tempfile.mkdtemp(prefix="counterlake-")
         _FOLDERS[app] = f"{base}/counterlake-{app}-{uuid.uuid4().hex[:8]}"
+        _delete_at_end(spark, _FOLDERS[app])
     return _FOLDERS[app]
 
 
+def _delete_at_end(spark: SparkSession, folder: str) -> None:
+    """The folder goes when the driver's file systems are closed."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(path)
+    files.deleteOnExit(path)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table into the work folder and read it back.
 
