@@ -183,14 +183,14 @@ class ColumnEncoder:
         return lists.take(pa.array(place)).flatten().to_numpy(), counts
 
 
-def slices(batch: pa.RecordBatch, column: str) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
-    """The batch in runs of rows with about SLICE_BYTES of text, each with its texts."""
+def slices(batch: pa.RecordBatch, column: str, size: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
+    """The batch in runs of rows with about ``size`` bytes of text, each with its texts."""
     texts = batch.column(column).cast(pa.large_string())
     sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
     low = 0
     while low < len(texts):
         done = sizes[low - 1] if low else 0
-        high = max(low + 1, int(np.searchsorted(sizes, done + SLICE_BYTES, "right")))
+        high = max(low + 1, int(np.searchsorted(sizes, done + size, "right")))
         yield batch.slice(low, high - low), texts.slice(low, high - low)
         low = high
 
