@@ -7,7 +7,7 @@ import re
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from counterlake.llm import alignment, bpe, forest, gam, jaccard, merkle, mixing, repair, rules, secrets, slots, toxicity
+from counterlake.llm import alignment, bpe, forest, gam, jaccard, merkle, mixing, repair, rules, secrets, slots, suffixes, toxicity
 from counterlake.llm.store import documents, stored
 
 
@@ -60,6 +60,10 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verified(merkle.manifest(documents(spark, sf_dir)))
 
 
+def op12_suffix_family(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.deduplicated(documents(spark, sf_dir))
+
+
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.aligned(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"),
                              public_tokenizers.path("piece_bpe_32k.model"))
@@ -208,6 +212,7 @@ QUERIES = {
     "op9_secret_scan": op9_secret_scan,
     "op10_byte_bpe": op10_byte_bpe,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_suffix_family": op12_suffix_family,
     "op13_token_alignment": op13_token_alignment,
 }
 ORACLES = {
