@@ -28,6 +28,8 @@ from pyspark.sql import types as T
 SLICE_BYTES = 8_000_000
 #: Pieces kept between slices; the memory is dropped and built anew beyond that.
 KEPT_PIECES = 500_000
+#: The same for their characters and ids, so that very long pieces do not add up.
+KEPT_BYTES = 48_000_000
 #: White space of Unicode (for RE2), but the line end; a text in which it meets white space or an end is matched whole.
 _WHITE = r"[\t\r\f\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200b}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
 _UNSAFE = rf"[ \n][ \n]|{_WHITE}|\x00| \z"
@@ -83,9 +85,10 @@ class ColumnEncoder:
     The library's merge model is called on the matches of the split pattern, written in the characters of the byte table.
     """
 
-    def __init__(self, model, pattern: str):
+    def __init__(self, model, pattern: str, kept: int = KEPT_PIECES):
         import regex
 
+        self.kept = kept
         self.merge, self.matches = model.tokenize, regex.compile(pattern).findall
         # bytes read as Latin-1 become the table's characters
         self.table = str.maketrans(dict(enumerate(byte_characters())))
@@ -93,6 +96,7 @@ class ColumnEncoder:
 
     def _forget(self) -> None:
         self.known: dict[str, int] = {}
+        self.held = 0
         self.memo: dict[str, list[int]] = {}  # ids of the matches in pieces of several matches
         self.ids = np.zeros(0, np.uint32)
         self.lengths = np.zeros(0, np.int64)
@@ -134,6 +138,7 @@ class ColumnEncoder:
                 new.append(piece)
                 flat += ids
                 lengths.append(len(ids))
+                self.held += len(piece) + 4 * len(ids)
         if new:
             self.lengths = np.concatenate([self.lengths, np.array(lengths, np.int64)])
             self.ids = np.concatenate([self.ids, np.array(flat, np.uint32)])
@@ -141,7 +146,7 @@ class ColumnEncoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of a slice and the number of ids of each text."""
-        if len(self.known) > KEPT_PIECES or len(self.memo) > KEPT_PIECES:
+        if len(self.known) > self.kept or len(self.memo) > self.kept or self.held > KEPT_BYTES:
             self._forget()
         collecting = gc.isenabled()
         gc.disable()  # many small lists and no cycles
@@ -241,10 +246,10 @@ def open_model(path: str, pattern: str | None):
 
 
 @lru_cache(maxsize=2)
-def worker_encoder(path: str, pattern: str | None) -> tuple[ColumnEncoder, list[bytes]]:
+def worker_encoder(path: str, pattern: str | None, kept: int = KEPT_PIECES) -> tuple[ColumnEncoder, list[bytes]]:
     """An encoder and the tokens' bytes, opened once in each worker process and kept for its later tasks."""
     tokenizer, split = open_model(path, pattern)
-    return ColumnEncoder(tokenizer.model, split), token_bytes(tokenizer)
+    return ColumnEncoder(tokenizer.model, split, kept), token_bytes(tokenizer)
 
 
 def _extended(docs: DataFrame, added: list[T.StructField]) -> tuple[T.StructType, list[str]]:
@@ -298,10 +303,11 @@ def decode(docs: DataFrame, path: str, pattern: str | None = None, ids: str = "t
     return docs.mapInArrow(run, schema)
 
 
-def round_trip_digests(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+def round_trip_digests(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text",
+                       slice_bytes: int = SLICE_BYTES, kept: int = KEPT_PIECES) -> DataFrame:
     """Per row: key, n_tokens, sha256 of the decimal ids joined by a space, sha256 of the decoded bytes.
 
-    Encoding and decoding happen in the same task, so ids never leave it.
+    Encoding and decoding happen in the same task, so ids never leave it. Smaller slices and fewer kept pieces take less memory.
     """
     schema = T.StructType([docs.schema[key], T.StructField("n_tokens", T.LongType()),
                            T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
@@ -310,14 +316,15 @@ def round_trip_digests(docs: DataFrame, path: str, pattern: str, key: str = "doc
         return pa.array([hashlib.sha256(v.as_buffer()).hexdigest() for v in values], pa.string())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, known = worker_encoder(path, pattern)
+        encoder, known = worker_encoder(path, pattern, kept)
         words = pa.array(known, pa.large_binary())
         numbers = pa.array([str(i) for i in range(len(known))], pa.large_string())
         for batch in batches:
-            for rows, texts in slices(batch, text):
+            for rows, texts in slices(batch, text, slice_bytes):
                 ids, counts = encoder.encode(texts)
                 yield pa.RecordBatch.from_arrays(
                     [rows.column(key), pa.array(counts, pa.int64()), digest(joined(numbers, ids, counts, " ")),
                      digest(joined(words, ids, counts))], names=schema.names)
+                pa.default_memory_pool().release_unused()
 
     return docs.select(F.col(key), F.col(text)).mapInArrow(run, schema)
