@@ -36,7 +36,9 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens and the digests of ids and of decoded text, one row per copy."""
-    return bpe.round_trip_digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    # executors hold the heap of the stages before, so this one takes small slices
+    return bpe.round_trip_digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN,
+                                  slice_bytes=2_000_000, kept=100_000)
 
 
 STAGES = [("quality_rules", quality), ("near_duplicates", near_duplicates), ("secrets", without_secrets),
