@@ -34,9 +34,9 @@ from counterlake.llm import bpe
 from counterlake.llm.store import stored
 
 #: Text bytes of a slice: bounds a task's arrays.
-SLICE_BYTES = 4_000_000
-#: Segments whose ids are kept between slices.
-KEPT = 300_000
+SLICE_BYTES = 2_000_000
+#: Segments and pieces whose ids are kept between slices, and the characters of all kept segments.
+KEPT, KEPT_CHARS = 80_000, 8_000_000
 SPACE = "▁"
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>\Z")
 
@@ -63,6 +63,7 @@ class PieceEncoder:
         self.by_word = (self.model.encode("a", out_type=str)[0].startswith(SPACE)
                         and not any(SPACE in p.lstrip(SPACE) for p in pieces))
         self.known: dict[str, list[int]] = {}
+        self.held = 0
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids and the number of ids of each text."""
@@ -73,9 +74,10 @@ class PieceEncoder:
         borders = parts.offsets.to_numpy() - parts.offsets[0].as_py()
         coded = parts.flatten().dictionary_encode()
         words = coded.dictionary.to_pylist()
-        if len(self.known) > KEPT:
-            self.known.clear()
+        if len(self.known) > KEPT or self.held > KEPT_CHARS:
+            self.known, self.held = {}, 0
         new = [w for w in words if w not in self.known]
+        self.held += sum(map(len, new))
         self.known.update(zip(new, self.model.encode(new, num_threads=1)))
         own = self.model.encode(texts.filter(pa.array(whole)).to_pylist(), num_threads=1) if whole.any() else []
         ids, lengths = _flat([*map(self.known.__getitem__, words), *own])
@@ -108,7 +110,7 @@ def worker_models(path_a: str, path_b: str):
     table = bpe.token_bytes(a)
     b = PieceEncoder(path_b)
     sizes = [np.array([len(x) for x in words], np.int64) for words in (table, b.bytes)]
-    return bpe.ColumnEncoder(a.model, public_tokenizers.PATTERN), b, sizes, pa.array(table, pa.large_binary()), pa.array(
+    return bpe.ColumnEncoder(a.model, public_tokenizers.PATTERN, KEPT), b, sizes, pa.array(table, pa.large_binary()), pa.array(
         b.bytes, pa.large_binary())
 
 
@@ -264,6 +266,7 @@ def sliced(docs: DataFrame, path_a: str, path_b: str, key: str = "doc_id", text:
                 yield _rows(1, number, {"uses": pa.array([packed(np.concatenate([np.diff(place, prepend=0), times]))], pa.binary())})
                 yield _rows(len(distinct), number, {
                     "pair": pa.array(distinct), "docs": pa.array(np.bincount(place, minlength=len(distinct)))})
+                pa.default_memory_pool().release_unused()
 
     numbered = docs.select(F.col(key).cast("long").alias(key), F.col(text).alias(text), F.monotonically_increasing_id().alias("row"))
     return numbered.mapInArrow(run, SLICE_SCHEMA)
