@@ -56,7 +56,6 @@ class Section:
     diff_where: str | None = None
     diff_sum: bool = False
     diff: bool = True
-    feature: str | None = None
 
 
 # --- relations that add something to the interval relations -------------------------------
@@ -103,6 +102,8 @@ def tables_at_end(repo: Repository, intervals: list[Interval],
     rows = facts.selectExpr(
         "interval_no", SERVER, "datid", "relid", "dbname", "tablespaceid", "n_live_tup",
         "n_dead_tup", "n_mod_since_analyze", *_SIZE, "relkind",
+        *[(f"date_format({c}, 'yyyy-MM-dd HH:mm:ss')" if c in repo.tables.columns else "CAST(NULL AS STRING)") + f" AS {c}"
+          for c in ("last_autovacuum", "last_autoanalyze")],
         "nullif(coalesce(n_live_tup, 0) + coalesce(n_dead_tup, 0), 0) AS n_tup")
     rows = rows.selectExpr("*", "n_dead_tup * 100 div n_tup AS dead_pct",
                            "n_mod_since_analyze * 100 div n_tup AS mods_pct").drop("n_tup")
@@ -154,7 +155,7 @@ def _sum0(*columns: str) -> str:
 def _stmt(id: str, title: str, values: tuple[str, ...], order: tuple[str, ...], where: str,
           **more) -> Section:
     return Section(id, title, more.pop("relation", "statements"), STMT, STMT_LABELS, values,
-                   order, where, feature=more.pop("feature", "statements"), **more)
+                   order, where, **more)
 
 
 _DML = _sum0("n_tup_ins", "n_tup_upd", "n_tup_del",
@@ -171,10 +172,10 @@ _INDEX_DML = _sum0("tbl_n_tup_ins", "tbl_n_tup_upd", "tbl_n_tup_del")
 SECTIONS: tuple[Section, ...] = (
     Section("q9_all", "Wait events", "waits", ("event_type", "event"), (),
             ("tot_waited", "tot_waited_pct"), ("tot_waited",), "tot_waited > 0",
-            diff_sum=True, feature="waits"),
+            diff_sum=True),
     Section("q9_stmt", "Wait events of statements", "waits", ("event_type", "event"), (),
             ("stmt_waited", "stmt_waited_pct"), ("stmt_waited",), "stmt_waited > 0",
-            diff_sum=True, feature="waits"),
+            diff_sum=True),
     _stmt("q10", "Statements by elapsed time",
           ("total_time", "total_time_pct", "total_plan_time", "total_exec_time",
            "blk_read_time", "blk_write_time", "user_time", "system_time", "calls", "plans"),
@@ -182,8 +183,7 @@ SECTIONS: tuple[Section, ...] = (
     _stmt("q11", "Statements by planning time",
           ("plans", "total_plan_time", "plan_time_pct", "min_plan_time", "max_plan_time",
            "mean_plan_time", "stddev_plan_time", "total_exec_time", "calls"),
-          ("total_plan_time", "total_exec_time"), "true", diff_where="true",
-          feature="planning_times"),
+          ("total_plan_time", "total_exec_time"), "true", diff_where="true"),
     _stmt("q12", "Statements by execution time",
           ("calls", "total_exec_time", "total_exec_time_pct", "exec_time_pct", "blk_read_time",
            "blk_write_time", "min_exec_time", "max_exec_time", "mean_exec_time",
@@ -197,7 +197,7 @@ SECTIONS: tuple[Section, ...] = (
           ("total_time", "io_time", "io_time_pct", "blk_read_time", "blk_write_time",
            "shared_blks_read", "local_blks_read", "temp_blks_read", "shared_blks_written",
            "local_blks_written", "temp_blks_written", "calls"),
-          ("io_time", "total_time"), "io_time > 0", feature="io_times"),
+          ("io_time", "total_time"), "io_time > 0"),
     _stmt("q15", "Statements by shared blocks fetched",
           ("total_time", "rows", "shared_blks_fetched", "shared_blks_fetched_pct",
            "shared_hit_pct", "calls"),
@@ -215,7 +215,7 @@ SECTIONS: tuple[Section, ...] = (
           ("shared_blks_written",), "shared_blks_written > 0"),
     _stmt("q19", "Statements by WAL size",
           ("wal_bytes", "wal_bytes_pct", "shared_blks_dirtied", "wal_fpi", "wal_records"),
-          ("wal_bytes",), "wal_bytes > 0", feature="statement_wal"),
+          ("wal_bytes",), "wal_bytes > 0"),
     _stmt("q20", "Statements by temporary and local IO",
           ("total_time", "rows", "local_blks_fetched", "local_hit_pct", "temp_blks_written",
            "temp_written_total_pct", "temp_blks_read", "temp_read_total_pct",
@@ -228,17 +228,15 @@ SECTIONS: tuple[Section, ...] = (
            "jit_emission_count", "jit_emission_time", "total_plan_time", "total_exec_time",
            "io_time", "blk_read_time", "blk_write_time", "jit_count"),
           ("jit_total_time",), "jit_count > 0", chosen_by=("total_exec_time", "total_time"),
-          diff_where="coalesce(jit_count_1, 0) + coalesce(jit_count_2, 0) > 0", feature="jit"),
+          diff_where="coalesce(jit_count_1, 0) + coalesce(jit_count_2, 0) > 0"),
     _stmt("q22", "Statements by CPU time",
           ("plan_user_time", "exec_user_time", "user_time_pct", "plan_system_time",
            "exec_system_time", "system_time_pct"),
-          ("cpu_time",), "cpu_time > 0", relation="usage", diff_by="exec_cpu_time",
-          feature="usage_exec"),
+          ("cpu_time",), "cpu_time > 0", relation="usage", diff_by="exec_cpu_time"),
     _stmt("q23", "Statements by file system IO",
           ("plan_reads", "exec_reads", "reads_pct", "plan_writes", "exec_writes",
            "writes_pct"),
-          ("io_bytes",), "io_bytes > 0", relation="usage", diff_by="exec_io_bytes",
-          feature="usage_exec"),
+          ("io_bytes",), "io_bytes > 0", relation="usage", diff_by="exec_io_bytes"),
     Section("q25", "Tables by sequentially scanned bytes", "tables", TABLE, TABLE_LABELS,
             ("seq_scan", "best_scan_bytes", "idx_scan", "idx_tup_fetch", *_ROW_CHANGES,
              "side_seq_scan", "best_side_scan_bytes", "side_idx_scan", "side_idx_tup_fetch",
@@ -288,11 +286,11 @@ SECTIONS: tuple[Section, ...] = (
             f"at_end AND coalesce(idx_scan, 0) = 0 AND NOT indisunique AND {_INDEX_DML} > 0",
             diff=False),
     Section("q35", "Functions by time", "functions", FUNC, FUNC_LABELS, _FUNC_VALUES,
-            ("total_time",), "total_time > 0", feature="functions"),
+            ("total_time",), "total_time > 0"),
     Section("q36", "Functions by calls", "functions", FUNC, FUNC_LABELS, _FUNC_VALUES,
-            ("calls",), "calls > 0", feature="functions"),
+            ("calls",), "calls > 0"),
     Section("q37", "Trigger functions by time", "trigger_functions", FUNC, FUNC_LABELS,
-            _FUNC_VALUES, ("total_time",), "total_time > 0", feature="trigger_functions"),
+            _FUNC_VALUES, ("total_time",), "total_time > 0"),
     Section("q38", "Tables by vacuums", "tables", TABLE, TABLE_LABELS,
             ("vacuum_count", "autovacuum_count", *_ROW_CHANGES),
             (_sum0("vacuum_count", "autovacuum_count"),),
@@ -309,12 +307,12 @@ SECTIONS: tuple[Section, ...] = (
                        f"{_sum0('vacuum_count_2', 'autovacuum_count_2')} > 0"),
     Section("q41", "Tables by dead rows", "tables_at_end", TABLE,
             ("dbname", "schemaname", "relname"),
-            ("n_live_tup", "n_dead_tup", "dead_pct", "relsize", "relpages_bytes"),
+            ("n_live_tup", "n_dead_tup", "dead_pct", "last_autovacuum", "relsize", "relpages_bytes"),
             ("dead_pct",), "n_dead_tup > 0", diff=False),
     Section("q42", "Tables by modified rows", "tables_at_end", TABLE,
             ("dbname", "schemaname", "relname"),
-            ("n_live_tup", "n_dead_tup", "n_mod_since_analyze", "mods_pct", "relsize",
-             "relpages_bytes"),
+            ("n_live_tup", "n_dead_tup", "n_mod_since_analyze", "mods_pct", "last_autoanalyze",
+             "relsize", "relpages_bytes"),
             ("mods_pct",),
             "relkind IN ('r', 'm') AND n_mod_since_analyze > 0 AND n_live_tup + n_dead_tup > 0",
             diff=False),
@@ -538,12 +536,12 @@ def statement_texts(repo: Repository, intervals: list[Interval],
                     max_length: int | None = None, per_query: int | None = 3) -> DataFrame:
     """Newest texts of each query id seen in the closed intervals, at most ``per_query`` (None: all).
 
-    ``listed`` restricts the ids to (datid, userid, queryid) shown in a report.
+    ``listed`` restricts the ids to (server_id, datid, userid, queryid) shown in a report.
     """
     query = short_hash(F.col("queryid_md5")) if by_text else F.col("queryid")
     facts = scan(repo.statements, intervals, closed=True).withColumn("queryid", query)
     if listed is not None:
-        facts = facts.join(listed, ["datid", "userid", "queryid"], "left_semi")
+        facts = facts.join(listed, [c for c in (SERVER, "datid", "userid", "queryid") if c in listed.columns], "left_semi")
     pairs = facts.select(SERVER, "queryid", "queryid_md5").distinct()
     texts = pairs.join(repo.stmt_list, [SERVER, "queryid_md5"])
     order = "last_sample_id DESC NULLS FIRST, queryid_md5 DESC"

@@ -1083,20 +1083,62 @@ def _(spark, sf):
 
 # --- reports ------------------------------------------------------------------------------
 _REPORT = (*FACT_NAMES, *TOTALS)
+# sections in the order of a report of one interval and of a comparison, with those that only gather others
+_ORDER = ("capacity_1 server resets_db q1 q2 q3 q4 resets_cluster q5 resets_wal q6 q7 waits q8 q9_stmt q9_all sql q10 q11 q12 q13 "
+          "q14 q15 q16 q17 q18 q19 q20 q21 usage q22 q23 texts objects q25 q26 q27 q28 q29 q30 q31 q32 q33 q34 funcs q35 q36 q37 "
+          "vacuum q38 q39 q40 q41 q42 settings capacity_all").split()
+_ORDER_DIFF = ["capacity_1", "capacity_2", *[s for s in _ORDER[1:] if s not in ("q34", "q41", "q42")]]
 
 
-def _frame_part(ordinal: int, sect: str, sql: str, key, labels, row_no: str, metrics) -> str:
+def _frame_part(order: list[str], sect: str, sql: str, key, labels, row_no: str, metrics) -> str:
+    """metrics: column, name, interval; the kind of a value decides in which of the three places it stands."""
     keys = " || '|' || ".join(f"CAST({k} AS VARCHAR)" for k in key)
     label = f"concat_ws('.', {', '.join(labels)})" if labels else "''"
     values = " UNION ALL ".join(
-        f"SELECT {ordinal} AS sect_ord, '{sect}' AS sect_id, server_id, CAST({row_no} AS INT) AS row_no, "
-        f"{keys} AS key, {label} AS label, '{m}' AS metric, {i} AS interval_no, "
-        f"CAST({c} AS DOUBLE) AS value FROM part" for c, m, i in metrics)
-    return f"SELECT * FROM (WITH part AS ({sql}) {values}) WHERE value IS NOT NULL"
-
-
-def _report_sql(diff: bool, spans: str | None = None) -> str:
-    """The report as a union of the section oracles (each complete with its own relations)."""
+        f"SELECT {order.index(sect) + 1} AS sect_ord, '{sect}' AS sect_id, server_id, CAST({row_no} AS INT) AS row_no, "
+        f"{keys} AS key, {label} AS label, '{m}' AS metric, CAST({i} AS INT) AS interval_no, "
+        f"CASE WHEN typeof({c}) IN ('DOUBLE', 'FLOAT') THEN TRY_CAST({c} AS DOUBLE) END AS value, "
+        f"CASE WHEN typeof({c}) IN ('BIGINT', 'INTEGER', 'HUGEINT') THEN TRY_CAST({c} AS DECIMAL(38, 0)) END AS exact, "
+        f"CASE WHEN typeof({c}) IN ('VARCHAR', 'BOOLEAN') THEN CAST({c} AS VARCHAR) END AS text FROM part"
+        for c, m, i in metrics)
+    return (f"SELECT * FROM (WITH part AS ({sql}) {values}) "
+            "WHERE value IS NOT NULL OR exact IS NOT NULL OR text IS NOT NULL")
+
+
+def _capacity(order: list[str], sect: str, span: str) -> str:
+    sql = f"""SELECT t.server_id, t.sample_id, {when('s.sample_time', 'sample_time')}, t.n AS stmt_cnt, l.setting AS max_cnt
+      FROM (SELECT {_ALL}, CAST(sum(statements) AS BIGINT) AS n FROM statement_totals WHERE {span} GROUP BY {_ALL}) t
+      JOIN samples s USING ({_ALL}) JOIN settings_log l ON l.server_id = t.server_id AND l.name = 'pg_stat_statements.max'
+        AND l.first_seen = (SELECT max(first_seen) FROM settings_log m WHERE m.server_id = t.server_id
+          AND m.name = l.name AND m.first_seen <= s.sample_time) WHERE t.n >= 0.9 * CAST(l.setting AS INT)"""
+    return _frame_part(order, sect, duck_with(sql, Q), ("sample_id",), (), "NULL",
+                       [(c, c, "NULL") for c in ("sample_time", "stmt_cnt", "max_cnt")])
+
+
+def _report_settings(order: list[str], bounds: list[tuple[int, int]]) -> str:
+    shown = f"""concat_ws(', ', CASE WHEN sourcefile IS NOT NULL THEN concat_ws(':', sourcefile, sourceline) END,
+      CASE WHEN pending_restart THEN 'pending restart' END) AS notes"""
+    if len(bounds) == 1:
+        rows, more = f"SELECT *, {_DEFAULT} FROM ({_changes_sql(*bounds[0])})", ()
+    else:
+        more = ("in_first", "in_second")
+        both = ", ".join(f"coalesce(a.{c}, b.{c}) AS {c}" for c in (*_DIFF_ON, "unit", "sourcefile", "sourceline"))
+        one, two = (f"(SELECT *, {_DEFAULT} FROM ({_changes_sql(*b)}))" for b in bounds)
+        rows = f"""SELECT {both}, a.name IS NOT NULL AS in_first, b.name IS NOT NULL AS in_second FROM {one} a
+          FULL OUTER JOIN {two} b ON {' AND '.join(f'a.{c} = b.{c}' for c in _DIFF_ON)}"""
+    columns = ("reset_val", "unit", "notes", "default_val", *more)
+    sql = f"""SELECT * REPLACE (strftime(first_seen, '%Y-%m-%d %H:%M:%S') AS first_seen), {shown},
+      row_number() OVER (PARTITION BY server_id ORDER BY default_val AND NOT changed, name, setting_scope, first_seen, changed,
+        pending_restart NULLS FIRST, setting, reset_val) AS ord FROM ({rows})"""
+    return _frame_part(order, "settings", duck_with(sql, Q), ("setting_scope", "name", "first_seen", "changed"), ("name",),
+                       "ord", [(c, c, "NULL") for c in columns])
+
+
+def _report_sql(spans: list[tuple[int, int]]) -> str:
+    """The report as a union of the section oracles (each complete with its own relations). All features are there."""
+    diff, ranked = len(spans) == 2, []
+    order = _ORDER_DIFF if diff else _ORDER
+    given = " UNION ALL ".join(f"SELECT {n} AS interval_no, {s} AS s, {e} AS e" for n, (s, e) in enumerate(spans, 1))
     plain = (("q1", O.database_sql, ("dbname",), (*sections.DB_VALUES, "datsize", "blks_hit_pct")),
              ("q2", O.session_sql, ("dbname",), O.SESSIONS),
              ("q3", O.statement_db_sql, ("dbname",), sections.STMT_DB_VALUES),
@@ -1108,36 +1150,57 @@ def _report_sql(diff: bool, spans: str | None = None) -> str:
 
     def metrics(values):
         if not diff:
-            return [(v, v, "CAST(NULL AS INT)") for v in values]
+            return [(v, v, "NULL") for v in values]
         return [(f"{v}_{n}", v, n) for v in values for n in (1, 2)]
 
-    parts = [_frame_part(n, s, sql(diff), key, (), "NULL", metrics(values))
-             for n, (s, sql, key, values) in enumerate(plain, 1)]
-    for n, spec in enumerate(sections.SECTIONS, len(plain) + 1):
+    parts = []
+    for sect, sql, key, values in plain:
+        names = [(c, c, "NULL") for c in ("tablespacename", "tablespacepath", *(() if diff else ("size_text", "size_delta_text")))
+                 ] if sect == "q7" else []
+        parts.append(_frame_part(order, sect, sql(diff), key, (), "NULL", metrics(values) + names))
+    for spec in sections.SECTIONS:
         if not diff or spec.diff:
             sql = (O.diff_sql if diff else O.single_sql)(spec, sections.TOPN)
-            parts.append(_frame_part(n, spec.id, sql, spec.key, spec.labels, "ord",
-                                     metrics(spec.values)))
-    sql = " UNION ALL ".join(parts)
-    return sql.replace(O.ONE, spans) if spans else sql
+            parts.append(_frame_part(order, spec.id, sql, spec.key, spec.labels, "ord", metrics(spec.values)))
+    number = "interval_no" if diff else "NULL"
+    for sect, sql, key, labels, columns in (
+            ("resets_db", _EDB, ("sample_id", "datid"), ("datname",), ("stats_reset",)),
+            ("resets_cluster", _ECL, ("sample_id",), (), ("bgwriter_stats_reset", "archiver_stats_reset")),
+            ("resets_wal", _EWAL, ("sample_id",), (), ("wal_stats_reset",))):
+        parts.append(_frame_part(order, sect, duck_with(sql, {**Q, "spans": given}), key, labels, "NULL",
+                                 [(c, c, number) for c in columns]))
+    for n, (s, e) in enumerate(spans, 1):
+        parts.append(_capacity(order, f"capacity_{n}", f"sample_id > {s} AND sample_id <= {e}"))
+    parts += [_capacity(order, "capacity_all", "true"), _report_settings(order, spans)]
+    frame = " UNION ALL ".join(p.replace(O.TWO, given).replace(O.ONE, given) for p in parts)
+    statements = ", ".join(f"'{s.id}'" for s in sections.SECTIONS if s.key == sections.STMT)
+    within = " OR ".join(f"sample_id BETWEEN {s} AND {e}" for s, e in spans)
+    texts = duck_with(f"""SELECT server_id, queryid, queryid_md5, left(query, 20000) AS query, CAST(nth AS INT) AS ord FROM (
+      SELECT *, row_number() OVER (PARTITION BY server_id, queryid ORDER BY last_sample_id DESC NULLS FIRST, queryid_md5 DESC) AS nth
+      FROM (SELECT DISTINCT server_id, queryid, queryid_md5 FROM statements WHERE ({within})
+        AND (server_id, CAST(datid AS VARCHAR), CAST(userid AS VARCHAR), CAST(queryid AS VARCHAR)) IN (SELECT * FROM listed))
+      JOIN stmt_list USING (server_id, queryid_md5)) WHERE nth <= 3""", Q)
+    listed = f"""SELECT DISTINCT server_id, string_split(key, '|')[3], string_split(key, '|')[4], string_split(key, '|')[1] FROM frame
+      WHERE sect_id IN ({statements})"""
+    more = _frame_part(order, "texts", texts, ("queryid", "ord"), (), "ord", [(c, c, "NULL") for c in ("queryid_md5", "query")])
+    return f"WITH frame AS MATERIALIZED ({frame}), listed AS ({listed}) SELECT * FROM frame UNION ALL {more}"
 
 
 def _report_repo(spark, sf):
-    return repository(spark, sf, [n for n in _REPORT if n not in (
-        "stmt_list", "baselines", "bl_samples", "servers", "index_totals")])
+    repo = repository(spark, sf, [n for n in _REPORT if n not in ("baselines", "bl_samples", "servers", "index_totals")])
+    return repo.with_tables(settings=_log(spark, sf))
 
 
-QUERIES["p1_interval_report"] = lambda spark, sf: report.interval_report(
-    _report_repo(spark, sf), ONE[0])
-ORACLES["p1_interval_report"] = _report_sql(False)
-QUERIES["p2_diff_report"] = lambda spark, sf: report.diff_report(_report_repo(spark, sf), *TWO)
-ORACLES["p2_diff_report"] = _report_sql(True)
+QUERIES["p1_interval_report"] = lambda spark, sf: report.interval_report(_report_repo(spark, sf), Interval(1, TICKS))
+ORACLES["p1_interval_report"] = _report_sql([(1, TICKS)])
+QUERIES["p2_diff_report"] = lambda spark, sf: report.diff_report(_report_repo(spark, sf), G_FIRST, G_SECOND)
+ORACLES["p2_diff_report"] = _report_sql([(1, 15), (15, TICKS)])
 
 
 # bounds 8 and 20 carry no sizes and move outwards to 7 and 21
-@query("p5_widened_report", _report_sql(False, "SELECT 1 AS interval_no, 7 AS s, 21 AS e"))
-def _(spark, sf):
-    return report.interval_report(_report_repo(spark, sf), Interval(8, 20), with_growth=True)
+QUERIES["p5_widened_report"] = lambda spark, sf: report.interval_report(
+    _report_repo(spark, sf), Interval(8, 20), with_growth=True)
+ORACLES["p5_widened_report"] = _report_sql([(7, 21)])
 
 
 @query("flagship_top_functions", f"""SELECT * FROM (SELECT u.*,

@@ -400,7 +400,9 @@ X["x_wait_shares"] = f"""SELECT w.* REPLACE ({sec('w.tot_waited')} AS tot_waited
 X["x_at_end"] = """SELECT interval_no, server_id, t.datid, t.relid, db.datname AS dbname, n_live_tup,
   n_dead_tup, n_mod_since_analyze, t.relsize, t.relpages_bytes, relkind, schemaname, relname,
   (n_dead_tup * 100) // NULLIF(coalesce(n_live_tup, 0) + coalesce(n_dead_tup, 0), 0) AS dead_pct,
-  (n_mod_since_analyze * 100) // NULLIF(coalesce(n_live_tup, 0) + coalesce(n_dead_tup, 0), 0) AS mods_pct
+  (n_mod_since_analyze * 100) // NULLIF(coalesce(n_live_tup, 0) + coalesce(n_dead_tup, 0), 0) AS mods_pct,
+  strftime(last_autovacuum, '%Y-%m-%d %H:%M:%S') AS last_autovacuum,
+  strftime(last_autoanalyze, '%Y-%m-%d %H:%M:%S') AS last_autoanalyze
   FROM tables t JOIN databases db USING (server_id, sample_id, datid) JOIN spans ON sample_id = e
   JOIN (SELECT server_id, datid, relid, schemaname, relname FROM tables_list)
     USING (server_id, datid, relid)
@@ -420,7 +422,7 @@ def x_sql(sql: str, spans: str = ONE) -> str:
 
 
 def _null0(v: str, out: str | None = None) -> str:
-    return f"NULLIF({v}, 0) AS {out or v}"
+    return v if v.startswith("last_") else f"NULLIF({v}, 0) AS {out or v}"
 
 
 def single_sql(section: Section, topn: int) -> str:

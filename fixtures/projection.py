@@ -214,7 +214,8 @@ _SIZES = f"""CASE WHEN sample_id % 4 <> 0 THEN size_inc * {PAGE} END AS relsize,
   size_inc * 60 AS relpages_bytes_diff"""
 REL["tables"] = f"""SELECT server_id, sample_id, datid, relid, tablespaceid, {_TABLE_ATTRS},
   {", ".join(TABLE_COUNTERS)}, size_inc * 10 AS n_live_tup, dead AS n_dead_tup,
-  mods AS n_mod_since_analyze, {_SIZES} FROM tables_inc"""
+  mods AS n_mod_since_analyze, CASE WHEN autovacuum_count > 0 THEN {{epoch:sample_id}} END AS last_autovacuum,
+  CASE WHEN autoanalyze_count > 0 THEN {{epoch:sample_id - 1}} END AS last_autoanalyze, {_SIZES} FROM tables_inc"""
 REL["indexes_inc"] = f"""SELECT server_id, sample_id, datid, relid, relid * 10 + ln AS indexrelid,
   min(tablespaceid) AS tablespaceid, {_cols(INDEX_INC)}, {_s('qty')} AS size_inc
   FROM li GROUP BY server_id, sample_id, datid, relid, ln"""
