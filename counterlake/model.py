@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import time
 from collections.abc import Sequence
 from dataclasses import dataclass, field, fields, replace
 
@@ -212,50 +211,26 @@ class Repository:
         return replace(self, **tables)
 
     def save(self, path: str) -> None:
-        """Write every table as it is now: facts in ranges of ticks, sorted so that parquet min/max prunes servers.
-
-        Each table becomes a new version folder; the version files, written last, name the folders that count. Ticks or rows
-        that the repository no longer has are therefore gone for every later reader, tables may be saved over the folder
-        that they were loaded from, and a failed save changes nothing. ``vacuum`` removes old versions.
-        """
-        spark = next(iter(self.present().values())).sparkSession
-        version = f"v{time.time_ns()}"
-        for name, df in self.present().items():
-            target = f"{path}/{name}/{version}"
-            if name in self.FACTS or name == "samples":
-                block = F.floor(F.col(TICK) / self.TICKS_PER_PARTITION).cast("int")
-                (df.withColumn(TICK_BLOCK, block)
-                   .repartitionByRange(TICK_BLOCK, SERVER, TICK)
-                   .sortWithinPartitions(TICK_BLOCK, SERVER, TICK)
-                   .write.partitionBy(TICK_BLOCK).parquet(target))
-            else:
-                df.write.parquet(target)
-        names = sorted(self.present())
-        spark.createDataFrame([(n, version) for n in names], "name string, version string").coalesce(1).write.mode(
-            "append").parquet(f"{path}/_versions")
+        """Write every table as it is now, as a new version: facts in blocks of ticks, sorted so that parquet min/max prunes
+        servers. Ticks or rows that the repository no longer has are gone for every later reader; tables may be saved over
+        the folder that they were loaded from. ``counterlake.storage.Store`` changes single blocks."""
+        from counterlake.storage import Store
+
+        Store(next(iter(self.present().values())).sparkSession, path).save(self)
 
     @staticmethod
-    def versions(spark: SparkSession, path: str) -> dict[str, str]:
-        """The newest version of each table."""
-        rows = spark.read.schema("name string, version string").parquet(f"{path}/_versions")
-        return {r.name: r.version for r in rows.groupBy("name").agg(F.max("version").alias("version")).collect()}
+    def vacuum(spark: SparkSession, path: str) -> None:
+        """Delete the files of versions that no longer count (no reader may be open on them)."""
+        from counterlake.storage import Store
 
-    @classmethod
-    def vacuum(cls, spark: SparkSession, path: str) -> None:
-        """Delete the folders of versions that no longer count (no reader may be open on them)."""
-        kept = cls.versions(spark, path)
-        jvm, root = spark._jvm, spark._jvm.org.apache.hadoop.fs.Path(path)
-        files = root.getFileSystem(spark._jsc.hadoopConfiguration())
-        for name, version in kept.items():
-            for status in files.listStatus(jvm.org.apache.hadoop.fs.Path(root, name)):
-                if status.getPath().getName() != version:
-                    files.delete(status.getPath(), True)
+        Store(spark, path).vacuum()
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, names: list[str] | None = None) -> "Repository":
         """The newest version of the named tables, or of all."""
-        found = cls.versions(spark, path)
-        return cls(**{n: spark.read.parquet(f"{path}/{n}/{found[n]}") for n in (names or found)})
+        from counterlake.storage import Store
+
+        return Store(spark, path).load(names)
 
 
 def duplicate_keys(df: DataFrame, keys: tuple[str, ...] | list[str]) -> DataFrame:

@@ -7,9 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from counterlake.model import SERVER, TICK, Interval, Repository
+from counterlake.model import SERVER, TICK, TICK_BLOCK, Interval, Repository
 from counterlake.operators.dictionary import LAST, reanchor
 from counterlake.operators.settings import SETTING_KEY, VERSION_NAME, VERSION_SCOPE
+from counterlake.session import materialise
+from counterlake.storage import Store, block_of
 
 
 def create_baseline(samples: DataFrame, name: str, bl_id: int, interval: Interval,
@@ -128,11 +130,11 @@ DICTIONARIES: dict[str, tuple[str, Sequence[str]]] = {
 }
 
 
-def delete_samples(repo: Repository, interval: tuple[int, int] | None = None) -> Repository:
+def delete_samples(repo: Repository, interval: tuple[int, int] | None = None, doomed: DataFrame | None = None) -> Repository:
     """The repository without the deletable samples of the range: facts shrink, dictionaries are
     re-anchored (objects known only from deleted samples disappear), the settings log is pruned.
     """
-    doomed = deletable_samples(repo.samples, repo.bl_samples, interval)
+    doomed = deletable_samples(repo.samples, repo.bl_samples, interval) if doomed is None else doomed
     kept = survivors(repo.samples, doomed)
     tables = repo.present()
     changed: dict[str, DataFrame] = {"samples": kept}
@@ -147,3 +149,32 @@ def delete_samples(repo: Repository, interval: tuple[int, int] | None = None) ->
     if "settings" in tables:
         changed["settings"] = prune_settings(tables["settings"], kept)
     return repo.with_tables(**changed)
+
+
+def delete_stored(store: Store, interval: tuple[int, int] | None = None) -> int | None:
+    """Deletes samples from a stored repository; its new version, or None if there is nothing to delete.
+
+    Only the blocks of the deleted samples are read and written. A dictionary is written only if an object was last seen in a
+    deleted sample, the settings log only if a server's oldest sample goes.
+    """
+    repo = store.load()
+    doomed = materialise(deletable_samples(repo.samples, repo.bl_samples, interval), "doomed")
+    blocks = [r[0] for r in doomed.select(block_of(TICK)).distinct().collect()]
+    if not blocks:
+        return None
+    kept, changed = delete_samples(repo, interval, doomed).present(), {}
+    for name, df in kept.items():
+        if name == "settings":
+            first = [t.groupBy(SERVER).agg(F.min("sample_time").alias("oldest")) for t in (repo.samples, kept["samples"])]
+            touched = not first[0].exceptAll(first[1]).isEmpty()
+        elif name in DICTIONARIES:
+            lost = doomed.withColumnRenamed(TICK, LAST)
+            touched = not getattr(repo, name).join(lost, [SERVER, LAST], "left_semi").isEmpty()
+        elif name in Repository.FACTS or name == "samples":
+            # of the blocks in question only
+            touched, df = True, survivors(getattr(repo, name).filter(F.col(TICK_BLOCK).isin(*blocks)), doomed)
+        else:
+            touched = False
+        if touched:
+            changed[name] = df
+    return store.replace(Repository(**changed), blocks)

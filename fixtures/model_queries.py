@@ -17,6 +17,7 @@ from counterlake.operators import (availability, delta, dictionary, intervals, l
 from counterlake.plans import report, sections
 from counterlake.session import work_folder
 from counterlake.sources import snapshots, transfer
+from counterlake.storage import Store
 from fixtures import oracles as O
 from fixtures.flagship import flagship
 from fixtures.projection import (FACT_NAMES, TICKS, TOTALS, duck_with, relation, repository,
@@ -931,6 +932,21 @@ def _(spark, sf):
     return M.Repository.load(spark, path).functions.select(SERVER, TICK, "datid", "funcid", "calls")
 
 
+@query("r3_deleted_blocks", """SELECT server_id, sample_id, datid, funcid, calls FROM functions f
+  WHERE NOT EXISTS (SELECT 1 FROM doomed d WHERE d.server_id = f.server_id AND d.sample_id = f.sample_id AND d.sample_id <= 12)
+  UNION ALL SELECT server_id, 31, datid, funcid, calls FROM functions WHERE sample_id = 30""")
+def _(spark, sf):
+    # copy on write: a new tick adds files, a delete writes its blocks anew
+    repo = repository(spark, sf, ("samples", "bl_samples", "functions", "funcs_list"))
+    repo = repo.with_tables(funcs_list=repo.funcs_list.withColumn("last_sample_id", F.lit(None).cast("int")))
+    store = Store(spark, f"{work_folder(spark)}/blocks-{uuid.uuid4().hex[:8]}")
+    store.save(repo)
+    last = {n: getattr(repo, n).filter("sample_id = 30").withColumn(TICK, F.lit(31)) for n in ("samples", "functions")}
+    store.append(M.Repository(**last))
+    lifecycle.delete_stored(store, (10, 12))
+    return store.load().functions.select(SERVER, TICK, "datid", "funcid", "calls")
+
+
 @query("r4_pruned_settings", f"""{_LOG_OUT} FROM settings_log l JOIN (
     SELECT server_id, min(sample_time) AS oldest FROM samples WHERE sample_id >= 14 GROUP BY server_id)
     USING (server_id)
