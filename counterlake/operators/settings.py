@@ -5,10 +5,11 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from counterlake.model import SERVER, TICK, Interval
-from counterlake.operators.ticks import TICKS_PER_BLOCK, asof_join, previous_present, running_last
+from counterlake.operators.ticks import TICKS_PER_BLOCK, previous_present, running_last
 
 SETTING_KEY = (SERVER, "setting_scope", "name")
 COMPARED = ("reset_val", "pending_restart", "sourcefile", "sourceline", "unit")
@@ -70,17 +71,33 @@ def identity_violations(log: DataFrame) -> DataFrame:
                   .filter(F.col("first_identity") != F.col("last_identity")))
 
 
+def validity(log: DataFrame) -> DataFrame:
+    """Every version of a setting with the time from which the next one holds (next_seen, NULL for the newest)."""
+    following = F.lead("first_seen").over(W.partitionBy(*SETTING_KEY).orderBy("first_seen"))
+    return log.select(*SETTING_KEY, "first_seen", *STORED, following.alias("next_seen"))
+
+
 def settings_at_samples(log: DataFrame, samples: DataFrame,
                         names: list[str] | None = None,
-                        block_seconds: int = 86_400) -> DataFrame:
-    """The version of every setting in force at every sample (as-of join)."""
+                        bin_seconds: int = 86_400) -> DataFrame:
+    """The version of every setting in force at every sample.
+
+    A version holds in a range of time. Ranges are cut into bins, up to the server's newest sample, and meet the samples of
+    their bin; only versions that begin or end within a bin meet samples that they do not hold for.
+    """
     if names:
         log = log.filter(F.col("name").isin(*names))
-    known = log.select(*SETTING_KEY).distinct()
-    wanted = samples.select(SERVER, TICK, "sample_time").join(known, SERVER)
-    found = asof_join(wanted, log, SETTING_KEY, "sample_time", "first_seen",
-                      ("first_seen", *STORED), block_seconds)
-    return found.filter(F.col("first_seen").isNotNull())
+
+    def bin_of(c: str) -> str:
+        return f"CAST(floor(unix_seconds({c}) / {bin_seconds}) AS INT)"
+
+    newest = samples.groupBy(SERVER).agg(F.max("sample_time").alias("_newest"))
+    ranges = validity(log).join(newest, SERVER).filter("first_seen <= _newest").selectExpr(
+        "*", f"explode(sequence({bin_of('first_seen')}, {bin_of('least(coalesce(next_seen, _newest), _newest)')})) AS _bin")
+    wanted = samples.selectExpr(SERVER, TICK, "sample_time", f"{bin_of('sample_time')} AS _bin")
+    found = wanted.join(ranges, [SERVER, "_bin"]).filter(
+        "first_seen <= sample_time AND (next_seen IS NULL OR sample_time < next_seen)")
+    return found.select(SERVER, TICK, "sample_time", *SETTING_KEY[1:], "first_seen", *STORED)
 
 
 def sample_bounds(samples: DataFrame, interval: Interval) -> DataFrame:
@@ -149,7 +166,7 @@ def capacity_warnings(log: DataFrame, samples: DataFrame, totals: DataFrame,
                       interval: Interval | None = None, share: float = 0.9) -> DataFrame:
     """Samples whose number of captured statements reached ``share`` of the configured limit."""
     if interval:
-        totals = totals.filter(interval.contains())
+        totals, samples = totals.filter(interval.contains()), samples.filter(interval.contains())
     captured = totals.groupBy(SERVER, TICK).agg(F.sum("statements").alias("stmt_cnt"))
     limits = settings_at_samples(log, samples, [CAPACITY_NAME]).select(
         SERVER, TICK, "sample_time", F.col("setting").alias("max_cnt"))
