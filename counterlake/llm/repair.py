@@ -14,9 +14,11 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -166,12 +168,36 @@ def shard_row(keys: list, counts: np.ndarray, ids: np.ndarray) -> dict:
             "width": wide, "sequence": grammar.sequence.astype(f"<u{wide}").tobytes()}
 
 
+@lru_cache(maxsize=1)
+def _library(path: str) -> tuple[object, list[str]]:
+    """The file's tokenizer as the library reads it, and the strings of its added tokens."""
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    return tokenizer, [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+
+
+def encoded(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
+    """Flat ids and their number in each text. Texts that hold the string of an added token are left to the library as a whole,
+    which gives the token's own id."""
+    ids, counts = bpe.worker_encoder(path, None)[0].encode(texts)
+    tokenizer, marks = _library(path)
+    odd = np.zeros(len(texts), bool)
+    for mark in marks:
+        odd |= pc.fill_null(pc.match_substring(texts, mark), False).to_numpy(zero_copy_only=False)
+    if odd.any():
+        parts = np.split(ids, np.cumsum(counts)[:-1])
+        for k in np.flatnonzero(odd).tolist():
+            parts[k] = np.array(tokenizer.encode(texts[k].as_py(), add_special_tokens=False).ids, np.uint32)
+        ids, counts = np.concatenate(parts), np.array([len(p) for p in parts], np.int64)
+    return ids, counts
+
+
 def shards(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", end_id: int = END_ID,
            shard_ids: int = SHARD_IDS) -> DataFrame:
     """Shard rows of SHARD_SCHEMA, in ascending order of the key within and over partitions."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, _ = bpe.worker_encoder(path, None)
         keys, counts, parts, held = [], [], [], 0
 
         def close() -> pa.RecordBatch:
@@ -185,7 +211,7 @@ def shards(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
                            ("expansions", pa.binary()), ("width", pa.int32()), ("sequence", pa.binary())])
         for batch in batches:
             for rows, texts in bpe.slices(batch, text):
-                ids, n = encoder.encode(texts)
+                ids, n = encoded(texts, path)
                 ends = np.cumsum(n)
                 ids, n = np.insert(ids, ends, end_id), n + 1
                 ends, names, low = np.cumsum(n), rows.column(key).to_pylist(), 0

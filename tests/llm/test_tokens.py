@@ -107,12 +107,13 @@ def test_grammar_round_trip_and_random_access(ids):
 
 
 def test_shards_hold_all_documents_in_order(spark, edge_docs, no_docs):
-    files = repair.numbered(repair.shards(edge_docs, JSON, shard_ids=5_000))
+    more = [(50, "a <|endoftext|> b"), (51, "<|endoftext|><|endoftext|>"), (52, "<|endoftext|")]  # an added token of the file
+    docs = edge_docs.select("doc_id", "text").union(spark.createDataFrame(more, "doc_id long, text string"))
+    files = repair.numbered(repair.shards(docs, JSON, shard_ids=5_000))
     rows = repair.starts(repair.read_documents(files)).collect()
     tokenizer = Tokenizer.from_file(JSON)
-    tokenizer.encode_special_tokens = True
     at, want = 0, []
-    for key, text, *_ in sorted(EDGES, key=lambda e: (e[0] is not None, e[0] or 0, e[1] or "")):
+    for key, text, *_ in sorted([*EDGES, *more], key=lambda e: (e[0] is not None, e[0] or 0, e[1] or "")):
         ids = np.array(tokenizer.encode(text or "", add_special_tokens=False).ids + [2], "<u4")
         want.append((key, at, len(ids), zlib.crc32(ids.tobytes())))
         at += len(ids)
