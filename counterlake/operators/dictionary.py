@@ -8,6 +8,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from counterlake.functions.text import normalise_text, text_id
@@ -47,14 +48,28 @@ def retire(dictionary: DataFrame, current: DataFrame, keys: Sequence[str],
                   .drop("_seen", "_now"))
 
 
+def newest_attributes(history: DataFrame, keys: Sequence[str],
+                      attributes: Sequence[str]) -> DataFrame:
+    """Keys, attributes of the newest row, and its tick as ``_last``.
+
+    Rows are first reduced to versions (distinct attributes of a key), with the tick as the only
+    aggregated value: a hash aggregation over the history, in which no string is a buffer. Names
+    rarely change, so few versions are left to be ranked. Rows that differ at the same newest
+    tick: the smallest attributes, NULL first.
+    """
+    versions = history.groupBy(*keys, *attributes).agg(F.max(TICK).alias("_last"))
+    order = W.partitionBy(*keys).orderBy(F.desc("_last"), *attributes)
+    return (versions.withColumn("_rank", F.row_number().over(order))
+                    .filter(F.col("_rank") <= 1).drop("_rank"))
+
+
 def from_history(history: DataFrame, keys: Sequence[str], attributes: Sequence[str],
                  samples: DataFrame) -> DataFrame:
     """The dictionary that upsert + retire at every tick would have produced, in one pass."""
     newest = samples.groupBy(SERVER).agg(F.max(TICK).alias("_newest"))
-    seen = history.groupBy(*keys).agg(
-        F.max_by(F.struct(*attributes), TICK).alias("_a"), F.max(TICK).alias("_last"))
+    seen = newest_attributes(history, keys, attributes)
     return (seen.join(newest, SERVER)
-                .select(*keys, *[F.col(f"_a.{a}").alias(a) for a in attributes],
+                .select(*keys, *attributes,
                         F.when(F.col("_last") != F.col("_newest"), F.col("_last")).alias(LAST)))
 
 
@@ -73,7 +88,7 @@ def texts_from_history(texts: DataFrame, samples: DataFrame,
 
 def propagate_names(facts: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
     """Every row takes the newest name of its object (history follows a rename)."""
-    newest = facts.groupBy(*keys).agg(F.max_by(name, TICK).alias(name))
+    newest = newest_attributes(facts, keys, (name,)).drop("_last")
     return facts.drop(name).join(newest, list(keys))
 
 

@@ -25,61 +25,71 @@ def _present(columns: Iterable[str]) -> str:
     return " + ".join(f"coalesce({c}, 0)" for c in columns)
 
 
+# Which figures make an object worth keeping, by what they tell about it.
 FUNCTION_METRICS = (
-    Metric("total_time", "total_time", exact=False),
-    Metric("self_time", "self_time", exact=False),
     Metric("calls", "calls"),
+    Metric("time_with_callees", "total_time", exact=False),
+    Metric("own_time", "self_time", exact=False),
 )
 INDEX_METRICS = (
-    Metric("read", "idx_blks_read"),
-    Metric("gets", "idx_blks_read + idx_blks_hit"),
-    Metric("vacuum_bytes", "cast(table_vacuums AS double) * relsize_carried", exact=False),
-    Metric("unused_dml", "table_dml", keep="total_scans = 0", part="idx_scan = 0"),
+    # work
+    Metric("blocks_from_disk", "idx_blks_read"),
+    Metric("blocks", "idx_blks_read + idx_blks_hit"),
+    # waste: kept up to date without ever being scanned
+    Metric("changes_without_use", "table_dml", keep="total_scans = 0", part="idx_scan = 0"),
+    # upkeep: every vacuum of the table reads the index
+    Metric("vacuumed_bytes", "cast(table_vacuums AS double) * relsize_carried", exact=False),
 )
+_CHANGES = ("n_tup_ins", "n_tup_upd", "n_tup_del")
 TABLE_METRICS = (
-    Metric("scanned", "cast(seq_scan AS double) * relsize"
+    # work, side table included
+    Metric("bytes_scanned", "cast(seq_scan AS double) * relsize"
            " + coalesce(cast(side.seq_scan AS double) * side.relsize, 0)", exact=False),
-    Metric("dml", "n_tup_ins + n_tup_upd + n_tup_del + "
-           + _present(f"side.n_tup_{c}" for c in ("ins", "upd", "del"))),
-    Metric("upd_del", "n_tup_upd + n_tup_del + "
-           + _present(f"side.n_tup_{c}" for c in ("upd", "del"))),
-    Metric("dead_ratio", "cast(n_dead_tup AS double) / nullif(n_live_tup + n_dead_tup, 0)",
+    Metric("rows_changed", " + ".join(_CHANGES) + " + " + _present(f"side.{c}" for c in _CHANGES)),
+    Metric("rows_replaced", " + ".join(_CHANGES[1:]) + " + "
+           + _present(f"side.{c}" for c in _CHANGES[1:])),
+    # a table without index or side table has no such counters: absent parts count as nothing
+    Metric("blocks_from_disk", _present(f"{k}_blks_read" for k in _BLOCK_KINDS)),
+    Metric("blocks", _present(f"{k}_blks_{how}" for k in _BLOCK_KINDS for how in ("read", "hit"))),
+    # waste
+    Metric("dead_share", "cast(n_dead_tup AS double) / nullif(n_live_tup + n_dead_tup, 0)",
            exact=False),
-    Metric("mod_ratio", "cast(n_mod_since_analyze AS double) / nullif(n_live_tup, 0)",
+    Metric("stale_share", "cast(n_mod_since_analyze AS double) / nullif(n_live_tup, 0)",
            exact=False),
-    # a table without index or side table has no such counters: absent parts count as nothing
-    Metric("read", _present(f"{k}_blks_read" for k in _BLOCK_KINDS)),
-    Metric("gets", _present(f"{k}_blks_{how}" for k in _BLOCK_KINDS for how in ("read", "hit"))),
-    Metric("vacuum", "vacuum_count + autovacuum_count"),
-    Metric("analyze", "analyze_count + autoanalyze_count"),
+    # upkeep
+    Metric("vacuums", "vacuum_count + autovacuum_count"),
+    Metric("analyzes", "analyze_count + autoanalyze_count"),
 )
 # Growth by measured size where it was measured this tick, otherwise by pages.
 GROWTH_METRICS = (
     Metric("growth", "growth", keep="relsize IS NOT NULL"),
     Metric("page_growth", "page_growth", keep="relsize IS NULL AND relpages_bytes IS NOT NULL"),
 )
+_PLANNED = "total_plan_time IS NOT NULL"
 STATEMENT_METRICS = (
-    Metric("time", "total_plan_time + total_exec_time", keep="total_plan_time IS NOT NULL",
-           exact=False),
-    Metric("plan_time", "total_plan_time", keep="total_plan_time IS NOT NULL", exact=False),
-    Metric("exec_time", "total_exec_time", exact=False),
+    # work
     Metric("calls", "calls"),
-    Metric("io_time", "blk_read_time + blk_write_time",
-           keep="coalesce(blk_read_time, 0) + coalesce(blk_write_time, 0) > 0", exact=False),
-    Metric("gets", "shared_blks_hit + shared_blks_read"),
-    Metric("read", "shared_blks_read"),
-    Metric("dirtied", "shared_blks_dirtied"),
-    Metric("written", "shared_blks_written"),
-    Metric("temp_written", "temp_blks_written + local_blks_written"),
-    Metric("temp_read", "temp_blks_read + local_blks_read"),
-    Metric("wal", "wal_bytes", keep="wal_bytes IS NOT NULL"),
+    Metric("planning", "total_plan_time", keep=_PLANNED, exact=False),
+    Metric("execution", "total_exec_time", exact=False),
+    Metric("elapsed", "total_plan_time + total_exec_time", keep=_PLANNED, exact=False),
+    # blocks
+    Metric("blocks", "shared_blks_hit + shared_blks_read"),
+    Metric("blocks_from_disk", "shared_blks_read"),
+    Metric("blocks_dirtied", "shared_blks_dirtied"),
+    Metric("blocks_written", "shared_blks_written"),
+    Metric("private_blocks_read", "local_blks_read + temp_blks_read"),
+    Metric("private_blocks_written", "local_blks_written + temp_blks_written"),
+    # waiting for disks, and the log
+    Metric("disk_waits", "blk_read_time + blk_write_time",
+           keep=f"{_present(('blk_read_time', 'blk_write_time'))} > 0", exact=False),
+    Metric("log_bytes", "wal_bytes", keep="wal_bytes IS NOT NULL"),
 )
-_PLAN_USED = "coalesce(plan_user_time, 0) + coalesce(plan_system_time, 0) > 0"
+_PLAN_USED = f"{_present(('plan_user_time', 'plan_system_time'))} > 0"
 USAGE_METRICS = (
-    Metric("plan_cpu", "plan_user_time + plan_system_time", keep=_PLAN_USED, exact=False),
-    Metric("exec_cpu", "exec_user_time + exec_system_time", exact=False),
-    Metric("plan_io", "plan_reads + plan_writes", keep=_PLAN_USED),
-    Metric("exec_io", "exec_reads + exec_writes"),
+    Metric("processor_planning", "plan_user_time + plan_system_time", keep=_PLAN_USED, exact=False),
+    Metric("processor_execution", "exec_user_time + exec_system_time", exact=False),
+    Metric("files_planning", "plan_reads + plan_writes", keep=_PLAN_USED),
+    Metric("files_execution", "exec_reads + exec_writes"),
 )
 
 
@@ -90,19 +100,23 @@ def mark_functions(deltas: DataFrame, topn: int) -> DataFrame:
     return marked.select(*TICK_GROUP, "datid", "funcid")
 
 
-def mark_indexes(index_deltas: DataFrame, table_deltas: DataFrame, index_snapshots: DataFrame,
-                 topn: int) -> DataFrame:
+def with_total_scans(index_snapshots: DataFrame) -> DataFrame:
+    """Index snapshots whose cumulative scan count stays on the rows as ``total_scans`` when
+    ``counter_delta`` turns the counters into increments."""
+    return index_snapshots.withColumn("total_scans", F.col("idx_scan"))
+
+
+def mark_indexes(index_deltas: DataFrame, table_deltas: DataFrame, topn: int) -> DataFrame:
     """Indexes within topn by reads, gets, estimated vacuum bytes, or DML while unscanned.
 
-    ``index_snapshots`` supplies the cumulative scan count: an index counts as unused only if it
-    was never scanned.
+    ``index_deltas`` are increments of ``with_total_scans`` snapshots: an index counts as unused
+    only if it was never scanned.
     """
     key = (*TICK_GROUP, "datid", "relid")
     owners = table_deltas.select(
         *key, F.expr("vacuum_count + autovacuum_count").alias("table_vacuums"),
         F.expr("n_tup_ins + n_tup_upd + n_tup_del").alias("table_dml"))
-    scans = index_snapshots.select(*key, "indexrelid", F.col("idx_scan").alias("total_scans"))
-    rows = index_deltas.join(scans, [*key, "indexrelid"]).join(owners, list(key))
+    rows = index_deltas.join(owners, list(key))
     return top_keys(rows, TICK_GROUP, ("datid", "indexrelid"), INDEX_METRICS, topn)
 
 

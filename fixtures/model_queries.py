@@ -347,7 +347,7 @@ def _(spark, sf):
 
 
 # --- marking ------------------------------------------------------------------------------
-# Each ranking is stated once: what is ranked, who takes part, who may be kept. The SQL takes the best objects of one
+# Each ranking states what is ranked, who takes part, who may be kept. The SQL takes the best objects of one
 # ranking at a time as a list and unites the lists; no row is numbered.
 def best_lists(rows: str, key: tuple[str, ...], rankings: list[dict], place: str = _ALL) -> str:
     packed = ", ".join(f"{k} := {k}" for k in key)
@@ -367,17 +367,52 @@ def total_of(*columns: str, of: str = "") -> str:
     return " + ".join(f"coalesce({of}{c}, 0)" for c in columns)
 
 
+# Which figures count, by what they tell about an object; sums name their parts in the order of the schema.
+RANKINGS = {
+    "functions": {"work": ({"by": "calls"}, {"by": "total_time"}, {"by": "self_time"})},
+    "indexes": {
+        "work": ({"by": "idx_blks_read"}, {"by": "idx_blks_read + idx_blks_hit"}),
+        "waste": ({"by": "table_changes", "takes_part": "idx_scan = 0", "may_keep": "NOT ever_scanned"},),
+        "upkeep": ({"by": "table_vacuums * relsize_carried"},)},
+    "growth": {"size": ({"by": "by_size", "may_keep": "relsize IS NOT NULL"},),
+               "pages": ({"by": "by_pages", "may_keep": "relsize IS NULL AND relpages_bytes IS NOT NULL"},)},
+    "tables": {
+        "work": ({"by": "seq_scan * CAST(relsize AS DOUBLE) + coalesce(side.seq_scan * CAST(side.relsize AS DOUBLE), 0)"},
+                 {"by": f"n_tup_ins + n_tup_upd + n_tup_del + {total_of('n_tup_ins', 'n_tup_upd', 'n_tup_del', of='side.')}"},
+                 {"by": f"n_tup_upd + n_tup_del + {total_of('n_tup_upd', 'n_tup_del', of='side.')}"},
+                 {"by": total_of(*(c for c in M.TABLE_COUNTERS if c.endswith("_blks_read")))},
+                 {"by": total_of(*(c for c in M.TABLE_COUNTERS if "_blks_" in c))}),
+        "waste": ({"by": "CAST(n_dead_tup AS DOUBLE) / nullif(n_live_tup + n_dead_tup, 0)"},
+                  {"by": "CAST(n_mod_since_analyze AS DOUBLE) / nullif(n_live_tup, 0)"}),
+        "upkeep": ({"by": "vacuum_count + autovacuum_count"}, {"by": "analyze_count + autoanalyze_count"})},
+    "statements": {
+        "work": ({"by": "total_plan_time", "may_keep": "total_plan_time IS NOT NULL"}, {"by": "calls"},
+                 {"by": "total_exec_time"},
+                 {"by": "total_plan_time + total_exec_time", "may_keep": "total_plan_time IS NOT NULL"}),
+        "blocks": ({"by": "shared_blks_hit + shared_blks_read"}, {"by": "shared_blks_read"}, {"by": "shared_blks_dirtied"},
+                   {"by": "shared_blks_written"}, {"by": "local_blks_read + temp_blks_read"},
+                   {"by": "local_blks_written + temp_blks_written"}),
+        "waiting": ({"by": "blk_read_time + blk_write_time", "may_keep": f"{total_of('blk_read_time', 'blk_write_time')} > 0"},),
+        "log": ({"by": "wal_bytes", "may_keep": "wal_bytes IS NOT NULL"},)},
+    "usage": {
+        "processor": ({"by": "plan_user_time + plan_system_time", "may_keep": f"{total_of('plan_user_time', 'plan_system_time')} > 0"},
+                      {"by": "exec_user_time + exec_system_time"}),
+        "file system": ({"by": "plan_reads + plan_writes", "may_keep": f"{total_of('plan_user_time', 'plan_system_time')} > 0"},
+                        {"by": "exec_reads + exec_writes"})},
+}
+
+
+def rankings(kind: str) -> list[dict]:
+    return [r for purpose in RANKINGS[kind].values() for r in purpose]
+
+
 Q["m_functions"] = best_lists("(SELECT * FROM d_functions WHERE calls > 0)", ("datid", "funcid"),
-                              [{"by": c} for c in ("calls", "self_time", "total_time")], f"{_ALL}, trg_fn")
+                              rankings("functions"), f"{_ALL}, trg_fn")
 Q["index_cases"] = """SELECT d_indexes.*, ever_scanned, table_changes, table_vacuums FROM d_indexes
   NATURAL JOIN (SELECT server_id, sample_id, datid, relid, indexrelid, idx_scan > 0 AS ever_scanned FROM indexes_snap)
   NATURAL JOIN (SELECT server_id, sample_id, datid, relid, n_tup_ins + n_tup_upd + n_tup_del AS table_changes,
     vacuum_count + autovacuum_count AS table_vacuums FROM d_tables)"""
-Q["m_indexes"] = best_lists("index_cases", ("datid", "indexrelid"), [
-    {"by": "table_changes", "takes_part": "idx_scan = 0", "may_keep": "NOT ever_scanned"},  # upkeep without use
-    {"by": "relsize_carried * table_vacuums"},                                              # vacuum work
-    {"by": "idx_blks_hit + idx_blks_read"},                                                 # blocks used
-    {"by": "idx_blks_read"}])                                                               # blocks read
+Q["m_indexes"] = best_lists("index_cases", ("datid", "indexrelid"), rankings("indexes"))
 # Growth ignores resets of the owner: it is the difference of two measured states.
 Q["index_growth"] = """SELECT server_id, sample_id, datid, indexrelid, relsize, relpages_bytes,
   relsize - coalesce(lag(known) OVER w, 0) AS by_size, relpages_bytes - coalesce(lag(relpages_bytes) OVER w, 0) AS by_pages
@@ -391,8 +426,7 @@ Q["table_growth"] = """SELECT server_id, sample_id, datid, relid, reltoastrelid,
     sample_id - row_number() OVER (PARTITION BY server_id, datid, relid ORDER BY sample_id) AS run FROM tables_snap)
   SEMI JOIN databases_snap USING (server_id, sample_id, datid)
   WINDOW w AS (PARTITION BY server_id, datid, relid, run ORDER BY sample_id)"""
-_GROWN = [{"by": "by_size", "may_keep": "relsize IS NOT NULL"},
-          {"by": "by_pages", "may_keep": "relsize IS NULL AND relpages_bytes IS NOT NULL"}]
+_GROWN = rankings("growth")
 Q["m_growing_indexes"] = best_lists("index_growth", ("datid", "indexrelid"), _GROWN)
 # Main tables; side holds the same sample of the side table.
 Q["table_cases"] = """SELECT m.*, side FROM d_tables m LEFT JOIN (
@@ -407,18 +441,7 @@ def with_sides(kept: str) -> str:
       ON (s.server_id, s.sample_id, s.datid, s.relid) = (t.server_id, t.sample_id, t.datid, t.reltoastrelid)"""
 
 
-_BLOCKS = [f"{k}_blks_{how}" for how in ("read", "hit") for k in ("tidx", "toast", "idx", "heap")]
-_WRITES = ("n_tup_del", "n_tup_upd")
-Q["m_tables"] = with_sides(best_lists("table_cases", ("datid", "relid"), [
-    {"by": "autoanalyze_count + analyze_count"},
-    {"by": "autovacuum_count + vacuum_count"},
-    {"by": total_of(*_BLOCKS)},
-    {"by": total_of(*_BLOCKS[:4])},
-    {"by": "n_mod_since_analyze / nullif(CAST(n_live_tup AS DOUBLE), 0)"},
-    {"by": "n_dead_tup / nullif(CAST(n_live_tup + n_dead_tup AS DOUBLE), 0)"},
-    {"by": f"{' + '.join(_WRITES)} + {total_of(*_WRITES, of='side.')}"},
-    {"by": f"n_tup_ins + {' + '.join(_WRITES)} + {total_of('n_tup_ins', *_WRITES, of='side.')}"},
-    {"by": "CAST(relsize AS DOUBLE) * seq_scan + coalesce(CAST(side.relsize AS DOUBLE) * side.seq_scan, 0)"}]))
+Q["m_tables"] = with_sides(best_lists("table_cases", ("datid", "relid"), rankings("tables")))
 Q["m_growing_tables"] = with_sides(best_lists("""(SELECT m.* REPLACE (m.by_size + coalesce(o.by_size, 0) AS by_size,
     m.by_pages + coalesce(o.by_pages, 0) AS by_pages) FROM table_growth m LEFT JOIN table_growth o
   ON (o.server_id, o.sample_id, o.datid, o.relid) = (m.server_id, m.sample_id, m.datid, m.reltoastrelid)
@@ -434,18 +457,9 @@ Q["m_closure"] = """WITH owner AS (SELECT DISTINCT server_id, sample_id, datid,
     JOIN d_tables t ON (t.server_id, t.sample_id, t.datid, t.relid) = (owner.server_id, owner.sample_id, owner.datid, owner.relid)"""
 _STATEMENT = ("datid", "userid", "queryid", "toplevel")
 _SK = ", ".join(_STATEMENT)
-_planned, _timed = "total_plan_time IS NOT NULL", f"{total_of('blk_write_time', 'blk_read_time')} > 0"
-Q["m_statements"] = best_lists("(FROM statements SEMI JOIN databases USING (server_id, sample_id, datid))", _STATEMENT, [
-    {"by": "calls"}, {"by": "total_exec_time"}, {"by": "total_plan_time", "may_keep": _planned},
-    {"by": "total_exec_time + total_plan_time", "may_keep": _planned},
-    {"by": "blk_write_time + blk_read_time", "may_keep": _timed},
-    *[{"by": f"shared_blks_{c}"} for c in ("written", "dirtied", "read")], {"by": "shared_blks_read + shared_blks_hit"},
-    *[{"by": f"local_blks_{c} + temp_blks_{c}"} for c in ("read", "written")],
-    {"by": "wal_bytes", "may_keep": "wal_bytes IS NOT NULL"}])
-_plans = f"{total_of('plan_system_time', 'plan_user_time')} > 0"
-Q["m_usage"] = best_lists("(FROM usage SEMI JOIN databases USING (server_id, sample_id, datid))", _STATEMENT, [
-    {"by": f"{phase}_{a} + {phase}_{b}", **({"may_keep": _plans} if phase == "plan" else {})}
-    for phase in ("exec", "plan") for a, b in (("reads", "writes"), ("system_time", "user_time"))])
+Q["m_statements"] = best_lists("(FROM statements SEMI JOIN databases USING (server_id, sample_id, datid))", _STATEMENT,
+                               rankings("statements"))
+Q["m_usage"] = best_lists("(FROM usage SEMI JOIN databases USING (server_id, sample_id, datid))", _STATEMENT, rankings("usage"))
 
 
 @query("m1_mark_functions", "SELECT * FROM m_functions")
@@ -454,8 +468,9 @@ def _(spark, sf):
 
 
 def _marked_indexes(spark, sf):
-    return marking.mark_indexes(_delta(spark, sf, M.INDEXES), _delta(spark, sf, M.TABLES),
-                                relation(spark, sf, "indexes_snap"), TOPN)
+    scans = marking.with_total_scans(relation(spark, sf, "indexes_snap"))
+    indexes = delta.counter_delta(scans, M.INDEXES, relation(spark, sf, "databases_snap"))
+    return marking.mark_indexes(indexes, _delta(spark, sf, M.TABLES), TOPN)
 
 
 query("m2_mark_indexes", "SELECT * FROM m_indexes")(_marked_indexes)
@@ -621,6 +636,33 @@ def _(spark, sf):
                                    relation(spark, sf, "samples"))
 
 
+# indexes change their name in the second half of the history as well
+Q["named_indexes"] = """SELECT server_id, sample_id, datid, indexrelid, relid, indisunique,
+  'index_' || indexrelid || CASE WHEN sample_id > 15 THEN '_v2' ELSE '' END AS indexrelname FROM indexes"""
+
+
+@query("d2_indexes_from_history", """SELECT server_id, datid, indexrelid, arg_max(relid, sample_id) AS relid,
+  arg_max(indisunique, sample_id) AS indisunique, arg_max(indexrelname, sample_id) AS indexrelname,
+  CASE WHEN max(sample_id) < any_value(newest) THEN max(sample_id) END AS last_sample_id
+  FROM named_indexes JOIN newest USING (server_id) GROUP BY server_id, datid, indexrelid""")
+def _(spark, sf):
+    rows = relation(spark, sf, "indexes").selectExpr(
+        SERVER, TICK, "datid", "indexrelid", "relid", "indisunique",
+        "concat('index_', indexrelid, CASE WHEN sample_id > 15 THEN '_v2' ELSE '' END) AS indexrelname")
+    return dictionary.from_history(rows, (SERVER, "datid", "indexrelid"),
+                                   ("relid", "indisunique", "indexrelname"), relation(spark, sf, "samples"))
+
+
+@query("d2_functions_from_history", """SELECT server_id, datid, funcid, arg_max(trg_fn, sample_id) AS trg_fn,
+  'function_' || funcid AS funcname, CASE WHEN max(sample_id) < any_value(newest) THEN max(sample_id) END AS last_sample_id
+  FROM functions JOIN newest USING (server_id) GROUP BY server_id, datid, funcid""")
+def _(spark, sf):
+    rows = relation(spark, sf, "functions").selectExpr(
+        SERVER, TICK, "datid", "funcid", "trg_fn", "concat('function_', funcid) AS funcname")
+    return dictionary.from_history(rows, (SERVER, "datid", "funcid"), ("trg_fn", "funcname"),
+                                   relation(spark, sf, "samples"))
+
+
 @query("d3_roles", """SELECT server_id, userid, CASE WHEN userid = 70 THEN '_unknown_' ELSE min(username) END
   AS username, CASE WHEN max(sample_id) < any_value(newest) THEN max(sample_id) END AS last_sample_id
   FROM statements JOIN newest USING (server_id) GROUP BY server_id, userid""")
