@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -41,6 +42,14 @@ def version_epochs(observed: DataFrame, block: int = TICKS_PER_BLOCK) -> DataFra
     return found.select(SERVER, TICK, "version_tick")
 
 
+def changed_rows(rows: DataFrame, keys: Sequence[str], null_safe: bool = False,
+                 block: int = TICKS_PER_BLOCK) -> DataFrame:
+    """Observations that are the first of their key or differ from the one before in ``COMPARED``."""
+    rows = previous_present(rows, keys, COMPARED, block=block)
+    changed = reduce(lambda a, b: a | b, [_differs(c, null_safe) for c in COMPARED])
+    return rows.filter(F.col("prev").isNull() | changed).drop("prev")
+
+
 def capture_changes(observed: DataFrame, refresh_on_version: bool = True,
                     null_safe: bool = False, block: int = TICKS_PER_BLOCK) -> DataFrame:
     """Change log of settings observed at every tick.
@@ -57,9 +66,7 @@ def capture_changes(observed: DataFrame, refresh_on_version: bool = True,
         epoch = F.when(F.col("name") != IDENTITY_NAME, F.col("version_tick"))
         rows = rows.withColumn("_epoch", F.coalesce(epoch, F.lit(-1)))
         keys.append("_epoch")
-    rows = previous_present(rows, keys, COMPARED, block=block)
-    changed = reduce(lambda a, b: a | b, [_differs(c, null_safe) for c in COMPARED])
-    kept = rows.filter(F.col("prev").isNull() | changed)
+    kept = changed_rows(rows, keys, null_safe, block)
     return kept.select(*SETTING_KEY, F.col("sample_time").alias("first_seen"), *STORED)
 
 

@@ -1,175 +1,120 @@
-"""Streaming forms of the increment and change-capture operators.
+"""Streaming forms of the increment, change-capture and window operators, as steps of a ``Ledger``.
 
-State per object key is its last cumulative row, so the stream needs no history. A tick at or
-below the stored one is late and is only counted; a gap counts the full value, as in batch.
-Objects that stop reporting are dropped after ``ttl_ms``.
+The increments and changes of a batch are those of the batch operators over the batch's rows and the newest row of every
+object, so a stream gives what one pass over its history gives, in whole numbers of any size. Rows at or below the
+stored tick of their object are late, as are all but one row of an object and tick; they go to the table ``late``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
+from dataclasses import replace
 
-import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-
-from counterlake.model import TICK, SnapshotSpec
-from counterlake.operators.settings import COMPARED, SETTING_KEY, STORED
-
-
-class _LastRow(StatefulProcessor):
-    """Keeps one row per key and hands (previous, current) pairs to ``step``."""
-
-    def __init__(self, columns: Sequence[str], schema: T.StructType, ttl_ms: int | None) -> None:
-        self.columns, self.state_schema, self.ttl_ms = list(columns), schema, ttl_ms
-        # pandas turns whole numbers with NULLs into floats and times into its own type; the
-        # state keeps plain values of its schema
-        self.whole = {f.name for f in schema.fields if isinstance(f.dataType, T.IntegralType)}
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", self.state_schema, self.ttl_ms)
-        self.late = handle.getValueState("late", T.StructType([T.StructField("n", T.LongType())]),
-                                         self.ttl_ms)
-
-    def _load(self) -> dict | None:
-        if not self.last.exists():
-            return None
-        return dict(zip(self.columns, self.last.get()))
-
-    def _count_late(self, n: int) -> None:
-        before = self.late.get()[0] if self.late.exists() else 0
-        self.late.update((before + n,))
-
-    def _store(self, row: dict) -> None:
-        self.last.update(tuple(row[c] for c in self.columns))
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues
-                        ) -> Iterator[pd.DataFrame]:
-        batches = [b for b in rows if len(b)]
-        if not batches:
-            return
-        frame = pd.concat(batches) if len(batches) > 1 else batches[0]
-        frame = frame.astype(object).where(frame.notna(), None).sort_values(TICK, kind="stable")
-        previous, out = self._load(), []
-        for row in map(self._plain, frame.to_dict("records")):
-            if previous is not None and row[TICK] <= previous[TICK]:
-                self._count_late(1)
-                continue
-            emitted, previous = self.step(previous, row)
-            if emitted is not None:
-                out.append(emitted)
-        if previous is not None:
-            self._store(previous)
-        if out:
-            yield pd.DataFrame(out)
-
-    def _plain(self, row: dict) -> dict:
-        out = {}
-        for name, value in row.items():
-            if value is not None and name in self.whole:
-                value = int(value)
-            elif isinstance(value, pd.Timestamp):
-                value = value.to_pydatetime()
-            out[name] = value
-        return out
-
-    def step(self, previous: dict | None, row: dict) -> tuple[dict | None, dict]:
-        raise NotImplementedError
-
-    def close(self) -> None:
-        pass
-
-
-class _Increments(_LastRow):
-    def __init__(self, spec: SnapshotSpec, columns, schema, output: Sequence[str], ttl_ms) -> None:
-        super().__init__(columns, schema, ttl_ms)
-        self.spec, self.output = spec, list(output)
-
-    def step(self, previous, row):
-        spec = self.spec
-        adjacent = previous if previous and previous[TICK] == row[TICK] - 1 else None
-        row = dict(row)
-        for c in spec.carry:
-            if row[c] is None and adjacent:
-                row[f"{c}_carried"] = adjacent[f"{c}_carried"]
-            else:
-                row[f"{c}_carried"] = row[c]
-        epoch = row.get(spec.epoch) if spec.epoch else 0
-        before = (adjacent.get(spec.epoch) if spec.epoch else 0) if adjacent else None
-        known = adjacent is not None and epoch is not None and before is not None
-        same = known and epoch == before
-
-        def minus(value, last):
-            return None if value is None else value - (last if last is not None else 0)
-
-        out = {c: row[c] for c in self.output if c in row}
-        for c in spec.counters:
-            out[c] = minus(row[c], adjacent[c] if same else None)
-        for c, name in spec.gauge_deltas.items():
-            last = adjacent.get(f"{c}_carried" if c in spec.carry else c) if known else None
-            if spec.strict_growth and known and not same and last is None:
-                out[name] = None
-            else:
-                out[name] = minus(row[c], last)
-        return {c: out[c] for c in self.output}, row
-
-
-def stream_counter_delta(stream: DataFrame, spec: SnapshotSpec,
-                         ttl_ms: int | None = None) -> DataFrame:
-    """Increments of a stream of snapshots. The epoch column, if any, must be on the rows (an
-    owner's epoch is joined to the stream before)."""
-    kept = [TICK, *spec.counters, *spec.gauge_deltas]
-    if spec.epoch:
-        kept.append(spec.epoch)
-    types = {f.name: f.dataType for f in stream.schema.fields}
-    state = [T.StructField(c, types[c]) for c in dict.fromkeys(kept)]
-    state += [T.StructField(f"{c}_carried", types[c]) for c in spec.carry]
-    output = [*spec.row_key, *spec.counters,
-              *[c for c, out in spec.gauge_deltas.items() if out != c],
+
+from counterlake.model import SERVER, TICK, SnapshotSpec
+from counterlake.operators.delta import counter_delta
+from counterlake.operators.settings import COMPARED, SETTING_KEY, STORED, changed_rows
+from counterlake.operators.ticks import TICKS_PER_BLOCK
+from counterlake.streaming.ledger import Hold, Step, Stored
+
+
+def _with_lateness(batch: DataFrame, state: DataFrame | None, key: Sequence[str]) -> DataFrame:
+    """Adds ``_late``: the tick is not above the stored one, is missing, or repeats an earlier row of the batch."""
+    if state is None:
+        rows = batch.withColumn("_known", F.lit(None).cast("long"))
+    else:
+        rows = batch.join(state.select(*key, F.col(TICK).cast("long").alias("_known")), list(key), "left")
+    first = W.partitionBy(*key, TICK).orderBy(*[c for c in batch.columns if c not in (*key, TICK)])
+    old = F.coalesce(F.col(TICK) <= F.col("_known"), F.col(TICK).isNull())
+    return rows.withColumn("_late", old | (F.row_number().over(first) > 1)).drop("_known")
+
+
+def _newest(rows: DataFrame, key: Sequence[str]) -> DataFrame:
+    order = W.partitionBy(*key).orderBy(F.desc(TICK))
+    return rows.withColumn("_nth", F.row_number().over(order)).filter("_nth <= 1").drop("_nth")
+
+
+def counter_deltas(spec: SnapshotSpec, keep_ticks: int | None = None, block: int = TICKS_PER_BLOCK) -> Step:
+    """Tables ``increments``, ``late`` and ``state``.
+
+    The epoch column, if any, must be on the rows (an owner's epoch is joined to the stream before). Objects that have
+    not reported for ``keep_ticks`` ticks of their server leave the state; if they return, they count in full.
+    """
+    spec = replace(spec, owner=())
+    key = spec.object_key
+    kept = list(dict.fromkeys([*spec.counters, *spec.gauge_deltas, *([spec.epoch] if spec.epoch else [])]))
+    output = [*spec.row_key, *spec.counters, *[c for c, out in spec.gauge_deltas.items() if out != c],
               *spec.gauge_deltas.values()]
-    out_types = {**types, **{out: types[c] for c, out in spec.gauge_deltas.items()}}
-    schema = T.StructType([T.StructField(c, out_types[c]) for c in output])
-    processor = _Increments(spec, [f.name for f in state], T.StructType(state), output, ttl_ms)
-    return stream.groupBy(*spec.object_key).transformWithStateInPandas(
-        statefulProcessor=processor, outputStructType=schema, outputMode="Append",
-        timeMode="ProcessingTime" if ttl_ms else "None")
-
-
-class _Changes(_LastRow):
-    """Compares with the last version that was emitted; NULLs never count as a change."""
-
-    def step(self, previous, row):
-        if row["reset_val"] is None:
-            return None, previous
-        changed = previous is None or any(
-            row[c] is not None and previous[c] is not None and row[c] != previous[c]
-            for c in COMPARED)
-        if changed:
-            return {**{c: row[c] for c in (*SETTING_KEY, *STORED)},
-                    "first_seen": row["sample_time"]}, row
-        return None, {**previous, TICK: row[TICK]}
-
-
-def stream_setting_changes(stream: DataFrame, ttl_ms: int | None = None) -> DataFrame:
-    """Change log of a stream of observed settings."""
-    types = {f.name: f.dataType for f in stream.schema.fields}
-    kept = (TICK, *COMPARED)
-    state = T.StructType([T.StructField(c, types[c]) for c in kept])
-    output = T.StructType([T.StructField(c, types[c]) for c in (*SETTING_KEY, *STORED)]
-                          + [T.StructField("first_seen", types["sample_time"])])
-    return stream.groupBy(*SETTING_KEY).transformWithStateInPandas(
-        statefulProcessor=_Changes(kept, state, ttl_ms), outputStructType=output,
-        outputMode="Append", timeMode="ProcessingTime" if ttl_ms else "None")
-
-
-def stream_window_sums(increments: DataFrame, time: str, keys: Sequence[str],
-                       columns: Sequence[str], width: str, lateness: str) -> DataFrame:
-    """Sums of increments per tumbling window of event time; late rows beyond ``lateness`` are
-    dropped by the watermark."""
-    return (increments.withWatermark(time, lateness)
-            .groupBy(F.window(time, width), *keys)
-            .agg(*[F.sum(c).alias(c) for c in columns])
-            .select(F.col("window.start").alias("window_start"),
-                    F.col("window.end").alias("window_end"), *keys, *columns))
+
+    def step(batch: DataFrame, stored: Stored, hold: Hold) -> dict[str, DataFrame]:
+        state = stored("state")
+        judged = hold(_with_lateness(batch, state, key))
+        rows = judged.filter("NOT _late").select(*spec.row_key, *kept, F.lit(False).alias("_stored"))
+        if state is not None:
+            rows = rows.unionByName(state.select(*rows.columns[:-1], F.lit(True).alias("_stored")))
+        # the cumulative values stay beside their increments: they are the next state
+        rows = rows.withColumn("_values", F.struct(*kept) if kept else F.struct(F.lit(0).alias("_none")))
+        found = hold(counter_delta(rows, spec, block=block))
+        values = [F.col(f"{c}_carried" if c in spec.carry else f"_values.{c}").alias(c) for c in kept]
+        last = _newest(found.select(*spec.row_key, *values), key)
+        if keep_ticks is not None:
+            ends = last.groupBy(SERVER).agg(F.max(TICK).alias("_end"))
+            last = last.join(ends, SERVER).filter(F.col(TICK) > F.col("_end") - keep_ticks).drop("_end")
+        return {"increments": found.filter("NOT _stored").select(*output),
+                "late": judged.filter("_late").drop("_late"), "state": last}
+
+    return step
+
+
+def setting_changes(null_safe: bool = False, block: int = TICKS_PER_BLOCK) -> Step:
+    """Tables ``changes`` (the change log), ``late`` and ``state`` of observed settings, compared with the observation
+    before; settings without a reset value are ignored. A new version of the source starts nothing anew."""
+
+    def step(batch: DataFrame, stored: Stored, hold: Hold) -> dict[str, DataFrame]:
+        state = stored("state")
+        judged = hold(_with_lateness(batch.filter("reset_val IS NOT NULL"), state, SETTING_KEY))
+        columns = list(dict.fromkeys([*SETTING_KEY, TICK, *STORED, *COMPARED, "sample_time"]))
+        rows = judged.filter("NOT _late").select(*columns, F.lit(False).alias("_stored"))
+        if state is not None:
+            rows = rows.unionByName(state.withColumn("_stored", F.lit(True)))
+        rows = hold(rows)
+        changes = changed_rows(rows, SETTING_KEY, null_safe, block).filter("NOT _stored")
+        return {"changes": changes.select(*SETTING_KEY, *STORED, F.col("sample_time").alias("first_seen")),
+                "late": judged.filter("_late").drop("_late"), "state": _newest(rows, SETTING_KEY).select(*columns)}
+
+    return step
+
+
+def window_sums(time: str, keys: Sequence[str], columns: Sequence[str], width: str, lateness: str) -> Step:
+    """Tables ``closed`` (sums of tumbling windows that ended before the watermark, each once), ``late`` and the states
+    ``open`` (sums so far of the other windows) and ``latest`` (the newest time).
+
+    The watermark is the newest time of the batches before, less ``lateness``. Rows whose window had ended by then, and
+    rows without a time, go to ``late``: every row is in a sum or in that table.
+    """
+    sums = [F.sum(c).alias(c) for c in columns]
+    delay = F.expr(f"INTERVAL {lateness}")
+
+    def step(batch: DataFrame, stored: Stored, hold: Hold) -> dict[str, DataFrame]:
+        before, latest = stored("open"), stored("latest")
+        spark = batch.sparkSession
+        newest = batch.agg(F.max(time).alias("latest"))
+        known = spark.createDataFrame([(None,)], newest.schema) if latest is None else latest
+        newest = hold(newest.unionByName(known).agg(F.max("latest").alias("latest")))
+        passed, until = known.first()[0], newest.first()[0]
+        windows = (batch.filter(F.col(time).isNotNull()).withColumn("_window", F.window(time, width))
+                        .withColumn("window_start", F.col("_window.start")).withColumn("window_end", F.col("_window.end")))
+        ended = F.coalesce(F.col("window_end") <= F.lit(passed).cast("timestamp") - delay, F.lit(False))
+        group = ["window_start", "window_end", *keys]
+        added = windows.filter(~ended).groupBy(*group).agg(*sums)
+        if before is not None:
+            added = added.unionByName(before).groupBy(*group).agg(*sums)
+        added = hold(added)
+        ends = F.coalesce(F.col("window_end") <= F.lit(until).cast("timestamp") - delay, F.lit(False))
+        late = windows.filter(ended).select(*batch.columns).unionByName(batch.filter(F.col(time).isNull()))
+        return {"closed": added.filter(ends), "late": late, "open": added.filter(~ends), "latest": newest}
+
+    return step

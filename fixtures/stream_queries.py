@@ -1,23 +1,22 @@
 """Registered queries for the streaming operators: the stored relations are read as streams,
-drained with ``availableNow``, and the sink is read back."""
+drained with ``availableNow``, and the tables of the ledger are read back."""
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
-from dataclasses import replace
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
 from counterlake import model as M
 from counterlake.session import work_folder
 from counterlake.streaming import deltas
+from counterlake.streaming.ledger import Ledger, Step
 from fixtures import model_queries as MQ
 from fixtures.projection import duck_with, relation
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def as_stream(df: DataFrame, files_per_trigger: int | None = None) -> DataFrame:
@@ -29,21 +28,12 @@ def as_stream(df: DataFrame, files_per_trigger: int | None = None) -> DataFrame:
     return reader.parquet(folder)
 
 
-def drain(stream: DataFrame, complete: bool = False) -> DataFrame:
-    """Run the stream to the end of its input and return the sink as a table."""
+def drain(stream: DataFrame, step: Step, states: Sequence[str] = ("state",)) -> Ledger:
+    """Run the stream to the end of its input; the tables are in the ledger."""
     spark = stream.sparkSession
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    folder = f"{work_folder(spark)}/stream-{uuid.uuid4().hex[:8]}"
-    writer = stream.writeStream.option("checkpointLocation", f"{folder}/checkpoint")
-    if complete:
-        def replace_table(batch: DataFrame, _epoch: int) -> None:
-            batch.write.mode("overwrite").parquet(f"{folder}/data")
-
-        writer = writer.outputMode("complete").foreachBatch(replace_table)
-    else:
-        writer = writer.outputMode("append").format("parquet").option("path", f"{folder}/data")
-    writer.trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{folder}/data")
+    ledger = Ledger(spark, f"{work_folder(spark)}/stream-{uuid.uuid4().hex[:8]}", states)
+    ledger.start(stream, step, availableNow=True).awaitTermination()
+    return ledger
 
 
 def _add(name: str, sql: str, plan: Callable[[SparkSession, str], DataFrame]) -> None:
@@ -52,16 +42,15 @@ def _add(name: str, sql: str, plan: Callable[[SparkSession, str], DataFrame]) ->
 
 
 _add("z1_stream_database_deltas", """SELECT * EXCLUDE (epoch_restarted, datistemplate) FROM d_databases""",
-     lambda spark, sf: drain(deltas.stream_counter_delta(
-         as_stream(relation(spark, sf, "databases_snap")), M.DATABASES)))
+     lambda spark, sf: drain(as_stream(relation(spark, sf, "databases_snap")),
+                             deltas.counter_deltas(M.DATABASES)).read("increments"))
 
 
 def _table_deltas(spark: SparkSession, sf: str) -> DataFrame:
     # the owner's epoch is joined to the stream, which then carries its own epoch
-    spec = replace(M.TABLES, owner=())
     epochs = relation(spark, sf, "databases_snap").select(M.SERVER, M.TICK, "datid", "stats_reset")
     rows = as_stream(relation(spark, sf, "tables_snap")).join(epochs, [M.SERVER, M.TICK, "datid"])
-    return drain(deltas.stream_counter_delta(rows, spec))
+    return drain(rows, deltas.counter_deltas(M.TABLES)).read("increments")
 
 
 _TABLE_OUT = ", ".join(["server_id", "sample_id", "datid", "relid", *M.TABLE_COUNTERS, "relsize",
@@ -72,9 +61,12 @@ _add("z1_stream_table_deltas", f"SELECT {_TABLE_OUT} FROM d_tables", _table_delt
 def _window_sums(spark: SparkSession, sf: str) -> DataFrame:
     times = relation(spark, sf, "samples")
     rows = as_stream(relation(spark, sf, "functions")).join(times, [M.SERVER, M.TICK])
-    sums = deltas.stream_window_sums(rows, "sample_time", (M.SERVER, "datid"),
-                                     ("calls", "total_time"), "3 days", "1 day")
-    return MQ.text_time(drain(sums, complete=True), "window_start", "window_end")
+    sums = deltas.window_sums("sample_time", (M.SERVER, "datid"), ("calls", "total_time"),
+                              "3 days", "1 day")
+    ledger = drain(rows, sums, states=("open", "latest"))
+    # at the end of the input the windows that are still open count as they are
+    whole = ledger.read("closed").unionByName(ledger.read("open"))
+    return MQ.text_time(whole, "window_start", "window_end")
 
 
 _add("z2_stream_window_sums", """SELECT strftime(w, '%Y-%m-%d %H:%M:%S') AS window_start,
@@ -94,5 +86,5 @@ _add("z3_stream_setting_changes", f"""SELECT server_id, setting_scope, name, set
     row_number() OVER w AS nth FROM observed_settings
     WINDOW w AS (PARTITION BY server_id, setting_scope, name ORDER BY sample_id))
   WHERE nth = 1 OR {_LAST}""",
-     lambda spark, sf: MQ.text_time(drain(deltas.stream_setting_changes(
-         as_stream(relation(spark, sf, "observed_settings")))), "first_seen"))
+     lambda spark, sf: MQ.text_time(drain(as_stream(relation(spark, sf, "observed_settings")),
+                                          deltas.setting_changes()).read("changes"), "first_seen"))
