@@ -2,7 +2,8 @@
 
 A character language model is counted over all documents (four-grams of classes of bytes). A disguised string (leetspeak,
 letters spread out by signs, stretched letters, masked letters) becomes a lattice: what each sign may stand for, at what
-cost. Viterbi decoding finds the likeliest reading under channel and language model, and the reading replaces the string.
+cost. Viterbi decoding finds the likeliest reading under channel and language model; it replaces the string where it is
+likelier than the string as it stands.
 The restored text is scored by its words and word beginnings, whose weights and calibration come from labelled rows.
 
 Defined results: a null text counts as empty and is scored; a label of null is no label; without labels of both kinds the
@@ -44,14 +45,23 @@ _NO_LETTER[97:123] = _NO_LETTER[65:91] = _NO_LETTER[128:] = False
 # What signs commonly stand for.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s",
         "!": "i", "|": "il", "+": "t"}
-LEET_COST, DROP_COST, MASK_COST = 1.0, 0.5, 4.0
+#: Costs of a sign for a letter, of a letter drawn out, of a star for a letter, of a star that stands for nothing, of a
+#: space kept between letters that are spread out.
+LEET_COST, DROP_COST, MASK_COST, STAR_COST, SPACE_COST = 1.0, 0.5, 1.0, 4.0, 1.0
+#: What telling one digit, or one other sign, of its class from the others costs a string that is left as it is.
+DIGIT_COST, SIGN_COST = float(np.log(10)), float(np.log(20))
+#: Histories kept at a step, the likeliest ones. Only masked letters in a row have more.
+BEAM = 100
 _SIGNS = r"0-9@$!|+"
-#: Letters spread out by signs; or a string with a sign or a mask beside a letter; or one with a letter three times in a row.
+_GAPS = " .-_"
+#: Letters spread out by signs or by one or two spaces; or a run of letters, signs and masks that has both a letter and a sign
+#: or mask, or a letter three times in a row. A run is looked at from its first character only and never read twice.
 DISGUISED = re.compile(
-    rf"(?<![^\W_])(?:[A-Za-z{_SIGNS}][ .\-_*]){{3,}}[A-Za-z{_SIGNS}](?![^\W_])"
-    rf"|[A-Za-z{_SIGNS}*]*(?:[A-Za-z][{_SIGNS}*]|[{_SIGNS}*][A-Za-z]{{2}})[A-Za-z{_SIGNS}*]*"
-    r"|[A-Za-z]*([A-Za-z])\1\1[A-Za-z]*")
-_MAYBE = (rf"[A-Za-z][{_SIGNS}*]|[{_SIGNS}*][A-Za-z]|[A-Za-z{_SIGNS}][ .\-_*][A-Za-z{_SIGNS}][ .\-_*][A-Za-z{_SIGNS}][ .\-_*]|(?i:"
+    rf"(?<![^\W_])(?P<spread>[A-Za-z{_SIGNS}](?:(?: {{1,2}}|[.\-_*])[A-Za-z{_SIGNS}](?![^\W_])){{2,}}+)"
+    rf"|(?<![A-Za-z{_SIGNS}*])(?=[{_SIGNS}*]*+[A-Za-z])(?=[A-Za-z]*+[{_SIGNS}*]|[A-Za-z]*?([A-Za-z])\2\2)[A-Za-z{_SIGNS}*]++")
+#: Rows of four stars or more separate, they hide no letters; signs at the end of a word close it.
+_ROWS, _ENDS = re.compile(r"(\*{4,})"), re.compile(r"(\**+)(.*?)([!|+*]*)", re.S)
+_MAYBE = (rf"[A-Za-z][{_SIGNS}*]|[{_SIGNS}*][A-Za-z]|[A-Za-z{_SIGNS}](?: {{1,2}}|[.\-_*])[A-Za-z{_SIGNS}](?: {{1,2}}|[.\-_*])[A-Za-z{_SIGNS}]|(?i:"
           + "|".join(c * 3 for c in "abcdefghijklmnopqrstuvwxyz") + ")")
 
 
@@ -88,50 +98,113 @@ def language_model(codes: np.ndarray, times: np.ndarray) -> np.ndarray:
 
 
 class Decoder:
+    """Reads disguised strings. Every sign is one step of a lattice, so the work grows with the length of a string; where one
+    history is left, what was read before it is settled."""
+
     def __init__(self, model: np.ndarray):
-        self.model, self.memo = model, {}
+        self.table, self.model, self.memo = model, model.tolist(), {}
 
     @staticmethod
-    def lattice(string: str) -> list[list[tuple[str, float]]]:
-        """Per run of equal signs: what it may stand for, and the cost."""
-        spread = len(re.findall(r"[ .\-_*]", string)) * 2 + 1 >= len(string)
+    def lattice(string: str, spread: bool) -> list[list[tuple[str, float]]]:
+        """Per star and per run of another sign: the letters it may stand for, and the cost."""
         steps: list[list[tuple[str, float]]] = []
-        for run in re.finditer(r"(.)\1*", string.lower(), re.S):
-            sign, n = run[1], len(run[0])
-            if spread and sign in " .-_*":
-                steps.append([("", 0.0)])
+        for run in re.finditer(r"\*|([^*])\1*+", string.lower(), re.S):
+            sign, n = run[0][0], len(run[0])
+            if sign in _GAPS:
+                steps.append([("", 0.0), (" ", SPACE_COST)] if sign == " " else [("", 0.0)])
             elif sign == "*":
-                steps.append([("", DROP_COST * n)] + [(c * n, MASK_COST * n) for c in "abcdefghijklmnopqrstuvwxyz"])
+                steps.append([("", 0.0 if spread else STAR_COST)] + [(c, MASK_COST) for c in "abcdefghijklmnopqrstuvwxyz"])
             elif sign in LEET:
-                steps.append([(c * m, LEET_COST) for c in LEET[sign] for m in {1, min(n, 2)}] + [(sign * n, 0.0)])
+                steps.append([(c * m, LEET_COST) for c in LEET[sign] for m in sorted({1, min(n, 2)})])
             else:
                 steps.append([(sign * m, 0.0 if m == n else DROP_COST) for m in sorted({1, min(n, 2)})])
         return steps
 
-    def decode(self, string: str) -> str:
-        """The likeliest reading, or the string itself when signs are left in that reading."""
-        if string not in self.memo:
-            if len(self.memo) > 100_000:
-                self.memo.clear()
-            paths: dict[tuple[int, int, int], tuple[float, str]] = {(0, 0, 0): (0.0, "")}
-            for step in self.lattice(string):
-                new: dict[tuple[int, int, int], tuple[float, str]] = {}
-                for history, (value, read) in paths.items():
-                    for out, cost in step:
-                        h, v = history, value - cost
-                        for b in out.encode():
-                            c = int(_CLASS[b])
-                            v += float(self.model[h[0], h[1], h[2], c])
-                            h = (h[1], h[2], c)
-                        if h not in new or new[h][0] < v:
-                            new[h] = (v, read + out)
-                paths = new
-            best = max(paths.items(), key=lambda p: p[1][0] + float(self.model[p[0][0], p[0][1], p[0][2], 0]))[1][1]
-            self.memo[string] = best if best.isalpha() else string
-        return self.memo[string]
+    def _after(self, history: tuple[int, int, int], out: str) -> tuple[float, tuple[int, int, int]]:
+        """Log probability of the letters after a history, and the history after them."""
+        value = 0.0
+        for letter in out:
+            c = 0 if letter == " " else ord(letter) - 96
+            value += self.model[history[0]][history[1]][history[2]][c]
+            history = (history[1], history[2], c)
+        return value, history
+
+    def as_it_is(self, string: str) -> float:
+        """Log probability of a string that is no disguise."""
+        classes = [0, 0, 0, *_CLASS[np.frombuffer(string.encode(), np.uint8)].tolist(), 0]
+        value = sum(self.model[a][b][c][d] for a, b, c, d in zip(classes, classes[1:], classes[2:], classes[3:]))
+        return value - DIGIT_COST * classes.count(27) - SIGN_COST * classes.count(29)
+
+    def _letters(self, paths: dict, singles: list, new: dict) -> None:
+        """The best path to each next letter, for all histories that end alike at once."""
+        codes, costs = np.array([c for c, _, _ in singles]), np.array([cost for _, _, cost in singles])
+        alike: dict[tuple[int, int], list] = {}
+        for (first, second, third), (value, read) in paths.items():
+            alike.setdefault((second, third), []).append((first, value, read))
+        for (second, third), before in alike.items():
+            values = self.table[[b[0] for b in before], second, third][:, codes] + np.array([b[1] for b in before])[:, None]
+            best = values.argmax(0)
+            reached = (values[best, np.arange(len(codes))] - costs).tolist()
+            for (c, out, _), at, v in zip(singles, best.tolist(), reached):
+                new[second, third, c] = (v, (before[at][2], out))
+
+    def reading(self, string: str, spread: bool = False) -> tuple[float, str]:
+        """Log probability and letters of the likeliest reading."""
+        paths: dict[tuple[int, int, int], tuple[float, tuple]] = {(0, 0, 0): (0.0, ())}
+        for step in self.lattice(string, spread):
+            new: dict[tuple[int, int, int], tuple[float, tuple]] = {}
+            singles = [(0 if out == " " else ord(out) - 96, out, cost) for out, cost in step if len(out) == 1]
+            others = [(out, cost) for out, cost in step if len(out) != 1]
+            if len(paths) > 8 and len(singles) > 8:
+                self._letters(paths, singles, new)
+                singles = []
+            for history, (value, read) in paths.items():
+                _, second, third = history
+                row = self.model[history[0]][second][third]
+                for c, out, cost in singles:
+                    v, h = value + row[c] - cost, (second, third, c)
+                    if h not in new or new[h][0] < v:
+                        new[h] = (v, (read, out))
+                for out, cost in others:
+                    gained, h = self._after(history, out)
+                    v = value + gained - cost
+                    if h not in new or new[h][0] < v:
+                        new[h] = (v, (read, out) if out else read)
+            if len(new) > BEAM:
+                new = dict(sorted(new.items(), key=lambda p: -p[1][0])[:BEAM])
+            paths = new
+        value, read = max((v + self._after(h, " ")[0], read) for h, (v, read) in paths.items())
+        letters = []
+        while read:
+            read, out = read
+            letters.append(out)
+        return value, "".join(reversed(letters))
+
+    def decode(self, string: str, spread: bool = False) -> str:
+        """The likeliest reading, or the string itself when that is likelier."""
+        known = self.memo.get((string, spread))
+        if known is None:
+            value, known = self.reading(string, spread)
+            if not known.strip() or value <= self.as_it_is(string):
+                known = string
+            if len(string) <= 64:  # longer ones hardly come again
+                if len(self.memo) >= 100_000:
+                    self.memo.clear()
+                self.memo[string, spread] = known
+        return known
+
+    def _read(self, found: re.Match) -> str:
+        if found["spread"]:
+            return self.decode(found["spread"], True)
+        out = []
+        for part in _ROWS.split(found[0]):
+            before, word, after = _ENDS.fullmatch(part).groups()
+            hidden = re.search(rf"[{_SIGNS}*]|([A-Za-z])\1\1", word) and re.search("[A-Za-z]", word)
+            out += [before, self.decode(word) if hidden else word, after]
+        return "".join(out)
 
     def restore(self, text: str) -> str:
-        return DISGUISED.sub(lambda m: self.decode(m[0]), text)
+        return DISGUISED.sub(self._read, text)
 
     def restored(self, texts: pa.Array) -> pa.Array:
         """The column with disguised strings read; texts without a sign of them are not touched."""

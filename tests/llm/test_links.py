@@ -194,15 +194,48 @@ def test_tables_of_the_additive_model_add_up():
     assert np.allclose(model.raw(x), alone.raw(x) + gam.Model(model.edges, 0.0, [np.zeros_like(t) for t in model.tables], model.pairs).raw(x))
 
 
-def test_disguises_are_read():
-    text = " ".join(["the stupid idiot said pathetic things to a good moron in the street"] * 50)
+def _decoder():
+    text = " ".join(["the stupid idiot said pathetic things to a good moron in the street, the 3rd of 12 or so, well done! at 10:30"] * 50)
     c = toxicity._CLASS[np.frombuffer(text.encode(), np.uint8)]
     codes, times = np.unique((c[:-3] << 15) | (c[1:-2] << 10) | (c[2:-1] << 5) | c[3:], return_counts=True)
-    decoder = toxicity.Decoder(toxicity.language_model(codes, times))
+    return toxicity.Decoder(toxicity.language_model(codes, times))
+
+
+def test_disguises_are_read():
+    decoder = _decoder()
     for hidden, plain in (("1d10t", "idiot"), ("stuuuupid", "stupid"), ("s t u p i d", "stupid"), ("m.o.r.o.n", "moron"),
-                          ("p@thet!c", "pathetic"), ("m*ron", "moron"), ("1D1OT", "idiot")):
+                          ("p@thet!c", "pathetic"), ("m*ron", "moron"), ("1D1OT", "idiot"), ("stup1d!", "stupid!"),
+                          ("1d10t!!", "idiot!!"), ("m**on", "moron"), ("st*p*d", "stupid"), ("s  t  u  p  i  d", "stupid"),
+                          ("*stupid*", "*stupid*"), ("**m0ron**", "**moron**"), ("*****m0ron", "*****moron"), ("1 d i o t", "idiot")):
         assert decoder.restore(f"the {hidden} said") == f"the {plain} said"
-    assert decoder.restore("on 2024-01-01 at 10:30 the street") == "on 2024-01-01 at 10:30 the street"
+    assert decoder.restore("the a s t u p i d moron") == "the a stupid moron"
+    for plain in ("on 2024-01-01 at 10:30 the street", "the 3rd of 12", "well done! said the moron", "+49 * 2 = 98 !", ""):
+        assert decoder.restore(plain) == plain
+
+
+@pytest.mark.parametrize("string, spread", [("1d10t", False), ("m*r*n", False), ("m**n", False), ("stuuupid", False), ("$|00w", False),
+                                            ("s t u", True), ("i*d i.0.t", True), ("a  b c", True)])
+def test_viterbi_finds_the_best_of_all_readings(string, spread):
+    import itertools
+    decoder, best = _decoder(), -np.inf
+    for choice in itertools.product(*decoder.lattice(string, spread)):
+        read = "".join(out for out, _ in choice)
+        classes = [0, 0, 0, *("abcdefghijklmnopqrstuvwxyz".find(c) + 1 for c in read), 0]
+        value = sum(decoder.model[a][b][c][d] for a, b, c, d in zip(classes, classes[1:], classes[2:], classes[3:]))
+        best = max(best, value - sum(cost for _, cost in choice))
+    assert decoder.reading(string, spread)[0] == pytest.approx(best)
+
+
+@pytest.mark.parametrize("unit", ["acgtgcatgactga$", "acgt", "ab*", "a1b", "x y ", "aaab", "a.b.", "a****"])
+def test_long_texts_are_read_in_proportion(unit):
+    import time
+    decoder, seconds = _decoder(), []
+    for size in (25_000, 100_000):
+        text = unit * (size // len(unit))
+        began = time.process_time()
+        assert decoder.restore(text + " the 1d10t").endswith("idiot")
+        seconds.append(time.process_time() - began)
+    assert seconds[1] < 12 and seconds[1] < 10 * seconds[0] + 0.5
 
 
 def _pipeline_by_hand(rows, ranks):
