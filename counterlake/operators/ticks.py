@@ -6,7 +6,8 @@ windows over (key, block of ticks) instead, so a group never exceeds ``block`` r
 * the *previous tick* needs one row of the preceding block, so the last row of each block is
   also sent to the next one (1/block extra rows, one shuffle, no join);
 * *running last* values need a carry from all earlier blocks; the carries are computed on a
-  narrow projection that is reduced to one row per (key, block) before any window runs.
+  narrow projection that is reduced to one row per (key, block) before any window runs. Filling
+  reduces it by hash aggregation in the map tasks, so the narrow read sends one row per block.
 
 Key columns are primary-key columns and hold no NULLs.
 """
@@ -78,21 +79,57 @@ def _in_run(c: str) -> Column:
     return F.when(F.col("_run").isNull() | (seen["t"] >= F.col("_run")), seen["v"])
 
 
+def _block_ends(df: DataFrame, keys: Sequence[str], carry: Sequence[str], tick: str,
+                block: int) -> DataFrame:
+    """One row per (key, block), by hashing alone: the last tick present (``_last``, counted from
+    the block's start), whether all ticks up to it are present (``_whole``), and for each column
+    the offset of its latest measurement (``_at_``) and the fill of the last tick (``_fill_``).
+
+    The ticks present are kept as bits, 64 to a word, so map tasks reduce a block to one row.
+    """
+    offset = F.pmod(F.col(tick), F.lit(block)).cast("int")
+    words = range(-(-block // 64))
+    rows = df.select(*keys, F.floor(F.col(tick) / block).alias("_blk"), offset.alias("_off"), *carry)
+    bit = F.expr("shiftleft(1L, _off % 64)")
+    out = rows.groupBy(*keys, "_blk").agg(
+        F.max("_off").alias("_last"), F.count(F.lit(1)).alias("_rows"),
+        *[F.bit_or(F.when(F.expr(f"_off DIV 64 = {w}"), bit).otherwise(F.lit(0).cast("long")))
+          .alias(f"_word_{w}") for w in words],
+        *[F.max(F.when(F.col(c).isNotNull(), F.col("_off"))).alias(f"_at_{c}") for c in carry],
+        *[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("_off"))).alias(f"_value_{c}")
+          for c in carry])
+
+    def unbroken(since: str) -> Column:
+        """Are all ticks from ``since`` to the last one present?"""
+        checks = []
+        for w in words:
+            low, high = f"greatest({since}, {64 * w})", f"least(_last, {64 * w + 63})"
+            asked = (f"shiftleft(-1L, {low} - {64 * w}) & "
+                     f"shiftrightunsigned(-1L, {64 * w + 63} - {high})")
+            checks.append(f"({low} > {high} OR (_word_{w} & {asked}) = ({asked}))")
+        return F.expr(" AND ".join(checks))
+
+    return out.select(*keys, "_blk", "_last", (F.col("_rows") == F.col("_last") + 1).alias("_whole"),
+                      *[f"_at_{c}" for c in carry],
+                      *[F.when(F.col(f"_at_{c}").isNotNull() & unbroken(f"_at_{c}"),
+                               F.col(f"_value_{c}")).alias(f"_fill_{c}") for c in carry])
+
+
 def _fill_run(blocked: DataFrame, df: DataFrame, keys: Sequence[str], carry: Sequence[str],
               tick: str, block: int) -> DataFrame:
     wide = _run_state(blocked, keys, carry, tick)
-    narrow = _run_state(_blocked(df.select(*keys, tick, *carry), tick, block), keys, carry, tick)
-    # One row per (key, block): the fill at its last tick. A block that neither measured the
-    # column nor began a run passes the earlier carry through (settled = NULL).
-    ends = narrow.groupBy(*keys, "_blk").agg(
-        F.max_by(F.struct(*[
-            F.when(F.col("_run").isNotNull() | F.col(f"_seen_{c}").isNotNull(),
-                   F.struct(_in_run(c).alias("v"))).alias(c) for c in carry]), tick).alias("_end"))
-    earlier = (W.partitionBy(*keys).orderBy("_blk")
-                .rowsBetween(W.unboundedPreceding, -1))
+    ends = _block_ends(df, keys, carry, tick, block)
+    order = W.partitionBy(*keys).orderBy("_blk")
+    follows = ((F.lag("_blk").over(order) == F.col("_blk") - 1)
+               & (F.lag("_last").over(order) == block - 1))
+    ends = ends.withColumn("_follows", F.coalesce(follows, F.lit(False)))
+    # An unbroken block without a measurement that goes on from the block before passes on what
+    # came in (settled = NULL); every other block ends with a fill of its own, which may be NULL.
+    earlier = order.rowsBetween(W.unboundedPreceding, -1)
     carried = ends.select(*keys, "_blk", *[
-        F.last(F.col(f"_end.{c}"), ignorenulls=True).over(earlier).alias(f"_in_{c}")
-        for c in carry])
+        F.last(F.when(~(F.col("_follows") & F.col("_whole") & F.col(f"_at_{c}").isNull()),
+                      F.struct(F.col(f"_fill_{c}").alias("v"))), ignorenulls=True)
+        .over(earlier).alias(f"_in_{c}") for c in carry])
     joined = wide.join(carried, [*keys, "_blk"], "left")
     for c in carry:
         fill = F.when(F.col("_run").isNull() & F.col(f"_seen_{c}").isNull(),

@@ -44,6 +44,23 @@ def test_previous_tick_and_carry(spark, block):
             assert (row.prev.v, row.prev.size) == (before[0], carried[o, t - 1])
 
 
+@pytest.mark.parametrize("block", [64, 100, 256])
+def test_carry_over_blocks_of_several_words(spark, block):
+    """Long histories: measurements are rare and gaps fall anywhere, also at the ends of blocks."""
+    rng = random.Random(block)
+    rows = []
+    for obj, (gaps, measured) in enumerate([(0, 0.004), (0.003, 0.006), (0.01, 0.02), (0.003, 0), (0.3, 0.3)]):
+        edges = {block * n + d for n in range(9) for d in (-1, 0)} if obj == 2 else ()
+        rows += [(obj, t, rng.randrange(99) if rng.random() < measured else None)
+                 for t in range(900) if rng.random() >= gaps and not (t in edges and rng.random() < 0.3)]
+    df = spark.createDataFrame(rows, "obj int, sample_id int, size int")
+    carried = {}
+    for o, t, s in rows:
+        carried[o, t] = s if s is not None else carried.get((o, t - 1))
+    got = previous_tick(df, ("obj",), ("size",), carry=("size",), block=block).collect()
+    assert {(r.obj, r.sample_id): r.size_carried for r in got} == carried
+
+
 @pytest.mark.parametrize("block", [1, 5, 256])
 def test_previous_present_spans_gaps(spark, block):
     rows = history(7)
