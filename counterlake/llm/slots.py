@@ -1,16 +1,18 @@
 """Sharding by fixed virtual slots.
 
-Every record hashes into one of thousands of slots, for good. Bytes are summed by slot, a slot-to-shard map balances them,
-and the map is a small versioned table: rebalancing or growing edits some of its rows and moves those slots only.
+Every record hashes into one of thousands of slots, for good. Bytes are summed by slot, and the slot-to-shard map is a small
+versioned table: version 0 deals the slots round without knowing any bytes, rebalancing or growing edits some of its rows and
+moves those slots only. Records are placed by the newest version.
 
 Defined results: a null text has size 1 and the crc of no bytes; a null key hashes like a value of its own, spread by the
-text's crc; repeated rows share a slot; an empty table gives an empty table under a complete map. Other columns do not
-matter. The law is ``bytes``: shards have near equal bytes.
+text's crc; repeated rows (same key and text) are numbered and the number is hashed too, so that they spread over all slots;
+an empty table gives an empty table under a complete map. Other columns do not matter. The law is ``bytes``: shards have near
+equal bytes, as far as single records allow.
 """
 
 from __future__ import annotations
 
-import heapq
+from bisect import bisect_left, insort
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -21,16 +23,28 @@ from counterlake.llm.store import stored
 SLOTS = 4096
 #: Each slot's records are numbered in so many parts, so that no task holds a whole slot.
 PARTS = 16
+#: Shards differ by at most twice this part of their mean where single slots allow it.
+TOLERANCE = 0.002
 
 
 def records(docs: DataFrame, key: str = "doc_id", text: str = "text", slots: int = SLOTS) -> DataFrame:
-    """doc_id, size, text_crc32, virtual_slot, part."""
+    """doc_id, size, text_crc32, virtual_slot, part.
+
+    Repeated rows are numbered in each partition of the stored rows; counts by partition give the offsets.
+    """
     body = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(F.col(key).alias("doc_id"), (F.octet_length(body).cast("long") + 1).alias("size"),
-                       F.crc32(body.cast("binary")).alias("text_crc32"))
-    hashed = F.xxhash64(F.lit("slot"), "doc_id", "text_crc32")
-    return rows.select("*", F.pmod(hashed, F.lit(slots)).cast("int").alias("virtual_slot"),
-                       F.pmod(F.shiftrightunsigned(hashed, 40), F.lit(PARTS)).cast("int").alias("part"))
+    rows = stored(docs.select(F.col(key).alias("doc_id"), (F.octet_length(body).cast("long") + 1).alias("size"),
+                              F.crc32(body.cast("binary")).alias("text_crc32"), F.spark_partition_id().alias("_piece"))
+                  .withColumn("_hash", F.xxhash64(F.lit("slot"), "doc_id", "text_crc32")), "slot-rows")
+    earlier = W.partitionBy("_hash").orderBy("_piece").rowsBetween(W.unboundedPreceding, -1)
+    offsets = (rows.groupBy("_hash", "_piece").agg(F.count(F.lit(1)).alias("_count"))
+               .select("_hash", "_piece", F.coalesce(F.sum("_count").over(earlier), F.lit(0)).alias("_before")))
+    own = W.partitionBy("_hash", "_piece").orderBy("doc_id", "text_crc32", "size")
+    numbered = (rows.withColumn("_number", F.row_number().over(own) - 1).join(offsets, ["_hash", "_piece"])
+                .withColumn("_number", F.col("_number") + F.col("_before")))
+    hashed = F.when(F.col("_number") == 0, F.col("_hash")).otherwise(F.xxhash64("_hash", "_number"))
+    return numbered.select("doc_id", "size", "text_crc32", F.pmod(hashed, F.lit(slots)).cast("int").alias("virtual_slot"),
+                           F.pmod(F.shiftrightunsigned(hashed, 40), F.lit(PARTS)).cast("int").alias("part"))
 
 
 def slot_sizes(rows: DataFrame) -> dict[int, int]:
@@ -38,15 +52,9 @@ def slot_sizes(rows: DataFrame) -> dict[int, int]:
     return {r[0]: int(r[1]) for r in rows.groupBy("virtual_slot").agg(F.sum("size")).collect()}
 
 
-def first_map(sizes: dict[int, int], shards: int, slots: int = SLOTS) -> dict[int, int]:
-    """Largest slot first onto the shard with the fewest bytes; empty slots go round."""
-    heap = [(0, 0, s) for s in range(shards)]
-    placed = {}
-    for slot in sorted(range(slots), key=lambda s: (-sizes.get(s, 0), s)):
-        held, count, shard = heapq.heappop(heap)
-        placed[slot] = shard
-        heapq.heappush(heap, (held + sizes.get(slot, 0), count + 1, shard))
-    return placed
+def first_map(shards: int, slots: int = SLOTS) -> dict[int, int]:
+    """Version 0: slots go round the shards."""
+    return {slot: slot % shards for slot in range(slots)}
 
 
 def _loads(placed: dict[int, int], sizes: dict[int, int], shards: int) -> list[int]:
@@ -57,22 +65,34 @@ def _loads(placed: dict[int, int], sizes: dict[int, int], shards: int) -> list[i
 
 
 def rebalanced(placed: dict[int, int], sizes: dict[int, int], shards: int, tolerance: float = 0.02) -> dict[int, int]:
-    """An edited map: slots leave shards above the mean plus tolerance for the emptiest shard while that helps both."""
+    """An edited map: while the fullest and the emptiest shard differ by more than twice the tolerance, in parts of the mean,
+    the slot nearest to half of the difference moves. A shard whose every slot is too large for that keeps what it has."""
     placed, loads = dict(placed), _loads(placed, sizes, shards)
-    mean = sum(loads) / shards
-    slots_of: dict[int, list[int]] = {s: [] for s in range(shards)}
-    for slot in sorted(placed, key=lambda s: (sizes.get(s, 0), s)):
-        slots_of[placed[slot]].append(slot)
-    for full in sorted(range(shards), key=lambda s: -loads[s]):
-        for slot in reversed(slots_of[full][:]):
-            empty = min(range(shards), key=lambda s: (loads[s], s))
-            size = sizes.get(slot, 0)
-            if loads[full] <= mean * (1 + tolerance) or not size:
-                break
-            if loads[empty] + size < loads[full] and loads[full] - size >= mean * (1 - tolerance):
-                placed[slot] = empty
-                loads[full] -= size
-                loads[empty] += size
+    allowed = 2 * tolerance * sum(loads) / shards
+    slots_of: list[list[tuple[int, int]]] = [[] for _ in range(shards)]
+    for slot, shard in placed.items():
+        if sizes.get(slot, 0):
+            slots_of[shard].append((sizes[slot], slot))
+    for held in slots_of:
+        held.sort()
+    open_ = set(range(shards))
+    while open_:
+        full = max(open_, key=lambda s: (loads[s], -s))
+        empty = min(range(shards), key=lambda s: (loads[s], s))
+        gap, held = loads[full] - loads[empty], slots_of[full]
+        if gap <= allowed:
+            break
+        at = bisect_left(held, (gap / 2, -1))
+        near = [h for h in held[max(0, at - 1):at + 1] if h[0] < gap]
+        if not near:
+            open_.discard(full)
+            continue
+        size, slot = min(near, key=lambda h: (abs(h[0] - gap / 2), h))
+        held.remove((size, slot))
+        insort(slots_of[empty], (size, slot))
+        placed[slot] = empty
+        loads[full] -= size
+        loads[empty] += size
     return placed
 
 
@@ -94,11 +114,19 @@ def map_table(spark: SparkSession, versions: list[dict[int, int]]) -> DataFrame:
     return stored(spark.createDataFrame(rows, "version int, virtual_slot int, shard int"), "slot-map")
 
 
-def place(docs: DataFrame, shards: int = 16, key: str = "doc_id", text: str = "text", slots: int = SLOTS) -> DataFrame:
+def newest_map(versions: DataFrame) -> DataFrame:
+    """virtual_slot, shard and version of the newest version; the map has ``slots`` rows a version."""
+    last = versions.agg(F.max("version")).first()[0]
+    return versions.filter(F.col("version") == last).select("virtual_slot", "shard", "version")
+
+
+def place(docs: DataFrame, shards: int = 16, key: str = "doc_id", text: str = "text", slots: int = SLOTS,
+          tolerance: float = TOLERANCE) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot (place in the shard, gapless from 0), grown_shard, virtual_slot, version."""
     rows = stored(records(docs, key, text, slots), "slot-records")
-    versions = map_table(docs.sparkSession, [first_map(slot_sizes(rows), shards, slots)])
-    newest = versions.filter(F.col("version") == 0).select("virtual_slot", "shard", "version")
+    first = first_map(shards, slots)
+    versions = map_table(docs.sparkSession, [first, rebalanced(first, slot_sizes(rows), shards, tolerance)])
+    newest = newest_map(versions)
     # places: those of earlier parts of the shard, then the row number in the own part
     parts = rows.groupBy("virtual_slot", "part").agg(F.count(F.lit(1)).alias("count")).join(newest, "virtual_slot")
     before = W.partitionBy("shard").orderBy("virtual_slot", "part").rowsBetween(W.unboundedPreceding, -1)

@@ -141,10 +141,34 @@ def test_slots(spark, edge_docs, no_docs):
     assert slots.place(no_docs).count() == 0
 
 
+def test_slots_are_placed_by_the_edited_map_and_repeated_rows_spread(spark):
+    hot = spark.range(4000).selectExpr("CAST(7 AS BIGINT) AS doc_id", "repeat('x', 500) AS text")
+    docs = hot.union(spark.range(6000).selectExpr("id + 100", "repeat('ab', CAST(id % 400 AS INT))")).repartition(5)
+    rows = slots.place(docs).collect()
+    assert len(rows) == 10_000 and {r.version for r in rows} == {1}
+    loads, places = collections.Counter(), collections.defaultdict(list)
+    for r in rows:
+        loads[r.shard] += r["size"]
+        places[r.shard].append(r.slot)
+    assert len(loads) == 16 and max(loads.values()) < 1.01 * min(loads.values())
+    assert all(sorted(p) == list(range(len(p))) for p in places.values())
+    again = slots.place(docs.repartition(3)).collect()  # whatever the partitions, the same rows
+    assert sorted((r.doc_id, r.virtual_slot, r.shard) for r in again) == sorted((r.doc_id, r.virtual_slot, r.shard) for r in rows)
+    # the first version of the map deals slots round, the second has moved some of them
+    moved = sum(r.shard != r.virtual_slot % 16 for r in rows)
+    assert 0 < moved < len(rows) / 2
+
+
+def test_a_shard_of_one_large_slot_keeps_it():
+    sizes = {0: 1000, 1: 10, 2: 12, 3: 9, 4: 11}
+    placed = slots.rebalanced({s: s % 2 for s in range(6)}, sizes, 2)
+    assert placed[0] == 0 and all(placed[s] == 1 for s in (1, 2, 3, 4))
+
+
 def test_map_edits_move_only_what_they_must():
     rng = np.random.default_rng(1)
     sizes = {s: int(rng.integers(1, 1000)) for s in range(512)}
-    first = slots.first_map(sizes, 8, 512)
+    first = slots.rebalanced(slots.first_map(8, 512), sizes, 8)
     grown = slots.grown(first, sizes, 8)
     assert all(grown[s] in (first[s], 8) for s in first)  # one more shard takes slots only into itself
     for placed, n in ((first, 8), (grown, 9)):
