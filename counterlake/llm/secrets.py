@@ -2,8 +2,9 @@
 
 Positions come from splitting a text at a pattern: the lengths of the parts and of the matches add up to every start.
 Candidate strings are slid over with a window; counts per symbol are carried from window to window (one symbol enters, one
-leaves), and with them the sum of c * log2(c), from which Shannon's entropy follows. A candidate whose best window reaches
-the bound of its character class becomes a span, unless the allow-list knows it.
+leaves), packed into a few longs, and with them the sum of c * log2(c), from which Shannon's entropy follows. A candidate whose
+best window reaches the bound of its character class becomes a span, unless the allow-list knows it. Work is in proportion to
+the length of the candidates; starts are summed over chunks of matches.
 
 Defined results: a null text counts as empty and has no spans; repeated rows get equal spans; other columns are passed on,
 result columns replace input columns of the same name; an empty table gives an empty table. Positions count code points,
@@ -35,13 +36,15 @@ class Kind:
 
 
 WINDOW = 20
-#: Candidates: runs of key characters of at least a window's length, with a digit (words of prose have none).
+#: Candidates: runs of key characters of at least a window's length.
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
-#: Tried in this order; a random window of 20 has about 3.3, 3.7 and 4.0 bits in these classes, words of prose below 3.4.
-CLASSES = (Kind("hexadecimal", r"[0-9a-fA-F]+", 2.9), Kind("upper", r"[A-Z0-9]+", 3.3),
+#: Tried in this order; a random window of 20 has about 3.9, 3.3, 3.7 and 4.0 bits in these classes. Words joined by signs, paths
+#: and names with a short number are letters too: they stay below the bound of the first class, which most random letters of
+#: both cases reach in some window.
+CLASSES = (Kind("letters", r"[A-Za-z_/-]*[0-9]{0,4}", 3.9), Kind("hexadecimal", r"[0-9a-fA-F]+", 2.9), Kind("upper", r"[A-Z0-9]+", 3.3),
            Kind("mixed", r"[A-Za-z0-9+/_=-]+", 3.55))
-#: What is known not to be a secret: words joined by signs, paths, times and serial numbers, and documented examples.
-ALLOWED = (r"^[A-Za-z]+([-_/][A-Za-z]+)*$", r"^[A-Za-z_/-]*[0-9]{0,4}$", r"^[0-9T:_/=+-]+$",
+#: What is known not to be a secret: times and serial numbers, documented examples, and identifiers in their common form.
+ALLOWED = (r"^[0-9T:_/=+-]+$",
            r"(?i)(example|sample|dummy|placeholder|x{6,})",
            r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$")
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
@@ -51,14 +54,22 @@ def _sql(pattern: str) -> str:
     return pattern.replace("\\", "\\\\").replace("'", "\\'")
 
 
+#: Matches whose starts are summed up together, before they join those of earlier chunks.
+CHUNK = 256
+
+
 def _placed(text: str, pattern: str) -> str:
     """SQL: array of (start, match) of all matches, without limit; the pattern never matches nothing."""
     p = _sql(pattern)
-    return (f"aggregate(arrays_zip(split({text}, '{p}'), regexp_extract_all({text}, '{p}', 0)),"
-            f" named_struct('at', 0, 'found', CAST(array() AS array<struct<start:int,match:string>>)),"
-            f" (s, z) -> named_struct('at', s.at + length(z['0']) + coalesce(length(z['1']), 0), 'found',"
-            f" CASE WHEN z['1'] IS NULL THEN s.found ELSE"
-            f" concat(s.found, array(named_struct('start', s.at + length(z['0']), 'match', z['1']))) END), s -> s.found)")
+    empty = "CAST(array() AS array<struct<start:int,match:string>>)"
+    chunk = (f"aggregate(slice(p, k * {CHUNK} + 1, {CHUNK}), named_struct('at', s.at, 'found', {empty}),"
+             f" (c, z) -> named_struct('at', c.at + length(z['0']) + coalesce(length(z['1']), 0), 'found',"
+             f" CASE WHEN z['1'] IS NULL THEN c.found ELSE"
+             f" concat(c.found, array(named_struct('start', c.at + length(z['0']), 'match', z['1']))) END),"
+             f" c -> named_struct('at', c.at, 'found', concat(s.found, c.found)))")
+    return (f"element_at(transform(array(arrays_zip(split({text}, '{p}'), regexp_extract_all({text}, '{p}', 0))), p ->"
+            f" aggregate(sequence(0, (size(p) - 1) DIV {CHUNK}), named_struct('at', 0, 'found', {empty}),"
+            f" (s, k) -> {chunk.replace('k *', 'CAST(k AS INT) *')}, s -> s.found)), 1)")
 
 
 def _spans(kind: str, found: str, where: str) -> str:
@@ -67,26 +78,39 @@ def _spans(kind: str, found: str, where: str) -> str:
             f" 'stop', f.start + length(f.match)))")
 
 
+#: Counts of so many symbols share a long, five bits each (a window has less than 32 symbols).
+PACKED = 12
+
+
 def best_window(match: str, window: int = WINDOW) -> str:
     """SQL: the largest entropy, in bits, of a window over the string; counts are carried along.
 
-    s.c holds the count of every symbol, s.n the sum of c * log2(c); the first ``window`` symbols only enter.
+    The longs s.c0, s.c1, ... hold the count of every symbol, s.n the sum of c * log2(c); the first ``window`` symbols only
+    enter. x: word and bit of the symbol that enters (nw, nb) and of the one that leaves (ow, ob; a word past all if none).
     """
+    words = -(-len(ALPHABET) // PACKED)
     table = "array(" + ", ".join(["0D", *(f"{c * math.log2(c)!r}D" for c in range(1, window + 1))]) + ")"
-    code = "instr('{}', {})".format(ALPHABET, "{}")
-    symbols = f"transform(sequence(1, length({match})), i -> named_struct('new', {code.format(f'substring({match}, i, 1)')}, "
-    symbols += f"'old', CASE WHEN i > {window} THEN {code.format(f'substring({match}, i - {window}, 1)')} ELSE 0 END))"
-    zero = f"array_repeat(0, {len(ALPHABET)})"
-    value = f"{math.log2(window)!r}D - s.n / {window}"
+    codes = f"transform(split({match}, ''), c -> instr('{ALPHABET}', c) - 1)"
+    steps = (f"zip_with(q, slice(concat(array_repeat({words * PACKED}, {window}), q), 1, size(q)), (n, o) -> named_struct("
+             f"'nw', CAST(n DIV {PACKED} AS INT), 'nb', n % {PACKED} * 5, 'ow', CAST(o DIV {PACKED} AS INT), 'ob', o % {PACKED} * 5))")
+
+    def count(word: str, bit: str) -> str:
+        held = "CASE " + word + " " + " ".join(f"WHEN {w} THEN s.c{w}" for w in range(words)) + " END"
+        return f"CAST(shiftright({held}, {bit}) & 31L AS INT)"
+
     # leave, then enter: each step changes two counts and two terms
-    left = f"(CASE WHEN x.old > 0 THEN element_at({table}, element_at(s.c, x.old)) - element_at({table}, element_at(s.c, x.old) + 1) ELSE 0D END)"
-    count = "(element_at(s.c, x.new) - CASE WHEN x.old = x.new THEN 1 ELSE 0 END)"
-    entered = f"(element_at({table}, {count} + 2) - element_at({table}, {count} + 1))"
-    return (f"aggregate({symbols}, named_struct('c', {zero}, 'n', 0D, 'k', 0, 'best', 0D), (s, x) -> named_struct("
-            f"'c', transform(s.c, (c, j) -> c + CASE WHEN j + 1 = x.new THEN 1 ELSE 0 END - CASE WHEN j + 1 = x.old THEN 1 ELSE 0 END),"
-            f" 'n', s.n + {left} + {entered}, 'k', s.k + 1,"
-            f" 'best', CASE WHEN s.k + 1 >= {window} THEN greatest(s.best, {math.log2(window)!r}D - (s.n + {left} + {entered}) / {window})"
-            f" ELSE s.best END), s -> round(s.best, 9))")
+    old = count("x.ow", "x.ob")
+    left = f"(CASE WHEN x.ow < {words} THEN element_at({table}, {old}) - element_at({table}, {old} + 1) ELSE 0D END)"
+    new = f"({count('x.nw', 'x.nb')} - CASE WHEN x.ow = x.nw AND x.ob = x.nb THEN 1 ELSE 0 END)"
+    entered = f"(element_at({table}, {new} + 2) - element_at({table}, {new} + 1))"
+    packed = ", ".join(f"'c{w}', s.c{w} + CASE WHEN x.nw = {w} THEN shiftleft(1L, x.nb) ELSE 0L END"
+                       f" - CASE WHEN x.ow = {w} THEN shiftleft(1L, x.ob) ELSE 0L END" for w in range(words))
+    zero = ", ".join(f"'c{w}', 0L" for w in range(words))
+    # the window that ended with the step before
+    best = f"CASE WHEN s.k >= {window} THEN greatest(s.best, {math.log2(window)!r}D - s.n / {window}) ELSE s.best END"
+    return (f"element_at(transform(array({codes}), q -> aggregate({steps}, named_struct({zero}, 'n', 0D, 'k', 0, 'best', 0D),"
+            f" (s, x) -> named_struct({packed}, 'n', s.n + {left} + {entered}, 'k', s.k + 1, 'best', {best}),"
+            f" s -> round({best}, 9))), 1)")
 
 
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
