@@ -20,6 +20,9 @@ from counterlake.operators.settings import COMPARED, SETTING_KEY, STORED, change
 from counterlake.operators.ticks import TICKS_PER_BLOCK
 from counterlake.streaming.ledger import Hold, Step, Stored
 
+#: Rows of a batch for one task.
+TASK_ROWS = 100_000
+
 
 def _with_lateness(batch: DataFrame, state: DataFrame | None, key: Sequence[str]) -> DataFrame:
     """Adds ``_late``: the tick is not above the stored one, is missing, or repeats an earlier row of the batch."""
@@ -51,6 +54,9 @@ def counter_deltas(spec: SnapshotSpec, keep_ticks: int | None = None, block: int
 
     def step(batch: DataFrame, stored: Stored, hold: Hold) -> dict[str, DataFrame]:
         state = stored("state")
+        # dealt by object once: what follows works on objects, and a task gets so many rows however large the batch is
+        usual = int(batch.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        batch = batch.repartition(max(usual, batch.count() // TASK_ROWS), *key)
         judged = hold(_with_lateness(batch, state, key))
         rows = judged.filter("NOT _late").select(*spec.row_key, *kept, F.lit(False).alias("_stored"))
         if state is not None:

@@ -2,11 +2,14 @@
 
 import datetime
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from counterlake.session import partitions
+from counterlake.operators import marking
+from counterlake.operators.ticks import previous_tick
+from counterlake.session import materialise, partitions
 from fixtures import projection as P
 
 CHANGED = [n for n in P.REL if P.SPARK_REL[n] != P.REL[n]]
@@ -64,3 +67,22 @@ def test_parts_grow_with_the_input(spark, odd):
     few = partitions(spark, f"{odd}/lineitem.parquet", 1 << 40)
     assert few == int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert partitions(spark, [f"{odd}/lineitem.parquet"] * 3, 1000) > 2 * partitions(spark, f"{odd}/lineitem.parquet", 1000) > few
+
+
+def test_a_block_is_sorted_once_in_tasks_of_bounded_size(spark, monkeypatch):
+    rows = materialise(spark.range(4000).selectExpr("CAST(1 AS INT) AS server_id", "id % 400 AS obj", "CAST(id DIV 400 AS INT) AS sample_id",
+                                                    "id AS v", "IF(id % 3 = 0, id, NULL) AS size"), "ticks")
+    monkeypatch.setattr("counterlake.operators.ticks.TASK_BYTES", 500)
+    df = previous_tick(rows, ("server_id", "obj"), ("v", "size"), carry=("size",))
+    wide = [line for line in plan_of(df).splitlines() if re.search(r"\bSort \[", line) and "sample_id" in line]
+    assert len(wide) == 1, wide
+    assert int(re.search(r"hashpartitioning\(server_id#\w+, obj#\w+, _blk#\w+, (\d+)\), REPARTITION_BY_NUM", plan_of(df))[1]) > 8
+
+
+def test_tables_without_side_table_spread(spark):
+    rows = spark.createDataFrame([(1, 1, 5, n, "r", None, n) for n in range(1000)] + [(1, 1, 5, 2000, "r", 2001, 7), (1, 1, 5, 2001, "t", None, 9)],
+                                 "server_id int, sample_id int, datid long, relid long, relkind string, reltoastrelid long, relsize long")
+    joined = marking.with_side_table(rows.hint("merge"), ("relsize",))
+    assert {(r.relid, r.side.relsize) for r in joined.filter("side IS NOT NULL").collect()} == {(2000, 9)}
+    assert joined.count() == 1001
+    assert "coalesce(reltoastrelid" in plan_of(joined)
