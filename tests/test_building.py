@@ -7,8 +7,10 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from counterlake.model import Interval
 from counterlake.operators import marking
 from counterlake.operators.ticks import previous_tick
+from counterlake.plans import sections
 from counterlake.session import materialise, partitions
 from fixtures import projection as P
 
@@ -86,3 +88,9 @@ def test_tables_without_side_table_spread(spark):
     assert {(r.relid, r.side.relsize) for r in joined.filter("side IS NOT NULL").collect()} == {(2000, 9)}
     assert joined.count() == 1001
     assert "coalesce(reltoastrelid" in plan_of(joined)
+
+
+def test_comparison_reads_labels_of_shown_rows_only(spark, odd):
+    repo = P.repository(spark, odd, ("statements", "usage", "databases", "cluster", "roles_list", "statement_totals"))
+    plan = plan_of(sections.section(repo, "q11", [Interval(0, 15), Interval(15, 30)]))
+    assert re.search(r"Join \[[^]]*coalesce\(queryid#.*_of_queryid#", plan), plan
