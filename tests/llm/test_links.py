@@ -85,6 +85,34 @@ def test_the_tree_loses_no_pair():
         assert true <= found and len(found) < 5 * len(true)
 
 
+def test_fine_points_pass_over_pairs_that_miss_by_little():
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 2**64, 136, dtype=np.uint64)
+    sets = [np.sort(np.concatenate([np.delete(base, range(a, a + 8)), rng.integers(0, 2**64, 8, dtype=np.uint64)]))
+            for a in range(0, 136, 8) for _ in range(6)]  # sets of different places share 120, and would be linked by 121
+    names, points = np.arange(len(sets)), [rtree.read_point(rtree.point(s, True)) for s in sets]
+    found = rtree.links(names, np.full(len(sets), 136), points, names, 80, True)
+    true = 17 * 15
+    assert true <= len(found) < true + 0.1 * (102 * 101 // 2 - true)
+
+
+def test_work_on_unlinked_near_copies_does_not_grow_with_their_pairs(spark, monkeypatch):
+    rows, verified, tested = [], jaccard._verified, []
+    for k in range(128):
+        words = [f"w{i}" for i in range(140)]
+        words[4 + k % 16 * 8], words[7 + k % 16 * 8] = f"x{k}", f"y{k}"
+        rows.append((k, " ".join(words)))
+
+    def counted(docs, classes, pairs, key, text):
+        tested.append(pairs.count())
+        return verified(docs, classes, pairs, key, text)
+
+    monkeypatch.setattr(jaccard, "_verified", counted)
+    got = [tuple(r)[:3] for r in jaccard.components(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(got) == sorted(_components(rows)) and len({c for _, _, c in got}) == 16
+    assert sum(tested) < 8 * len(rows)
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(4)
     data = rng.standard_normal((3000, 16))
