@@ -17,10 +17,12 @@ table; other columns do not matter.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +39,8 @@ from counterlake.llm.store import stored
 SLICE_BYTES = 2_000_000
 #: Segments and pieces whose ids are kept between slices, and the characters of all kept segments.
 KEPT, KEPT_CHARS = 80_000, 8_000_000
+#: Tokens of the runs whose first ends are searched before the others.
+RUNS = (128, 16, 4)
 SPACE = "▁"
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>\Z")
 
@@ -67,6 +71,15 @@ class PieceEncoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids and the number of ids of each text."""
+        collecting = gc.isenabled()
+        gc.disable()  # many small lists and no cycles
+        try:
+            return self._encoded(texts)
+        finally:
+            if collecting:
+                gc.enable()
+
+    def _encoded(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         if not self.by_word:
             return _flat(self.model.encode(texts.to_pylist(), num_threads=1))
         whole = pc.match_substring_regex(texts, r"  |^ | \z").to_numpy(zero_copy_only=False)
@@ -96,7 +109,7 @@ class PieceEncoder:
 
 def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     lengths = np.fromiter(map(len, lists), np.int64, len(lists))
-    return np.fromiter((i for ids in lists for i in ids), np.uint32, int(lengths.sum())), lengths
+    return np.fromiter(chain.from_iterable(lists), np.uint32, int(lengths.sum())), lengths
 
 
 @lru_cache(maxsize=1)
@@ -149,11 +162,12 @@ class Aligned:
                                                   (~shorter, count_b, ends_b, ends_a, first_a)):
             tokens = np.flatnonzero(np.repeat(driven, count))
             doc = np.repeat(np.arange(len(count)), count)[tokens]
-            # the hint: as far into the longer list as a run of 16 tokens' first one was found
+            # the hint: as far into the longer list as the first one of a run of tokens was found, in ever shorter runs
             at, wanted = first[doc], own[tokens]
-            lead = np.arange(0, len(tokens), 16)
-            found = gallop(wanted[lead], theirs, at[lead]) if len(tokens) else at
-            hint = np.maximum(at, np.repeat(found, 16)[:len(tokens)])
+            hint = at
+            for run in RUNS if len(tokens) else ():
+                found = gallop(wanted[::run], theirs, hint[::run])
+                hint = np.maximum(hint, np.repeat(found, run)[:len(tokens)])
             rank = gallop(wanted, theirs, hint) if len(tokens) else at
             equal = theirs[rank] == wanted if len(tokens) else np.zeros(0, bool)
             # a token overlaps from the token after the last end before it to the one that holds its end
@@ -227,6 +241,25 @@ def align(texts: pa.Array, path_a: str, path_b: str) -> tuple[Aligned, np.ndarra
     return aligned, ids_a, ids_b, count_a, count_b
 
 
+def _starts(ordered: np.ndarray) -> np.ndarray:
+    """Where a new value starts."""
+    return np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])[:len(ordered)])
+
+
+def _held(a: np.ndarray, b: np.ndarray, doc: np.ndarray, n: int, size_b: int) -> tuple[np.ndarray, ...]:
+    """The distinct pairs (a << 32 | b) of the links of n documents; and, by document, the place of each pair that it holds
+    among them and how often it is linked: owner, place, times. b is under size_b. One number a link is sorted."""
+    keys = np.sort((a.astype(np.int64) * size_b + b) * n + doc)
+    first = _starts(keys)
+    times = np.diff(np.append(first, len(keys)))
+    pairs, owner = np.divmod(keys[first], max(n, 1))
+    new = _starts(pairs)
+    place = np.repeat(np.arange(len(new)), np.diff(np.append(new, len(pairs))))
+    order = np.argsort(owner, kind="stable")
+    high, low = np.divmod(pairs[new], size_b)
+    return high << 32 | low, owner[order], place[order], times[order]
+
+
 SLICE_SCHEMA = ("slice long, pair long, docs long, nth int, held int, doc_id long, n_a long, n_b long, n_groups long, n_links long, "
                 "groups_sha256 string, uses binary")
 _KINDS = pa.schema([(name, {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary()}[kind])
@@ -253,10 +286,9 @@ def sliced(docs: DataFrame, path_a: str, path_b: str, key: str = "doc_id", text:
             for rows, texts in bpe.slices(batch, text, slice_bytes):
                 aligned, ids_a, ids_b, count_a, count_b = align(texts, path_a, path_b)
                 n, number = len(texts), rows.column("row")[0].as_py()
-                pairs, doc = ids_a[aligned.link_a].astype(np.int64) << 32 | ids_b[aligned.link_b], aligned.doc_a[aligned.link_a]
-                distinct, place = np.unique(pairs, return_inverse=True)
-                held, times = np.unique(doc * max(len(distinct), 1) + place, return_counts=True)
-                owner, place = np.divmod(held, max(len(distinct), 1))
+                doc = aligned.doc_a[aligned.link_a]
+                distinct, owner, place, times = _held(ids_a[aligned.link_a], ids_b[aligned.link_b], doc, n,
+                                                      len(worker_models(path_a, path_b)[2][1]))
                 yield _rows(n, number, {
                     "nth": pa.array(np.arange(n)), "held": pa.array(np.bincount(owner, minlength=n)), "doc_id": rows.column(key),
                     "n_a": pa.array(count_a), "n_b": pa.array(count_b), "n_groups": pa.array(aligned.groups),

@@ -1,6 +1,7 @@
 """Alignment of two tokenizers against a plain version that compares all tokens' byte ranges."""
 
 import collections
+import gc
 import hashlib
 
 import numpy as np
@@ -101,3 +102,27 @@ def test_galloping_finds_lower_bounds():
     ends = np.unique(rng.integers(0, 5000, 900))
     wanted = np.sort(rng.integers(0, ends[-1] + 1, 400))
     assert np.array_equal(alignment.gallop(wanted, ends, np.zeros(400, np.int64)), np.searchsorted(ends, wanted))
+
+
+def test_pieces_are_encoded_without_collecting_garbage(libraries):
+    words = [f"word{i} other{i * 7}" for i in range(4000)]
+    encoder, runs = alignment.PieceEncoder(MODEL), []
+    gc.callbacks.append(lambda phase, info: runs.append(phase))
+    try:
+        ids, counts = encoder.encode(pa.array(words, pa.large_string()))
+        during = len(runs)
+    finally:
+        gc.callbacks.pop()
+    assert not during and gc.isenabled()
+    assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == libraries[1].encode(words)
+
+
+def test_held_pairs_of_documents():
+    rng = np.random.default_rng(6)
+    for n, links in ((5, 400), (1, 3), (3, 0)):
+        a, b, doc = rng.integers(0, 9, links).astype(np.uint32), rng.integers(0, 7, links).astype(np.uint32), np.sort(rng.integers(0, n, links))
+        distinct, owner, place, times = alignment._held(a, b, doc, n, 7)
+        pairs = (distinct >> 32).tolist(), (distinct & 0xFFFFFFFF).tolist()
+        got = [(d, pairs[0][p], pairs[1][p], t) for d, p, t in zip(owner.tolist(), place.tolist(), times.tolist())]
+        want = collections.Counter(zip(doc.tolist(), a.tolist(), b.tolist()))
+        assert got == sorted((*k, t) for k, t in want.items()) and distinct.tolist() == sorted({x << 32 | y for _, x, y in want})
