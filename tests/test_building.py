@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from counterlake.model import Interval
-from counterlake.operators import marking
+from counterlake.operators import marking, stats
 from counterlake.operators.ticks import previous_tick
 from counterlake.plans import sections
 from counterlake.session import materialise, partitions
@@ -94,3 +94,17 @@ def test_comparison_reads_labels_of_shown_rows_only(spark, odd):
     repo = P.repository(spark, odd, ("statements", "usage", "databases", "cluster", "roles_list", "statement_totals"))
     plan = plan_of(sections.section(repo, "q11", [Interval(0, 15), Interval(15, 30)]))
     assert re.search(r"Join \[[^]]*coalesce\(queryid#.*_of_queryid#", plan), plan
+
+
+def test_sums_of_objects_move_once(spark, odd):
+    """Facts and usage are dealt by statement text, one exchange each: joins with usage, totals and names move nothing more."""
+    repo = P.repository(spark, odd, ("statements", "usage", "databases", "cluster", "roles_list", "statement_totals"))
+    usual = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "256k")
+    try:
+        plan = plan_of(stats.top_statements(repo, [Interval(0, 30)], by_text=True))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", usual)
+    moved = re.findall(r"Exchange hashpartitioning\(([^)]*)\), ENSURE", plan)
+    assert len([keys for keys in moved if "toplevel" in keys]) == 2, moved
+    assert plan.count("SortMergeJoin") == 1, plan
