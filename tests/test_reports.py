@@ -52,6 +52,16 @@ def test_texts_are_those_of_listed_statements(repo):
     frame.unpersist()
 
 
+@needs_tables
+@pytest.mark.parametrize("spans", [(Interval(1, 15), Interval(15, 30))], ids=["diff"])
+def test_sections_rank_what_they_can_list(repo, monkeypatch, spans):
+    name, make = ("single_section", report.interval_report) if len(spans) == 1 else ("diff_section", report.diff_report)
+    ranked, sizes = getattr(report.S, name), {}
+    monkeypatch.setattr(report.S, name, lambda rows, spec, topn: sizes.setdefault(spec.id, rows.count()) and ranked(rows, spec, topn))
+    make(repo, *spans, topn=2)
+    assert 0 < sizes["q12"] < report.S.RELATIONS["statements"](repo, list(spans)).count() / 5
+
+
 @needs_tables
 def test_a_server_without_measured_sizes_is_an_error(spark):
     repo = repository(spark, SF, ("samples", "table_totals", "databases"))
