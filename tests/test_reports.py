@@ -53,7 +53,7 @@ def test_texts_are_those_of_listed_statements(repo):
 
 
 @needs_tables
-@pytest.mark.parametrize("spans", [(Interval(1, 15), Interval(15, 30))], ids=["diff"])
+@pytest.mark.parametrize("spans", [(Interval(1, 30),), (Interval(1, 15), Interval(15, 30))], ids=["single", "diff"])
 def test_sections_rank_what_they_can_list(repo, monkeypatch, spans):
     name, make = ("single_section", report.interval_report) if len(spans) == 1 else ("diff_section", report.diff_report)
     ranked, sizes = getattr(report.S, name), {}
